@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import winnowing
+from sparkloom.llm import prefix_tree_join, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_winnowing": winnowing.op7_winnowing,
+    "op10_prefix_tree_join": prefix_tree_join.op10_prefix_tree_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
