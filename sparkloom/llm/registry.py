@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, prefix_tree_join, winnowing
+from sparkloom.llm import bpe, hilbert, prefix_tree_join, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op6_hilbert_shards": hilbert.op6_hilbert_shards,
     "op7_winnowing": winnowing.op7_winnowing,
     "op10_prefix_tree_join": prefix_tree_join.op10_prefix_tree_join,
 }
