@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, hilbert, prefix_tree_join, winnowing
+from sparkloom.llm import bpe, hilbert, prefix_tree_join, string_kernel, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op6_hilbert_shards": hilbert.op6_hilbert_shards,
     "op7_winnowing": winnowing.op7_winnowing,
+    "op8_string_kernel": string_kernel.op8_string_kernel,
     "op10_prefix_tree_join": prefix_tree_join.op10_prefix_tree_join,
 }
 
