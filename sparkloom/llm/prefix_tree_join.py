@@ -76,8 +76,16 @@ def document_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> li
     return out
 
 
-def paths(sets: list[np.ndarray], percent: int = PERCENT) -> list[np.ndarray]:
-    """Hashes of the tree paths of each set: one per non-empty run, for each class that a partner can be of."""
+#: stands for the number of paths of a set that needs all of them
+ALL = -(1 << 40)
+
+
+def paths(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the tree paths of each set: one per non-empty run, for each class that a partner can be of; and how many by tag.
+
+    The tag is the class's number modulo 4, which tells a set's classes apart; it is a hash's low two bits.
+    """
+    totals = np.zeros((len(sets), 4), np.int64)
     jobs: dict[int, list[int]] = {}
     for i, s in enumerate(sets):
         n = len(s)
@@ -98,16 +106,19 @@ def paths(sets: list[np.ndarray], percent: int = PERCENT) -> list[np.ndarray]:
         head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         path = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), head)
         seed = np.uint64((c + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        sig = mix(mix(path) + mix(run[head] + seed))
+        tag = np.uint64(c % 4)
+        sig = mix(mix(path) + mix(run[head] + seed)) & ~np.uint64(3) | tag
         edges = np.searchsorted(owner[head], np.arange(len(rows) + 1))
         for j, i in enumerate(rows):
             own = sig[edges[j] : edges[j + 1]]
             out[i].append(own)
+            totals[i, c % 4] = len(own)
             if p - len(own) > room:
+                totals[i, c % 4] = ALL
                 gone = np.setdiff1d(np.arange(p, dtype=np.uint64), run[head][edges[j] : edges[j + 1]])
-                out[i].append(mix(mix(gone + seed) ^ np.uint64(0x2545F4914F6CDD1D)))
+                out[i].append(mix(mix(gone + seed) ^ np.uint64(0x2545F4914F6CDD1D)) & ~np.uint64(3) | tag)
     none = np.zeros(0, np.uint64)
-    return [np.concatenate(x) if x else none for x in out]
+    return [np.concatenate(x) if x else none for x in out], totals
 
 
 def set_digest(s: np.ndarray) -> tuple[int, int]:
@@ -118,7 +129,25 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def _describe(percent: int):
-    """doc_id, set size, digest and paths; equal sets of a task give their paths once."""
+    """doc_id, set size, digest, and the number of paths by tag."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for a, b in slices_by_bytes(offsets):
+                sets = document_sets(data, offsets[a : b + 1])
+                d = np.array([set_digest(s) for s in sets], np.int64).reshape(-1, 2)
+                totals = paths(sets, percent)[1]
+                yield batch_of(
+                    ["doc_id", "n", "d1", "d2", "totals"],
+                    [batch.column(0).slice(a, b - a), np.array([len(s) for s in sets], np.int64), d[:, 0].copy(), d[:, 1].copy(), pa.array(totals.tolist(), pa.list_(pa.int64()))],
+                )
+
+    return run
+
+
+def _paths_of(percent: int):
+    """A row (path, digest) for each path; equal sets of a task give theirs once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -126,24 +155,17 @@ def _describe(percent: int):
             data, offsets = text_buffers(batch.column(1))
             known = batch.column(0).is_valid().to_pylist()
             for a, b in slices_by_bytes(offsets):
-                sets = document_sets(data, offsets[a : b + 1])
-                digests = [set_digest(s) for s in sets]
-                new = []
-                for i, d in enumerate(digests):
-                    fresh = len(sets[i]) > 0 and known[a + i] and d not in seen
-                    if fresh:
+                new, nodes = [], []
+                for i, s in enumerate(document_sets(data, offsets[a : b + 1])):
+                    if len(s) and known[a + i] and (d := set_digest(s)) not in seen:
                         if len(seen) > 500_000:
                             seen.clear()  # only repeats paths, which are collapsed later
                         seen.add(d)
-                    new.append(sets[i] if fresh else sets[i][:0])
-                sig = paths(new, percent)
-                ends = np.concatenate(([0], np.cumsum([len(s) for s in sig]))).astype(np.int32)
-                flat = np.concatenate(sig).view(np.int64) if len(sig) else np.zeros(0, np.int64)
-                d = np.array(digests, np.int64).reshape(-1, 2)
-                yield batch_of(
-                    ["doc_id", "n", "d1", "d2", "paths"],
-                    [batch.column(0).slice(a, b - a), np.array([len(s) for s in sets], np.int64), d[:, 0].copy(), d[:, 1].copy(), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                )
+                        new.append(s)
+                        nodes.append(d[0])
+                sig = paths(new, percent)[0]
+                if new:
+                    yield batch_of(["path", "node"], [np.concatenate(sig).view(np.int64), np.repeat(np.array(nodes, np.int64), [len(x) for x in sig])])
 
     return run
 
@@ -222,61 +244,79 @@ def compare_pairs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, blo
     return members.select("a", "block", "b", "hashes").union(centres).groupBy("a", "block").applyInArrow(_compare(percent), "a long, b long")
 
 
+def shared_paths(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """path, rep, n, popular: the paths that can witness a link, for one document of each equal set.
+
+    Paths of one document only are left out.  Of the others a document needs only its rarest: linked sets differ in at most d runs, so
+    in the global order by (documents of the path, path) one of the first d + 1 non-empty paths of each is common to both.
+    """
+    rows = docs.mapInArrow(_paths_of(percent), "path long, node long").repartition("path").groupBy("path", "node").agg(F.count(F.lit(1)).alias("copies"))
+    of_path = Window.partitionBy("path")
+    rows = rows.select("path", "node", F.count(F.lit(1)).over(of_path).alias("documents"))
+    rows, _ = cut(rows.where("documents > 1").withColumn("tag", F.col("path").bitwiseAND(F.lit(3)).cast("int")), "tree-paths")
+    in_class = Window.partitionBy("node", "tag")
+    low = F.array(*[F.lit(int(c)) for c in CLASSES])
+    own = F.size(F.filter(low, lambda c: c <= F.col("n"))) - 1  # the document's class; the path's is it or one of the few below
+    below = F.pmod(own - F.col("tag"), F.lit(4))
+    partner = F.floor(F.col("n") * 100 / percent)
+    partner = F.when(below == 0, partner).otherwise(F.least(F.get(low, own - below + 1) - 1, partner))
+    d = F.floor((F.col("n") + partner) * (100 - percent) / (100 + percent))
+    alone = F.get("totals", F.col("tag")) - F.count(F.lit(1)).over(in_class)  # paths of this document only, the rarest of all
+    ranked = (
+        rows.join(reps.select(F.col("d1").alias("node"), "rep", "n", "totals"), "node")
+        .withColumn("rank", alone + F.row_number().over(in_class.orderBy("documents", "path")))
+        .withColumn("popular", F.sum("documents").over(Window.partitionBy("node")))
+    )
+    return ranked.where(F.col("rank") <= d + 1).select("path", "rep", "n", "popular")
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, rep (least doc_id of an equal set), component_id, for every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id, for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described, _ = cut(docs.mapInArrow(_describe(percent), "doc_id long, n long, d1 long, d2 long, paths array<long>"), "shingle-sets")
-    meta = described.select("doc_id", "n", "d1", "d2")
-    reps = meta.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    member, member_path = cut(meta.where("n > 0 and doc_id is not null").join(reps, ["d1", "d2", "n"]).select("doc_id", "rep", "n"), "set-members")
-
-    # buckets of more than one document; ``least`` is the bucket's centre
-    in_bucket = Window.partitionBy("path")
-    rows = described.select(F.explode("paths").alias("path"), "doc_id")
-    buckets = rows.select("path", "doc_id", F.min("doc_id").over(in_bucket).alias("least"), F.max("doc_id").over(in_bucket).alias("most")).where("least != most")
-    buckets, buckets_path = cut(buckets.select("path", "doc_id"), "tree-buckets")
-    rep_of = member.select("doc_id", "rep", "n").distinct()
-    buckets = buckets.join(rep_of, "doc_id").select("path", F.col("rep").alias("doc_id"), "n").distinct()
-    sized = Window.partitionBy("path")
-    buckets = buckets.select("path", "doc_id", "n", F.min("doc_id").over(sized).alias("least"), F.max("doc_id").over(sized).alias("most")).where("least != most")
-    shared, shared_path = cut(buckets.select("path", "doc_id", "n", "least"), "tree-shared")
-    remove(spark, buckets_path)
-
-    ids = shared.select("doc_id").distinct()
-    sets, _ = cut(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets_of, "doc_id long, hashes binary"), "tree-sets")
+    meta, _ = cut(docs.mapInArrow(_describe(percent), "doc_id long, n long, d1 long, d2 long, totals array<long>"), "shingle-sets")
+    real = meta.where("n > 0 and doc_id is not null")
+    reps, _ = cut(real.groupBy("d1", "d2", "n", "totals").agg(F.min("doc_id").alias("rep")), "set-classes")
+    member, _ = cut(real.join(reps.drop("totals"), ["d1", "d2", "n"]).select("doc_id", "rep"), "set-members")
+    kept, kept_path = cut(shared_paths(docs, reps, percent), "tree-witnesses")
+
+    # the centre of a path's bucket is its most popular document
+    bucket = Window.partitionBy("path")
+    centred = kept.select("path", F.col("rep").alias("doc_id"), "n", F.max(F.struct("popular", -F.col("rep"))).over(bucket).alias("top"), F.count(F.lit(1)).over(bucket).alias("size"))
+    shared, _ = cut(centred.where("size > 1").select("path", "doc_id", "n", (-F.col("top")["col2"]).alias("centre")), "tree-buckets")
+    remove(spark, kept_path)
+    sets, _ = cut(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets_of, "doc_id long, hashes binary"), "tree-sets")
 
     # first every member against the centre it meets most often
-    met = shared.where("doc_id != least").groupBy(F.col("least").alias("a"), F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("times"))
-    best = met.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a"))
-    tried, _ = cut(best.select("a", "b"), "tree-tried")
+    met = shared.where("doc_id != centre").groupBy(F.col("centre").alias("a"), F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    tried, _ = cut(met.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b"), "tree-tried")
     links, _ = cut(compare_pairs(tried, sets, percent), "tree-links")
     roots = connected_components(links)
 
     # then all pairs of a bucket that are still apart
     apart = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("path", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-    by_path = Window.partitionBy("path")
-    apart = apart.select("*", F.min("root").over(by_path).alias("lo"), F.max("root").over(by_path).alias("hi")).where("lo != hi").select("path", "doc_id", "n", "root")
+    apart = apart.select("*", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi")).where("lo != hi").select("path", "doc_id", "n", "root")
     apart, _ = cut(apart, "tree-apart")
     x, y = apart.alias("x"), apart.alias("y")
     fits = (F.col("x.n") * percent <= F.col("y.n") * 100) & (F.col("y.n") * percent <= F.col("x.n") * 100)
     rest = (
         x.join(y, (F.col("x.path") == F.col("y.path")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & fits)
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+        .join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
     more, _ = cut(compare_pairs(rest, sets, percent), "tree-links")
     roots = connected_components(links.union(more))
 
-    placed = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "rep", F.coalesce("root", "rep").alias("root"))
+    placed = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
     # rows of one doc_id with several texts tie these texts' components together
     several = placed.groupBy("doc_id").agg(F.min("root").alias("a"), F.max("root").alias("b"))
     ties, _ = cut(several.where("a != b").select("a", "b"), "tree-ties")
     if ties.limit(1).count():
         tied = connected_components(ties).select(F.col("node").alias("root"), F.col("root").alias("tied"))
         placed = placed.join(tied, "root", "left").select("doc_id", F.coalesce("tied", "root").alias("root"))
-    component = placed.groupBy("doc_id").agg(F.min("root").alias("component"))
     # a component's name is its least doc_id: a rep is the least of its class, a root the least of its reps
+    component = placed.groupBy("doc_id").agg(F.min("root").alias("component"))
     return meta.select("doc_id", F.col("n").alias("n_shingles")).join(component, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
