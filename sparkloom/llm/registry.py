@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, hilbert, prefix_tree_join, string_kernel, winnowing
+from sparkloom.llm import bpe, hilbert, positive_unlabelled, prefix_tree_join, string_kernel, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_positive_unlabelled": positive_unlabelled.op2_positive_unlabelled,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op6_hilbert_shards": hilbert.op6_hilbert_shards,
     "op7_winnowing": winnowing.op7_winnowing,
