@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, hilbert, positive_unlabelled, prefix_tree_join, string_kernel, winnowing
+from sparkloom.llm import bpe, hilbert, hilbert_search, positive_unlabelled, prefix_tree_join, string_kernel, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_positive_unlabelled": positive_unlabelled.op2_positive_unlabelled,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_hilbert_shards": hilbert.op6_hilbert_shards,
     "op7_winnowing": winnowing.op7_winnowing,
     "op8_string_kernel": string_kernel.op8_string_kernel,
+    "op9_hilbert_search": hilbert_search.op9_hilbert_search,
     "op10_prefix_tree_join": prefix_tree_join.op10_prefix_tree_join,
 }
 
