@@ -295,7 +295,7 @@ def text_groups(texts: list[str], most: int = 500_000) -> Iterator[list[str]]:
 
 
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit) and text bytes decoded from them, for each row of ``docs`` (doc_id, text)."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded_sha256 for each row of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,9 +304,10 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
             ids: list[bytes] = []
             for group in text_groups([t or "" for t in batch.column(1).to_pylist()]):
                 ids += own.encode_batch(group)
-            yield batch_of(["doc_id", "ids", "decoded"], [batch.column(0), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())])
+            shas = [hashlib.sha256(own.decode(x)).hexdigest() for x in ids]
+            yield batch_of(["doc_id", "n_tokens", "ids", "decoded_sha256"], [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(shas, pa.string())])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded_sha256 string")
 
 
 def digests(docs: DataFrame, ranks_path: str) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,5 +87,18 @@ def slices_by_bytes(offsets: np.ndarray, most: int = 2_000_000) -> Iterator[tupl
         start = end
 
 
+def append(docs: DataFrame, column: str, compute: Callable[[pa.Array], object], name: str, kind: str) -> DataFrame:
+    """``docs`` with one more column, computed in Arrow batches from ``column``; all others pass through as they are."""
+    at = docs.columns.index(column)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = compute(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, new if isinstance(new, pa.Array) else pa.array(new)], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, schema)
+
+
 def batch_of(names: Iterable[str], arrays: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=list(names))

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm.common import batch_of, read_table, slices_by_bytes, small_batches, text_buffers
+from sparkloom.llm.common import append, batch_of, read_table, slices_by_bytes, small_batches, text_buffers
 from sparkloom.llm.learning import fold, learnable, sample_ids, sigmoid
 from sparkloom.llm.words import NON_SPACE, Words
 
@@ -171,19 +171,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", positives: i
     return train(x[order][y[order] == 1], x[order][y[order] == 0])
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id and score of each row of ``docs`` (doc_id, text)."""
+def with_score(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
+    """``docs`` with the score of each row's text."""
     small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            out = np.ones(batch.num_rows)
-            for a, b in slices_by_bytes(offsets) if model is not None else ():
-                out[a:b] = model.probability(features(data, offsets[a : b + 1]))
-            yield batch_of(["doc_id", "score"], [batch.column(0), out])
+    def scores(column: pa.Array) -> np.ndarray:
+        data, offsets = text_buffers(column)
+        out = np.ones(len(column))
+        for a, b in slices_by_bytes(offsets) if model is not None else ():
+            out[a:b] = model.probability(features(data, offsets[a : b + 1]))
+        return out
+
+    return append(docs, "text", scores, name, "double")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id and score of each row of ``docs`` (doc_id, text)."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_score(own, model, "score").select("doc_id", "score")
 
 
 def op2_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,14 +128,14 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.array([a.sum(dtype=np.uint64), b.sum(dtype=np.uint64)]).view(np.int64))
 
 
-def _describe(percent: int):
+def _describe(percent: int, k: int):
     """doc_id, set size, digest, and the number of paths by tag."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for a, b in slices_by_bytes(offsets):
-                sets = document_sets(data, offsets[a : b + 1])
+                sets = document_sets(data, offsets[a : b + 1], k)
                 d = np.array([set_digest(s) for s in sets], np.int64).reshape(-1, 2)
                 totals = paths(sets, percent)[1]
                 yield batch_of(
@@ -146,7 +146,7 @@ def _describe(percent: int):
     return run
 
 
-def _paths_of(percent: int):
+def _paths_of(percent: int, k: int):
     """A row (path, digest) for each path; equal sets of a task give theirs once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,7 @@ def _paths_of(percent: int):
             known = batch.column(0).is_valid().to_pylist()
             for a, b in slices_by_bytes(offsets):
                 new, nodes = [], []
-                for i, s in enumerate(document_sets(data, offsets[a : b + 1])):
+                for i, s in enumerate(document_sets(data, offsets[a : b + 1], k)):
                     if len(s) and known[a + i] and (d := set_digest(s)) not in seen:
                         if len(seen) > 500_000:
                             seen.clear()  # only repeats paths, which are collapsed later
@@ -170,12 +170,15 @@ def _paths_of(percent: int):
     return run
 
 
-def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = text_buffers(batch.column(1))
-        for a, b in slices_by_bytes(offsets):
-            sets = document_sets(data, offsets[a : b + 1])
-            yield batch_of(["doc_id", "hashes"], [batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())])
+def _sets_of(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for a, b in slices_by_bytes(offsets):
+                sets = document_sets(data, offsets[a : b + 1], k)
+                yield batch_of(["doc_id", "hashes"], [batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())])
+
+    return run
 
 
 def tree_join(centre: np.ndarray, members: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
@@ -244,13 +247,13 @@ def compare_pairs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, blo
     return members.select("a", "block", "b", "hashes").union(centres).groupBy("a", "block").applyInArrow(_compare(percent), "a long, b long")
 
 
-def shared_paths(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
+def shared_paths(docs: DataFrame, reps: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """path, rep, n, popular: the paths that can witness a link, for one document of each equal set.
 
     Paths of one document only are left out.  Of the others a document needs only its rarest: linked sets differ in at most d runs, so
     in the global order by (documents of the path, path) one of the first d + 1 non-empty paths of each is common to both.
     """
-    rows = docs.mapInArrow(_paths_of(percent), "path long, node long").repartition("path").groupBy("path", "node").agg(F.count(F.lit(1)).alias("copies"))
+    rows = docs.mapInArrow(_paths_of(percent, k), "path long, node long").repartition("path").groupBy("path", "node").agg(F.count(F.lit(1)).alias("copies"))
     of_path = Window.partitionBy("path")
     rows = rows.select("path", "node", F.count(F.lit(1)).over(of_path).alias("documents"))
     rows, _ = cut(rows.where("documents > 1").withColumn("tag", F.col("path").bitwiseAND(F.lit(3)).cast("int")), "tree-paths")
@@ -270,23 +273,23 @@ def shared_paths(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> Da
     return ranked.where(F.col("rank") <= d + 1).select("path", "rep", "n", "popular")
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    meta, _ = cut(docs.mapInArrow(_describe(percent), "doc_id long, n long, d1 long, d2 long, totals array<long>"), "shingle-sets")
+    meta, _ = cut(docs.mapInArrow(_describe(percent, k), "doc_id long, n long, d1 long, d2 long, totals array<long>"), "shingle-sets")
     real = meta.where("n > 0 and doc_id is not null")
     reps, _ = cut(real.groupBy("d1", "d2", "n", "totals").agg(F.min("doc_id").alias("rep")), "set-classes")
     member, _ = cut(real.join(reps.drop("totals"), ["d1", "d2", "n"]).select("doc_id", "rep"), "set-members")
-    kept, kept_path = cut(shared_paths(docs, reps, percent), "tree-witnesses")
+    kept, kept_path = cut(shared_paths(docs, reps, percent, k), "tree-witnesses")
 
     # the centre of a path's bucket is its most popular document
     bucket = Window.partitionBy("path")
     centred = kept.select("path", F.col("rep").alias("doc_id"), "n", F.max(F.struct("popular", -F.col("rep"))).over(bucket).alias("top"), F.count(F.lit(1)).over(bucket).alias("size"))
     shared, _ = cut(centred.where("size > 1").select("path", "doc_id", "n", (-F.col("top")["col2"]).alias("centre")), "tree-buckets")
     remove(spark, kept_path)
-    sets, _ = cut(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets_of, "doc_id long, hashes binary"), "tree-sets")
+    sets, _ = cut(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets_of(k), "doc_id long, hashes binary"), "tree-sets")
 
     # first every member against the centre it meets most often
     met = shared.where("doc_id != centre").groupBy(F.col("centre").alias("a"), F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("times"))
@@ -320,6 +323,18 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return meta.select("doc_id", F.col("n").alias("n_shingles")).join(component, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each_group(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` with the least doc_id of their component, once each; rows with null doc_id stay."""
+    found, _ = cut(jaccard_components(docs, percent, k), "group-members")
+    gone = found.where("component_id < doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.limit(1).count():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).union(once)
+
+
 def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: set size and component under 4-word shingles and a similarity of 0.85."""
     return jaccard_components(read_table(spark, sf_dir, "documents"))

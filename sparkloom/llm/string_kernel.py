@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm.common import batch_of, read_table, small_batches
+from sparkloom.llm.common import append, read_table, small_batches
 from sparkloom.llm.learning import fold, learnable, platt, sample_ids, sigmoid, squared_hinge
 
 ORDER, GAPS, DECAY = 4, 2, 0.6
@@ -279,29 +279,29 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 400, rounds: int = 4
 _cache: dict[int, dict[str, float]] = {}
 
 
-def _score(shared, most: int = 400_000):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scores(shared, most: int = 400_000):
+    """A function from a text column to scores; scores of tokens are kept by each worker while there is room."""
+
+    def run(column: pa.Array) -> np.ndarray:
         machine: Machine | None = shared.value
         known = _cache.setdefault(shared.id, {})
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            best = np.zeros(len(texts))
-            for i in range(0, len(texts), 50):
-                if machine is None:
-                    break
-                sets = [tokens(t) if t else set() for t in texts[i : i + 50]]
-                if len(known) > most:
-                    known.clear()
-                new = list(set().union(*sets).difference(known))
-                known.update(zip(new, machine.of_tokens(new)))
-                best[i : i + 50] = [max(map(known.__getitem__, s), default=machine.empty) for s in sets]
-            score = np.zeros(len(texts)) if machine is None else machine.probability(best)
-            yield batch_of(["doc_id", "score"], [batch.column(0), score])
+        texts = column.to_pylist()
+        if machine is None:
+            return np.zeros(len(texts))
+        best = np.zeros(len(texts))
+        for i in range(0, len(texts), 50):
+            sets = [tokens(t) if t else set() for t in texts[i : i + 50]]
+            if len(known) > most:
+                known.clear()
+            new = list(set().union(*sets).difference(known))
+            known.update(zip(new, machine.of_tokens(new)))
+            best[i : i + 50] = [max(map(known.__getitem__, s), default=machine.empty) for s in sets]
+        return machine.probability(best)
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", toxic: int = 2500, clean: int = 5000) -> Machine | None:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", toxic: int = 2000, clean: int = 4000) -> Machine | None:
     """Learn from at most ``toxic`` + ``clean`` labelled documents that are not held out."""
     ids = learnable(labels, label)
     chosen = sample_ids(ids.where("y = 1"), toxic).union(sample_ids(ids.where("y = 0"), clean))
@@ -310,11 +310,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", toxic: int = 2
     return train(got.column(0).to_pylist(), got.column(1).to_numpy())
 
 
-def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
-    """doc_id and score of each row of ``docs`` (doc_id, text)."""
+def with_score(docs: DataFrame, machine: Machine | None, name: str) -> DataFrame:
+    """``docs`` with the score of each row's text."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # one table of fixed size
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(_Shared(shared)), "doc_id long, score double")
+    return append(docs, "text", _scores(_Shared(shared)), name, "double")
+
+
+def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
+    """doc_id and score of each row of ``docs`` (doc_id, text)."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_score(own, machine, "score").select("doc_id", "score")
 
 
 class _Shared:

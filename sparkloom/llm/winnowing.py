@@ -25,10 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm.common import batch_of, read_table, slices_by_bytes, small_batches, text_buffers
+from sparkloom.llm.common import append, batch_of, read_table, slices_by_bytes, small_batches, text_buffers
 from sparkloom.llm.words import ALNUM, Words, grams
 
 WINDOW = 13
+#: bytes of benchmark texts up to which their index goes to all executors
+BROADCAST = 64 << 20
 NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -128,33 +130,63 @@ def digest(items: set) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-def _scan(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure(index: Index, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Words, hit words, items and the items' digest of each text."""
     none = digest(set())
+    data, offsets = text_buffers(column)
+    n = len(column)
+    n_words, n_hit, n_items, sha = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [none] * n
+    for a, b in slices_by_bytes(offsets):
+        words = Words(data, offsets[a : b + 1], ALNUM)
+        n_words[a:b] = words.counts
+        rows = words.row_of_word()
+        hit, items = index.hits(words, words.hashes(), rows)
+        n_hit[a:b] = np.bincount(rows[hit], minlength=b - a)
+        for row, found in items.items():
+            n_items[a + row], sha[a + row] = len(found), digest(found)
+    return n_words, n_hit, n_items, sha
+
+
+def bad(n_words, n_hit):
+    """The rule of contamination."""
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def _scan(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = text_buffers(batch.column(1))
-        n = batch.num_rows
-        n_words, n_hit, n_items, sha = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [none] * n
-        for a, b in slices_by_bytes(offsets):
-            words = Words(data, offsets[a : b + 1], ALNUM)
-            n_words[a:b] = words.counts
-            rows = words.row_of_word()
-            hit, items = index.hits(words, words.hashes(), rows)
-            n_hit[a:b] = np.bincount(rows[hit], minlength=b - a)
-            for row, found in items.items():
-                n_items[a + row], sha[a + row] = len(found), digest(found)
-        yield batch_of(NAMES, [batch.column(0), n_words, n_hit, n_items, sha, (n_hit > 0) & (20 * n_hit >= n_words)])
-
-
-def contaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = 64 << 20) -> DataFrame:
+        n_words, n_hit, n_items, sha = _measure(index, batch.column(1))
+        yield batch_of(NAMES, [batch.column(0), n_words, n_hit, n_items, sha, bad(n_words, n_hit)])
+
+
+def _index(benchmark: DataFrame, window: int, broadcast_bytes: int) -> Index | None:
+    """The benchmark's index, if its texts are within the bound."""
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return Index([tuple(r) for r in benchmark.collect()], window) if size <= broadcast_bytes else None
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    small_batches(docs.sparkSession)
+    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
+    index = _index(items, window, broadcast_bytes)
+    if index is None:
+        gone = contaminate(docs, benchmark, window, broadcast_bytes).where("contaminated").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    flagged = append(docs, "text", lambda column: bad(*_measure(shared.value, column)[:2]), "__contaminated", "boolean")
+    return flagged.where("not __contaminated").drop("__contaminated")
+
+
+def contaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): words, hit words, items, contaminated or not."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     benchmark = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > broadcast_bytes:
+    index = _index(benchmark, window, broadcast_bytes)
+    if index is None:
         return _contaminate_shuffled(docs, benchmark, window)
-    shared = spark.sparkContext.broadcast(Index([tuple(r) for r in benchmark.collect()], window))
+    shared = spark.sparkContext.broadcast(index)
     return docs.mapInArrow(lambda batches: _scan(shared.value, batches), SCHEMA)
 
 
