@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, chunk_store, hilbert, hilbert_search, positive_unlabelled, prefix_tree_join, string_kernel, style_tree, winnowing
+from sparkloom.llm import bpe, chunk_store, hilbert, hilbert_search, positive_unlabelled, prefix_tree_join, revisit, string_kernel, style_tree, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_style_tree": style_tree.op1_style_tree,
     "op2_positive_unlabelled": positive_unlabelled.op2_positive_unlabelled,
     "op3_chunk_store": chunk_store.op3_chunk_store,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_revisit": revisit.op5_revisit,
     "op6_hilbert_shards": hilbert.op6_hilbert_shards,
     "op7_winnowing": winnowing.op7_winnowing,
     "op8_string_kernel": string_kernel.op8_string_kernel,
@@ -21,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_revisit": revisit.ORACLE_SQL,
     "op7_winnowing": winnowing.ORACLE_SQL,
 }
