@@ -8,12 +8,13 @@ of equal width, the same ones for all sets of a size class, so linked sets agree
 of that run.  A row (hash of class, run and path, document) is emitted per non-empty run; P leaves room for runs that are empty in both,
 and a set with more empty runs than that room emits these too, so no link is lost.  Rows of one path form a bucket.
 
-Comparison.  Documents of equal sets are collapsed first.  In a bucket each member is compared with the bucket's least
-member, best-supported pair first; components are formed; then only pairs of a bucket that still lie in different
-components are compared, all of them, so results are exact while near copies never expand into all pairs.
-Comparison takes blocks of members of one centre: their ordered sets are visited as a depth-first walk of their
-prefix tree (sets in lexicographic order; the partial overlap of the shared path is kept), and a subtree is left
-as soon as the elements that remain on either side cannot reach the required overlap.
+Of its paths a document needs only the rarest few (as in a prefix filter over runs), and paths of one document none.
+
+Comparison.  Documents of equal sets are collapsed first.  In a bucket each member is compared with the bucket's most popular
+member, best-supported pair first, and components are formed.  Components that still meet in a bucket make a family, whose
+members are compared block by block, all blocks with all: results are exact, while near copies never expand into rows of pairs.
+Comparison walks the prefix tree of a block's ordered sets depth first (sets in lexicographic order; the partial overlap of a shared
+path is kept), and leaves a subtree as soon as the elements that remain cannot reach the required overlap.
 
 Defined cases: null or word-less texts have an empty set and link with nothing; repeated rows of one doc_id are one node (their
 texts' links are all its links) and each gives a result row; rows with null doc_id are counted but take no part in links
@@ -181,47 +182,68 @@ def _sets_of(k: int):
     return run
 
 
-def tree_join(centre: np.ndarray, members: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """Which members link with the centre, by one walk of the members' prefix tree.
+def tree_join(probes: list[np.ndarray], members: list[np.ndarray], percent: int = PERCENT, step: int = 32) -> np.ndarray:
+    """Which probes link with which members [probe, member], by one walk of the members' prefix tree for all probes together.
 
-    A node of the tree is a shared beginning of ordered sets.  The walk keeps, per depth of the current path, how many
-    elements are in the centre and how far the centre is used up.
+    A node of the tree is a shared beginning of ordered sets.  The walk keeps, per depth of the current path, each probe's overlap with the path; a
+    member goes on from the depth that it shares with the one before.  At every ``step`` elements each probe's overlap so far and what
+    it has left beyond the current element bound what any set below can reach; where no probe can reach its least overlap, the subtree is left.
     """
-    order = sorted(range(len(members)), key=lambda i: members[i].astype(">u8").tobytes())
-    linked = np.zeros(len(members), bool)
-    m = len(centre)
-    before = None
-    overlap = used = np.zeros(1, np.int64)
-    cut_at = -1  # depth whose subtree cannot reach the bound for any size that fits the centre
-    for i in order:
-        s = members[i]
+    linked = np.zeros((len(probes), len(members)), bool)
+    sizes = np.array([len(x) for x in probes])
+    if not sizes.any() or not members:
+        return linked
+    universe = np.unique(np.concatenate(probes))
+    has = np.zeros((len(universe) + 1, len(probes)), np.int32)
+    for k, x in enumerate(probes):
+        has[np.searchsorted(universe, x), k] = 1
+    passed = np.zeros((len(universe) + 2, len(probes)), np.int32)  # elements of a probe below a place of the universe
+    np.cumsum(has, axis=0, out=passed[1:])
+    least = -(-sizes * percent // 100)
+    order = sorted(range(len(members)), key=lambda m: members[m].astype(">u8").tobytes())
+    before, dead = None, -1
+    overlap = np.zeros((1, len(probes)), np.int32)
+    for m in order:
+        x = members[m]
         shared = 0
         if before is not None:
-            n = min(len(before), len(s))
-            unequal = np.flatnonzero(before[:n] != s[:n])
+            n = min(len(before), len(x))
+            unequal = np.flatnonzero(before[:n] != x[:n])
             shared = int(unequal[0]) if len(unequal) else n
-        if cut_at >= 0 and shared >= cut_at:
-            continue
-        cut_at = -1
-        tail = s[shared:]
-        place = np.searchsorted(centre, tail)
-        inside = centre[np.minimum(place, m - 1)] == tail if m else np.zeros(len(tail), bool)
-        overlap = np.concatenate((overlap[: shared + 1], overlap[shared] + np.cumsum(inside)))
-        used = np.concatenate((used[: shared + 1], place + inside))
-        before = s
-        # the least overlap that any set within the length bounds needs, against what each depth can still reach
-        least = -(-m * percent // 100)
-        reach = overlap + (m - used)
-        dead = np.flatnonzero(reach < least)
-        if len(dead):
-            cut_at = int(dead[0])
-            continue
-        both = int(overlap[len(s)])
-        linked[i] = 100 * both >= percent * (m + len(s) - both)
+        if 0 <= dead <= shared:
+            continue  # in the subtree that was left
+        before, dead = x, -1
+        overlap = overlap[: shared + 1]
+        for a in range(shared, len(x), step):
+            tail = x[a : a + step]
+            at = np.searchsorted(universe, tail)
+            inside = universe[np.minimum(at, len(universe) - 1)] == tail
+            overlap = np.concatenate((overlap, overlap[-1] + np.cumsum(has[np.where(inside, at, len(universe))], axis=0)))
+            left = sizes - passed[at[-1] + inside[-1]]
+            if (overlap[-1] + left < least).all():
+                dead = len(overlap) - 1
+                break
+        else:
+            both = overlap[-1]
+            linked[:, m] = 100 * both >= percent * (sizes + len(x) - both)
     return linked
 
 
+def probe_groups(sets: list[np.ndarray], cells: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of probes whose tables stay within ``cells`` entries."""
+    start = total = 0
+    for i, x in enumerate(sets):
+        if i > start and (total + len(x)) * (i + 1 - start) > cells:
+            yield start, i
+            start, total = i, 0
+        total += len(x)
+    if sets:
+        yield start, len(sets)
+
+
 def _compare(percent: int):
+    """Links of one centre (``b`` null) with a block of members."""
+
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         centre, ids, sets = None, [], []
         for b, h in zip(rows.column("b").to_pylist(), rows.column("hashes")):
@@ -231,7 +253,7 @@ def _compare(percent: int):
             else:
                 ids.append(b)
                 sets.append(h)
-        linked = [] if centre is None else [b for b, yes in zip(ids, tree_join(centre, sets, percent)) if yes]
+        linked = [] if centre is None else [b for b, yes in zip(ids, tree_join([centre], sets, percent)[0]) if yes]
         return pa.table({"a": pa.array([key[0].as_py()] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
 
     return run
@@ -247,6 +269,50 @@ def compare_pairs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, blo
     return members.select("a", "block", "b", "hashes").union(centres).groupBy("a", "block").applyInArrow(_compare(percent), "a long, b long")
 
 
+def _compare_blocks(percent: int):
+    """Links between the components of two blocks of a family; a union-find leaves one link for each merge."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("doc_id")
+        ids, roots, own = (rows.column(c).to_numpy() for c in ("doc_id", "root", "own"))
+        sets = [np.frombuffer(h.as_py(), np.uint64) for h in rows.column("hashes")]
+        lo, hi = key[1].as_py(), key[2].as_py()
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        parent = {r: r for r in roots.tolist()}
+
+        def find(r: int) -> int:
+            while parent[r] != r:
+                parent[r] = r = parent[parent[r]]
+            return r
+
+        a, b = [], []
+        members = [sets[i] for i in right]
+        for start, end in probe_groups([sets[i] for i in left]):
+            yes = tree_join([sets[i] for i in left[start:end]], members, percent)
+            for p, m in zip(*np.nonzero(yes)):
+                i, j = left[start + p], right[m]
+                x, y = find(int(roots[i])), find(int(roots[j]))
+                if x != y:
+                    parent[x] = y
+                    a.append(int(ids[i]))
+                    b.append(int(ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def compare_families(members: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between different roots of each family.  ``members``: family, doc_id, root.
+
+    A family is dealt in blocks by a hash and each pair of blocks is one task's group, so that no pair of documents is a row.
+    """
+    sized = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = members.join(sized, "family").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    dealt = own.select("family", "doc_id", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("family", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc_id", "root", "own")
+    return dealt.join(sets, "doc_id").groupBy("family", "lo", "hi").applyInArrow(_compare_blocks(percent), "a long, b long")
+
+
 def shared_paths(docs: DataFrame, reps: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """path, rep, n, popular: the paths that can witness a link, for one document of each equal set.
 
@@ -297,18 +363,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     links, _ = cut(compare_pairs(tried, sets, percent), "tree-links")
     roots = connected_components(links)
 
-    # then all pairs of a bucket that are still apart
-    apart = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("path", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-    apart = apart.select("*", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi")).where("lo != hi").select("path", "doc_id", "n", "root")
-    apart, _ = cut(apart, "tree-apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    fits = (F.col("x.n") * percent <= F.col("y.n") * 100) & (F.col("y.n") * percent <= F.col("x.n") * 100)
-    rest = (
-        x.join(y, (F.col("x.path") == F.col("y.path")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & fits)
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-        .join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    more, _ = cut(compare_pairs(rest, sets, percent), "tree-links")
+    # then the buckets that still hold several components: roots that meet in a bucket make a family
+    apart = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("path", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    apart = apart.select("doc_id", "root", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi")).where("lo != hi")
+    apart, _ = cut(apart.select("doc_id", "root", "lo").distinct(), "tree-apart")
+    families = connected_components(apart.select(F.col("lo").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("family"))
+    more, _ = cut(compare_families(apart.select("doc_id", "root").distinct().join(families, "root").select("family", "doc_id", "root"), sets, percent), "tree-links")
     roots = connected_components(links.union(more))
 
     placed = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
