@@ -1 +1 @@
-"""functions."""
+"""Column expressions."""
