@@ -17,14 +17,21 @@ WEAKNESSES = [
 FAMILIES = 12
 SPLITS = ["train", "validation", "calibration", "test"]
 
-SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-EVIDENCE = T.ArrayType(T.StructType([*SPAN.fields, T.StructField("roles", T.MapType(T.StringType(), T.IntegerType()))]))
-GRAPH = T._parse_datatype_string("struct<nodes:array<struct<start:int,end:int>>,edges:array<struct<src:int,dst:int,type:string,evidence:int>>>")
-_FIELDS = (
-    "id string, group_id string, repo string, code string, language string, source string, label int, adequate int, teacher_probability double, weight double, split string, incident string,"
-    " incidents array<string>, `commit` string, source_path string, license array<string>, cwes array<string>, known_cwes array<string>, cwe_complete boolean, family_labels map<string,int>"
-)
-CORE = T.StructType([*T._parse_datatype_string(_FIELDS).fields, T.StructField("target_span", SPAN), T.StructField("evidence", EVIDENCE), T.StructField("graph", GRAPH)])
+_TEXT, _INT, _DOUBLE, _FLAG = T.StringType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
+_TEXTS = T.ArrayType(_TEXT)
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+SPAN = _struct(start=_INT, end=_INT)
+EVIDENCE = T.ArrayType(_struct(start=_INT, end=_INT, roles=T.MapType(_TEXT, _INT)))
+GRAPH = _struct(nodes=T.ArrayType(SPAN), edges=T.ArrayType(_struct(src=_INT, dst=_INT, type=_TEXT, evidence=_INT)))
+CORE = _struct(
+    id=_TEXT, group_id=_TEXT, repo=_TEXT, code=_TEXT, language=_TEXT, source=_TEXT, label=_INT, adequate=_INT, teacher_probability=_DOUBLE, weight=_DOUBLE, split=_TEXT, incident=_TEXT, incidents=_TEXTS,
+    commit=_TEXT, source_path=_TEXT, license=_TEXTS, cwes=_TEXTS, known_cwes=_TEXTS, cwe_complete=_FLAG, family_labels=T.MapType(_TEXT, _INT), target_span=SPAN, evidence=EVIDENCE, graph=GRAPH,
+)
 CANONICAL = T.StructType([*CORE.fields, T.StructField("mate", CORE), T.StructField("pair_relation", T.StringType()), T.StructField("pair_verified", T.BooleanType()), T.StructField("extra", T.MapType(T.StringType(), T.StringType()))])
 
 

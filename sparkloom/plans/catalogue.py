@@ -1,11 +1,672 @@
-"""Registered queries and the SQL they are compared with."""
+"""Registered queries over the driver tables, and the DuckDB SQL that each is compared with.
+
+Views that both engines build from one expression are kept as text (``*_SQL``) in the dialect that they share.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sparkloom.functions import text as tx
+from sparkloom.operators import batch, encode, metrics, record, split
+from sparkloom.sources import adapters
 
 FLAGSHIP = "split_counts"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _round(*names: str):
+    return [F.round(n, 9).alias(n) for n in names]
+
+
+# ---- views -----------------------------------------------------------------
+
+CANON_SQL = """canon AS (
+  SELECT d.doc_id, d.doc_id::VARCHAR AS id, (d.doc_id // 4)::VARCHAR AS group_id, d.source AS repo, d.text AS code, d.lang AS language, l.quality AS label, l.toxic AS adequate,
+    CASE d.doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS label2 FROM documents d LEFT JOIN labels l USING (doc_id))"""
+
+
+def canon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their labels as canonical records."""
+    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return d.join(l, "doc_id", "left").select(
+        "doc_id", F.col("doc_id").cast("string").alias("id"), F.expr("doc_id div 4").cast("string").alias("group_id"), F.col("source").alias("repo"), F.col("text").alias("code"), F.col("lang").alias("language"),
+        F.col("quality").alias("label"), F.col("toxic").alias("adequate"), F.expr("CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END").alias("label2"), F.col("doc_id").alias("ordinal"),
+    )
+
+
+#: a C function of number i, with comments, strings, escapes and letters beyond ASCII
+SNIPPET = (
+    "concat('int f', i, '(int *a, int i) {', chr(10), '  /* check ', i, ' */ if (i < ', i % 17, ') return a[i]; // tail', chr(10), '  char *s = ', chr(34), 'lit ', chr(92), chr(34), ' ', i, chr(34),"
+    " '; float x', chr(178), ' = 0x1F + ', i, '.5;', chr(10), '  return ', chr(39), 'c', chr(39), '; }')"
+)
+SNIP_SQL = f"snip AS (SELECT i, {SNIPPET} AS code FROM (SELECT p_partkey AS i FROM part WHERE p_partkey <= 2000))"
+
+
+def snip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").where("p_partkey <= 2000").select(F.col("p_partkey").alias("i"))
+    return parts.select("i", F.expr(SNIPPET.replace("chr(92)", "char(92)").replace("chr(", "char(")).alias("code"))
+
+
+PRED = "SELECT l_orderkey, l_linenumber, l_suppkey AS grp, CASE WHEN l_orderkey % 10 = 3 THEN -1 WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, (l_quantity * 2 + l_discount * 100) / 112 AS p, (l_quantity - 25) / 10 - l_discount * 10 AS logit FROM lineitem"
+PRED_SQL = f"pred AS ({PRED})"
+
+
+def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*[x.strip() for x in [
+        "l_orderkey", "l_linenumber", "l_suppkey AS grp", "CASE WHEN l_orderkey % 10 = 3 THEN -1 WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label",
+        "(l_quantity * 2 + l_discount * 100) / 112 AS p", "(l_quantity - 25) / 10 - l_discount * 10 AS logit"]])
+
+
+_LEX = tx.LEXEME.replace("*+", "*").replace("'", "''")
+_TILE = tx.TILE.replace("*+", "*").replace("'", "''")
+LEX_SQL = f"regexp_extract_all(code, '{_LEX}')"
+TILE_SQL = f"regexp_extract_all(code, '{_TILE}')"
+FP_SQL = f"sha256(array_to_string(list_transform(list_filter({LEX_SQL}, lambda t: NOT (starts_with(t, '//') OR starts_with(t, '/*'))), lambda t: length(t) || ':' || t), ''))"
+UNIT = "(('0x' || substr(sha256('17:' || {0}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0)"
+PART = "CASE WHEN {0} < 0.8 THEN 'train' WHEN {0} < 0.9 THEN 'validation' WHEN {0} < 0.95 THEN 'calibration' ELSE 'test' END"
+KIND_SQL = (
+    "CASE WHEN regexp_matches({0}, '^[" + tx.SPACE + "]') THEN 0 WHEN starts_with({0}, '//') OR starts_with({0}, '/*') THEN 5 WHEN left({0}, 1) IN (chr(34), chr(39)) AND length({0}) > 1 THEN 4"
+    " WHEN {0} IN (" + ", ".join(f"'{k}'" for k in tx.KEYWORDS) + ") THEN 2 WHEN regexp_matches({0}, '^[\\p{{L}}\\p{{Nl}}\\p{{No}}_]') THEN 1 WHEN regexp_matches({0}, '^\\p{{Nd}}') THEN 3 ELSE 6 END"
+)
+
+
+def _kind_sql(name: str) -> str:
+    head, rest = KIND_SQL.split("WHEN starts_with", 1)
+    return (head.replace("{0}", name) + "WHEN starts_with" + rest.replace("{0}", name)).replace("{{", "{").replace("}}", "}")
+
+
+REPO_SQL = """lower(CASE WHEN regexp_matches(v3, '^[^/:]+/[^/:]+$') THEN 'github.com/' || v3 ELSE v3 END)"""
+
+
+def repo_ctes(source: str, value: str) -> str:
+    """CTEs ending in ``repo_of`` with column repo_id added to ``source``."""
+    s = tx.SPACE
+    return f"""r1 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(coalesce({value}, ''), '^[{s}]+', ''), '[{s}]+$', ''), '/+$', '') AS v1 FROM {source}),
+r2 AS (SELECT *, regexp_replace(regexp_replace(v1, '\\.git$', ''), '^git@github\\.com:', 'github.com/') AS v2 FROM r1),
+r3 AS (SELECT *, CASE WHEN contains(v2, '://') THEN regexp_replace(regexp_replace(v2, '^[^:]*://', ''), '[?#][\\s\\S]*$', '') ELSE v2 END AS v3 FROM r2),
+repo_of AS (SELECT * EXCLUDE (v1, v2, v3), {REPO_SQL} AS repo_id FROM r3)"""
+
+
+# ---- split -----------------------------------------------------------------
+
+_JUDGED = f"""f AS (SELECT *, {FP_SQL} AS fp FROM canon),
+bad AS (SELECT fp FROM f WHERE label2 IS NOT NULL GROUP BY fp HAVING count(DISTINCT label2) > 1)"""
+
+
+@query(f"""WITH {CANON_SQL}, {_JUDGED},
+k AS (SELECT * FROM f WHERE fp NOT IN (SELECT fp FROM bad) QUALIFY row_number() OVER (PARTITION BY fp ORDER BY 10 * (label2 IS NOT NULL)::INT DESC, doc_id) = 1),
+s AS (SELECT {PART.format(UNIT.format("'lex:' || fp"))} AS split, label2 FROM k UNION ALL SELECT 'quarantine', label2 FROM f WHERE fp IN (SELECT fp FROM bad))
+SELECT split, label2 AS label, count(*) AS n FROM s GROUP BY ALL""")
+def split_counts(spark, sf_dir):
+    df = canon(spark, sf_dir).select("doc_id", "code", "label2").withColumn("fp", tx.fingerprint(F.col("code"))).drop("code")
+    bad = split.contradictions(df.where("label2 is not null"), "fp", "label2")
+    kept = split.best_of_each(df.join(bad, "fp", "left_anti"), "fp", split.score(F.lit(False), F.col("label2"), F.lit(None).cast("array<int>")), "doc_id")
+    parts = kept.select(tx.partition_of(tx.unit_hash(17, F.concat(F.lit("lex:"), "fp"))).alias("split"), "label2")
+    both = parts.union(df.join(bad, "fp", "left_semi").select(F.lit("quarantine"), "label2"))
+    return both.groupBy("split", F.col("label2").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {CANON_SQL} SELECT doc_id, {FP_SQL} AS fp FROM canon")
+def fingerprint(spark, sf_dir):
+    return canon(spark, sf_dir).select("doc_id", tx.fingerprint(F.col("code")).alias("fp"))
+
+
+@query(f"WITH {CANON_SQL}, {_JUDGED} SELECT fp FROM bad")
+def label_conflicts(spark, sf_dir):
+    return split.contradictions(canon(spark, sf_dir).select(tx.fingerprint(F.col("code")).alias("fp"), "label2").where("label2 is not null"), "fp", "label2")
+
+
+@query(f"WITH {CANON_SQL}, {_JUDGED} SELECT doc_id FROM f WHERE fp IN (SELECT fp FROM bad)")
+def quarantine_semi(spark, sf_dir):
+    df = canon(spark, sf_dir).select("doc_id", tx.fingerprint(F.col("code")).alias("fp"), "label2")
+    return df.join(split.contradictions(df.where("label2 is not null"), "fp", "label2"), "fp", "left_semi").select("doc_id")
+
+
+@query(f"WITH {CANON_SQL}, f AS (SELECT *, {FP_SQL} AS fp FROM canon) SELECT fp, doc_id FROM f QUALIFY row_number() OVER (PARTITION BY fp ORDER BY 10 * (label IS NOT NULL)::INT DESC, doc_id) = 1")
+def dedup_best(spark, sf_dir):
+    df = canon(spark, sf_dir).select("doc_id", tx.fingerprint(F.col("code")).alias("fp"), "label")
+    return split.best_of_each(df, "fp", split.score(F.lit(False), F.col("label"), F.lit(None).cast("array<int>")), "doc_id").select("fp", "doc_id")
+
+
+@query(f"WITH {CANON_SQL}, u AS (SELECT doc_id, {UNIT.format('group_id')} AS unit FROM canon) SELECT doc_id, unit, {PART.format('unit')} AS split FROM u")
+def hash_bucket(spark, sf_dir):
+    unit = tx.unit_hash(17, F.col("group_id"))
+    return canon(spark, sf_dir).select("doc_id", unit.alias("unit"), tx.partition_of(unit).alias("split"))
+
+
+_KEYS = f"""keyed AS (SELECT doc_id, id, label2, 'group:' || group_id AS g, {FP_SQL} AS fp FROM canon),
+m AS (SELECT DISTINCT g, 'lex:' || fp AS l FROM keyed)"""
+_ROOTS = """e AS (SELECT DISTINCT a.g AS x, b.g AS y FROM m a JOIN m b USING (l)),
+r(x, root) USING KEY (x) AS (SELECT DISTINCT g, g FROM m UNION
+  SELECT e.x, min(rr.root) FROM recurring.r rr JOIN e ON rr.x = e.y JOIN recurring.r cur ON cur.x = e.x GROUP BY e.x, cur.root HAVING min(rr.root) < cur.root)"""
+
+
+def _keyed(spark, sf_dir):
+    df = canon(spark, sf_dir).withColumns({"incident": F.lit(None).cast("string"), "incidents": F.lit(None).cast("array<string>")})
+    return df.withColumn("keys", split.identity_keys(F.col, False)).withColumn("anchor", F.concat(F.lit("group:"), "group_id")).select("doc_id", "id", "anchor", "keys")
+
+
+@query(f"WITH {CANON_SQL}, {_KEYS} SELECT doc_id, unnest([g, 'lex:' || fp]) AS key FROM keyed")
+def identity_keys(spark, sf_dir):
+    return _keyed(spark, sf_dir).select("doc_id", F.explode("keys").alias("key"))
+
+
+@query(f"WITH RECURSIVE {CANON_SQL}, {_KEYS}, {_ROOTS} SELECT x AS key, root FROM r")
+def components(spark, sf_dir):
+    return split.components(_keyed(spark, sf_dir)).where("key like 'group:%'")
+
+
+@query(f"WITH RECURSIVE {CANON_SQL}, {_KEYS}, {_ROOTS}, n AS (SELECT root, count(*) AS n FROM keyed JOIN r ON g = x GROUP BY root) SELECT count(*) AS components, max(n) AS largest FROM n")
+def component_stats(spark, sf_dir):
+    keyed = _keyed(spark, sf_dir)
+    sizes = keyed.join(split.components(keyed).withColumnRenamed("key", "anchor"), "anchor").groupBy("root").count()
+    return sizes.agg(F.count(F.lit(1)).alias("components"), F.max("count").alias("largest"))
+
+
+@query(f"""WITH RECURSIVE {CANON_SQL}, {_KEYS}, {_ROOTS},
+bad AS (SELECT fp FROM keyed WHERE label2 IS NOT NULL GROUP BY fp HAVING count(DISTINCT label2) > 1),
+k AS (SELECT doc_id, g, FALSE AS aside FROM keyed WHERE fp NOT IN (SELECT fp FROM bad) QUALIFY row_number() OVER (PARTITION BY fp ORDER BY 10 * (label2 IS NOT NULL)::INT DESC, doc_id) = 1
+  UNION ALL SELECT doc_id, g, TRUE FROM keyed WHERE fp IN (SELECT fp FROM bad))
+SELECT doc_id, CASE WHEN aside THEN 'quarantine' ELSE {PART.format(UNIT.format('root'))} END AS split, sha256(root) AS split_component FROM k JOIN r ON g = x""")
+def split_corpus(spark, sf_dir):
+    df = canon(spark, sf_dir).drop("label").withColumnRenamed("label2", "label").withColumns({"incident": F.lit(None).cast("string"), "incidents": F.lit(None).cast("array<string>")})
+    return split.split_corpus(df, by_repo=False).select("doc_id", "split", "split_component")
+
+
+@query(f"""WITH {CANON_SQL}, {_KEYS},
+rows_ AS (SELECT doc_id, id, CASE WHEN doc_id % 50 = 7 THEN 'test' ELSE 'train' END AS split, unnest([g, 'lex:' || fp]) AS key FROM keyed),
+s AS (SELECT *, first_value(split) OVER w AS first_split FROM rows_ WINDOW w AS (PARTITION BY key ORDER BY doc_id)),
+t AS (SELECT *, last_value(CASE WHEN split = first_split THEN id END IGNORE NULLS) OVER (PARTITION BY key ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS first_id FROM s)
+SELECT key, first_split, first_id, split, id FROM t WHERE split <> first_split""")
+def audit_leakage(spark, sf_dir):
+    rows = _keyed(spark, sf_dir).select("id", F.col("doc_id").alias("ordinal"), F.when(F.col("doc_id") % 50 == 7, "test").otherwise("train").alias("split"), F.explode("keys").alias("key"))
+    return split.leaks(rows, None).select("key", "first_split", "first_id", "split", "id")
+
+
+_REPOS = "CASE c_custkey % 7 WHEN 0 THEN concat(' https://github.com/Owner', c_nationkey, '/Repo', c_custkey, '.git/ ') WHEN 1 THEN concat('git@github.com:Owner/R', c_custkey) WHEN 2 THEN concat('Owner/R', c_custkey, '.git') WHEN 3 THEN concat('ssh://host.example.org/a/b', c_custkey, '?x=1#y') WHEN 4 THEN '' WHEN 5 THEN NULL ELSE concat('plain', c_custkey) END"
+
+
+@query(f"WITH c AS (SELECT c_custkey, {_REPOS} AS value FROM customer), {repo_ctes('c', 'value')} SELECT c_custkey, repo_id AS repo FROM repo_of")
+def repo_identity(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.repo_identity(F.expr(_REPOS)).alias("repo"))
+
+
+@query(f"""WITH c AS (SELECT c_custkey, {_REPOS} AS value FROM customer), {repo_ctes('c', 'value')}, a AS (SELECT 'github.com/owner/r' || i AS repo, 'github.com/other/r' || i % 5 AS canonical FROM range(0, 500) t(i))
+SELECT c_custkey, coalesce(canonical, repo_id) AS repo FROM repo_of LEFT JOIN a ON repo_id = a.repo""")
+def alias_join(spark, sf_dir):
+    names = spark.range(500).select(F.concat(F.lit("github.com/owner/r"), "id").alias("repo"), F.concat(F.lit("github.com/other/r"), F.col("id") % 5).alias("canonical"))
+    return split.with_aliases(repo_identity(spark, sf_dir), names)
+
+
+# ---- text ------------------------------------------------------------------
+
+
+@query(f"WITH {SNIP_SQL} SELECT i, {FP_SQL} AS fp FROM snip")
+def fingerprint_code(spark, sf_dir):
+    return snip(spark, sf_dir).select("i", tx.fingerprint(F.col("code")).alias("fp"))
+
+
+@query(f"WITH {SNIP_SQL}, t AS (SELECT i, unnest({LEX_SQL}) AS token FROM snip) SELECT token, count(*) AS n FROM t GROUP BY token")
+def lexer_tokens(spark, sf_dir):
+    return snip(spark, sf_dir).select(F.explode(tx.lexemes(F.col("code"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SNIP_SQL}, t AS (SELECT i, unnest({TILE_SQL}) AS token, generate_subscripts({TILE_SQL}, 1) AS pos FROM snip) SELECT i, (pos - 1)::INT AS pos, token, ({_kind_sql('token')})::INT AS kind FROM t")
+def token_kinds(spark, sf_dir):
+    tiles = snip(spark, sf_dir).select("i", F.posexplode(tx.tiles(F.col("code"))).alias("pos", "token"))
+    return tiles.select("i", "pos", "token", tx.kind(F.col("token")).alias("kind"))
+
+
+@query(f"""WITH {SNIP_SQL}, t AS (SELECT i, unnest({TILE_SQL}) AS token, generate_subscripts({TILE_SQL}, 1) AS pos FROM snip),
+s AS (SELECT *, sum(length(token)) OVER (PARTITION BY i ORDER BY pos) AS stop FROM t)
+SELECT i, (stop - length(token))::BIGINT AS start, stop::BIGINT AS stop FROM s WHERE NOT regexp_matches(token, '^[{tx.SPACE}]')""")
+def lexeme_spans(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    tiles = snip(spark, sf_dir).select("i", F.posexplode(tx.tiles(F.col("code"))).alias("pos", "token"))
+    stop = F.sum(F.length("token")).over(Window.partitionBy("i").orderBy("pos"))
+    return tiles.withColumn("stop", stop).where(tx.kind(F.col("token")) != 0).select("i", (F.col("stop") - F.length("token")).alias("start"), "stop")
+
+
+_BYTES = "list_transform(regexp_extract_all(hex(encode(code)), '..'), lambda x: ('0x' || x)::INT + 16)"
+
+
+@query(f"WITH {CANON_SQL}, b AS (SELECT doc_id, {_BYTES} AS ids FROM canon) SELECT doc_id, len(ids)::INT AS n, list_sum(ids)::BIGINT AS total, ids[1] AS head, ids[-1] AS tail FROM b")
+def byte_tokens(spark, sf_dir):
+    ids = canon(spark, sf_dir).select("doc_id", tx.byte_ids(F.col("code")).alias("ids"))
+    return ids.select("doc_id", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.get("ids", F.lit(0)).alias("head"), F.get("ids", F.size("ids") - 1).alias("tail"))
+
+
+@query("WITH w AS (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents) SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY word HAVING count(*) >= 2")
+def vocab_counts(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    return words.where("word != ''").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+
+
+_NAMED = "concat('CWE-', p_size, ' and CWE-', p_size % 7, ' ', p_name, ' CVE-20', 10 + p_size % 10, '-', 1000 + p_partkey, ' CWE-119,CWE-20 CVE-1-2')"
+
+
+@query(f"SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all({_NAMED}, 'CWE-\\d+'))), ',') AS cwes FROM part")
+def cwe_extract(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tx.weakness_ids(F.expr(_NAMED)), ",").alias("cwes"))
+
+
+@query(f"SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all({_NAMED}, 'CVE-\\d{{4}}-\\d+'))), ',') AS cves FROM part")
+def cve_extract(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tx.incident_ids(F.expr(_NAMED)), ",").alias("cves"))
+
+
+_FLAG = "CASE p_partkey % 7 WHEN 0 THEN '0' WHEN 1 THEN 'TRUE' WHEN 2 THEN 'false' WHEN 3 THEN '1' WHEN 4 THEN 'False' WHEN 5 THEN 'true' END"
+
+
+@query(f"SELECT p_partkey, CASE WHEN lower({_FLAG}) IN ('0', 'false') THEN 0 WHEN lower({_FLAG}) IN ('1', 'true') THEN 1 END AS label FROM part")
+def binary_coerce(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", tx.binary(F.expr(_FLAG)).alias("label"))
+
+
+# ---- records and adapters --------------------------------------------------
+
+
+@query(f"""WITH {CANON_SQL} SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 11 = 0 THEN 'code' END, CASE WHEN doc_id % 13 = 0 THEN 'group_id' END, CASE WHEN doc_id % 17 = 0 THEN 'label' END,
+  CASE WHEN doc_id % 19 = 0 THEN 'teacher_probability' END, CASE WHEN doc_id % 23 = 0 THEN 'weight' END, CASE WHEN doc_id % 29 = 0 OR doc_id % 11 = 0 THEN 'target_span' END) AS broken FROM canon""")
+def validate_violations(spark, sf_dir):
+    n = F.col("doc_id")
+    df = canon(spark, sf_dir).withColumns({
+        "code": F.when(n % 11 == 0, "").otherwise(F.col("code")), "group_id": F.when(n % 13 == 0, "").otherwise(F.col("group_id")), "label": F.when(n % 17 == 0, 2).otherwise(F.col("label")),
+        "teacher_probability": F.when(n % 19 == 0, 1.5), "weight": F.when(n % 23 == 0, 0.0), "target_span": F.when(n % 29 == 0, F.struct(F.lit(3).alias("start"), F.lit(3).alias("end"))), "id": n.cast("string"),
+    })
+    return record.validated(df, strict=False).select(F.col("id").cast("long").alias("doc_id"), F.array_join("violations", ",").alias("broken"))
+
+
+@query(f"WITH {CANON_SQL} SELECT id, group_id, label, 1.0::DOUBLE AS weight, length(code)::INT AS target_end FROM canon WHERE doc_id % 2 = 0")
+def scan_validate(spark, sf_dir):
+    return record.validated(canon(spark, sf_dir).where("doc_id % 2 = 0")).select("id", "group_id", "label", "weight", F.col("target_span")["end"].alias("target_end"))
+
+
+_PRIME = {
+    "func": f"{SNIPPET}", "target": "CASE WHEN i % 3 = 0 THEN 'true' ELSE '0' END", "project": "concat('Owner', i % 9, '/Proj')", "commit_id": "CASE WHEN i % 2 = 0 THEN concat('c', i) END",
+    "cve": "CASE i % 5 WHEN 0 THEN concat('CVE-2020-', 1000 + i) WHEN 1 THEN 'none' END", "cwe": "concat('[CWE-', i % 30, ', CWE-119]')", "idx": "CASE WHEN i % 4 <> 0 THEN i END",
+}
+
+
+def _raw(spark, sf_dir, columns: dict[str, str]) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"))
+    return parts.select("i", *[F.expr(x.replace("chr(", "char(")).alias(n) for n, x in columns.items()])
+
+
+def _raw_sql(columns: dict[str, str]) -> str:
+    return "raw AS (SELECT i, " + ", ".join(f"{x} AS {n}" for n, x in columns.items()) + " FROM (SELECT p_partkey AS i FROM part))"
+
+
+@query(f"""WITH {_raw_sql(_PRIME)}, {repo_ctes('raw', 'project')}, x AS (SELECT *, CASE WHEN regexp_full_match(cve, 'CVE-\\d{{4}}-\\d+') THEN cve END AS inc, CASE WHEN lower(target) IN ('1', 'true') THEN 1 ELSE 0 END AS y FROM repo_of)
+SELECT 'PrimeVul:' || coalesce(idx::VARCHAR, sha256(func)) AS id, repo_id AS repo, coalesce(inc, CASE WHEN commit_id IS NOT NULL THEN repo_id || '@' || commit_id END, repo_id) AS group_id, y AS label,
+  CASE WHEN y = 1 THEN array_to_string(list_sort(list_distinct(regexp_extract_all(cwe, 'CWE-\\d+'))), ',') ELSE '' END AS cwes FROM x""")
+def adapter_primevul(spark, sf_dir):
+    return adapters.primevul(_raw(spark, sf_dir, _PRIME)).select("id", "repo", "group_id", "label", F.array_join("cwes", ",").alias("cwes"))
+
+
+_MEGA = {
+    "func": SNIPPET, "func_before": f"concat('// old', chr(10), {SNIPPET})", "is_vul": "CASE WHEN i % 4 = 0 THEN 'true' WHEN i % 4 = 1 THEN 'false' WHEN i % 4 = 2 THEN '1' END", "repo_name": "concat('Owner/', i % 12)",
+    "commit_hash": "CASE WHEN i % 6 <> 0 THEN concat('h', i) END", "cve_id": "CASE WHEN i % 3 = 0 THEN concat('CVE-2021-', i) END", "cwe_ids": "concat('CWE-', i % 40)", "file_path": "concat('src/f', i, CASE i % 3 WHEN 0 THEN '.c' WHEN 1 THEN '.cpp' ELSE '.cc' END)",
+}
+
+
+@query(f"""WITH {_raw_sql(_MEGA)}, {repo_ctes('raw', 'repo_name')},
+x AS (SELECT *, coalesce(lower(is_vul) IN ('1', 'true'), FALSE) AS v, coalesce(cve_id, repo_id || '@' || coalesce(commit_hash, 'None')) AS group_id, CASE WHEN regexp_matches(file_path, '\\.(cpp|cc|cxx)$') THEN 'c++' ELSE 'c' END AS language FROM repo_of),
+y AS (SELECT sha256(func_before) AS h, 1 AS label, cwe_ids AS cwes, NULL AS fixed_for_incident, group_id, language FROM x WHERE v UNION ALL SELECT sha256(func), NULL, '', cve_id, group_id, language FROM x WHERE v
+  UNION ALL SELECT sha256(func), 0, '', NULL, group_id, language FROM x WHERE NOT v)
+SELECT 'MegaVul:' || h AS id, label::INT AS label, cwes, fixed_for_incident, group_id, language FROM y""")
+def adapter_megavul_flatmap(spark, sf_dir):
+    return adapters.megavul(_raw(spark, sf_dir, _MEGA)).select("id", "label", F.array_join("cwes", ",").alias("cwes"), "fixed_for_incident", "group_id", "language")
+
+
+_SECV = {
+    "func_body": SNIPPET, "is_vulnerable": "CASE WHEN i % 2 = 0 THEN 'true' ELSE 'false' END", "project_url": "CASE WHEN i % 3 <> 1 THEN concat('https://github.com/Own/p', i % 8) END", "project": "concat('own/q', i % 4)",
+    "commit_id": "CASE WHEN i % 5 <> 0 THEN concat('k', i) END", "cve_list": "CASE WHEN i % 4 = 0 THEN concat('CVE-2019-', 2000 + i, ' CVE-2018-', i, ' CVE-2018-99999') ELSE '' END", "cwe_list": "concat('CWE-', i % 25, ' CWE-79')", "idx": "i",
+}
+
+
+@query(f"""WITH {_raw_sql(_SECV)}, named AS (SELECT *, coalesce(project_url, project) AS who FROM raw), {repo_ctes('named', 'who')},
+x AS (SELECT *, array_to_string(list_sort(list_distinct(regexp_extract_all(cve_list, 'CVE-\\d{{4}}-\\d+'))), '+') AS inc, CASE WHEN is_vulnerable = 'true' THEN 1 ELSE 0 END AS label FROM repo_of)
+SELECT 'SecVulEval:' || idx AS id, CASE WHEN commit_id IS NOT NULL THEN repo_id || '@' || commit_id WHEN inc <> '' THEN inc ELSE repo_id END AS group_id, inc AS incidents, label,
+  CASE WHEN label = 1 THEN array_to_string(list_sort(list_distinct(regexp_extract_all(cwe_list, 'CWE-\\d+'))), ',') ELSE '' END AS cwes FROM x""")
+def adapter_secvuleval(spark, sf_dir):
+    return adapters.secvuleval(_raw(spark, sf_dir, _SECV)).select("id", "group_id", F.array_join("incidents", "+").alias("incidents"), "label", F.array_join("cwes", ",").alias("cwes"))
+
+
+@query(f"WITH d AS (SELECT text AS code, lang AS language, source AS repo_name FROM documents), {repo_ctes('d', 'repo_name')} SELECT 'local-code:' || sha256(code) AS id, repo_id AS repo, repo_id AS group_id, language FROM repo_of")
+def adapter_code(spark, sf_dir):
+    return adapters.code(table(spark, sf_dir, "documents").selectExpr("text AS content", "lang", "source AS repo_name")).select("id", "repo", "group_id", "language")
+
+
+_TABLES = {
+    "method_change": ("orders", "o_orderkey AS method_change_id, o_orderpriority AS code, o_orderstatus AS before_change, o_custkey AS file_change_id"),
+    "file_change": ("customer", "c_custkey AS file_change_id, concat('h', c_nationkey) AS hash, CASE c_custkey % 4 WHEN 0 THEN 'C' WHEN 1 THEN 'C++' WHEN 2 THEN 'Python' ELSE 'cpp' END AS programming_language"),
+    "fixes": ("supplier", "concat('h', s_nationkey) AS hash, concat('https://github.com/Org/r', s_suppkey % 10, '.git') AS repo_url, concat('CVE-2022-', s_suppkey) AS cve_id"),
+}
+
+
+@query("WITH " + ", ".join(f"{n} AS (SELECT {x} FROM {t})" for n, (t, x) in _TABLES.items()) + """
+SELECT 'CVEfixes:' || m.method_change_id || ':' || f.cve_id AS id, m.code, f.cve_id AS group_id, lower(regexp_replace(regexp_replace(f.repo_url, '^https://', ''), '\\.git$', '')) AS repo
+FROM method_change m JOIN file_change c USING (file_change_id) JOIN fixes f USING (hash) WHERE lower(programming_language) IN ('c', 'c++', 'cpp')""")
+def patch_candidates_join(spark, sf_dir):
+    for name, (source, columns) in _TABLES.items():
+        spark.sql(f"SELECT {columns} FROM {{t}}", t=table(spark, sf_dir, source)).createOrReplaceTempView(name)
+    return adapters.patch_candidates(spark).select("id", "code", "group_id", "repo")
+
+
+_LICENCES = "CASE p_size % 5 WHEN 0 THEN 'MIT,Apache-2.0' WHEN 1 THEN 'mit' WHEN 2 THEN 'GPL-3.0,MIT' WHEN 3 THEN 'apache-2.0' ELSE 'BSD' END"
+
+
+@query(f"SELECT p_partkey FROM part WHERE len(list_filter(string_split(lower({_LICENCES}), ','), lambda x: x NOT IN ('mit', 'apache-2.0'))) = 0")
+def license_filter(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select("p_partkey", F.split(F.expr(_LICENCES), ",").alias("licences"))
+    return adapters.licensed(df, "licences", ["MIT", "Apache-2.0"]).select("p_partkey")
+
+
+_LANGUAGE = "CASE p_size % 4 WHEN 0 THEN 'C' WHEN 1 THEN 'C++' WHEN 2 THEN 'Rust' ELSE 'cpp' END"
+
+
+@query(f"SELECT p_partkey FROM part WHERE lower({_LANGUAGE}) IN ('c', 'c++', 'cpp')")
+def language_filter(spark, sf_dir):
+    return adapters.in_languages(table(spark, sf_dir, "part").select("p_partkey", F.expr(_LANGUAGE).alias("lang")), "lang").select("p_partkey")
+
+
+@query(f"""WITH x AS (SELECT len(list_filter(string_split(lower({_LICENCES}), ','), lambda x: x NOT IN ('mit', 'apache-2.0'))) = 0 AS ok, lower({_LANGUAGE}) IN ('c', 'c++', 'cpp') AS c FROM part)
+SELECT count(*) AS scanned, count(*) FILTER (NOT ok) AS license_filtered, count(*) FILTER (ok AND NOT c) AS language_filtered, count(*) FILTER (ok AND c) AS emitted FROM x""")
+def import_counters(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select(F.split(F.expr(_LICENCES), ",").alias("licences"), F.expr(_LANGUAGE).alias("lang"))
+    ok = F.size(F.array_except(F.transform("licences", F.lower), F.array(F.lit("mit"), F.lit("apache-2.0")))) == 0
+    c = F.lower("lang").isin("c", "c++", "cpp")
+    return df.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(~ok).alias("license_filtered"), F.count_if(ok & ~c).alias("language_filtered"), F.count_if(ok & c).alias("emitted"))
+
+
+# ---- encoding --------------------------------------------------------------
+
+
+@query(f"WITH {CANON_SQL}, b AS (SELECT doc_id, {_BYTES} AS ids FROM canon), w AS (SELECT doc_id, ids, unnest(range(0, len(ids), 510)) AS s FROM b) SELECT doc_id, s::INT AS window_start, (len(ids[s + 1 : s + 510]) + 2)::INT AS n, list_sum(ids[s + 1 : s + 510])::BIGINT AS total FROM w")
+def token_windows(spark, sf_dir):
+    df = encode.windows(canon(spark, sf_dir).select("doc_id", tx.byte_ids(F.col("code")).alias("ids")), "ids", 512)
+    return df.select("doc_id", "window_start", F.size("input_ids").alias("n"), (F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x) - encode.CLS - encode.SEP).alias("total"))
+
+
+@query("SELECT doc_id FROM documents WHERE octet_length(encode(text)) BETWEEN 1 AND 1022")
+def overlength_reject(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.byte_ids(F.col("text")).alias("ids")).where(encode.fits("ids", 1024)).select("doc_id")
+
+
+@query(f"WITH {CANON_SQL} SELECT doc_id FROM canon WHERE label IS NOT NULL OR adequate IS NOT NULL")
+def supervision_filter(spark, sf_dir):
+    df = canon(spark, sf_dir).select("doc_id", "label", "adequate")
+    return df.where(encode.supervised(df.columns)).select("doc_id")
+
+
+_SPAN = "instr(code, 'a[i]')"
+
+
+@query(f"WITH {SNIP_SQL}, o AS (SELECT i, {_SPAN} - 1 AS a, {_SPAN} + 3 AS b, unnest(range(length(code))) AS c FROM snip) SELECT i, count(*) AS tokens, count(*) FILTER (c + 1 > a AND c < b) AS inside FROM (SELECT * FROM o UNION ALL SELECT o.* FROM o JOIN snip USING (i) WHERE substr(code, c::INT + 1, 1) = chr(178)) GROUP BY i")
+def target_mask_overlap(spark, sf_dir):
+    df = snip(spark, sf_dir).withColumn("at", F.instr("code", "a[i]"))
+    mask = encode.target_mask(encode.byte_offsets(F.col("code")), F.col("at") - 1, F.col("at") + 3)
+    return df.select("i", F.size(mask).cast("long").alias("tokens"), F.size(F.filter(mask, lambda x: x)).cast("long").alias("inside"))
+
+
+@query(f"""WITH {SNIP_SQL}, o AS (SELECT i, {_SPAN} - 1 AS a, unnest(range(60)) AS c FROM snip)
+SELECT i, c::INT AS t, (CASE WHEN c + 1 > a AND c < a + 4 THEN 1 ELSE -1 END)::FLOAT AS risky_operation, (CASE WHEN c + 1 > a + 2 AND c < a + 6 THEN i % 2 WHEN c + 1 > a AND c < a + 4 THEN 1 ELSE -1 END)::FLOAT AS guard FROM o""")
+def evidence_roles_interval(spark, sf_dir):
+    df = snip(spark, sf_dir).withColumn("a", F.instr("code", "a[i]") - 1)
+    first = F.struct(F.col("a").alias("start"), (F.col("a") + 4).alias("end"), F.create_map(F.lit("risky_operation"), F.lit(1), F.lit("guard"), F.lit(1)).alias("roles"))
+    second = F.struct((F.col("a") + 2).alias("start"), (F.col("a") + 6).alias("end"), F.create_map(F.lit("guard"), (F.col("i") % 2).cast("int")).alias("roles"))
+    offsets = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda t: F.struct(t.alias("start"), (t + 1).alias("end")))
+    rows = df.select("i", F.posexplode(encode.evidence_roles(offsets, F.array(first, second))).alias("t", "r"))
+    return rows.select("i", "t", F.get("r", F.lit(record.ROLES.index("risky_operation"))).alias("risky_operation"), F.get("r", F.lit(record.ROLES.index("guard"))).alias("guard"))
+
+
+_SLOTS = "[" + ", ".join(f"'CWE-{n}'" for n in record.WEAKNESSES) + "]"
+
+
+@query(f"""WITH c AS (SELECT p_partkey, ['CWE-' || p_size, 'CWE-9999'] AS cwes, ['CWE-119', 'CWE-' || (p_size + 1)] AS known, p_partkey % 5 = 0 AS complete FROM part), s AS (SELECT *, unnest({_SLOTS}) AS slot FROM c)
+SELECT p_partkey, slot, (CASE WHEN list_contains(cwes, slot) THEN 1 WHEN complete OR list_contains(known, slot) THEN 0 ELSE -1 END)::FLOAT AS target FROM s""")
+def cwe_targets(spark, sf_dir):
+    own, other = F.concat(F.lit("CWE-"), F.col("p_size")), F.concat(F.lit("CWE-"), F.col("p_size") + 1)
+    t = encode.weakness_targets(F.array(own, F.lit("CWE-9999")), F.array(F.lit("CWE-119"), other), F.col("p_partkey") % 5 == 0)
+    slots = F.array(*[F.lit(f"CWE-{n}") for n in record.WEAKNESSES])
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.arrays_zip(slots.alias("slot"), t.alias("target"))).alias("x"))
+    return rows.select("p_partkey", "x.slot", "x.target")
+
+
+@query("SELECT p_partkey, unnest(range(12))::INT AS slot, (CASE WHEN unnest(range(12)) = p_size % 12 THEN p_partkey % 2 ELSE -1 END)::FLOAT AS target FROM part")
+def family_targets(spark, sf_dir):
+    labels = F.create_map((F.col("p_size") % 12).cast("string"), (F.col("p_partkey") % 2).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(encode.family_targets(labels)).alias("slot", "target"))
+
+
+#: orders as records, their lines as graph nodes, tokens of four characters, and edges from line to line
+_NODES = "SELECT l_orderkey AS rec, l_linenumber AS i, min(l_linenumber * 3 + l_partkey % 5)::INT AS a, min(l_linenumber * 3 + l_partkey % 5 + 2 + l_quantity)::INT AS b FROM lineitem GROUP BY ALL"
+_GRAPH = f"""node AS ({_NODES}), tok AS (SELECT o_orderkey AS rec, t::INT AS t, (t * 4)::INT AS x, (t * 4 + 4)::INT AS y FROM orders, range(15) r(t)),
+edge AS (SELECT rec, i * 10 + j AS o, i AS src, 1 + (i + j) % 7 AS dst, (j % 3)::INT AS rel FROM node, range(4) r(j)),
+spans AS (SELECT rec, i, a, b, min(t) AS lo, max(t) + 1 AS hi, min_by(x, t) AS x0, max_by(y, t) AS y1 FROM node JOIN tok USING (rec) WHERE y > a AND x < b GROUP BY ALL),
+chosen AS (SELECT rec, i, lo, hi, row_number() OVER (PARTITION BY rec ORDER BY hi - lo, lo, i) - 1 AS k FROM spans WHERE x0 <= a AND y1 >= b QUALIFY k < 4),
+em AS (SELECT edge.rec, o, rel, c1.k AS s, c2.k AS d FROM edge LEFT JOIN chosen c1 ON c1.rec = edge.rec AND c1.i = src LEFT JOIN chosen c2 ON c2.rec = edge.rec AND c2.i = dst),
+er AS (SELECT *, row_number() OVER (PARTITION BY rec, d ORDER BY o) AS rn FROM (SELECT rec, s, d, rel, min(o) AS o FROM em WHERE s IS NOT NULL AND d IS NOT NULL GROUP BY ALL))"""
+
+
+def _graph(spark, sf_dir):
+    start = F.col("l_linenumber") * 3 + F.col("l_partkey") % 5
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("rec"), F.col("l_linenumber").alias("i"))
+    nodes = lines.agg(F.min(start).cast("int").alias("a"), F.min(start + 2 + F.col("l_quantity")).cast("int").alias("b"))
+    tokens = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rec"), F.explode(F.sequence(F.lit(0), F.lit(14))).alias("t")).select("rec", "t", (F.col("t") * 4).alias("x"), (F.col("t") * 4 + 4).alias("y"))
+    edges = nodes.select("rec", "i", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j")).selectExpr("rec", "i * 10 + j AS o", "i AS src", "1 + (i + j) % 7 AS dst", "j % 3 AS rel")
+    return nodes, tokens, edges
+
+
+@query(f"WITH {_GRAPH} SELECT rec, i, lo, hi, k FROM chosen")
+def node_topk(spark, sf_dir):
+    nodes, tokens, _ = _graph(spark, sf_dir)
+    return encode.anchored_nodes(nodes, tokens, 4).selectExpr("rec", "i", "lo", "hi", "cast(k AS bigint) AS k")
+
+
+@query(f"WITH {_GRAPH} SELECT rec, count(*) AS edges, count(*) FILTER (s IS NULL OR d IS NULL) AS dropped FROM em GROUP BY rec")
+def edge_remap(spark, sf_dir):
+    nodes, tokens, edges = _graph(spark, sf_dir)
+    em = encode.remapped_edges(edges, encode.anchored_nodes(nodes, tokens, 4))
+    return em.groupBy("rec").agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("s").isNull() | F.col("d").isNull()).alias("dropped"))
+
+
+@query(f"WITH {_GRAPH} SELECT rec, d, s, rel, rn FROM er WHERE rn <= 3 UNION ALL SELECT rec, k, k, 14, 0 FROM chosen")
+def neighbor_cap(spark, sf_dir):
+    return encode.map_graph(*_graph(spark, sf_dir), most_nodes=4, most_neighbours=4)[1].selectExpr("rec", "cast(d AS bigint) AS d", "cast(s AS bigint) AS s", "rel", "cast(rn AS bigint) AS rn")
+
+
+@query(f"WITH {_GRAPH}, t AS (SELECT rec, k, unnest(range(lo, hi))::INT AS t FROM chosen) SELECT rec, t, k FROM t QUALIFY row_number() OVER (PARTITION BY rec, t ORDER BY k) <= 2")
+def token_fanout(spark, sf_dir):
+    return encode.map_graph(*_graph(spark, sf_dir), most_nodes=4, fan=2)[2].selectExpr("rec", "t", "cast(k AS bigint) AS k")
+
+
+@query("""WITH e AS (SELECT vec_id, embedding, vec_id // 8 AS rec, vec_id % 8 AS t FROM embeddings), s AS (SELECT rec, span, lo, hi FROM (SELECT DISTINCT rec FROM e), (VALUES (0, 0, 4), (1, 2, 7)) v(span, lo, hi)),
+d AS (SELECT rec, span, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM e JOIN s USING (rec) WHERE t >= lo AND t < hi) SELECT rec, span, dim::INT AS dim, round(avg(x::DOUBLE), 9) AS mean FROM d GROUP BY ALL""")
+def span_mean_pool(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").selectExpr("vec_id div 8 AS rec", "vec_id % 8 AS t", "embedding AS vec")
+    spans = v.select("rec").distinct().select("rec", F.explode(F.array(F.struct(F.lit(0).alias("span"), F.lit(0).alias("lo"), F.lit(4).alias("hi")), F.struct(F.lit(1).alias("span"), F.lit(2).alias("lo"), F.lit(7).alias("hi")))).alias("x")).select("rec", "x.*")
+    return encode.span_means(v, spans).select("rec", "span", "dim", *_round("mean"))
+
+
+# ---- batches ---------------------------------------------------------------
+
+
+@query("WITH b AS (SELECT doc_id, length(text) AS n, doc_id // 32 AS batch FROM documents) SELECT doc_id, (ceil(max(n) OVER (PARTITION BY batch) / 8.0) * 8)::INT AS width, n::INT AS attended FROM b")
+def batch_padding(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 32").alias("batch"), F.array_repeat(F.lit(20), F.length("text")).alias("ids"))
+    out = batch.padded(df, "ids")
+    return out.select("doc_id", F.size("ids").alias("width"), F.size(F.filter("attention", lambda x: x)).alias("attended"))
+
+
+@query()
+def epoch_batches(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
+    return batch.epoch_batches(df, "n", 16, 17, 0, "doc_id").select("doc_id", "n", "batch", "slot")
+
+
+@query()
+def span_mask(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id", F.slice(tx.byte_ids(F.col("text")), 1, 510).alias("ids"))
+    return batch.span_masked(df, "ids", 272, 17, "doc_id")
+
+
+@query("SELECT u.conv_id, u.turn, (CASE WHEN u.turn % 2 = 0 THEN 0 ELSE 1 END)::INT AS relation_id, s.side::INT AS side, CASE s.side WHEN 0 THEN u.text ELSE a.text END AS item FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant', (VALUES (0), (1)) s(side) WHERE u.role = 'user' AND (s.side = 0 OR a.text IS NOT NULL)")
+def pair_expand(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("mate"))
+    u = c.where("role = 'user'").join(a, ["conv_id", "turn"], "left").withColumn("relation", F.when(F.col("turn") % 2 == 0, "higher").otherwise("invariant"))
+    return batch.expand_pairs(u, F.col("text"), F.col("mate"), "relation").select("conv_id", "turn", "relation_id", "side", "item")
+
+
+# ---- metrics ---------------------------------------------------------------
+
+
+@query(f"""WITH {PRED_SQL}, c AS (SELECT count(*) AS n, count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 1 AND p >= 0.5) AS tp, count(*) FILTER (label = 0 AND p >= 0.5) AS fp,
+  count(*) FILTER (label = 0 AND p < 0.5) AS tn, count(*) FILTER (label = 1 AND p < 0.5) AS fn, avg((p - label) ** 2) AS brier FROM pred WHERE label >= 0)
+SELECT n, positives, tp, fp, tn, fn, round(brier, 9) AS brier, round(positives / n, 9) AS prevalence, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(fp / (fp + tn), 9) AS fpr, round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM c""")
+def confusion_rates(spark, sf_dir):
+    return metrics.confusion(pred(spark, sf_dir)).select("n", "positives", "tp", "fp", "tn", "fn", *_round("brier", "prevalence", "precision", "recall", "fpr", "f1"))
+
+
+@query("WITH x AS (SELECT grp, count(*) AS n FROM (SELECT l_suppkey % 7 AS grp, l_returnflag FROM lineitem) WHERE l_returnflag <> 'R' GROUP BY grp) SELECT sum(n)::BIGINT AS negatives, round(1 - 0.05 ** (1 / sum(n)), 12) AS zero_fp_95pct_upper_bound FROM x")
+def zero_fp_bound(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label")).withColumn("p", F.col("label") * 0.9)
+    out = metrics.confusion(df)
+    return out.select((F.col("fp") + F.col("tn")).alias("negatives"), F.round("zero_fp_95pct_upper_bound", 12).alias("zero_fp_95pct_upper_bound"))
+
+
+_RANK = """g AS (SELECT {by} p, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS pos FROM pred WHERE label >= 0 GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER w AS cn, sum(pos) OVER w AS cp FROM g WINDOW w AS ({part} ORDER BY p DESC ROWS UNBOUNDED PRECEDING))
+SELECT {by} round(sum(pos * cp / cn) / sum(pos), 9) AS auprc, round(sum((n - pos) * (cp - pos + pos / 2)) / sum(pos) / sum(n - pos), 9) AS auroc FROM c {group}"""
+
+
+@query(f"WITH {PRED_SQL}, " + _RANK.format(by="", part="", group=""))
+def ranking_auc(spark, sf_dir):
+    return metrics.ranking(pred(spark, sf_dir)).select(*_round("auprc", "auroc"))
+
+
+@query(f"WITH {PRED_SQL}, " + _RANK.format(by="grp,", part="PARTITION BY grp", group="GROUP BY grp HAVING sum(pos) > 0 AND sum(n - pos) > 0"))
+def ranking_auc_by_group(spark, sf_dir):
+    return metrics.ranking(pred(spark, sf_dir), by=["grp"]).where("auprc is not null").select("grp", *_round("auprc", "auroc"))
+
+
+_THRESHOLD = "t AS (SELECT nextafter(p, 'infinity'::DOUBLE) AS threshold FROM pred WHERE label = 0 QUALIFY row_number() OVER (ORDER BY p DESC) - 1 = least(floor(0.01::DOUBLE * count(*) OVER ()), count(*) OVER () - 1))"
+
+
+@query(f"WITH {PRED_SQL}, {_THRESHOLD} SELECT threshold, round(count(*) FILTER (label = 1 AND p >= threshold) / count(*) FILTER (label = 1), 9) AS recall, round(1 - count(*) FILTER (label = 1 AND p >= threshold) / count(*) FILTER (label = 1), 9) AS vd_score FROM pred, t GROUP BY threshold")
+def recall_at_fpr(spark, sf_dir):
+    return metrics.recall_at(pred(spark, sf_dir), 0.01).select("threshold", *_round("recall", "vd_score"))
+
+
+@query()
+def bootstrap_ap(spark, sf_dir):
+    return metrics.bootstrap_ap(pred(spark, sf_dir), "grp")
+
+
+_BCE = "(greatest({0}, 0) - {0} * {1} + ln(1 + exp(-abs({0}))))"
+
+
+@query(f"""WITH i AS (SELECT l_orderkey AS item, (l_quantity - 25) / 10 AS logit, CASE l_linenumber % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE -1 END AS target, 0.5 + l_orderkey % 4 AS weight FROM lineitem),
+e AS (SELECT item, avg({_BCE.format('logit', 'target')}) AS x, max(weight) AS w FROM i WHERE target >= 0 GROUP BY item) SELECT round(sum(x * w) / greatest(sum(w), 1e-8), 8) AS loss FROM e""")
+def masked_bce(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS item", "(l_quantity - 25) / 10 AS logit", "CASE l_linenumber % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE -1 END AS target", "0.5D + l_orderkey % 4 AS weight")
+    return metrics.masked_bce(items).select(F.round("loss", 8).alias("loss"))
+
+
+@query("WITH h AS (SELECT unnest(['risk', 'cwe', 'roles', 'pair']) AS head, unnest([1.0, 0.2, 0.5, 0.2]) AS w, unnest([0, 1, 2, 3]) AS k), l AS (SELECT k, avg(l_discount) AS loss FROM (SELECT l_linenumber % 4 AS k, l_discount FROM lineitem) GROUP BY k) SELECT round(sum(loss * w), 8) AS total FROM l JOIN h USING (k)")
+def multi_task_loss(spark, sf_dir):
+    head = F.element_at(F.array(*[F.lit(h) for h in ("risk", "cwe", "roles", "pair")]), F.col("l_linenumber") % 4 + 1)
+    parts = table(spark, sf_dir, "lineitem").groupBy(head.alias("head")).agg(F.avg("l_discount").alias("loss"))
+    return metrics.joint_loss(parts).select(F.round("total", 8).alias("total"))
+
+
+@query("""WITH p AS (SELECT (l_quantity - 25) / 10 AS a, l_discount * 20 - 1 AS b, l_linenumber % 2 AS relation FROM lineitem)
+SELECT round(avg(CASE WHEN relation = 0 THEN greatest(1 - (a - b), 0) + ln(1 + exp(-abs(1 - (a - b)))) ELSE (1 / (1 + exp(-a)) - 1 / (1 + exp(-b))) ** 2 END), 8) AS loss FROM p""")
+def pair_loss(spark, sf_dir):
+    pairs = table(spark, sf_dir, "lineitem").selectExpr("(l_quantity - 25) / 10 AS a", "l_discount * 20 - 1 AS b", "l_linenumber % 2 AS relation")
+    return metrics.pair_loss(pairs).select(F.round("loss", 8).alias("loss"))
+
+
+_TARGETS = "SELECT CASE l_suppkey % 2 WHEN 0 THEN 'risk' ELSE 'cwe' END AS head, l_linenumber AS slot, CASE WHEN l_linenumber > 5 AND l_quantity > 25 THEN -1 WHEN l_quantity > 20 THEN 1 ELSE 0 END AS target FROM lineitem"
+_COUNTS = f"n AS (SELECT head, slot, count(*) FILTER (target > 0.5) AS positive, count(*) FILTER (target >= 0 AND target <= 0.5) AS negative FROM ({_TARGETS}) GROUP BY ALL)"
+
+
+def _targets(spark, sf_dir):
+    return spark.sql(_TARGETS.replace("FROM lineitem", "FROM {t}"), t=table(spark, sf_dir, "lineitem"))
+
+
+@query(f"WITH {_COUNTS} SELECT * FROM n")
+def supervision_counts(spark, sf_dir):
+    return metrics.supervision(_targets(spark, sf_dir))
+
+
+@query(f"WITH {_COUNTS} SELECT head, slot FROM n WHERE positive > 0 AND negative > 0 AND slot <> 2")
+def supported_slots(spark, sf_dir):
+    return metrics.supported_slots(metrics.supervision(_targets(spark, sf_dir))).where("slot != 2")
+
+
+@query("SELECT round(sum(p_retailprice * p_size) / sum(p_size), 6) AS loss, sum(p_size)::BIGINT AS tokens FROM part")
+def validation_loss(spark, sf_dir):
+    df = table(spark, sf_dir, "part")
+    return df.agg(F.round(F.sum(F.col("p_retailprice") * F.col("p_size")) / F.sum("p_size"), 6).alias("loss"), F.sum("p_size").alias("tokens"))
+
+
+@query("SELECT p_partkey AS step, round(CASE WHEN p_partkey <= 200 THEN p_partkey / 200.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(greatest((p_partkey - 200) / 800.0, 0), 1))) END, 9) AS factor FROM part")
+def lr_schedule(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("step"), F.round(metrics.learning_rate_factor(F.col("p_partkey"), F.lit(0)), 9).alias("factor"))
+
+
+_STEPS = "SELECT user_id AS run, event_id AS step, value AS score FROM events"
+
+
+@query("WITH s AS (SELECT user_id AS run, event_id AS step, value AS score FROM events WHERE value IS NOT NULL), b AS (SELECT *, max(score) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM s), c AS (SELECT *, coalesce(score > top, TRUE) AS is_best FROM b) SELECT run, step, score, is_best, (row_number() OVER (PARTITION BY run ORDER BY step) - max(CASE WHEN is_best THEN rn END) OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING))::INT AS bad FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS rn FROM c)")
+def early_stopping(spark, sf_dir):
+    steps = table(spark, sf_dir, "events").where("value is not null").selectExpr("user_id AS run", "event_id AS step", "value AS score")
+    return metrics.progress(steps).select("run", "step", "score", "is_best", "bad")
+
+
+@query("WITH s AS (SELECT user_id AS run, event_id AS step, value AS score FROM events WHERE value IS NOT NULL) SELECT run, step, score FROM s QUALIFY row_number() OVER (PARTITION BY run ORDER BY step DESC) <= 3 OR row_number() OVER (PARTITION BY run ORDER BY score DESC, step) = 1")
+def checkpoint_retention(spark, sf_dir):
+    return metrics.retained(table(spark, sf_dir, "events").where("value is not null").selectExpr("user_id AS run", "event_id AS step", "value AS score"))
+
+
+@query(f"WITH {PRED_SQL}, q AS (SELECT l_orderkey, l_linenumber, 1 / (1 + exp(-(logit / 1.7 + 0.3))) AS probability FROM pred) SELECT l_orderkey, l_linenumber, round(probability, 9) AS probability, CASE WHEN probability >= 0.6 THEN 'finding_candidate' ELSE 'no_finding' END AS status FROM q")
+def apply_calibration(spark, sf_dir):
+    return metrics.calibrated(pred(spark, sf_dir), 1.7, 0.3, 0.6).select("l_orderkey", "l_linenumber", *_round("probability"), "status")
+
+
+@query()
+def calibrate_temperature(spark, sf_dir):
+    temperature, bias = metrics.fit_calibration(pred(spark, sf_dir))
+    return spark.createDataFrame([(temperature, bias)], "temperature double, bias double")
+
+
+@query(f"WITH {PRED_SQL} SELECT l_orderkey, l_linenumber, p, row_number() OVER (PARTITION BY l_orderkey ORDER BY p DESC, l_linenumber)::INT AS rank FROM pred QUALIFY rank <= 2")
+def topk_weakness(spark, sf_dir):
+    return metrics.top_k(pred(spark, sf_dir), "l_orderkey", "p", 2, "l_linenumber").select("l_orderkey", "l_linenumber", "p", "rank")
+
+
+@query(f"WITH {SNIP_SQL} SELECT i, (length(left(code, {_SPAN} - 1)) - length(replace(left(code, {_SPAN} - 1), chr(10), '')) + 1)::INT AS line FROM snip")
+def evidence_lines(spark, sf_dir):
+    return snip(spark, sf_dir).select("i", tx.line_of(F.col("code"), F.instr("code", "a[i]") - 1).alias("line"))
