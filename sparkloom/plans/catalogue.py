@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkloom.functions import text as tx
-from sparkloom.operators import batch, encode, metrics, record, split
-from sparkloom.sources import adapters
+from sparkloom.operators import batch, encode, graph_source, metrics, record, report, split
+from sparkloom.sources import adapters, files
 
 FLAGSHIP = "split_counts"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -670,3 +670,29 @@ def topk_weakness(spark, sf_dir):
 @query(f"WITH {SNIP_SQL} SELECT i, (length(left(code, {_SPAN} - 1)) - length(replace(left(code, {_SPAN} - 1), chr(10), '')) + 1)::INT AS line FROM snip")
 def evidence_lines(spark, sf_dir):
     return snip(spark, sf_dir).select("i", tx.line_of(F.col("code"), F.instr("code", "a[i]") - 1).alias("line"))
+
+
+# ---- reports and sources ---------------------------------------------------
+
+
+@query("WITH r AS (SELECT doc_id::VARCHAR AS id, octet_length(encode(text)) BETWEEN 1 AND 1022 AS whole, 1 / (1 + exp(-(((doc_id % 21) - 10) / 2.0 + 0.1))) AS p FROM documents) SELECT id, CASE WHEN NOT whole THEN 'insufficient_context' WHEN p >= 0.6 THEN 'finding_candidate' ELSE 'no_finding' END AS status, CASE WHEN whole THEN round(p, 9) END AS probability FROM r")
+def predict_report(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("code"), (F.col("doc_id") % 21 - 10).cast("double").alias("logit"))
+    return report.findings(df, 1024, 2.0, 0.1, 0.6).select("id", "status", *_round("probability"))
+
+
+@query("SELECT p_partkey AS id, (CASE WHEN p_size % 2 = 0 THEN 'token.' ELSE 'block.' END || p_partkey) AS name, p_size % 3 >= 2 AND p_size % 2 <> 0 AS decays FROM part")
+def optimizer_groups(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.when(F.col("p_size") % 2 == 0, "token.").otherwise("block."), "p_partkey").alias("name"), (F.col("p_size") % 3).alias("dims"))
+    return df.select("id", "name", report.weight_decay_applies(F.col("name"), F.col("dims")).alias("decays"))
+
+
+@query()
+def clang_graph(spark, sf_dir):
+    df = snip(spark, sf_dir).select(F.col("i").cast("string").alias("id"), "code", F.lit("c").alias("language"))
+    return graph_source.with_graphs(df).select("id", "frontend_status", F.size(F.col("graph")["nodes"]).alias("nodes"))
+
+
+@query("SELECT count(*) AS rows FROM orders")
+def cache_integrity(spark, sf_dir):
+    return spark.createDataFrame([(files.content_hash(table(spark, sf_dir, "orders"))["rows"],)], "rows long")

@@ -1 +1 @@
-"""streaming."""
+"""Streams."""
