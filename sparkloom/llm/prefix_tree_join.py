@@ -398,3 +398,21 @@ def one_of_each_group(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE)
 def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: set size and component under 4-word shingles and a similarity of 0.85."""
     return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, w[i : i + least(4, len(w)) - 1] AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM words WHERE len(w) > 0)),
+keyed AS (SELECT doc_id, md5_number(array_to_string(s, ' ')) AS s FROM shingles),
+sizes AS (SELECT doc_id, count(*) AS n FROM keyed GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM keyed a JOIN keyed b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links UNION SELECT doc_id, doc_id FROM documents),
+reach(x, root) USING KEY (x) AS (
+  SELECT doc_id, doc_id FROM documents UNION
+  SELECT e.x, min(r.root) FROM recurring.reach r JOIN edges e ON r.x = e.y JOIN recurring.reach now ON now.x = e.x GROUP BY e.x, now.root HAVING min(r.root) < now.root)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, root AS component_id FROM documents LEFT JOIN sizes USING (doc_id) JOIN reach ON doc_id = x
+"""

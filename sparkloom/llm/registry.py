@@ -24,4 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op5_revisit": revisit.ORACLE_SQL,
     "op7_winnowing": winnowing.ORACLE_SQL,
+    "op10_prefix_tree_join": prefix_tree_join.ORACLE_SQL,
 }
