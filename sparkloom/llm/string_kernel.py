@@ -57,11 +57,13 @@ def alphabet() -> np.ndarray:
 
 
 def segments(token: str) -> list[str]:
-    """The parts of a lower-cased token: edges stripped, long ones cut with overlap."""
+    """The parts of a lower-cased token: edges stripped, long ones cut with overlap; with marks inside, also without these."""
     word = token.strip(_EDGES)
-    if len(word) <= LONGEST:
-        return [word]
-    return [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST + STEP, STEP)]
+    inner = word if word.isalnum() else "".join(c for c in word if c.isalnum())
+    out = []
+    for w in (word,) if inner == word else (word, inner):
+        out += [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w) - LONGEST + STEP, STEP)]
+    return out
 
 
 def tokens(text: str) -> set[str]:
@@ -209,6 +211,16 @@ def _seeds(bags: list[list[str]], y: np.ndarray) -> dict[str, float]:
     return best
 
 
+#: of the best-supported toxic segments, so many are also learnt with a character inserted
+VARIED = 60
+
+
+def _with_insertion(word: str, rng: np.random.Generator) -> str:
+    at = int(rng.integers(1, len(word)))
+    letter = word[at] if rng.random() < 0.3 else chr(97 + int(rng.integers(26)))
+    return (word[:at] + letter + word[at:])[:LONGEST]
+
+
 def train(texts: list[str], y: np.ndarray, landmarks: int = 400, rounds: int = 4, seed: int = 7) -> Machine | None:
     """Fit on labelled documents; None without both classes."""
     y = np.asarray(y)
@@ -245,14 +257,16 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 400, rounds: int = 4
         half = landmarks // 2
         mixed = [*pos[: half // 2], *rng.permutation(pos[half // 2 :])[: half // 2], *worst[: half // 2], *rng.permutation(neg)[: half // 2]]
         marks = [vocabulary[i] for i in dict.fromkeys(int(i) for i in mixed)]
-        words = [vocabulary[i] for i in (*pos, *neg)]
-        labels = np.concatenate((np.ones(len(pos)), -np.ones(len(neg))))
+        plain = [i for i in pos[:VARIED] if len(vocabulary[i]) >= 4]
+        varied = [_with_insertion(vocabulary[i], rng) for i in plain for _ in range(3)]
+        words = [*(vocabulary[i] for i in pos), *varied, *(vocabulary[i] for i in neg)]
+        labels = np.concatenate((np.ones(len(pos) + len(varied)), -np.ones(len(neg))))
         k = _kernel(marks, marks).astype(float)
         values, vectors = np.linalg.eigh((k + k.T) / 2)
         good = values > 1e-5 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
         x = np.concatenate((_kernel(words, marks) @ root, np.ones((len(words), 1))), 1)
-        support = np.sqrt(np.concatenate(([toxic[i] for i in pos], 1 + in_clean[neg])))
+        support = np.sqrt(np.concatenate(([toxic[i] for i in pos], [0.1 * toxic[i] for i in plain for _ in range(3)], 1 + in_clean[neg])))
         weight = np.where(labels > 0, support / support[labels > 0].sum(), support / support[labels < 0].sum()) * len(words)
         w = squared_hinge(x, labels, weight)
         table, bias = np.zeros(1 << TABLE_BITS), float(w[-1])
