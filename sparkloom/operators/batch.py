@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.operators.encode import FIRST_MASKABLE, MASK, PAD
+from sparkloom.operators.ranks import with_rank
 
 
 def epoch_batches(df: DataFrame, length: str, size: int, seed: int, epoch: int, key: str = "id", block: int = 100, shards: int = 64) -> DataFrame:
     """Each row once, with batch (a rank in the epoch's order) and slot.
 
-    Rows are dealt to ``shards`` by hash, shuffled inside them, sorted by length in blocks of ``block`` batches and cut into batches; batches
-    are ordered by a hash of their name, so no step sorts the whole table in one task but the one over batches.
+    Rows are dealt to ``shards`` by hash (as many as keep a shard's rows within a task), shuffled inside them, sorted by length in blocks of
+    ``block`` batches and cut into batches; batches are ordered by a hash of their name.  No step sorts the whole table in one task.
     """
     h = lambda *c: F.xxhash64(F.lit(seed + epoch), *c)
     df = df.withColumn("__shard", F.pmod(h(F.col(key), F.lit("shard")), F.lit(shards)))
@@ -25,7 +26,7 @@ def epoch_batches(df: DataFrame, length: str, size: int, seed: int, epoch: int,
     df = df.withColumn("__at", F.row_number().over(Window.partitionBy("__shard", "__block").orderBy(length, "__rn")) - 1)
     df = df.withColumn("__name", F.concat_ws("-", "__shard", "__block", F.floor(F.col("__at") / size))).withColumn("slot", F.pmod("__at", F.lit(size)).cast("int"))
     names = df.select("__name").distinct()
-    order = names.withColumn("batch", F.row_number().over(Window.orderBy(h(F.col("__name")), "__name")) - 1)
+    order = with_rank(names.withColumn("__hash", h(F.col("__name"))), ["__hash", "__name"], "batch").drop("__hash")
     return df.join(order, "__name").drop("__name", "__shard", "__rn", "__block", "__at")
 
 

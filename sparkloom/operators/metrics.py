@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions.text import bce, sigmoid, softplus
+from sparkloom.operators.ranks import with_rank
 
 
 def known(df: DataFrame, label: str = "label") -> DataFrame:
@@ -97,8 +98,7 @@ def bootstrap_ap(df: DataFrame, group: str, label: str = "label", p: str = "p",
     Null with fewer than two groups; repetitions with one class only are left out.
     """
     data = known(df, label)
-    groups = data.select(group).distinct().orderBy(group)
-    numbered = _fixed(groups.select(group, (F.row_number().over(Window.orderBy(group)) - 1).alias("number")))
+    numbered = with_rank(data.select(group).where(F.col(group).isNotNull()).distinct(), [group], "number")
     n = numbered.count()
     if n < 2:
         return df.sparkSession.createDataFrame([(None, None)], "low double, high double")
