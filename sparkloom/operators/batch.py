@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,12 +44,14 @@ def padded(df: DataFrame, ids: str, batch: str = "batch", multiple: int = 8) ->
     return df.withColumn("attention", mask).withColumn(ids, F.concat(F.col(ids), F.array_repeat(F.lit(PAD), gap)))
 
 
-def span_masked(df: DataFrame, ids: str, vocabulary: int, seed: int, key: str = "id", share: float = 0.15) -> DataFrame:
+def span_masked(df: DataFrame, ids: str, vocabulary: int, seed: int, key: str | list[str] = "id", share: float = 0.15) -> DataFrame:
     """masked_ids and selected: spans of 1 to 5 tokens until the share is reached; of these 80 % become the mask, 10 % a random id, 10 % stay.
 
     Random numbers depend on the seed and the key alone.
     """
     lengths, weights = [1, 2, 3, 4, 5], [0.45, 0.25, 0.15, 0.10, 0.05]  # fixed values
+    bounds = (np.cumsum(weights) / np.cumsum(weights)[-1]).tolist()
+    keys = [key] if isinstance(key, str) else key
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -60,7 +63,7 @@ def span_masked(df: DataFrame, ids: str, vocabulary: int, seed: int, key: str =
                 picked: set[int] = set()
                 goal = max(1, round(share * len(able))) if len(able) else 0
                 while len(picked) < goal:
-                    start, n = int(rng.integers(len(able))), int(rng.choice(lengths, p=weights))
+                    start, n = int(rng.integers(len(able))), lengths[bisect_right(bounds, rng.random())]  # as rng.choice(lengths, p=weights)
                     picked.update(able[start : start + min(n, goal - len(picked))].tolist())
                 new = x.copy()
                 for i in sorted(picked):
@@ -70,7 +73,7 @@ def span_masked(df: DataFrame, ids: str, vocabulary: int, seed: int, key: str =
                 chosen.append(sorted(picked))
             yield part.drop(columns="__seed").assign(masked_ids=out, selected=chosen)
 
-    seeded = df.withColumn("__seed", F.xxhash64(F.lit(seed), F.col(key)))
+    seeded = df.withColumn("__seed", F.xxhash64(F.lit(seed), *map(F.col, keys)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return seeded.mapInPandas(run, f"{fields}, masked_ids array<int>, selected array<int>")
 

@@ -527,8 +527,8 @@ def epoch_batches(spark, sf_dir):
 
 @query()
 def span_mask(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select("doc_id", F.slice(tx.byte_ids(F.col("text")), 1, 510).alias("ids"))
-    return batch.span_masked(df, "ids", 272, 17, "doc_id")
+    df = encode.windows(table(spark, sf_dir, "documents").select("doc_id", tx.byte_ids(F.col("text")).alias("ids")), "ids", 512)
+    return batch.span_masked(df.select("doc_id", "window_start", F.col("input_ids").alias("ids")), "ids", 272, 17, ["doc_id", "window_start"])
 
 
 @query("SELECT u.conv_id, u.turn, (CASE WHEN u.turn % 2 = 0 THEN 0 ELSE 1 END)::INT AS relation_id, s.side::INT AS side, CASE s.side WHEN 0 THEN u.text ELSE a.text END AS item FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant', (VALUES (0), (1)) s(side) WHERE u.role = 'user' AND (s.side = 0 OR a.text IS NOT NULL)")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import batch, encode, metrics, record
+from sparkloom.plans import catalogue
 
 
 def test_records_are_used_whole_or_windowed(spark):
@@ -44,6 +45,23 @@ def test_masking(spark):
         assert all(x == y for i, (x, y) in enumerate(zip(r.ids, r.masked_ids)) if i not in r.selected)
 
 
+def test_masking_covers_every_window(spark, tmp_path):
+    texts = [(1, "ab" * 700 + "é"), (2, "x" * 510), (3, "y" * 511), (4, "short"), (5, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalogue.span_mask(spark, str(tmp_path)).collect()
+    want = {}
+    for doc, text in texts:
+        ids = [b + 16 for b in text.encode()]
+        want |= {(doc, s): [encode.CLS, *ids[s : s + 510], encode.SEP] for s in range(0, len(ids), 510)}
+    assert len(rows) == len(want) and {(r.doc_id, r.window_start): r.ids for r in rows} == want
+    for r in rows:
+        assert len(r.masked_ids) == len(r.ids) and len(r.selected) == max(1, round(0.15 * (len(r.ids) - 2)))
+        assert 0 not in r.selected and len(r.ids) - 1 not in r.selected
+        assert all(x == y for i, (x, y) in enumerate(zip(r.ids, r.masked_ids)) if i not in r.selected)
+    first, second = (next(r.selected for r in rows if (r.doc_id, r.window_start) == (1, s)) for s in (0, 510))
+    assert first != second
+
+
 def test_tied_threshold(spark):
     df = spark.createDataFrame(list(zip([0, 0, 0, 0, 1, -1], [0.7, 0.7, 0.6, 0.2, 0.9, 0.99])), "label int, p double")
     assert metrics.fpr_threshold(df, 0.25) == math.nextafter(0.7, 1)
