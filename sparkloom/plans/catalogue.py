@@ -61,7 +61,7 @@ SNIP_SQL = f"snip AS (SELECT i, {SNIPPET} AS code FROM (SELECT p_partkey AS i FR
 
 
 def snip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").where("p_partkey <= 2000").select(F.col("p_partkey").alias("i"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"))
     return parts.select("i", F.expr(SNIPPET.replace("chr(92)", "char(92)").replace("chr(", "char(")).alias("code"))
 
 
@@ -435,7 +435,7 @@ def evidence_roles_interval(spark, sf_dir):
     df = snip(spark, sf_dir).withColumn("a", F.instr("code", "a[i]") - 1)
     first = F.struct(F.col("a").alias("start"), (F.col("a") + 4).alias("end"), F.create_map(F.lit("risky_operation"), F.lit(1), F.lit("guard"), F.lit(1)).alias("roles"))
     second = F.struct((F.col("a") + 2).alias("start"), (F.col("a") + 6).alias("end"), F.create_map(F.lit("guard"), (F.col("i") % 2).cast("int")).alias("roles"))
-    offsets = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda t: F.struct(t.alias("start"), (t + 1).alias("end")))
+    offsets = F.transform(F.sequence(F.lit(0), F.length("code") - 1), lambda t: F.struct(t.alias("start"), (t + 1).alias("end")))
     rows = df.select("i", F.posexplode(encode.evidence_roles(offsets, F.array(first, second))).alias("t", "r"))
     return rows.select("i", "t", F.get("r", F.lit(record.ROLES.index("risky_operation"))).alias("risky_operation"), F.get("r", F.lit(record.ROLES.index("guard"))).alias("guard"))
 

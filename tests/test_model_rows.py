@@ -62,6 +62,25 @@ def test_masking_covers_every_window(spark, tmp_path):
     assert first != second
 
 
+def test_snippets_of_every_part_and_offset(spark, tmp_path):
+    keys = [0, 2000, 2001, 30007]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    code = {r.i: r.code for r in catalogue.snip(spark, str(tmp_path)).collect()}
+    assert sorted(code) == keys
+    for name in ("fingerprint_code", "token_kinds", "lexeme_spans", "target_mask_overlap", "evidence_lines"):
+        assert {r.i for r in run(name)} == set(keys)
+    assert {r.id for r in run("clang_graph")} == set(map(str, keys))
+    assert {f"f{k}" for k in keys} <= {r.token for r in run("lexer_tokens")}
+    want = []
+    for i, text in code.items():
+        a = text.index("a[i]")
+        for t in range(len(text)):
+            risky = 1 if a <= t < a + 4 else -1
+            want.append((i, t, risky, i % 2 if a + 2 <= t < a + 6 else risky))
+    assert sorted(map(tuple, run("evidence_roles_interval"))) == sorted(want)
+
+
 def test_tied_threshold(spark):
     df = spark.createDataFrame(list(zip([0, 0, 0, 0, 1, -1], [0.7, 0.7, 0.6, 0.2, 0.9, 0.99])), "label int, p double")
     assert metrics.fpr_threshold(df, 0.25) == math.nextafter(0.7, 1)
