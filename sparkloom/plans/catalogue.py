@@ -298,7 +298,7 @@ def validate_violations(spark, sf_dir):
 
 @query(f"WITH {CANON_SQL} SELECT id, group_id, label, 1.0::DOUBLE AS weight, length(code)::INT AS target_end FROM canon WHERE doc_id % 2 = 0")
 def scan_validate(spark, sf_dir):
-    return record.validated(canon(spark, sf_dir).where("doc_id % 2 = 0")).select("id", "group_id", "label", "weight", F.col("target_span")["end"].alias("target_end"))
+    return record.validated(canon(spark, sf_dir)).select("id", "group_id", "label", "weight", F.col("target_span")["end"].alias("target_end"))
 
 
 _PRIME = {

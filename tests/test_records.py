@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import record, split
 from sparkloom.operators.components import connected_components
+from sparkloom.plans import catalogue
 from sparkloom.sources import adapters, files
 
 
@@ -97,3 +98,16 @@ def test_sqlite(spark, tmp_path):
     db.commit()
     rows = files.read_sqlite(spark, str(tmp_path / "x.db"), "select a, b from t order by a", "a int, b string").collect()
     assert [tuple(r) for r in rows] == [(1, "x"), (2, None)]
+
+
+def test_every_document_is_validated(spark, tmp_path):
+    def tables(name, texts):
+        at = str(tmp_path / name)
+        spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        return at
+
+    got = catalogue.scan_validate(spark, tables("good", ["a", "bb", "ccc", "dddd"])).collect()
+    assert sorted((r.id, r.label, r.target_end) for r in got) == [("0", None, 1), ("1", 1, 2), ("2", None, 3), ("3", None, 4)]
+    with pytest.raises(Exception, match="3: code"):
+        catalogue.scan_validate(spark, tables("bad", ["a", "bb", "ccc", " "])).collect()
