@@ -283,6 +283,18 @@ def test_repeated_branches_go(spark):
     assert style_tree.extract(df.limit(0)).count() == 0
 
 
+def test_copies_on_a_host_keep_articles(spark):
+    rng = np.random.default_rng(3)
+    page = lambda title, body: f"<html><body><div>Welcome to our site</div><article><h1>{title}</h1><h2>Repeated head</h2>{body}</article></body></html>"
+    bodies = ["".join(f"<p>{prose(rng, 30)}</p>" for _ in range(3)) for _ in range(2)]
+    rows = [(i, f"http://h.example/{i}", page("Copy", bodies[0])) for i in range(8)] + [(8, "http://h.example/u", page("Unique", bodies[1]))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = lambda body: "\n\n".join(["Repeated head", *body[3:-4].split("</p><p>")])
+    for bound in (1000, 0):
+        got = {r.page_id: r.text for r in style_tree.extract(df, bound).collect()}
+        assert all(got[i] == "Copy\n\n" + whole(bodies[0]) for i in range(8)) and got[8] == "Unique\n\n" + whole(bodies[1])
+
+
 # ---- revisits ----
 
 
