@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkloom.llm.common import append, batch_of, read_table, slices_by_bytes, small_batches, text_buffers
 from sparkloom.llm.words import ALNUM, Words, grams
@@ -170,8 +170,10 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     index = _index(items, window, broadcast_bytes)
     if index is None:
-        gone = contaminate(docs, benchmark, window, broadcast_bytes).where("contaminated").select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti")
+        keyed = docs.withColumn("__key", _key())
+        own = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__key")
+        gone = _contaminate_shuffled(own, items, window).where("contaminated").select("__key").distinct()
+        return keyed.join(gone, "__key", "left_anti").drop("__key")
     shared = docs.sparkSession.sparkContext.broadcast(index)
     flagged = append(docs, "text", lambda column: bad(*_measure(shared.value, column)[:2]), "__contaminated", "boolean")
     return flagged.where("not __contaminated").drop("__contaminated")
@@ -185,7 +187,7 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bro
     benchmark = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     index = _index(benchmark, window, broadcast_bytes)
     if index is None:
-        return _contaminate_shuffled(docs, benchmark, window)
+        return _contaminate_shuffled(docs.withColumn("__key", _key()), benchmark, window).drop("__key")
     shared = spark.sparkContext.broadcast(index)
     return docs.mapInArrow(lambda batches: _scan(shared.value, batches), SCHEMA)
 
@@ -215,17 +217,23 @@ def _prints(window: int, lengths: bool):
     return run
 
 
+def _key() -> Column:
+    """Equal texts have one key, whatever their doc_id."""
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
 def _contaminate_shuffled(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     """The same result by shuffles: fingerprints are joined, and each candidate pair compared by itself.
 
-    Rows of one doc_id must hold one text here.  All lengths that items have are winnowed.
+    ``docs``: doc_id, text, __key; the result has __key besides.  Texts are judged once each, by key.  All lengths that items have are winnowed.
     """
     schema = "id long, length int, print long"
+    texts = docs.groupBy("__key").agg(F.first("text").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     item_prints = items.mapInArrow(_prints(window, True), schema).distinct().withColumnRenamed("id", "item_id")
     lengths = [r[0] for r in item_prints.select("length").distinct().collect()]  # at most ``window`` values
-    doc_prints = docs.mapInArrow(_prints(window, False), schema).where(F.col("length").isin(lengths)).distinct().withColumnRenamed("id", "doc_id")
-    pairs = doc_prints.join(item_prints, ["length", "print"]).select("doc_id", "item_id").distinct()
+    doc_prints = texts.mapInArrow(_prints(window, False), schema.replace("id long", "id string")).where(F.col("length").isin(lengths)).distinct().withColumnRenamed("id", "__key")
+    pairs = doc_prints.join(item_prints, ["length", "print"]).select("__key", "item_id").distinct()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,29 +248,28 @@ def _contaminate_shuffled(docs: DataFrame, benchmark: DataFrame, window: int) ->
                     ids.append(doc)
                     others.append(item)
                     spans.append([[int(a), int(b)] for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))])
-            yield batch_of(["doc_id", "item_id", "spans"], [pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64())))])
+            yield batch_of(["__key", "item_id", "spans"], [pa.array(ids, pa.string()), pa.array(others, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64())))])
 
-    one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.first("text").alias("text"))
     found = (
-        pairs.join(one, "doc_id").join(items.withColumnRenamed("text", "passage"), "item_id").select("doc_id", "item_id", "text", "passage")
-        .mapInArrow(compare, "doc_id long, item_id long, spans array<array<long>>")
+        pairs.join(texts, "__key").join(items.withColumnRenamed("text", "passage"), "item_id").select("__key", "item_id", "text", "passage")
+        .mapInArrow(compare, "__key string, item_id long, spans array<array<long>>")
     )
-    words = docs.mapInArrow(_count, "doc_id long, n_words long")
+    words = docs.select("doc_id", "text", "__key").mapInArrow(_count, "doc_id long, n_words long, __key string")
     # words hit: the length of the union of spans, by a running maximum of their ends
-    spans = found.select("doc_id", F.explode("spans").alias("s")).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(F.col("s")[0].alias("a"), F.col("s")[1].alias("b")))).alias("spans"))
+    spans = found.select("__key", F.explode("spans").alias("s")).groupBy("__key").agg(F.array_sort(F.collect_set(F.struct(F.col("s")[0].alias("a"), F.col("s")[1].alias("b")))).alias("spans"))
     union = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
         lambda acc, s: F.struct(F.greatest(acc["end"], s["b"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(acc["end"], s["a"]))).alias("n")),
         lambda acc: acc["n"],
     )
-    hits = spans.select("doc_id", union.alias("n_hit"))
-    ids = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
+    hits = spans.select("__key", union.alias("n_hit"))
+    ids = found.groupBy("__key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
     empty = F.array().cast("array<string>")
-    out = words.join(hits, "doc_id", "left").join(ids, "doc_id", "left")
+    out = words.join(hits, "__key", "left").join(ids, "__key", "left")
     n_hit, found_ids = F.coalesce("n_hit", F.lit(0)), F.coalesce("ids", empty)
     return out.select(
-        "doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.size(found_ids).cast("long").alias("n_items"),
+        "__key", "doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.size(found_ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(found_ids, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
@@ -271,7 +278,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffers(batch.column(1))
         counts = [Words(data, offsets[a : b + 1], ALNUM).counts for a, b in slices_by_bytes(offsets)]
-        yield batch_of(["doc_id", "n_words"], [batch.column(0).cast(pa.int64()), np.concatenate(counts) if counts else np.zeros(0, np.int64)])
+        yield batch_of(["doc_id", "n_words", "__key"], [batch.column(0).cast(pa.int64()), np.concatenate(counts) if counts else np.zeros(0, np.int64), batch.column(2)])
 
 
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,6 +254,18 @@ def test_labels_that_may_be_learnt(spark):
     assert got == {i: i % 2 for i in range(50) if zlib.crc32(str(i).encode()) % 5 and i != 3}
 
 
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_winnowing_judges_each_row_by_its_text(spark, bound):
+    passage = " ".join(f"p{i}" for i in range(20))
+    docs = [(None, passage), (None, "clean words"), (1, passage), (1, "other clean words"), (2, None), (2, passage), (3, passage)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    got = [tuple(r) for r in winnowing.contaminate(d, b, broadcast_bytes=bound).collect()]
+    assert sorted(got, key=repr) == sorted(brute_windows(docs, [(7, passage)]), key=repr)
+    kept = [tuple(r) for r in winnowing.without_contaminated(d, b, broadcast_bytes=bound).collect()]
+    assert sorted(kept, key=repr) == sorted((x for x in docs if x[1] != passage), key=repr)
+
+
 # ---- style trees ----
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var a = "<p>no</p>";</script></head><body>
