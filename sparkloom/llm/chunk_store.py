@@ -6,19 +6,18 @@ address is the first 16 bytes of the SHA-256 of its ids as little-endian unsigne
 
 Files, all under one folder:
 
-* ``chunks``: address, n (ids), body (ids as little-endian unsigned 16- or 32-bit integers, zlib), each distinct chunk once, sorted by address inside files;
+* ``objects/kind=0``: the chunks: address, n (ids), body (ids as little-endian unsigned 16- or 32-bit integers, zstd), each distinct chunk once, sorted by address inside files;
 * ``recipes``: doc_id, start (ids of all documents before it), n_tokens, chunks (addresses in order, 16 bytes each), root (Merkle root
   over the addresses), in files of ascending doc_id, rows ascending inside them;
 * ``manifest``: part, first and last doc_id, documents, tokens, root (Merkle root over the part's document roots), a row per recipe file.
 
-``verify`` reads the files back: every body is hashed against its address, the recipes' roots and parts' roots are recomputed, and each document's
-number of ids and CRC-32 are put together from those of its chunks (CRCs of concatenations combine exactly).  ``restore`` gives the id arrays.
+Documents are encoded once, in one job that deals chunks out by address, keeps the first of equal ones and writes them beside the recipes, which are then put in order.
 
-Encoding.  The library's pre-tokenizer splits a text into slices that its model encodes one by one, so each worker keeps the ids of slices
-(found by the scan of ``bpe``) that the library has encoded before, and gives it the new ones only.
+``verify`` reads the files back: every body is hashed against its address, the recipes' roots are recomputed and the parts' roots and numbers compared with the manifest, and each document's
+number of ids and CRC-32 are put together from those of its chunks (CRCs of concatenations combine exactly).  ``restore`` gives the id arrays.
 
-Defined cases: a null text is an empty text: the end id only; rows with equal doc_id are ordered by text, null doc_ids come first; repeated rows are
-stored by one set of chunks and have a recipe each; an empty table gives empty files; other columns are never read.
+Defined cases: a null text is an empty text: the end id only; rows with equal doc_id are ordered by n_tokens and chunks, null doc_ids come first; repeated rows are
+stored by one set of chunks and have a recipe each; a text with the string of an added token gets that token's id, as from the library; an empty table gives empty files; other columns are never read.
 """
 
 from __future__ import annotations
@@ -30,47 +29,25 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.llm.bpe import split_texts, text_groups
-from sparkloom.llm.common import batch_of, cut, new_path, read_table, remove, small_batches
+from sparkloom.llm.common import batch_of, cut, new_path, read_table, remove, slices_by_bytes, small_batches, text_buffers
+from sparkloom.llm.slices import SliceEncoder
 
 END = 2
 SPAN, LEAST, MOST, MASK_BITS = 16, 64, 2048, 8
 ADDRESS = 16
 
 
-class Encoder:
-    """Ids of texts by the library; slices seen before are kept while there is room."""
-
-    def __init__(self, path: str, most: int = 300_000):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-        self.most = most
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        pieces = split_texts(texts)
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list(set().union(*pieces).difference(self.known))
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            for piece, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[piece] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+_encoders: dict[str, SliceEncoder] = {}
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
+def encoder(path: str) -> SliceEncoder:
+    """One encoder per worker process and file."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = SliceEncoder(path)
     return _encoders[path]
 
 
@@ -80,35 +57,45 @@ def _gear(size: int = 1 << 16) -> np.ndarray:
     return np.random.default_rng(20240229).integers(0, 1 << 63, size, dtype=np.uint64)
 
 
-def cuts(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of an id stream."""
-    n = len(ids)
-    g = _gear()[ids & 0xFFFF]
-    rolling = np.zeros(n, np.uint64)
-    for i in range(min(SPAN, n)):  # the hash of the last SPAN ids, each shifted by its distance
-        rolling[i:] += g[: n - i] << np.uint64(i)
-    marks = np.flatnonzero((rolling >> np.uint64(20)) & np.uint64((1 << MASK_BITS) - 1) == 0) + 1
-    ends, start = [], 0
-    at = 0
-    marks = marks.tolist()
-    while n - start > LEAST:
-        while at < len(marks) and marks[at] - start < LEAST:
+def marks_of(ids: np.ndarray) -> np.ndarray:
+    """Where a rolling hash of the last SPAN ids lets a chunk end."""
+    rolling = _gear()[ids & 0xFFFF]
+    step = 1
+    while step < SPAN:  # sums over 2, 4, 8, ... ids, each shifted by its distance
+        wide = rolling.copy()
+        wide[step:] += rolling[:-step] << np.uint64(step)
+        rolling, step = wide, 2 * step
+    return np.flatnonzero((rolling >> np.uint64(20)) & np.uint64((1 << MASK_BITS) - 1) == 0) + 1
+
+
+def cuts(marks: list[int], start: int, end: int, at: int = 0) -> tuple[list[int], int]:
+    """Ends of the chunks of the stream from ``start`` to ``end``, and the first mark not used.
+
+    A chunk holds SPAN ids at least before a mark counts, so ids before ``start`` have no influence.
+    """
+    ends, n = [], len(marks)
+    while end - start > LEAST:
+        while at < n and marks[at] - start < LEAST:
             at += 1
-        end = min(marks[at] if at < len(marks) else n, start + MOST, n)
+        start = min(marks[at] if at < n else end, start + MOST, end)
+        ends.append(start)
+    if start < end:
         ends.append(end)
-        start = end
-    if start < n:
-        ends.append(n)
-    return np.array(ends, np.int64)
+    while at < n and marks[at] < end:
+        at += 1
+    return ends, at
+
+
+_press, _unpress = zstandard.ZstdCompressor(level=1, write_checksum=False), zstandard.ZstdDecompressor()
 
 
-def pack(ids: np.ndarray) -> bytes:
-    small = len(ids) == 0 or int(ids.max()) < 1 << 16
-    return (b"\2" if small else b"\4") + zlib.compress(ids.astype("<u2" if small else "<u4").tobytes(), 1)
+def pack(raw: bytes, small: bool) -> bytes:
+    """A chunk's ids (16 or 32 bits each) as they are stored."""
+    return (b"\2" if small else b"\4") + _press.compress(raw)
 
 
 def unpack(body: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(body[1:]), "<u2" if body[0] == 2 else "<u4").astype("<u4")
+    return np.frombuffer(_unpress.decompress(body[1:]), "<u2" if body[0] == 2 else "<u4").astype("<u4")
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -130,65 +117,116 @@ def _times(matrix: list[int], vector: int) -> int:
     return total
 
 
-@lru_cache(4096)
-def _zeros(n: int) -> tuple[int, ...]:
-    """The matrix by which n zero bytes act on a CRC-32."""
-    if n == 1:
-        one = [0xEDB88320] + [1 << i for i in range(31)]
+@lru_cache(None)
+def _zeros(power: int) -> np.ndarray:
+    """How 2**power zero bytes act on a CRC-32: a table for each of its four bytes."""
+    if power:
+        before = _zeros(power - 1)
+        matrix = [int(x) for x in shifted(shifted(np.array([1 << i for i in range(32)], np.uint32), before), before)]
+    else:
+        matrix = one = [0xEDB88320] + [1 << i for i in range(31)]
         for _ in range(3):  # 1 bit to 8 bits
-            one = [_times(one, x) for x in one]
-        return tuple(one)
-    half = _zeros(n // 2)
-    out = [_times(half, x) for x in half]
-    return tuple(_times(_zeros(1), x) for x in out) if n & 1 else tuple(out)
+            matrix = one = [_times(one, x) for x in one]
+    return np.array([[_times(matrix, v << 8 * k) for v in range(256)] for k in range(4)], np.uint32)
+
+
+def shifted(crcs: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    return tables[0][crcs & 255] ^ tables[1][(crcs >> 8) & 255] ^ tables[2][(crcs >> 16) & 255] ^ tables[3][crcs >> 24]
+
 
+def crcs_of_runs(crcs: np.ndarray, sizes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """CRC-32 of the concatenations of parts edges[i] to edges[i + 1] (at least one each), from the parts' CRCs and sizes in bytes."""
+    ends = np.cumsum(sizes)
+    after = np.repeat(ends[edges[1:] - 1], np.diff(edges)) - ends
+    out = crcs.astype(np.uint32)
+    for power in range(int(after.max()).bit_length() if len(after) else 0):
+        on = (after >> power) & 1 == 1
+        out[on] = shifted(out[on], _zeros(power))
+    return np.bitwise_xor.reduceat(out, edges[:-1]) if len(out) else out
 
-def combine(a: int, b: int, length: int) -> int:
-    """CRC-32 of a concatenation from both CRCs and the second part's bytes."""
-    return _times(_zeros(length), a) ^ b if length else a
 
+OBJECTS = "kind int, address binary, n long, body binary, doc_id long, chunks binary, root binary"
 
-def _encode(path: str):
-    """doc_id, n_tokens, chunk addresses, sizes and bodies of each document."""
+
+def _encode(path: str, most: int = 500_000):
+    """Chunks (kind 0) that the task has not given out yet, and a recipe (kind 1) of each document, whose address only deals it out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        end = np.array([END], "<u4").tobytes()
+        seen: set[bytes] = set()
+        sha = hashlib.sha256
         for batch in batches:
-            at = 0
-            for group in text_groups([t or "" for t in batch.column(1).to_pylist()]):
-                counts, names, sizes, bodies = [], [], [], []
-                for raw in own.encode_batch(group):
-                    raw += end
-                    ids = np.frombuffer(raw, "<u4")
-                    ends = cuts(ids).tolist()
-                    starts = [0, *ends[:-1]]
-                    counts.append(len(ids))
-                    names.append([hashlib.sha256(raw[4 * a : 4 * b]).digest()[:ADDRESS] for a, b in zip(starts, ends)])
-                    sizes.append([b - a for a, b in zip(starts, ends)])
-                    bodies.append([pack(ids[a:b]) for a, b in zip(starts, ends)])
-                yield batch_of(
-                    ["doc_id", "n_tokens", "names", "sizes", "bodies"],
-                    [batch.column(0).slice(at, len(group)), pa.array(counts, pa.int64()), pa.array(names, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(bodies, pa.list_(pa.binary()))],
-                )
-                at += len(group)
+            data, offsets = text_buffers(batch.column(1))
+            doc_ids = batch.column(0).to_pylist()
+            for first, last in slices_by_bytes(offsets):
+                counts, found = own.encode(data, offsets[first : last + 1])
+                ends = np.cumsum(counts)
+                ids = np.insert(found, ends, END).astype("<u4")
+                ends = (ends + np.arange(1, len(ends) + 1)).tolist()
+                whole = memoryview(ids.tobytes())
+                half = memoryview(ids.astype("<u2").tobytes())
+                wide = set(np.flatnonzero(np.maximum.reduceat(ids, [0, *ends[:-1]]) >> 16).tolist())  # documents with ids beyond 16 bits
+                marks, at, start = marks_of(ids).tolist(), 0, 0
+                rows: tuple[list, ...] = ([], [], [], [], [], [], [])
+                kinds, addresses, ns, bodies, docs, recipes, roots = rows
+                for row, end in enumerate(ends):
+                    names, begin = [], start
+                    steps, at = cuts(marks, start, end, at)
+                    for stop in steps:
+                        name = sha(whole[4 * begin : 4 * stop]).digest()[:ADDRESS]
+                        names.append(name)
+                        if name not in seen:
+                            if len(seen) >= most:
+                                seen.clear()
+                            seen.add(name)
+                            small = row not in wide
+                            kinds.append(0)
+                            addresses.append(name)
+                            ns.append(stop - begin)
+                            bodies.append(pack(half[2 * begin : 2 * stop] if small else whole[4 * begin : 4 * stop], small))
+                            docs.append(None)
+                            recipes.append(None)
+                            roots.append(None)
+                        begin = stop
+                    doc_id, joined = doc_ids[first + row], b"".join(names)
+                    kinds.append(1)
+                    addresses.append(sha(b"%d" % doc_id + joined if doc_id is not None else joined).digest()[:ADDRESS])
+                    ns.append(end - start)
+                    bodies.append(None)
+                    docs.append(doc_id)
+                    recipes.append(joined)
+                    roots.append(merkle(names))
+                    start = end
+                kinds_of = (pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+                yield batch_of(["kind", "address", "n", "body", "doc_id", "chunks", "root"], [pa.array(x, t) for x, t in zip(rows, kinds_of)])
 
     return run
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows, the first chunk of each address and all recipes."""
+    before = None
+    for batch in batches:
+        keep = []
+        for i, (kind, address) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if kind or address != before:
+                keep.append(i)
+            before = None if kind else address
+        yield batch.take(pa.array(keep, pa.int32()))
+
+
 def write_store(docs: DataFrame, tokenizer_path: str, path: str) -> None:
     """Encode ``docs`` (doc_id, text) and write the store's files."""
     spark = docs.sparkSession
     small_batches(spark)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    encoded, encoded_path = cut(own.mapInArrow(_encode(tokenizer_path), "doc_id long, n_tokens long, names array<binary>, sizes array<int>, bodies array<binary>"), "encoded")
-    chunks = encoded.select(F.explode(F.arrays_zip("names", "sizes", "bodies")).alias("c")).select(F.col("c.names").alias("address"), F.col("c.sizes").alias("n"), F.col("c.bodies").alias("body"))
-    once = chunks.mapInArrow(_first_seen, "address binary, n int, body binary")
-    once.dropDuplicates(["address"]).sortWithinPartitions("address").write.option("compression", "none").parquet(f"{path}/chunks")
-    order = ["doc_id", "n_tokens", "names"]
-    ranged, ranged_path = cut(encoded.select("doc_id", "n_tokens", "names").repartitionByRange(partitions, *order).withColumn("part", F.spark_partition_id()), "recipes")
-    remove(spark, encoded_path)
+    objects = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(tokenizer_path), OBJECTS)
+    dealt = objects.repartition("address").sortWithinPartitions("kind", "address").mapInArrow(_once, OBJECTS)
+    dealt.write.partitionBy("kind").option("compression", "none").parquet(f"{path}/objects")
+    order = ["doc_id", "n_tokens", "chunks"]
+    found = spark.read.schema("n long, doc_id long, chunks binary, root binary, kind int").parquet(f"{path}/objects").where("kind = 1")
+    placed = found.select("doc_id", F.col("n").alias("n_tokens"), "chunks", "root")
+    ranged, ranged_path = cut(placed.repartitionByRange(partitions, *order).withColumn("part", F.spark_partition_id()), "recipes")
     sums = ranged.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row per partition
     before, offsets = 0, []
     for r in sums:
@@ -196,37 +234,13 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str) -> None:
         before += r["n"]
     starts = F.broadcast(spark.createDataFrame(offsets, "part int, tokens_before long"))  # a row per partition
     w = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("own", F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).join(starts, "part")
-    placed = placed.select("part", "doc_id", (F.col("own") + F.col("tokens_before")).alias("start"), "n_tokens", "names")
-    recipes = placed.mapInArrow(_with_roots, "part int, doc_id long, start long, n_tokens long, chunks binary, root binary")
+    recipes = ranged.withColumn("own", F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).join(starts, "part")
+    recipes = recipes.select("part", "doc_id", (F.col("own") + F.col("tokens_before")).alias("start"), "n_tokens", "chunks", "root")
     recipes.sortWithinPartitions("part", "start").write.partitionBy("part").parquet(f"{path}/recipes")
-    remove(spark, ranged_path)
+    remove(spark, ranged_path, f"{path}/objects/kind=1")
     manifest_of(read_recipes(spark, path)).write.parquet(f"{path}/manifest")
 
 
-def _first_seen(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
-    """Leaves out chunks that the task has passed on already."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for i, a in enumerate(batch.column(0).to_pylist()):
-            if a not in seen:
-                if len(seen) >= most:
-                    seen.clear()
-                seen.add(a)
-                keep.append(i)
-        yield batch.take(pa.array(keep, pa.int32()))
-
-
-def _with_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = batch.column(4).to_pylist()
-        yield batch_of(
-            ["part", "doc_id", "start", "n_tokens", "chunks", "root"],
-            [*batch.columns[:4], pa.array([b"".join(x) for x in names], pa.binary()), pa.array([merkle(x) for x in names], pa.binary())],
-        )
-
-
 def _roots(column: str):
     """Merkle roots of lists of (place, leaf)."""
 
@@ -260,7 +274,7 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("address binary, n int, body binary").parquet(f"{path}/chunks")
+    return spark.read.schema("address binary, n long, body binary, kind int").parquet(f"{path}/objects").where("kind = 0").drop("kind")
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,30 +305,31 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of ids and CRC of each document from its chunks' sizes and CRCs, in order."""
     for batch in batches:
-        tokens, crcs = [], []
-        for parts in batch.column(1).to_pylist():
-            n = crc = 0
-            for p in parts:
-                crc = combine(crc, p["crc"], 4 * p["size"])
-                n += p["size"]
-            tokens.append(n)
-            crcs.append(crc)
-        yield batch_of(["start", "tokens", "crc"], [batch.column(0), pa.array(tokens, pa.int64()), pa.array(crcs, pa.int64())])
+        if not batch.num_rows:
+            continue
+        sizes, crcs = batch.column(1), batch.column(2)
+        edges = sizes.offsets.to_numpy().astype(np.int64)
+        edges = edges - edges[0]
+        own = sizes.flatten().to_numpy()
+        tokens = np.add.reduceat(own, edges[:-1])
+        yield batch_of(["start", "tokens", "crc"], [batch.column(0), pa.array(tokens, pa.int64()), pa.array(crcs_of_runs(crcs.flatten().to_numpy(), 4 * own, edges), pa.int64())])
 
 
 def verify(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files; damage is an error.
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files; damage or loss is an error.
 
     Every document has an id of its own (its start), as each holds the end id at least.
     """
+    if not check_manifest(spark, path):
+        raise ValueError(f"the recipes of {path} do not agree with its manifest")
     bodies = read_chunks(spark, path).mapInArrow(_checked, "address binary, size long, crc long")
     recipes = read_recipes(spark, path)
     uses = recipes.select("start", "chunks", "root").mapInArrow(_split, "start long, place int, address binary")
     found = uses.join(bodies, "address", "left").select("start", F.struct("place", F.expr("assert_true(size is not null, 'a chunk is missing')").alias("ok"), "size", "crc").alias("c"))
-    # at most the document's own chunks
-    whole = found.groupBy("start").agg(F.array_sort(F.collect_list("c")).alias("c")).select("start", F.transform("c", lambda x: F.struct(x["size"].alias("size"), x["crc"].alias("crc"))).alias("c"))
-    read = whole.mapInArrow(_joined, "start long, tokens long, crc long")
+    whole = found.groupBy("start").agg(F.array_sort(F.collect_list("c")).alias("c"))  # at most the document's own chunks
+    read = whole.select("start", F.col("c.size").alias("sizes"), F.col("c.crc").alias("crcs")).mapInArrow(_joined, "start long, tokens long, crc long")
     good = F.expr("assert_true(tokens = n_tokens, 'a recipe has another number of ids')")
     return recipes.select("doc_id", "start", "n_tokens").join(read, "start").where(good.isNull()).select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
 
@@ -335,9 +350,10 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
 
 def check_manifest(spark: SparkSession, path: str) -> bool:
     """Whether the manifest agrees with the recipe files."""
-    now = manifest_of(read_recipes(spark, path))
-    then = spark.read.parquet(f"{path}/manifest")
-    return not now.exceptAll(then.select(now.columns)).limit(1).count() and not then.select(now.columns).exceptAll(now).limit(1).count()
+    then = spark.read.schema("part int, first long, last long, documents long, tokens long, root binary").parquet(f"{path}/manifest")
+    both = manifest_of(read_recipes(spark, path)).withColumn("now", F.lit(1)).unionByName(then.withColumn("now", F.lit(-1)))
+    differ = both.groupBy("part", "first", "last", "documents", "tokens", "root").agg(F.sum("now").alias("n")).where("n != 0")
+    return differ.isEmpty()
 
 
 def tokenizer_file() -> str:
