@@ -1,20 +1,22 @@
 """Quality by positive-unlabelled learning with a non-negative risk.
 
 Features describe the whole text: shares of character classes and of their pairs, word lengths, repetition of words, lines and
-neighbours.  Positives are trusted labelled documents; the unlabelled ones are documents without a label that may be learnt
-from.  Bad examples are never read.
+neighbours.  Positives are trusted labelled documents.  The unlabelled ones are all other documents that are not held out: labels of bad documents are never read, so these
+stay among the unlabelled as they would without labels.
 
-The class prior is estimated from a first model that tells positives from unlabelled documents: where only positives
-score, the unlabelled share above a threshold divided by the positives' share above it is the prior; the least such ratio over thresholds
-(with a margin for their sampling errors), on documents that this model was not fitted on, is taken.  Then a linear
-model on standardised features minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss; where the second term
+The class prior is the share of positives among all unlabelled documents.  Documents are split in two halves by a hash; a model fitted on a sample of one half tells positives
+from unlabelled documents of the other, so every document is scored by a model that it had no part in.  Where only positives score, the unlabelled share above a threshold
+divided by the positives' share above it is the prior; the least such ratio over thresholds (with a margin for their sampling errors) is taken.  The unlabelled shares are counted over all
+unlabelled documents of the corpus.  An estimate outside LEAST_PRIOR to MOST_PRIOR is set to the nearer of them, and the model says so (``clipped``).
+
+Then a linear model on standardised features minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss; where the second term
 becomes negative, its gradient is reversed, as in the non-negative estimator.
 
-Bounds (parameters): at most ``positives`` + ``unlabelled`` documents are learnt from; all documents are scored.
+Bounds (parameters): models are fitted on at most ``positives`` + ``unlabelled`` documents; the prior is counted on all unlabelled ones, and all documents are scored.
 
-Defined cases: null or empty texts have the features of no characters and are scored like others; repeated rows score alike; labels that are null or
-contradict each other are not learnt from; without positives or unlabelled documents every score is 1; an empty table
-gives an empty table; other columns are never read.
+Defined cases: null or empty texts have the features of no characters and are scored like others; repeated rows score alike, and one row of each doc_id is learnt from;
+null doc_ids are scored, not learnt from, and not held out; labels that are null or contradict each other are not learnt from; without positives, or without any other
+document, there is no model and every score is 1; an empty table gives an empty table; other columns are never read, but pass through ``with_score``.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ from sparkloom.llm.learning import fold, learnable, sample_ids, sigmoid
 from sparkloom.llm.words import NON_SPACE, Words
 
 THRESHOLD = 0.3
+LEAST_PRIOR, MOST_PRIOR = 0.05, 0.98
+#: thresholds at which shares are compared, as quantiles of the positives' scores
+LEVELS = np.linspace(0.02, 0.9, 60)
 
 #: character classes: a-z, A-Z, digits, beyond ASCII, blanks, line ends, . and comma, ! and ?, brackets and quotes, the bar, other symbols
 CLASSES = 11
@@ -87,8 +92,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, prior: float):
-        self.mean, self.scale, self.weights, self.prior = mean, scale, weights, prior
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, prior: float = 0.5, clipped: bool = False):
+        self.mean, self.scale, self.weights, self.prior, self.clipped = mean, scale, weights, prior, clipped
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1]
@@ -111,31 +116,36 @@ def _adam(gradient, d: int, steps: int, rate: float) -> np.ndarray:
     return w
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled, from scores of documents that the scorer was not fitted on."""
-    cuts = np.quantile(positive, np.linspace(0.02, 0.9, 60))
-    p = (positive[:, None] >= cuts).mean(0)
-    u = (unlabelled[:, None] >= cuts).mean(0)
-    error = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
-    best = int(np.argmin((u + error) / np.maximum(p, 1e-9)))
-    return float(np.clip(u[best] / p[best], 0.05, 0.98))
+def _inputs(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Mean and scale of the features, and both kinds standardised with a bias."""
+    mean, scale = _standard(np.concatenate((positive, unlabelled)))
+    one = lambda x: np.concatenate((np.clip((x.astype(float) - mean) / scale, -8, 8), np.ones((len(x), 1))), 1)
+    return mean, scale, one(positive), one(unlabelled)
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, ridge: float = 1e-3, prior: float | None = None) -> Model | None:
-    """Fit on feature rows; None without either kind."""
-    if not len(positive) or not len(unlabelled):
-        return None
-    mean, scale = _standard(np.concatenate((positive, unlabelled)))
-    one = lambda x: np.concatenate((np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))), 1)
-    p, u = one(positive.astype(float)), one(unlabelled.astype(float))
-    if prior is None:
-        a, b = p[::2], u[::2]
+def tell_apart(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+    """A model that tells positives from unlabelled documents."""
+    mean, scale, a, b = _inputs(positive, unlabelled)
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        return b.T @ sigmoid(b @ w) / len(b) - a.T @ sigmoid(-(a @ w)) / len(a) + 0.01 * np.append(w[:-1], 0)
+
+    return Model(mean, scale, _adam(gradient, a.shape[1], 200, 0.05))
+
 
-        def tell(w: np.ndarray) -> np.ndarray:
-            return b.T @ sigmoid(b @ w) / len(b) - a.T @ sigmoid(-(a @ w)) / len(a) + 0.01 * np.append(w[:-1], 0)
+def class_prior(positive: np.ndarray, n_positive: int, unlabelled: np.ndarray, n_unlabelled: int) -> tuple[float, bool]:
+    """The share of positives among the unlabelled, from the shares of both above each threshold; whether it had to be clipped."""
+    error = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(n_positive) + 1 / np.sqrt(n_unlabelled))
+    best = int(np.argmin((unlabelled + error) / np.maximum(positive, 1e-9)))
+    found = float(unlabelled[best] / max(positive[best], 1e-9))
+    prior = float(np.clip(found, LEAST_PRIOR, MOST_PRIOR))
+    return prior, prior != found
 
-        w = _adam(tell, p.shape[1], 200, 0.05)
-        prior = class_prior((p[1::2] if len(p) > 1 else p) @ w, (u[1::2] if len(u) > 1 else u) @ w)
+
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, clipped: bool = False, steps: int = 400, strength: float = 3.0) -> Model:
+    """Minimise the non-negative risk on feature rows; the fewer positives there are, the more the weights are held back."""
+    mean, scale, p, u = _inputs(positive, unlabelled)
+    ridge = strength / len(p)
 
     def risk(w: np.ndarray) -> np.ndarray:
         fp, fu = p @ w, u @ w
@@ -144,31 +154,70 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, ridge:
         below = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
         return (good + bad if below >= 0 else -bad) + ridge * np.append(w[:-1], 0)
 
-    return Model(mean, scale, _adam(risk, p.shape[1], steps, 0.05), prior)
+    return Model(mean, scale, _adam(risk, p.shape[1], steps, 0.05), prior, clipped)
 
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = text_buffers(batch.column(1))
+        data, offsets = text_buffers(batch.column(0))
         for a, b in slices_by_bytes(offsets):
             x = features(data, offsets[a : b + 1])
-            yield batch_of(["positive", "x"], [batch.column(2).slice(a, b - a), pa.array([r.tobytes() for r in x], pa.binary())])
+            yield batch_of(["positive", "half", "x"], [*(c.slice(a, b - a) for c in batch.columns[1:]), pa.array([r.tobytes() for r in x], pa.binary())])
+
+
+def _levels(models: list[Model], cuts: list[np.ndarray]):
+    """doc_id and level of each text: how many thresholds of its half its score reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            half = batch.column(2).to_numpy()
+            level = np.zeros(batch.num_rows, np.int32)
+            for a, b in slices_by_bytes(offsets):
+                x = features(data, offsets[a : b + 1])
+                for h in (0, 1):
+                    own = np.flatnonzero(half[a:b] == h)
+                    level[a + own] = np.searchsorted(cuts[h], models[h].margin(x[own]), side="right")
+            yield batch_of(["doc_id", "level"], [batch.column(0), level])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", positives: int = 6000, unlabelled: int = 12_000) -> Model | None:
-    """Learn from trusted positives and from documents without a usable label, at most so many of each."""
-    ids = learnable(labels, label)
-    good = sample_ids(ids.where("y = 1").select("doc_id"), positives)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"))
-    rest = sample_ids(own.select("doc_id").where("doc_id is not null").where(fold() != 0).join(known, "doc_id", "left_anti"), unlabelled)
-    chosen = good.withColumn("positive", F.lit(1)).union(rest.withColumn("positive", F.lit(0)))
-    rows = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "positive").dropDuplicates(["doc_id"])
-    got = rows.mapInArrow(_features_of, "positive int, x binary").toArrow()
-    x = np.array([np.frombuffer(b.as_py(), np.float32) for b in got.column(1)]).reshape(-1, N_FEATURES)
-    y = got.column(0).to_numpy()
-    order = np.lexsort((*x.T[-3:], y))  # the order of arrival is not fixed
-    return train(x[order][y[order] == 1], x[order][y[order] == 0])
+    """Learn from trusted positives and all other documents that are not held out; models are fitted on at most so many of each."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    trusted = learnable(labels, label).where("y = 1").select("doc_id")
+    half = (F.xxhash64(F.col("doc_id"), F.lit(7)) % 2 != 0).cast("int").alias("half")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").where(fold() != 0)
+    good = sample_ids(own.select("doc_id").join(trusted, "doc_id", "left_semi").distinct(), positives)
+    others = sample_ids(own.select("doc_id").join(trusted, "doc_id", "left_anti").distinct(), unlabelled)
+    chosen = good.withColumn("positive", F.lit(1)).union(others.withColumn("positive", F.lit(0)))  # at most positives + unlabelled rows
+    rows = own.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "positive", half)
+    got = rows.mapInArrow(_features_of, "positive int, half int, x binary").toArrow()
+    x = np.array([np.frombuffer(b.as_py(), np.float32) for b in got.column(2)]).reshape(-1, N_FEATURES)
+    y, halves = got.column(0).to_numpy(), got.column(1).to_numpy()
+    order = np.lexsort((*x.T[-3:], halves, y))  # the order of arrival is not fixed
+    x, y, halves = x[order], y[order], halves[order]
+    p, u = x[y == 1], x[y == 0]
+    if not len(p) or not len(u):
+        return None
+    # a half is judged by the model of the other; where one has not both kinds, all are judged by all
+    sides = [(p[halves[y == 1] == h], u[halves[y == 0] == h]) for h in (0, 1)]
+    if min(len(part) for side in sides for part in side) == 0:
+        sides = [(p, u), (p, u)]
+    models = [tell_apart(*sides[1 - h]) for h in (0, 1)]
+    scores = [models[h].margin(sides[h][0]) for h in (0, 1)]
+    cuts = [np.quantile(s, LEVELS) for s in scores]
+    above = np.mean([np.concatenate([s >= c[i] for s, c in zip(scores, cuts)]) for i in range(len(LEVELS))], axis=1)
+    levels = own.select("doc_id", "text", half).mapInArrow(_levels(models, cuts), "doc_id long, level int")  # ids and levels are shuffled, texts are not
+    counted = levels.join(trusted, "doc_id", "left_anti").groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per level
+    n = np.zeros(len(LEVELS) + 1)
+    for r in counted:
+        n[r["level"]] = r["n"]
+    shares = (n[::-1].cumsum()[::-1] / n.sum())[1:]
+    prior, clipped = class_prior(above, len(p), shares, int(n.sum()))
+    return train(p, u, prior, clipped)
 
 
 def with_score(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
@@ -195,4 +244,4 @@ def op2_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learnt from trusted positives and unlabelled documents."""
     docs = read_table(spark, sf_dir, "documents")
     out = score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

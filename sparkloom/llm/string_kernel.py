@@ -361,4 +361,4 @@ def op8_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learnt from the labels that are not held out."""
     docs = read_table(spark, sf_dir, "documents")
     out = score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
