@@ -7,18 +7,18 @@ of documents are joined with those of the benchmark and hits extended to whole w
 word by word.  Items of fewer words than a window are one window of their own length, fingerprinted with the
 same rule for that length.
 
-The benchmark's fingerprints go to all executors while the benchmark's texts are within ``broadcast_bytes``
-(checked by a sum); beyond that ``contaminate`` joins fingerprints and pairs by shuffles instead.
+The benchmark's fingerprints and windows go to all executors, as flat arrays of about ten times its texts, while these texts are within ``broadcast_bytes``
+(checked by a sum).  Beyond that ``contaminate`` joins fingerprints by a shuffle, then the windows around the hits: only windows are compared, never texts with items,
+and each distinct text is judged once.  Both forms give the same rows.
 
 Defined cases: a null or word-less document has no words and no hits; null or word-less items never occur; items with
-a null id never occur; repeated document rows give repeated result rows; repeated item rows count once by id;
-an empty benchmark gives no hits; other columns are never read.
+a null id never occur; each document row is judged by its own text, whatever other rows have its doc_id, and repeated rows give repeated result rows; repeated item rows count once by id;
+an empty benchmark gives no hits; other columns are never read, but pass through ``without_contaminated``.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +30,7 @@ from sparkloom.llm.words import ALNUM, Words, grams
 
 WINDOW = 13
 #: bytes of benchmark texts up to which their index goes to all executors
-BROADCAST = 64 << 20
+BROADCAST = 16 << 20
 NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -59,80 +59,117 @@ def winnow(words: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarray
     return at, h[at]
 
 
+def canonical(words: Words) -> tuple[bytes, np.ndarray]:
+    """The words of all rows, each followed by one blank, and where they begin."""
+    sizes = words.ends - words.starts
+    ends = np.cumsum(sizes + 1)
+    begins = ends - sizes - 1
+    out = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)
+    total = np.arange(int(sizes.sum()))
+    shift = np.cumsum(sizes) - sizes
+    out[np.repeat(begins - shift, sizes) + total] = words.low[np.repeat(words.starts - shift, sizes) + total]
+    return out.tobytes(), np.append(begins, ends[-1] if len(ends) else 0)
+
+
+def window_places(words: Words, length: int, rows: np.ndarray) -> np.ndarray:
+    """Words at which a window of ``length`` words of one of ``rows`` (a mask) begins."""
+    own = rows & (words.counts >= length)
+    n = np.where(own, words.counts - length + 1, 0)
+    shift = np.cumsum(n) - n
+    return np.repeat(words.first[:-1] - shift, n) + np.arange(int(n.sum()))
+
+
 class Index:
-    """Fingerprints and windows of the benchmark, as plain sorted arrays."""
+    """Fingerprints and windows of the benchmark in flat arrays; ``names`` are the items' ids as strings, in order."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
+    def __init__(self, ids: list[str], data: np.ndarray, offsets: np.ndarray, window: int = WINDOW):
         self.window = window
-        self.by_length: dict[int, dict] = {}
-        found: dict[int, dict[bytes, set]] = defaultdict(lambda: defaultdict(set))
-        hashes: dict[int, dict[bytes, int]] = defaultdict(dict)
-        prints: dict[int, list] = defaultdict(list)
-        for item, text in items:
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            words = Words(data, np.array([0, len(data)]), ALNUM)
-            n = int(words.counts[0])
-            if not n or item is None:
-                continue
-            length = min(n, window)
-            h, low = words.hashes(), words.low.tobytes()
-            each = grams(h, length)
-            for i in range(n - length + 1):
-                key = b" ".join(low[a:b] for a, b in zip(words.starts[i : i + length], words.ends[i : i + length]))
-                found[length][key].add(item)
-                hashes[length][key] = int(each[i])
-            prints[length].append(winnow(h, np.zeros(n, np.int8), length)[1])
-        for length, keys in found.items():
-            order = sorted(keys, key=lambda x, m=hashes[length]: m[x])
+        words = Words(data, offsets, ALNUM)
+        h, rows = words.hashes(), words.row_of_word()
+        names, item = np.unique(np.array(ids, dtype=object).astype(str) if len(ids) else np.zeros(0, str), return_inverse=True)
+        self.names = names.tolist()
+        self.text, at = canonical(words)
+        self.by_length: dict[int, dict[str, np.ndarray]] = {}
+        lengths = np.minimum(words.counts, window)
+        for length in np.unique(lengths[lengths > 0]).tolist():
+            own = lengths == length
+            starts = window_places(words, length, own)
+            hashes = grams(h, length, starts)
+            order = np.argsort(hashes, kind="stable")
+            starts, hashes = starts[order], hashes[order]
+            begins, ends = at[starts], at[starts + length] - 1
+            new = np.ones(len(starts), bool)
+            new[1:] = hashes[1:] != hashes[:-1]
+            group = np.cumsum(new) - 1
+            heads = np.flatnonzero(new)
+            others: dict[bytes, int] = {}  # windows that share a hash with another one
+            for i in np.flatnonzero(~new).tolist():
+                j = heads[group[i]]
+                if self.text[begins[i] : ends[i]] != self.text[begins[j] : ends[j]]:
+                    group[i] = others.setdefault(self.text[begins[i] : ends[i]], len(heads) + len(others))
+            size = len(heads) + len(others)
+            first = np.full(size, len(starts))
+            np.minimum.at(first, group, np.arange(len(starts)))
+            pairs = np.unique(group.astype(np.int64) * len(self.names) + item[rows[starts]])
+            place = np.argsort(hashes[first], kind="stable")
             self.by_length[length] = {
-                "prints": np.unique(np.concatenate(prints[length])),
-                "hashes": np.array([hashes[length][x] for x in order], np.uint64),
-                "texts": order,
-                "items": [sorted(keys[x]) for x in order],
-            }
-
-    def hits(self, words: Words, h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, dict[int, set]]:
-        """Which words are hit, and the items found in each row."""
+                "prints": np.unique(winnow(h[own[rows]], rows[own[rows]], length)[1]), "hashes": hashes[first][place], "group": place.astype(np.int32),
+                "begins": begins[first].astype(np.uint32), "ends": ends[first].astype(np.uint32),
+                "heads": np.searchsorted(pairs, np.arange(size + 1) * len(self.names)).astype(np.uint32), "items": (pairs % max(len(self.names), 1)).astype(np.int32),
+            }
+
+    def hits(self, words: Words, h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """Which words are hit, and the numbers of the items found in each row."""
         delta = np.zeros(len(h) + 1, np.int64)
-        items: dict[int, set] = defaultdict(set)
+        groups: dict[int, dict[int, set[int]]] = {}
         low = None
         for length, own in self.by_length.items():
-            at, prints = winnow(h, rows, length)
-            if not len(at):
-                continue
-            place = np.minimum(np.searchsorted(own["prints"], prints), len(own["prints"]) - 1)
-            at = at[own["prints"][place] == prints]
-            if not len(at):
-                continue
-            # extend: all windows that hold the k-gram at a hit
-            k, w = shape(length)
-            starts = np.unique((at[:, None] - np.arange(w)[None, :]).ravel())
-            starts = starts[(starts >= 0) & (starts + length <= len(h))]
-            starts = starts[rows[starts] == rows[starts + length - 1]]
+            starts = near(own["prints"], h, rows, length)
             if not len(starts):
                 continue
-            near = grams(h, length, starts)
-            first = np.searchsorted(own["hashes"], near, side="left")
-            last = np.searchsorted(own["hashes"], near, side="right")
+            hashes = grams(h, length, starts)
+            first = np.searchsorted(own["hashes"], hashes, side="left")
+            last = np.searchsorted(own["hashes"], hashes, side="right")
             low = words.low.tobytes() if low is None else low
             for i, a, b in zip(*(x[first < last].tolist() for x in (starts, first, last))):
-                s, e = words.starts[i : i + length].tolist(), words.ends[i : i + length].tolist()
-                text = b" ".join(low[x:y] for x, y in zip(s, e))
-                for j in range(a, b):
-                    if own["texts"][j] == text:
+                text = b" ".join(low[x:y] for x, y in zip(words.starts[i : i + length].tolist(), words.ends[i : i + length].tolist()))
+                for j in own["group"][a:b].tolist():
+                    if self.text[own["begins"][j] : own["ends"][j]] == text:
                         delta[i] += 1
                         delta[i + length] -= 1
-                        items[int(rows[i])].update(own["items"][j])
+                        groups.setdefault(int(rows[i]), {}).setdefault(length, set()).add(j)
+        items = {}
+        for row, found in groups.items():
+            lists = [own["items"][own["heads"][j] : own["heads"][j + 1]] for length, js in found.items() for own in (self.by_length[length],) for j in js]
+            items[row] = np.unique(np.concatenate(lists))
         return np.cumsum(delta[:-1]) > 0, items
 
 
-def digest(items: set) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+def near(prints: np.ndarray, h: np.ndarray, rows: np.ndarray, length: int) -> np.ndarray:
+    """Starts of all windows that hold a k-gram whose fingerprint is among ``prints``."""
+    at, own = winnow(h, rows, length)
+    if not len(at) or not len(prints):
+        return np.zeros(0, np.int64)
+    place = np.minimum(np.searchsorted(prints, own), len(prints) - 1)
+    return around(at[prints[place] == own], rows, length)
+
+
+def around(at: np.ndarray, rows: np.ndarray, length: int) -> np.ndarray:
+    """Starts of the windows of one text that hold the k-gram at one of the places."""
+    _, w = shape(length)
+    starts = np.unique((at[:, None] - np.arange(w)[None, :]).ravel())
+    starts = starts[(starts >= 0) & (starts + length <= len(rows))]
+    return starts[rows[starts] == rows[starts + length - 1]]
+
+
+def digest(items: list[str]) -> str:
+    """Of ids in order."""
+    return hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
 def _measure(index: Index, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """Words, hit words, items and the items' digest of each text."""
-    none = digest(set())
+    none = digest([])
     data, offsets = text_buffers(column)
     n = len(column)
     n_words, n_hit, n_items, sha = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [none] * n
@@ -143,7 +180,7 @@ def _measure(index: Index, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np
         hit, items = index.hits(words, words.hashes(), rows)
         n_hit[a:b] = np.bincount(rows[hit], minlength=b - a)
         for row, found in items.items():
-            n_items[a + row], sha[a + row] = len(found), digest(found)
+            n_items[a + row], sha[a + row] = len(found), digest([index.names[i] for i in found.tolist()])
     return n_words, n_hit, n_items, sha
 
 
@@ -158,10 +195,15 @@ def _scan(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield batch_of(NAMES, [batch.column(0), n_words, n_hit, n_items, sha, bad(n_words, n_hit)])
 
 
+def index_of(items: pa.Table, window: int = WINDOW) -> Index:
+    """Of a table of ids (strings) and texts."""
+    return Index(items.column(0).to_pylist(), *text_buffers(items.column(1)), window)
+
+
 def _index(benchmark: DataFrame, window: int, broadcast_bytes: int) -> Index | None:
     """The benchmark's index, if its texts are within the bound."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    return Index([tuple(r) for r in benchmark.collect()], window) if size <= broadcast_bytes else None
+    return index_of(benchmark.select(F.col("item_id").cast("string"), "text").toArrow(), window) if size <= broadcast_bytes else None
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST) -> DataFrame:
@@ -192,8 +234,8 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bro
     return docs.mapInArrow(lambda batches: _scan(shared.value, batches), SCHEMA)
 
 
-def _prints(window: int, lengths: bool):
-    """Fingerprints (length, print) of texts.  For benchmark items only those of their own length."""
+def _prints(window: int, lengths: list[int] | None):
+    """Fingerprints (length, print, at) of texts, for some lengths or (None) for each text only that of its own windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,76 +243,91 @@ def _prints(window: int, lengths: bool):
             for a, b in slices_by_bytes(offsets):
                 words = Words(data, offsets[a : b + 1], ALNUM)
                 h, rows = words.hashes(), words.row_of_word()
-                for length in range(1, window + 1):
-                    if lengths:
-                        own = np.minimum(words.counts, window) == length
-                        keep = own[rows] if len(rows) else np.zeros(0, bool)
-                        at, prints = winnow(h[keep], rows[keep], length)
-                        row = rows[keep][at] if len(at) else at
-                    else:
-                        at, prints = winnow(h, rows, length)
-                        row = rows[at] if len(at) else at
+                for length in lengths or range(1, window + 1):
+                    keep = np.ones(len(h), bool) if lengths else (np.minimum(words.counts, window) == length)[rows]
+                    at, prints = winnow(h[keep], rows[keep], length)
                     if len(at):
-                        ids = batch.column(0).take(pa.array(row.astype(np.int64) + a))
-                        yield batch_of(["id", "length", "print"], [ids, np.full(len(at), length, np.int32), prints.view(np.int64)])
+                        at = np.flatnonzero(keep)[at]
+                        ids = batch.column(0).take(pa.array(rows[at] + a))
+                        yield batch_of(["id", "length", "print", "at"], [ids, np.full(len(at), length, np.int32), prints.view(np.int64), at - words.first[rows[at]]])
 
     return run
 
 
+def _windows_of_items(window: int):
+    """Windows (length, text) of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for a, b in slices_by_bytes(offsets):
+                words = Words(data, offsets[a : b + 1], ALNUM)
+                rows, lengths = words.row_of_word(), np.minimum(words.counts, window)
+                for length in np.unique(lengths[lengths > 0]).tolist():
+                    starts = window_places(words, length, lengths == length)
+                    yield _window_batch(batch.column(0), words, rows, starts, length, a)
+
+    return run
+
+
+def _window_batch(ids: pa.Array, words: Words, rows: np.ndarray, starts: np.ndarray, length: int, base: int) -> pa.RecordBatch:
+    text, at = canonical(words)
+    begins, ends = at[starts].tolist(), (at[starts + length] - 1).tolist()
+    own = pa.array([text[x:y] for x, y in zip(begins, ends)], pa.binary())
+    return batch_of(["id", "length", "window", "at"], [ids.take(pa.array(rows[starts] + base)), np.full(len(starts), length, np.int32), own, starts - words.first[rows[starts]]])
+
+
+def _windows_at_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows around the fingerprints of each text that the benchmark has too: a row per text, with lists of lengths and places."""
+    for batch in batches:
+        data, offsets = text_buffers(batch.column(1))
+        lengths, places = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        for i in range(batch.num_rows):
+            words = Words(data, offsets[i : i + 2], ALNUM)
+            rows = words.row_of_word()
+            of, at = np.array(lengths[i]), np.array(places[i])
+            for length in np.unique(of).tolist():
+                starts = around(at[of == length], rows, length)
+                if len(starts):
+                    yield _window_batch(batch.column(0), words, rows, starts, length, i)
+
+
 def _key() -> Column:
     """Equal texts have one key, whatever their doc_id."""
     return F.sha2(F.coalesce("text", F.lit("")), 256)
 
 
 def _contaminate_shuffled(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """The same result by shuffles: fingerprints are joined, and each candidate pair compared by itself.
+    """The same result by shuffles: fingerprints are joined, then the windows around those in common.
 
-    ``docs``: doc_id, text, __key; the result has __key besides.  Texts are judged once each, by key.  All lengths that items have are winnowed.
+    ``docs``: doc_id, text, __key; the result has __key besides.  Texts are judged once each, by key.
     """
-    schema = "id long, length int, print long"
-    texts = docs.groupBy("__key").agg(F.first("text").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    item_prints = items.mapInArrow(_prints(window, True), schema).distinct().withColumnRenamed("id", "item_id")
-    lengths = [r[0] for r in item_prints.select("length").distinct().collect()]  # at most ``window`` values
-    doc_prints = texts.mapInArrow(_prints(window, False), schema.replace("id long", "id string")).where(F.col("length").isin(lengths)).distinct().withColumnRenamed("id", "__key")
-    pairs = doc_prints.join(item_prints, ["length", "print"]).select("__key", "item_id").distinct()
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, others, spans = [], [], []
-            for doc, item, text, passage in zip(*(c.to_pylist() for c in batch.columns)):
-                index = Index([(item, passage)], window)
-                data = np.frombuffer(text.encode(), np.uint8)
-                words = Words(data, np.array([0, len(data)]), ALNUM)
-                hit, found = index.hits(words, words.hashes(), words.row_of_word())
-                if found:
-                    edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
-                    ids.append(doc)
-                    others.append(item)
-                    spans.append([[int(a), int(b)] for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))])
-            yield batch_of(["__key", "item_id", "spans"], [pa.array(ids, pa.string()), pa.array(others, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64())))])
-
-    found = (
-        pairs.join(texts, "__key").join(items.withColumnRenamed("text", "passage"), "item_id").select("__key", "item_id", "text", "passage")
-        .mapInArrow(compare, "__key string, item_id long, spans array<array<long>>")
-    )
-    words = docs.select("doc_id", "text", "__key").mapInArrow(_count, "doc_id long, n_words long, __key string")
+    prints, windows = "id string, length int, print long, at long", "id string, length int, window binary, at long"
+    texts = docs.select("__key", "text").where("text is not null").dropDuplicates(["__key"])
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    item_prints = items.mapInArrow(_prints(window, None), prints).select("length", "print").distinct()
+    lengths = sorted(r[0] for r in item_prints.select("length").distinct().collect())  # at most ``window`` values
+    # a row per fingerprint of a document: a common one is split by the join (left semi), not gathered
+    common = texts.mapInArrow(_prints(window, lengths or [window]), prints).join(item_prints, ["length", "print"], "left_semi")
+    places = common.groupBy(F.col("id").alias("__key")).agg(F.collect_list("length").alias("lengths"), F.collect_list("at").alias("places"))  # at most the text's own
+    at_hits = texts.join(places, "__key").select("__key", "text", "lengths", "places").mapInArrow(_windows_at_hits, windows)
+    in_items = items.mapInArrow(_windows_of_items(window), windows).groupBy("length", "window").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    found = at_hits.join(in_items, ["length", "window"]).groupBy(F.col("id").alias("__key")).agg(
+        F.array_sort(F.collect_set(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("length")).alias("b")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("ids")
+    )
     # words hit: the length of the union of spans, by a running maximum of their ends
-    spans = found.select("__key", F.explode("spans").alias("s")).groupBy("__key").agg(F.array_sort(F.collect_set(F.struct(F.col("s")[0].alias("a"), F.col("s")[1].alias("b")))).alias("spans"))
     union = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
         lambda acc, s: F.struct(F.greatest(acc["end"], s["b"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(acc["end"], s["a"]))).alias("n")),
         lambda acc: acc["n"],
     )
-    hits = spans.select("__key", union.alias("n_hit"))
-    ids = found.groupBy("__key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
-    empty = F.array().cast("array<string>")
-    out = words.join(hits, "__key", "left").join(ids, "__key", "left")
-    n_hit, found_ids = F.coalesce("n_hit", F.lit(0)), F.coalesce("ids", empty)
+    words = docs.select("doc_id", "text", "__key").mapInArrow(_count, "doc_id long, n_words long, __key string")
+    out = words.join(found.select("__key", union.alias("n_hit"), "ids"), "__key", "left")
+    n_hit, ids = F.coalesce("n_hit", F.lit(0)), F.coalesce("ids", F.array().cast("array<string>"))
     return out.select(
-        "__key", "doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.size(found_ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(found_ids, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        "__key", "doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
