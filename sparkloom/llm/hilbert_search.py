@@ -9,9 +9,9 @@ exact inner product in double precision.
 Equal vectors are one node of the orderings, which stands for its smallest ids (as many as a result can show), so a very
 common vector costs no more than another and ties are exact.
 
-A window is ``coverage`` of all nodes, at least ``least_window``.  Vectors without any structure (independent directions in 64
-dimensions, as in the test tables) need a wide one: with 8 orderings and a coverage of 0.2 the recall of the 20 nearest is 0.95; the work is then in proportion to
-queries x nodes, 1.6 times that of comparing all, and only structured vectors allow a smaller coverage.
+The window follows from the data at every size: SAMPLE queries (those of the least hashes) are compared with all nodes, the distance of ranks at which each of their true neighbours is first
+met in any ordering is taken, and the window is the distance that holds the share TARGET of them.  Vectors in clusters are met in narrow windows.  Vectors without any structure (independent
+directions in 64 dimensions, as in the test tables) are no nearer in an ordering than a fifth of all nodes, so a query then meets more nodes, over all orderings, than there are.
 
 Defined cases: vectors that are null, all zero, of another length than most, or with null or non-finite components take no part, nor do
 null ids; rows repeated with one id and vector count once; a query is never its own neighbour; fewer candidates than asked for give
@@ -30,7 +30,9 @@ from pyspark.sql.window import Window
 from sparkloom.llm.common import batch_of, cut, read_table, small_batches
 from sparkloom.llm.hilbert import hilbert_index, place
 
-ORDERINGS, COVERAGE, LEAST_WINDOW = 8, 0.2, 2000
+ORDERINGS = 8
+#: queries whose true neighbours decide the window, and the share of these that it must hold
+SAMPLE, TARGET = 300, 0.95
 DIMS, BITS = 8, 8
 BLOCK = 8192
 SALTS = 64
@@ -125,8 +127,53 @@ def _block_best(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, asks, k: int = 20, count: int = ORDERINGS, coverage: float = COVERAGE, least_window: int = LEAST_WINDOW, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found for each row of ``vectors`` (vec_id, embedding) that ``asks`` (a condition on vec_id) holds for."""
+def _exact(sample: list[tuple[int, bytes]], k: int):
+    """The k best nodes of a task's rows for each sampled query."""
+    queries = np.array([q for q, _ in sample])
+    own = np.stack([np.frombuffer(v, "<f8") for _, v in sample])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, ids = np.full((len(own), k), -np.inf), np.full((len(own), k), -1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            nodes = batch.column(0).to_numpy()
+            score = own @ np.stack([np.frombuffer(v.as_py(), "<f8") for v in batch.column(1)]).T
+            score[nodes[None, :] == queries[:, None]] = -np.inf
+            score, nodes = np.concatenate((best, score), 1), np.concatenate((ids, np.broadcast_to(nodes, (len(own), len(nodes)))), 1)
+            top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            best, ids = np.take_along_axis(score, top, 1), np.take_along_axis(nodes, top, 1)
+        keep = np.isfinite(best)
+        yield batch_of(["query", "node", "score"], [np.repeat(queries, keep.sum(1)), ids[keep], best[keep]])
+
+    return run
+
+
+def window_for(nodes: DataFrame, ranked: DataFrame, k: int, sample: int, target: float) -> int:
+    """The least distance of ranks that holds the share ``target`` of the true neighbours of sampled queries.  ``nodes``: node, vec, asks; ``ranked``: ordering, rank, node.
+
+    At most ``sample`` queries, ``sample`` * k neighbours and their ranks go to the driver.
+    """
+    chosen = [(r["node"], bytes(r["vec"])) for r in nodes.where("asks").orderBy(F.xxhash64("node"), "node").limit(sample).collect()]
+    if not chosen:
+        return 1
+    top = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+    found = nodes.select("node", "vec").mapInArrow(_exact(chosen, k), "query long, node long, score double")
+    pairs = [(r["query"], r["node"]) for r in found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).select("query", "node").collect()]
+    if not pairs:
+        return 1
+    needed = nodes.sparkSession.createDataFrame([(x,) for x in sorted({x for pair in pairs for x in pair})], "node long")
+    places = {(r["ordering"], r["node"]): r["rank"] for r in ranked.select("ordering", "rank", "node").join(F.broadcast(needed), "node").collect()}
+    orders = sorted({o for o, _ in places})
+    apart = np.min([[abs(places[o, q] - places[o, x]) for q, x in pairs] for o in orders], axis=0)
+    return max(1, int(np.quantile(apart, target, method="higher")))
+
+
+def nearest(vectors: DataFrame, asks, k: int = 20, count: int = ORDERINGS, target: float = TARGET, sample: int = SAMPLE, block: int = BLOCK, window: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest found for each row of ``vectors`` (vec_id, embedding) that ``asks`` (a condition on vec_id) holds for.
+
+    ``window``: ranks to look at on either side, by default what the sampled queries need.
+    """
     spark = vectors.sparkSession
     small_batches(spark)
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -149,10 +196,10 @@ def nearest(vectors: DataFrame, asks, k: int = 20, count: int = ORDERINGS, cover
     keyed = nodes.select("node", "vec", "asks").mapInArrow(_keys(length, count, np.maximum(q / max(n, 1) - centre**2, 0), centre), "ordering int, curve long, node long, asks boolean, vec binary")
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     placed, _, _ = place(keyed.withColumn("zero", F.lit(0).cast("long")), ["ordering", "curve", "node"], "zero", partitions)
-    window = max(int(n * coverage / 2), least_window)
-    size = int(min(block, max(64, window)))
-    last = max(n - 1, 0) // size
     ranked = placed.select("ordering", (F.col("place") - F.col("ordering").cast("long") * n).alias("rank"), "node", "asks", "vec")
+    window = window_for(nodes, ranked, k, sample, target) if window is None else window
+    size = int(min(block, max(64, window // 4)))
+    last = max(n - 1, 0) // size
     # queries of a block are dealt over as many parts as keep a part's number of queries bounded
     parts = max(1, -(-(2 * window + size) // (8 * block)))
     base = ranked.select("ordering", F.floor(F.col("rank") / size).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "node", F.lit(False).alias("asks"), "vec")
