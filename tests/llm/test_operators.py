@@ -2,13 +2,16 @@
 
 import hashlib
 import re
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import text_buffers
 from sparkloom.llm import hilbert, hilbert_search, learning, positive_unlabelled, prefix_tree_join, revisit, string_kernel, style_tree, winnowing
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -173,7 +176,7 @@ def test_search(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 12), (1020, [float("nan")] * 12), (1040, [1.0, None] + [1.0] * 10), (1060, [1.0]), (None, x[0].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = defaultdict(list)
-    for r in hilbert_search.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+    for r in hilbert_search.nearest(df, F.col("vec_id") % 20 == 0, window=1000).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     d = x.astype(float)
     assert sorted(got) == list(range(0, 300, 20))
@@ -186,13 +189,17 @@ def test_search(spark):
     assert hilbert_search.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_recall_of_narrow_windows(spark):
+@pytest.mark.parametrize("spread", [0.3, None])
+def test_recall_of_measured_windows(spark, spread, monkeypatch):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(40, 16)) * 3
-    x = (centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16)) * 0.3).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x = (centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16)) * spread if spread else rng.normal(size=(3000, 64))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "x", 0.5) for i, v in enumerate(x)] + [(7, x[7].tolist(), "y", 0.1)], "vec_id long, embedding array<float>, node string, score double")
+    windows = []
+    own = hilbert_search.window_for
+    monkeypatch.setattr(hilbert_search, "window_for", lambda *a: windows.append(own(*a)) or windows[0])
     got = defaultdict(set)
-    for r in hilbert_search.nearest(df, F.col("vec_id") % 20 == 0, coverage=0.1, least_window=100, block=64).collect():
+    for r in hilbert_search.nearest(df, F.col("vec_id") % 20 == 0, block=64, sample=60).collect():
         got[r.query_id].add(r.vec_id)
     s = x[::20].astype(float) @ x.astype(float).T
     hit = 0
@@ -200,6 +207,7 @@ def test_recall_of_narrow_windows(spark):
         s[k, q] = -np.inf
         hit += len(got[q] & set(np.argsort(-s[k])[:20].tolist()))
     assert hit / (150 * 20) >= 0.9
+    assert (windows[0] < 150) == bool(spread)  # structure makes windows narrow, at one size
 
 
 # ---- classifiers ----
@@ -248,6 +256,43 @@ def test_positive_unlabelled(spark):
     assert positive_unlabelled.fit(d, spark.createDataFrame([], "doc_id long, quality int")) is None
 
 
+def quality_tables(spark, n=900, label_all=False):
+    rng = np.random.default_rng(8)
+    docs = [(i, prose(rng, 60) if i % 3 else " | ".join(prose(rng, 1).upper() for _ in range(60))) for i in range(n)]
+    labels = [(i, int(i % 3 > 0)) for i in range(n) if label_all or (i % 3 and i % 2)]
+    return docs, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+def test_labelled_bad_documents_are_unlabelled_ones(spark):
+    docs, d, labels = quality_tables(spark, label_all=True)
+    model = positive_unlabelled.fit(d, labels)
+    scored = {r.doc_id: r.score for r in positive_unlabelled.score(d, model).collect()}
+    assert sum((scored[i] >= 0.3) != bool(i % 3) for i, _ in docs) <= 0.02 * len(docs)
+    flipped = labels.where("quality = 1")  # labels of bad documents are never read
+    again = {r.doc_id: r.score for r in positive_unlabelled.score(d, positive_unlabelled.fit(d, flipped)).collect()}
+    assert again == scored
+
+
+def test_positive_unlabelled_on_odd_tables(spark):
+    docs, d, labels = quality_tables(spark, 300)
+    good = d.where("doc_id % 3 > 0")
+    everything = good.select("doc_id").withColumn("quality", F.lit(1))
+    only_held_out_left = positive_unlabelled.fit(good, everything)
+    assert only_held_out_left is None  # nothing is unlabelled
+    alike = positive_unlabelled.fit(good, labels)
+    assert alike.prior > 0.6  # unlabelled documents are like the positives
+    assert alike.probability(positive_unlabelled.features(*text_buffers(pa.array([t for i, t in docs if i % 3])))).mean() > 0.5
+    prior, clipped = positive_unlabelled.class_prior(np.linspace(0.98, 0.1, 60), 500, np.zeros(60), 500)
+    assert (prior, clipped) == (positive_unlabelled.LEAST_PRIOR, True)
+    model = positive_unlabelled.fit(d, labels)
+    odd = spark.createDataFrame([(1, docs[1][1], "a", 0.5), (1, docs[1][1], "b", 0.1), (None, docs[1][1], None, None), (3, None, "x", 0.0)], "doc_id long, text string, positive string, score double")
+    found = positive_unlabelled.with_score(odd, model, "__score").collect()
+    assert len({r["__score"] for r in found[:3]}) == 1 and [r.positive for r in found] == ["a", "b", None, "x"]
+    assert positive_unlabelled.fit(d.union(d).withColumn("positive", F.lit("x")).withColumn("half", F.lit(9)), labels).prior > 0  # repeated rows, clashing columns
+    assert positive_unlabelled.score(d.limit(0), model).count() == 0
+    assert positive_unlabelled.fit(d.limit(0), labels) is None and positive_unlabelled.fit(d, labels.limit(0)) is None
+
+
 def test_labels_that_may_be_learnt(spark):
     rows = [(i, i % 2) for i in range(50)] + [(3, 0), (None, 1), (4, None), (6, 7)]
     got = {r.doc_id: r.y for r in learning.learnable(spark.createDataFrame(rows, "doc_id long, y1 int"), "y1").collect()}
@@ -276,12 +321,92 @@ b</pre><aside>Aside</aside><form><input>Send</form></article></main><section cla
 
 def test_page(spark):
     want = "Title & more\n\nFirst <one> line\n\nSecond text\n\nx\n\ny\n\na b"
-    assert style_tree.main_text(PAGE, "http://h.example/1", frozenset()) == want
+    assert style_tree.main_text(PAGE, "http://h.example/1") == want
     odd = ["", "no markup", "<p>unclosed", "<", "a < b > c", "<p title=\"a>b\">x</p>", "<p>&#233;&eacute;&bogus;</p>", "<div>" * 3000 + "deep", "<script>never closed <p>x", "</p></div>text"]
-    got = [style_tree.main_text(x, None, frozenset()) for x in odd]
+    got = [style_tree.main_text(x, None) for x in odd]
     assert got == ["", "no markup", "unclosed", "<", "a < b > c", "x", "éé&bogus;", "deep", "", "text"]
 
 
+ARTICLES = [
+    ('<div class="content-sidebar-wrap"><article><p>a b</p></article></div>', "a b"), ('<div class="page has-sidebar"><main><p>a b</p></main></div>', "a b"), ('<div class="post comments-open"><p>a b</p></div>', "a b"),
+    ('<article><section id="legal-background"><p>a b</p></section></article>', "a b"), ('<article><div class="share-price-report"><p>a b</p></div></article>', "a b"), ("<article><p>Let <math><mi>x</mi></math> be</p></article>", "Let x be"),
+    ('<article><p>a b</p><div class="post-comments"><p>c</p></div><div class="related-posts">d</div><div class="share-buttons">e</div><ul class="nav-links"><li>f</ul></article>', "a b"),
+    ('<form id="frame"><main><p>a b</p><form><input>x</form></main></form>', "a b"), ('<div class="siteHeader">x</div><p>a b</p><div id="cookieNotice">y</div><div class="footer-links">z</div>', "a b"),
+    ('<p>a b</p><div hidden>x</div><div style="display: none">y</div><div role="navigation">z</div><div class="sponsored-content">s</div>', "a b"),
+]
+
+
+def test_names_weigh_only_what_they_name():
+    for html, want in ARTICLES:
+        assert " ".join(style_tree.main_text(html, "http://h.example/1").split()) == want, html
+
+
+def test_deep_pages_take_linear_time():
+    for html in ("<div>" * 20_000 + "deep", "<b>" * 20_000 + "deep", "<div>" * 20_000 + "</section>" * 20_000 + "<td>" * 20_000 + "deep", "<div><header>" * 10_000 + "<article>deep", "<div><p>" * 10_000 + "deep"):
+        start = time.time()
+        assert "deep" in style_tree.main_text(html, "http://h.example/1") or "header" in html
+        root = style_tree.parse(html)
+        style_tree.number(root, 1)
+        assert len(style_tree.evidence(root)) <= 40 * 40_000
+        assert time.time() - start < 10
+
+
+def test_small_hosts_learn_from_the_pool(spark):
+    rng = np.random.default_rng(4)
+    page = lambda host, i: f"<html><body><div class='kx'>Words that all of {host} repeat</div><div class='body{host}'><p>{prose(rng, 30)}</p></div></body></html>"
+    rows = [(1000 * h + i, f"http://h{h}.example/{i}", page(h, i)) for h in range(3) for i in range(20)] + [(9000, "http://lone.example/", page("lone", 0)), (9001, "http://other.example/", page("other", 0).replace("kx", "unknown"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for bound in (1000, 0):
+        got = {r.page_id: r.text for r in style_tree.extract(df, bound).collect()}
+        assert [i for i, t in got.items() if "repeat" in t] == [9001]  # one page, and a class that no other host has
+        assert all(len(t.split()) == 30 for i, t in got.items() if i != 9001)
+    assert all("repeat" in style_tree.main_text(h, u) for _, u, h in rows)  # without the tree
+
+
+def brute_importance(pages):
+    """importance of each node on its host and after backing off, from all features of all pages."""
+    shown, styles, content, place = defaultdict(list), defaultdict(list), defaultdict(list), {}
+    for _, url, html in pages:
+        if not html or not style_tree.site(url):
+            continue
+        root = style_tree.parse(html)
+        style_tree.number(root, style_tree._hash("host", style_tree.site(url)))
+        for node, kind, feature in style_tree.evidence(root):
+            (shown, styles, content)[kind][node].append(feature)
+            if kind == 0:
+                place[node] = feature & ~3
+    entropy = lambda xs, m: -sum(c / m * np.log(c / m) for c in Counter(xs).values()) / np.log(m)
+    own, pools = {}, defaultdict(list)
+    for node, xs in shown.items():
+        m = len(xs)
+        if m > 1:
+            weight = style_tree.DAMPING ** len(set(styles[node]))
+            counts = Counter(content[node])
+            spread = sum(c * np.log(c) / np.log(m) for c in counts.values()) / len(content[node]) if content[node] else 1.0
+            own[node] = (1 - weight) * entropy(styles[node], m) + weight * (1 - spread)
+            if place[node]:
+                pools[place[node]].append((m - 1, own[node]))
+    out = {}
+    for node, xs in shown.items():
+        said = pools.get(place[node], [])
+        pooled = (sum(a * b for a, b in said) + style_tree.POOL_WEIGHT * style_tree.PRIOR) / (sum(a for a, _ in said) + style_tree.POOL_WEIGHT)
+        n = len(xs) - 1
+        out[node] = (n * own.get(node, 0) + style_tree.HOST_WEIGHT * pooled) / (n + style_tree.HOST_WEIGHT)
+    return out
+
+
+def test_importance_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        extra = "".join(f"<div class='c{rng.integers(3)}'><a href='/{rng.integers(5)}'>l</a>{prose(rng, 2)}</div>" for _ in range(int(rng.integers(0, 4))))
+        rows.append((i, f"http://h{i % 7 if i < 50 else i}.example/", f"<body><nav>menu</nav>{extra}<div class='t'>{'same' if i % 2 else prose(rng, 3)}</div></body>"))
+    rows += [rows[3], (None, None, None), (70, "http://h1.example/", "")]
+    got = {r.node: r.importance for r in style_tree.importance(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = brute_importance(rows)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_repeated_branches_go(spark):
     rng = np.random.default_rng(9)
     page = lambda i: f"<html><body><div>Welcome to our site, read on below</div><div class=x{'' if i % 2 else ' '}><p>{prose(rng, 30)}</p><p>{prose(rng, 20)}</p></div><p class=b>All rights are ours</p></body></html>"
