@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
-from sparkloom.functions.text import byte_ids, kinds_by_char
+from sparkloom.functions.text import kind, kinds_by_char, tiles
 from sparkloom.operators.record import FAMILIES, RELATIONS, ROLES, WEAKNESSES
+from sparkloom.operators.tokens import Bytes, byte_offsets  # noqa: F401
 
 PAD, MASK, CLS, SEP = 0, 1, 2, 3
 #: ids below are special tokens
@@ -14,12 +19,6 @@ FIRST_MASKABLE = 16
 SELF = RELATIONS.index("self")
 
 
-def byte_offsets(text: Column) -> Column:
-    """(start, end) character offsets of each byte token: those of its character."""
-    chars = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c, i: F.array_repeat(F.struct(i.alias("start"), (i + 1).alias("end")), F.octet_length(c)))
-    return F.flatten(chars)
-
-
 def windows(df: DataFrame, ids: str, length: int) -> DataFrame:
     """A row per run of ``length`` - 2 tokens: window_start, and the framed ids."""
     width = length - 2
@@ -53,10 +52,22 @@ def target_mask(offsets: Column, a: Column, b: Column) -> Column:
     return F.transform(offsets, lambda o: overlaps(o["start"], o["end"], a, b))
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it (a lambda's body is evaluated for each of its elements)."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def token_kinds(code: Column, offsets: Column) -> Column:
     """The kind of the lexeme over each token's first character; 0 for empty tokens."""
-    kinds = kinds_by_char(code)
-    return F.transform(offsets, lambda o: F.when(o["end"] > o["start"], F.coalesce(F.get(kinds, o["start"]), F.lit(0))).otherwise(0))
+    of = lambda kinds: F.transform(offsets, lambda o: F.when(o["end"] > o["start"], F.coalesce(F.get(kinds, o["start"]), F.lit(0))).otherwise(0))
+    return bound(kinds_by_char(code), of)
+
+
+def lexeme_spans(df: DataFrame, key: str, code: str = "code") -> DataFrame:
+    """key, start, stop, kind of the lexemes of each text: sums of the lengths of its tiles."""
+    tiles_ = df.select(key, F.posexplode(tiles(F.col(code))).alias("pos", "token"))
+    stop = F.sum(F.length("token")).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return tiles_.select(key, (stop - F.length("token")).alias("start"), stop.alias("stop"), kind(F.col("token")).alias("kind")).where("kind != 0")
 
 
 def evidence_roles(offsets: Column, evidence: Column) -> Column:
@@ -79,8 +90,21 @@ def weakness_targets(cwes: Column, known: Column, complete: Column) -> Column:
 
 
 def family_targets(labels: Column) -> Column:
+    """1, 0 or -1 (unknown) for each family; slots beyond them and other values are an error."""
     slots = F.sequence(F.lit(0), F.lit(FAMILIES - 1))
-    return F.transform(slots, lambda i: F.coalesce(F.try_element_at(labels, i.cast("string")).cast("float"), F.lit(-1.0).cast("float")))
+    names = [str(i) for i in range(FAMILIES)]
+    odd = F.exists(F.map_entries(labels), lambda e: ~e["key"].isin(names) | e["value"].isNull() | ~e["value"].isin(0, 1))
+    message = F.concat(F.lit("family labels are 0 or 1 in slots 0 to 11: "), F.to_json(labels))
+    own = F.when(F.coalesce(odd, F.lit(False)), F.raise_error(message).cast("map<string,int>")).otherwise(labels)
+    return F.transform(slots, lambda i: F.coalesce(F.try_element_at(own, i.cast("string")).cast("float"), F.lit(-1.0).cast("float")))
+
+
+def relation_index(name: Column) -> Column:
+    """Number of a relation given by name or by number; an unknown one is an error."""
+    at = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, RELATIONS)), name), F.lit(0)).cast("int") - 1, F.expr("null").cast("int"))
+    number = F.try_to_number(name, F.lit("999")).cast("int")
+    own = F.coalesce(at, F.when(number.between(0, len(RELATIONS) - 1), number))
+    return F.when(own.isNull(), F.raise_error(F.concat(F.lit("unknown relation: "), F.coalesce(name, F.lit("null")))).cast("int")).otherwise(own)
 
 
 def anchored_nodes(nodes: DataFrame, tokens: DataFrame, most: int = 256) -> DataFrame:
@@ -130,31 +154,182 @@ def span_means(vectors: DataFrame, spans: DataFrame) -> DataFrame:
     return met.select("s.rec", "span", F.posexplode("vec").alias("dim", "x")).groupBy("rec", "span", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def encode(records: DataFrame, length: int = 512, pretrain: bool = False) -> DataFrame:
-    """Model rows of canonical records by the byte tokenizer: windows when ``pretrain``, whole records that fit and touch their target otherwise."""
+GRAPH = (
+    "struct<spans:array<struct<lo:int,hi:int>>,neighbors:array<array<struct<node:int,relation:int>>>,token_nodes:array<array<int>>,"
+    "edges:array<struct<src:int,dst:int,relation:int,evidence:int>>>"
+)
+DIAGNOSTICS = "struct<graph_nodes_dropped:int,graph_edges_dropped:int,graph_overlaps_dropped:int>"
+
+
+def _places(groups: np.ndarray) -> np.ndarray:
+    """How many earlier elements are of the same group."""
+    order = np.argsort(groups, kind="stable")
+    sizes = np.unique(groups[order], return_counts=True)[1]
+    out = np.empty(len(groups), np.int64)
+    out[order] = np.arange(len(groups)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return out
+
+
+def window_graph(nodes: np.ndarray, edges: np.ndarray, offsets: np.ndarray, length: int, most_nodes: int, most_neighbours: int, fan: int) -> tuple[dict | None, dict]:
+    """The part of a graph that one window's tokens carry, and what was dropped.
+
+    ``nodes``: rows of (start, end) in a text of ``length`` characters; ``edges``: rows of (source, target, relation, evidence, -1 unknown); ``offsets``: rows of (start, end) per token, empty ones carry nothing.
+    """
+    if ((nodes[:, 0] < 0) | (nodes[:, 0] >= nodes[:, 1]) | (nodes[:, 1] > length)).any():
+        raise ValueError("a graph node's span is not within its text")
+    full = np.flatnonzero(offsets[:, 1] > offsets[:, 0])
+    if not len(full):
+        return None, {"graph_nodes_dropped": len(nodes)}
+    first = np.searchsorted(offsets[full, 1], nodes[:, 0], side="right")
+    last = np.searchsorted(offsets[full, 0], nodes[:, 1], side="left") - 1
+    met = np.flatnonzero(first <= last)
+    held = met[(offsets[full[first[met]], 0] <= nodes[met, 0]) & (offsets[full[last[met]], 1] >= nodes[met, 1])]
+    lo, hi = full[first[held]], full[last[held]] + 1
+    chosen = np.lexsort((held, lo, hi - lo))[:most_nodes]
+    if not len(chosen):
+        return None, {"graph_nodes_dropped": len(nodes)}
+    lo, hi = lo[chosen], hi[chosen]
+    number = np.full(len(nodes), -1)
+    number[held[chosen]] = np.arange(len(chosen))
+    inside = (edges[:, :2] >= 0) & (edges[:, :2] < len(nodes))
+    ends = np.where(inside, number[np.where(inside, edges[:, :2], 0)], -1)
+    both = np.flatnonzero((ends >= 0).all(1))
+    triples = np.concatenate((ends[both], edges[both, 2:3]), 1)
+    fresh = np.sort(np.unique(triples, axis=0, return_index=True)[1]) if len(triples) else np.zeros(0, np.int64)
+    kept = fresh[_places(triples[fresh, 1]) < most_neighbours - 1]
+    if not np.isin(edges[both[kept], 3], (-1, 0, 1)).all():
+        raise ValueError("an edge's evidence is 0, 1 or unknown")
+    neighbours: list[list[dict]] = [[{"node": i, "relation": SELF}] for i in range(len(chosen))]
+    out = []
+    for (src, dst, relation), evidence in zip(triples[kept].tolist(), edges[both[kept], 3].tolist()):
+        neighbours[dst].append({"node": src, "relation": relation})
+        out.append({"src": src, "dst": dst, "relation": relation, "evidence": evidence})
+    widths = hi - lo
+    tokens = np.repeat(lo - (np.cumsum(widths) - widths), widths) + np.arange(int(widths.sum()))
+    room = _places(tokens) < fan
+    token_nodes: list[list[int]] = [[] for _ in range(len(offsets))]
+    for t, i in zip(tokens[room].tolist(), np.repeat(np.arange(len(chosen)), widths)[room].tolist()):
+        token_nodes[t].append(i)
+    spans = [{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist())]
+    dropped = {"graph_nodes_dropped": len(nodes) - len(chosen), "graph_edges_dropped": len(edges) - len(both) + len(fresh) - len(kept), "graph_overlaps_dropped": int((~room).sum())}
+    return {"spans": spans, "neighbors": neighbours, "token_nodes": token_nodes, "edges": out}, dropped
+
+
+def with_window_graphs(df: DataFrame, out: str, graph: str, offsets: str, length: str, most_nodes: int, most_neighbours: int, fan: int = 4) -> DataFrame:
+    """``df`` with ``out``, a struct of graph and diagnostics (both null without nodes), of the columns ``graph``, ``offsets`` and ``length``.  Edges have their relations as numbers."""
+    at = [df.columns.index(c) for c in (graph, offsets, length)]
+    kind = T._parse_datatype_string(f"struct<graph:{GRAPH},diagnostics:{DIAGNOSTICS}>")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
+
+    def pairs(rows, *names: str) -> np.ndarray:
+        return np.array([[-1 if r[n] is None else r[n] for n in names] for r in rows or ()], np.int64).reshape(-1, len(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        for batch in batches:
+            found = []
+            if batch.column(at[0]).null_count == batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, to_arrow_type(kind))], names=[*batch.schema.names, out])
+                continue
+            for g, o, n in zip(*(batch.column(i).to_pylist() for i in at)):
+                own = drops = None
+                if g and g["nodes"]:
+                    own, drops = window_graph(pairs(g["nodes"], "start", "end"), pairs(g["edges"], "src", "dst", "type", "evidence"), pairs(o, "start", "end"), n, most_nodes, most_neighbours, fan)
+                found.append({"graph": own, "diagnostics": drops})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, to_arrow_type(kind))], names=[*batch.schema.names, out])
+
+    return df.mapInArrow(run, schema)
+
+
+def _side(of, tokens: Column, code_hash: Column, chars: Column, length: int, pretrain: bool) -> dict[str, Column]:
+    """Columns of one encoded window of a record; ``of`` gives the record's fields, ``tokens`` the window's start, ids, offsets and kinds, and n, the number of all the record's tokens."""
+    zero = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))
+    span, none = F.coalesce(of("target_span"), F.struct(F.lit(0).alias("start"), chars.alias("end"))), F.array(F.lit(0))
+    inner = target_mask(tokens["offsets"], span["start"], span["end"])
+    offsets = F.concat(zero, tokens["offsets"], zero)
+    unknown = lambda n: F.array(*[F.lit(-1.0).cast("float")] * n)
+    known = lambda c, kind: F.lit(-1).cast(kind) if pretrain else F.coalesce(of(c).cast(kind), F.lit(-1).cast(kind))
+    edge = F.array(F.lit(False))
+    evidence = F.coalesce(of("evidence"), F.array().cast("array<struct<start:int,end:int,roles:map<string,int>>>"))
+    graph = of("graph")
+    numbered = F.struct(
+        graph["nodes"].alias("nodes"),
+        F.transform(graph["edges"], lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), relation_index(e["type"]).alias("type"), e["evidence"].alias("evidence"))).alias("edges"),
+    )
+    return {
+        "id": F.concat(of("id"), F.lit(":window"), tokens["start"].cast("string")) if pretrain else of("id"), "group_id": of("group_id"), "repo": of("repo"), "split": of("split"), "code_hash": code_hash,
+        "input_ids": F.concat(F.array(F.lit(CLS)), tokens["ids"], F.array(F.lit(SEP))), "offsets": offsets, "kind_ids": F.concat(none, tokens["kinds"], none),
+        "role_ids": F.concat(none, F.transform(inner, lambda x: F.when(x, 1).otherwise(2)), none), "language": F.lower(F.coalesce(of("language"), F.lit("c"))).isin("c++", "cpp").cast("int"),
+        "target_mask": F.concat(edge, inner, edge), "label": known("label", "int"), "adequate": known("adequate", "int"), "teacher_probability": known("teacher_probability", "double"),
+        "weight": F.coalesce(of("weight"), F.lit(1.0)), "cwe": unknown(len(WEAKNESSES)) if pretrain else weakness_targets(of("cwes"), of("known_cwes"), of("cwe_complete")),
+        "family": unknown(FAMILIES) if pretrain else family_targets(of("family_labels")),
+        "roles": F.array_repeat(unknown(len(ROLES)), F.size(offsets)) if pretrain else evidence_roles(offsets, evidence),
+        "raw_graph": F.when(graph.isNotNull(), numbered), "code_length": chars, "input_was_windowed": F.lit(pretrain) & (tokens["n"] + 2 > length),
+    }
+
+
+def _windows_of(tokens: Column, length: int, pretrain: bool) -> Column:
+    """An array of a record's windows, each with its own tokens only: all for pretraining, else the one of a record that fits."""
+    part = F.lit(length - 2)
+
+    def cut(t: Column) -> Column:
+        n = F.size(t["ids"])
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, part)) if pretrain else F.when((n > 0) & (n + 2 <= length), F.array(F.lit(0)))
+        return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(t["ids"], s + 1, part).alias("ids"), F.slice(t["offsets"], s + 1, part).alias("offsets"), F.slice(t["kinds"], s + 1, part).alias("kinds"), n.alias("n")))
+
+    return bound(tokens, cut)
+
+
+def encode(records: DataFrame, length: int = 512, pretrain: bool = False, tokenizer=None, most_nodes: int = 256, most_neighbours: int = 16) -> DataFrame:
+    """Model rows of canonical records: windows when ``pretrain``, whole records that fit and touch their target otherwise.
+
+    Besides the columns of a window: ``roles`` per token, ``graph`` (what the window's tokens carry of the record's graph) with ``diagnostics``, ``window_start``, and for verified pairs ``mate``
+    (the other record's row) with ``pair_relation``.  A pair whose mate does not fit is left out.  When ``pretrain`` nothing supervised is kept.
+    """
     if length < 8 or length % 8:
         raise ValueError("length must be a multiple of 8, 8 at least")
-    df = records.withColumn("ids", byte_ids(F.col("code"))).withColumn("all_offsets", byte_offsets(F.col("code"))).withColumn("kinds", token_kinds(F.col("code"), F.col("all_offsets")))
-    if not pretrain:
-        df = df.where(fits("ids", length))
-    df = windows(df, "ids", length)
-    width = F.lit(length - 2)
-    part = lambda c: F.slice(c, F.col("window_start") + 1, width)
-    zero = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))
-    span = F.col("target_span")
-    df = df.withColumn("offsets", F.concat(zero, part("all_offsets"), zero)).withColumn("inner", target_mask(part("all_offsets"), span["start"], span["end"]))
+    paired = not pretrain and "mate" in records.columns
+    mate = F.col("mate") if paired else None
+    texts = {"__own": F.col("code")} | ({"__other": mate["code"]} if paired else {})
+    df = (tokenizer or Bytes()).tokens(records, texts)
+    tokens = lambda n: F.struct(F.col(n)["ids"].alias("ids"), F.col(n)["offsets"].alias("offsets"), token_kinds(texts[n], F.col(n)["offsets"]).alias("kinds"))
+    # all tokens of a record are cut to windows inside a generator, so that no later step computes or carries them again
+    df = df.withColumns({"__hash": F.sha2("code", 256), "__chars": F.length("code")}).withColumn("__w", F.explode(_windows_of(tokens("__own"), length, pretrain))).drop("__own")
+    own = _side(F.col, F.col("__w"), F.col("__hash"), F.col("__chars"), length, pretrain)
+    columns = [*[c.alias(n) for n, c in own.items()], F.col("__w.start").alias("window_start")]
+    if paired:
+        df = df.withColumns({"__mate_hash": F.sha2(mate["code"], 256), "__mate_chars": F.length(mate["code"])}).withColumn("__v", F.explode_outer(_windows_of(tokens("__other"), length, False)))
+        df = df.where(mate.isNull() | F.col("__v").isNotNull())
+        other = _side(lambda n: mate[n], F.col("__v"), F.col("__mate_hash"), F.col("__mate_chars"), length, False)
+        columns += [F.when(mate.isNotNull(), F.struct(*[c.alias(n) for n, c in other.items() if n not in ("raw_graph", "code_length")])).alias("mate"), F.when(mate.isNotNull(), F.col("pair_relation")).alias("pair_relation")]
+        columns += [F.when(mate.isNotNull(), other[n]).alias(f"__mate_{n}") for n in ("raw_graph", "code_length", "offsets")]
+    df = df.select(*columns)
+    touched = lambda c: F.exists(c, lambda x: x)
     if not pretrain:
-        df = df.where(F.exists("inner", lambda x: x))
-    edge = F.array(F.lit(False))
-    known = lambda c, kind: F.lit(-1).cast(kind) if pretrain else F.coalesce(F.col(c).cast(kind), F.lit(-1).cast(kind))
-    unknown = lambda n: F.array_repeat(F.lit(-1.0).cast("float"), n)
-    return df.select(
-        (F.concat("id", F.lit(":window"), F.col("window_start").cast("string")) if pretrain else F.col("id")).alias("id"), "group_id", "repo", "split", F.sha2("code", 256).alias("code_hash"),
-        "input_ids", "offsets", F.concat(F.array(F.lit(0)), part("kinds"), F.array(F.lit(0))).alias("kind_ids"),
-        F.concat(F.array(F.lit(0)), F.transform("inner", lambda x: F.when(x, 1).otherwise(2)), F.array(F.lit(0))).alias("role_ids"),
-        F.lower(F.coalesce("language", F.lit("c"))).isin("c++", "cpp").cast("int").alias("language"), F.concat(edge, F.col("inner"), edge).alias("target_mask"),
-        known("label", "int").alias("label"), known("adequate", "int").alias("adequate"), known("teacher_probability", "double").alias("teacher_probability"), "weight",
-        (unknown(len(WEAKNESSES)) if pretrain else weakness_targets(F.col("cwes"), F.col("known_cwes"), F.col("cwe_complete"))).alias("cwe"),
-        (unknown(FAMILIES) if pretrain else family_targets(F.col("family_labels"))).alias("family"),
-        (F.lit(pretrain) & (F.size("ids") + 2 > length)).alias("input_was_windowed"),
-    )
+        df = df.where(touched(F.col("target_mask")))
+    if paired:
+        df = df.where(F.col("mate").isNull() | touched(F.col("mate")["target_mask"]))
+    df = with_window_graphs(df, "__mapped", "raw_graph", "offsets", "code_length", most_nodes, most_neighbours)
+    df = df.withColumns({"graph": F.col("__mapped")["graph"], "diagnostics": F.col("__mapped")["diagnostics"]}).drop("__mapped", "raw_graph", "code_length")
+    if paired:
+        df = with_window_graphs(df, "__mapped", "__mate_raw_graph", "__mate_offsets", "__mate_code_length", most_nodes, most_neighbours)
+        other = F.col("mate").withField("graph", F.col("__mapped")["graph"]).withField("diagnostics", F.col("__mapped")["diagnostics"])
+        df = df.withColumn("mate", F.when(F.col("mate").isNotNull(), other)).drop("__mapped", "__mate_raw_graph", "__mate_offsets", "__mate_code_length")
+    return df
+
+
+def gathered(values: DataFrame, picks: DataFrame) -> DataFrame:
+    """The values (rec, k, vec) that picks (rec, place, k) name: rec, place, vec."""
+    return picks.join(values, ["rec", "k"]).select("rec", "place", "vec")
+
+
+def graph_aggregate(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """One hop over a graph: rec, d, dim, x, the sum of the neighbours' vectors weighted by the softmax of the scores of the edges into each node.
+
+    ``edges``: rec, d, s, score; ``values``: rec, k, vec.
+    """
+    scaled = edges.withColumn("w", F.exp(F.col("score") - F.max("score").over(Window.partitionBy("rec", "d"))))
+    weights = scaled.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("rec", "d")))
+    met = weights.join(values.withColumnRenamed("k", "s"), ["rec", "s"])
+    return met.select("rec", "d", "w", F.posexplode("vec").alias("dim", "v")).groupBy("rec", "d", "dim").agg(F.sum(F.col("w") * F.col("v").cast("double")).alias("x"))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from sparkloom.functions.text import bce, sigmoid, softplus
 from sparkloom.operators.ranks import with_rank
+from sparkloom.operators.storage import cut
 
 
 def known(df: DataFrame, label: str = "label") -> DataFrame:
@@ -45,8 +46,7 @@ def ranking(df: DataFrame, label: str = "label", p: str = "p", by: list[str] | N
     by = by or []
     g = known(df, label).groupBy(*by, F.col(p).alias("p")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(label).cast("double").alias("pos"))
     if not by:
-        g = g.repartitionByRange("p").withColumn("part", F.spark_partition_id())
-        g = _fixed(g)
+        g, _ = cut(g.repartitionByRange("p").withColumn("part", F.spark_partition_id()), "scores")  # so that partition numbers stay what they are
         parts = g.groupBy("part").agg(F.sum("n").alias("part_n"), F.sum("pos").alias("part_pos"))
         later = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
         parts = parts.select("part", F.coalesce(F.sum("part_n").over(later), F.lit(0.0)).alias("above_n"), F.coalesce(F.sum("part_pos").over(later), F.lit(0.0)).alias("above_pos"))
@@ -64,11 +64,16 @@ def ranking(df: DataFrame, label: str = "label", p: str = "p", by: list[str] | N
     return sums.select(*by, F.when(both, F.col("ap") / F.col("np")).alias("auprc"), F.when(both, F.col("area") / F.col("np") / F.col("nn")).alias("auroc"))
 
 
-def _fixed(df: DataFrame) -> DataFrame:
-    """Written once, so that partition numbers stay what they are."""
-    from sparkloom.operators.components import _written
-
-    return _written(df)[0]
+def _top_score(scores: DataFrame, allowed: int) -> float:
+    """The score at place ``allowed`` (from 0), highest first.  ``scores``: p, count.  Ranges of scores are ordered by their counts on the driver, one of them by its scores."""
+    ranged, _ = cut(scores.repartitionByRange("p").withColumn("part", F.spark_partition_id()), "scores")
+    above = 0
+    for r in ranged.groupBy("part").agg(F.sum("count").alias("n")).orderBy(F.desc("part")).collect():  # a row per partition
+        if above + r["n"] > allowed:
+            part = ranged.where(F.col("part") == r["part"]).withColumn("upto", F.sum("count").over(Window.orderBy(F.desc("p"))))
+            return part.where(F.col("upto") > allowed - above).agg(F.max("p")).first()[0]
+        above += r["n"]
+    raise ValueError("there are no so many scores")
 
 
 def fpr_threshold(df: DataFrame, target: float, label: str = "label", p: str = "p") -> float:
@@ -79,18 +84,41 @@ def fpr_threshold(df: DataFrame, target: float, label: str = "label", p: str = "
     n = scores.agg(F.sum("count")).first()[0]
     if not n:
         raise ValueError("a threshold needs negatives")
-    allowed = min(int(np.floor(target * n)), n - 1)
-    # only the few top scores are ordered: as many as may be passed
-    top = scores.orderBy(F.desc("p")).limit(allowed + 1).withColumn("upto", F.sum("count").over(Window.orderBy(F.desc("p"))))
-    return float(np.nextafter(top.where(F.col("upto") > allowed).agg(F.max("p")).first()[0], np.inf))
+    return float(np.nextafter(_top_score(scores, min(int(np.floor(target * n)), n - 1)), np.inf))
 
 
 def recall_at(df: DataFrame, target: float, label: str = "label", p: str = "p") -> DataFrame:
+    """threshold, recall and vd_score (its complement) at a false-positive rate; null without negatives or positives."""
+    if df.where(F.col(label) == 0).isEmpty():
+        return df.sparkSession.createDataFrame([(None, None, None)], "threshold double, recall double, vd_score double")
     threshold = fpr_threshold(df, target, label, p)
     hit = F.count_if((F.col(label) == 1) & (F.col(p) >= threshold))
     return df.agg(ratio(hit, F.count_if(F.col(label) == 1)).alias("recall")).select(F.lit(threshold).alias("threshold"), "recall", (1 - F.col("recall")).alias("vd_score"))
 
 
+#: false-positive rates at which recall is reported
+RATES = {"recall_at_fpr_1pct": 0.01, "recall_at_fpr_0.1pct": 0.001}
+
+
+def binary_metrics(df: DataFrame, threshold: float = 0.5, label: str = "label", p: str = "p") -> dict:
+    """All figures of scores against labels: counts and rates at ``threshold``, ranking, and recall at fixed false-positive rates (where there are negatives).
+
+    Without known labels only n, auprc and auroc (null).
+    """
+    data = known(df, label)
+    counts = confusion(data, threshold, label, p).first().asDict()
+    if not counts["n"]:
+        return {"n": 0, "auprc": None, "auroc": None}
+    out = counts | ranking(data, label, p).first().asDict()
+    if counts["fp"] + counts["tn"]:
+        for name, rate in RATES.items():
+            out[name] = recall_at(data, rate, label, p).first()["recall"]
+        out["vd_score"] = None if out["recall_at_fpr_1pct"] is None else 1 - out["recall_at_fpr_1pct"]
+    else:
+        out.pop("zero_fp_95pct_upper_bound")
+    return out
+
+
 def bootstrap_ap(df: DataFrame, group: str, label: str = "label", p: str = "p", repetitions: int = 200, seed: int = 17) -> DataFrame:
     """low, high: 2.5 and 97.5 % of the average precision over resampled groups.
 
@@ -141,21 +169,48 @@ def supervision(targets: DataFrame) -> DataFrame:
     return targets.groupBy("head", "slot").agg(F.count_if(F.col("target") > 0.5).alias("positive"), F.count_if((F.col("target") >= 0) & (F.col("target") <= 0.5)).alias("negative"))
 
 
+def merged_supervision(*counts: DataFrame) -> DataFrame:
+    """The sum of several supervision counts."""
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out.groupBy("head", "slot").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
+
+
 def supported_slots(counts: DataFrame) -> DataFrame:
     return counts.where("positive > 0 and negative > 0").select("head", "slot")
 
 
+def mean_loss(parts: DataFrame, loss: str = "loss", n: str = "n") -> DataFrame:
+    """validation_loss: the sum of losses over their number of terms (tokens or records), 0 without any; and that number.  ``parts``: sums of losses and their n."""
+    total = F.coalesce(F.sum(n), F.lit(0))
+    return parts.agg((F.coalesce(F.sum(loss), F.lit(0.0)) / F.greatest(total, F.lit(1))).alias("validation_loss"), total.alias("n"))
+
+
+def tokens_seen(steps: DataFrame, run: str = "run", tokens: str = "tokens") -> DataFrame:
+    """``steps`` (run, step, tokens) with the tokens seen up to and with each step."""
+    return steps.withColumn("seen", F.sum(tokens).over(Window.partitionBy(run).orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
 def learning_rate_factor(step: Column, seen: Column, warmup: int = 200, most_steps: int = 1000, target_tokens: int = 0, floor: float = 0.1) -> Column:
+    """Linear up to ``warmup`` (1 at least), then a cosine down to ``floor``, by tokens seen where there is a target, else by steps."""
+    warmup = max(1, warmup)
     done = seen / float(target_tokens) if target_tokens else (step - warmup) / float(max(1, most_steps - warmup))
     done = F.least(F.greatest(done, F.lit(0.0)), F.lit(1.0))
-    return F.when(step <= warmup, step / float(max(1, warmup))).otherwise(floor + (1 - floor) * 0.5 * (1 + F.cos(F.lit(np.pi) * done)))
+    return F.when(step <= warmup, step / float(warmup)).otherwise(floor + (1 - floor) * 0.5 * (1 + F.cos(F.lit(np.pi) * done)))
 
 
 def progress(steps: DataFrame, run: str = "run", min_delta: float = 0.0) -> DataFrame:
     """Per run, in order of step: whether a score is a new best (by more than ``min_delta``), and bad evaluations since.  ``steps``: run, step, score.
 
-    The rule depends on its own past, so each run's evaluations (a few thousand) are folded in order.
+    Without a delta the best so far is a running maximum.  With one the rule depends on its own past, so each run's evaluations (a few thousand) are folded in order.
     """
+    if min_delta == 0:
+        w = Window.partitionBy(run).orderBy("step")
+        top = F.max("score").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        rows = steps.select(run, F.col("step").cast("bigint").alias("step"), F.col("score").cast("double").alias("score"), F.coalesce(F.col("score") > top, F.lit(True)).alias("is_best"), F.row_number().over(w).alias("__n"))
+        best = F.max(F.when(F.col("is_best"), F.col("__n"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return rows.withColumn("bad", F.col("__n") - best).drop("__n")
     rows = steps.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("step", "score"))).alias("s"))
     none = F.array().cast("array<struct<step:bigint,score:double,is_best:boolean,bad:int>>")
 
@@ -170,7 +225,8 @@ def progress(steps: DataFrame, run: str = "run", min_delta: float = 0.0) -> Data
 
 
 def retained(checkpoints: DataFrame, run: str = "run", keep: int = 3) -> DataFrame:
-    """The last ``keep`` checkpoints of a run, and its best (the earliest of equals).  ``checkpoints``: run, step, score."""
+    """The last ``keep`` checkpoints of a run (the newest one always), and its best (the earliest of equals).  ``checkpoints``: run, step, score."""
+    keep = max(1, keep)
     last = F.row_number().over(Window.partitionBy(run).orderBy(F.desc("step")))
     best = F.row_number().over(Window.partitionBy(run).orderBy(F.desc("score"), "step"))
     return checkpoints.withColumn("__last", last).withColumn("__best", best).where((F.col("__last") <= keep) | (F.col("__best") == 1)).drop("__last", "__best")
@@ -178,7 +234,7 @@ def retained(checkpoints: DataFrame, run: str = "run", keep: int = 3) -> DataFra
 
 def calibrated(df: DataFrame, temperature: float, bias: float, threshold: float, logit: str = "logit") -> DataFrame:
     """probability of logit / temperature + bias, and whether it reaches the threshold."""
-    return df.withColumn("probability", sigmoid(F.col(logit) / temperature + bias)).withColumn("status", F.when(F.col("probability") >= threshold, "finding_candidate").otherwise("no_finding"))
+    return df.withColumn("probability", sigmoid(F.col(logit) / temperature + bias)).withColumn("status", F.when(F.col("probability") >= threshold, "finding_candidate").otherwise("no_finding_under_supplied_context"))
 
 
 def fit_calibration(df: DataFrame, logit: str = "logit", label: str = "label", steps: int = 25) -> tuple[float, float]:

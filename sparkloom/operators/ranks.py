@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.operators.components import _written
+from sparkloom.operators.storage import cut
 
 
 def with_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
@@ -14,7 +14,7 @@ def with_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     Rows are range-partitioned and written, so that a row's partition stays the same; one count per partition goes to the driver.
     """
     partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged, _ = _written(df.repartitionByRange(partitions, *order).withColumn("__part", F.spark_partition_id()))
+    ranged, _ = cut(df.repartitionByRange(partitions, *order).withColumn("__part", F.spark_partition_id()), "ranked")
     before, starts = 0, []
     for r in ranged.groupBy("__part").count().orderBy("__part").collect():
         starts.append((r["__part"], before))

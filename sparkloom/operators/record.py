@@ -35,10 +35,15 @@ CORE = _struct(
 CANONICAL = T.StructType([*CORE.fields, T.StructField("mate", CORE), T.StructField("pair_relation", T.StringType()), T.StructField("pair_verified", T.BooleanType()), T.StructField("extra", T.MapType(T.StringType(), T.StringType()))])
 
 
-def completed(df: DataFrame) -> DataFrame:
-    """All canonical columns, absent ones null, and the defaults of id, weight and target span."""
+def core(**fields: Column) -> Column:
+    """A record without a mate as a struct; fields that are not given are null."""
+    return F.struct(*[fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in CORE.fields])
+
+
+def completed(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """All canonical columns, absent ones null, the defaults of id, weight and target span, and the columns to ``keep`` besides."""
     have = set(df.columns)
-    out = df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in CANONICAL.fields])
+    out = df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in CANONICAL.fields], *(keep or []))
     whole = F.struct(F.lit(0).alias("start"), F.length("code").alias("end"))
     return out.withColumns({"id": F.coalesce("id", F.sha2("code", 256)), "weight": F.coalesce("weight", F.lit(1.0)), "target_span": F.coalesce("target_span", whole)})
 
@@ -67,9 +72,9 @@ def violations(of=F.col, paired: bool = True) -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules]), lambda x: x.isNotNull())
 
 
-def validated(df: DataFrame, strict: bool = True) -> DataFrame:
+def validated(df: DataFrame, strict: bool = True, keep: list[str] | None = None) -> DataFrame:
     """The completed records; a broken one is an error, or with ``strict`` off gets its broken rules in ``violations``."""
-    out = completed(df).withColumn("violations", violations())
+    out = completed(df, keep).withColumn("violations", violations())
     if not strict:
         return out
     message = F.concat(F.col("id"), F.lit(": "), F.array_join("violations", ", "))

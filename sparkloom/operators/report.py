@@ -14,7 +14,7 @@ def findings(df: DataFrame, length: int, temperature: float | None, bias: float
     whole = fits("__ids", length)
     df = df.withColumn("__ids", byte_ids(F.col("code")))
     if temperature is None:
-        return df.select("id", F.when(whole, "uncalibrated").otherwise("insufficient_context").alias("status"), F.lit(None).cast("double").alias("probability"))
+        return df.select("id", F.when(whole, "uncalibrated_risk_score").otherwise("insufficient_context").alias("status"), F.lit(None).cast("double").alias("probability"))
     out = calibrated(df, temperature, bias, threshold)
     return out.select("id", F.when(whole, F.col("status")).otherwise("insufficient_context").alias("status"), F.when(whole, F.col("probability")).alias("probability"))
 
@@ -38,3 +38,8 @@ def weight_decay_applies(name: Column, dims: Column) -> Column:
     for part in ("token.", "kind.", "role.", "language.", "relation.", "bias."):
         exempt = exempt | name.contains(part)
     return (dims >= 2) & ~exempt
+
+
+def rate_scale(name: Column, heads: float = 1.0) -> Column:
+    """Factor of the learning rate of a parameter: heads may have one of their own."""
+    return F.when(name.startswith("heads."), F.lit(heads)).otherwise(F.lit(1.0))

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from sparkloom.functions.text import fingerprint, partition_of, repo_identity, unit_hash
 from sparkloom.operators.components import connected_components
+from sparkloom.operators.record import validated
+from sparkloom.operators.storage import cut
 
 PARTITIONS = ["train", "validation", "calibration", "test"]
 
@@ -35,9 +37,9 @@ def identity_keys(of=F.col, by_repo: bool = True, repo: Column | None = None, fp
 
 def with_aliases(df: DataFrame, aliases: DataFrame, column: str = "repo", most: int = 1_000_000) -> DataFrame:
     """``column`` replaced by its canonical name (aliases: repo, canonical); a checked small table is broadcast, a larger one joined."""
-    known = aliases.select(F.col("repo").alias("__repo"), F.col("canonical").alias("__canonical"))
+    known = aliases.select(F.col("repo").alias("__alias"), F.col("canonical").alias("__canonical"))
     known = F.broadcast(known) if known.limit(most + 1).count() <= most else known
-    return df.join(known, F.col(column) == F.col("__repo"), "left").withColumn(column, F.coalesce("__canonical", column)).drop("__repo", "__canonical")
+    return df.join(known, F.col(column) == F.col("__alias"), "left").withColumn(column, F.coalesce("__canonical", column)).drop("__alias", "__canonical")
 
 
 def components(keyed: DataFrame, anchor: str = "anchor", keys: str = "keys") -> DataFrame:
@@ -54,9 +56,26 @@ def contradictions(df: DataFrame, fp: str = "fp", label: str = "label") -> DataF
 
 
 def best_of_each(df: DataFrame, key: str, score: Column, ordinal: str) -> DataFrame:
-    """One row per key: the highest score, the first of equals."""
-    w = Window.partitionBy(key).orderBy(score.desc(), F.col(ordinal))
-    return df.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
+    """One row per key: the highest score, the first of equals.  Winners are found by a partial aggregation of (key, score, ordinal), so no task sorts a key's rows."""
+    best = df.groupBy(key).agg(F.min_by(F.struct(*[c for c in df.columns if c != key]), F.struct((-score).alias("s"), F.col(ordinal).alias("o"))).alias("__best"))
+    return best.select(*[F.col(key) if c == key else F.col("__best")[c].alias(c) for c in df.columns])
+
+
+def counted(rows: DataFrame, fp: str = "fp", label: str = "label", ordinal: str = "ordinal") -> DataFrame:
+    """split (but for components: by fingerprint alone) and n per label, of narrow rows (fp, label, ordinal), in one aggregation by fingerprint.
+
+    Contradictory fingerprints keep all their rows, the others their best one.
+    """
+    known = F.col(label).isNotNull()
+    one = rows.groupBy(fp).agg(
+        F.min(label).alias("lo"), F.max(label).alias("hi"), F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1"), F.count_if(~known).alias("nn"),
+        F.min_by(label, F.struct((~known).cast("int").alias("s"), F.col(ordinal).alias("o"))).alias("best"),
+    )
+    aside = F.array(*[F.struct(F.lit("quarantine").alias("split"), F.lit(y).cast("int").alias("label"), F.col(n).alias("n")) for y, n in ((0, "n0"), (1, "n1"), (None, "nn"))])
+    part = partition_of(unit_hash(17, F.concat(F.lit("lex:"), fp)))
+    kept = F.array(F.struct(part.alias("split"), F.col("best").cast("int").alias("label"), F.lit(1).cast("long").alias("n")))
+    rows = one.select(F.inline(F.when(F.col("lo") != F.col("hi"), aside).otherwise(kept)))
+    return rows.where("n > 0").groupBy("split", "label").agg(F.sum("n").alias("n"))
 
 
 def score(has_mate: Column, label: Column, evidence: Column) -> Column:
@@ -66,61 +85,123 @@ def score(has_mate: Column, label: Column, evidence: Column) -> Column:
 def split_corpus(records: DataFrame, seed: int = 17, by_repo: bool = True, respect_splits: bool = False, aliases: DataFrame | None = None) -> DataFrame:
     """Records with split (a partition or quarantine), split_component and fp; duplicates are left out.
 
-    ``records``: canonical columns and an ``ordinal``.
+    ``records``: canonical columns and an ``ordinal`` that tells rows apart.  Code is read and fingerprinted once; all decisions are made on a narrow table, which then meets the records by ordinal.
     """
     has_mate = "mate" in records.columns
-    df = records.withColumn("fp", fingerprint(F.col("code"))).withColumn("__repo", repo_identity(F.col("repo")))
+    df = records.withColumn("__repo", repo_identity(F.col("repo")))
     if aliases is not None:
         df = with_aliases(df, aliases, "__repo")
+    fp, mate = fingerprint(F.col("code")), F.col("mate") if has_mate else None
     keys = identity_keys(F.col, by_repo, F.col("__repo"), F.col("fp"))
+    evidence = F.col("evidence") if "evidence" in records.columns else F.lit(None).cast("array<int>")
+    narrow = df.withColumns({
+        "fp": fp, "mate_fp": F.when(mate.isNotNull(), fingerprint(mate["code"])) if has_mate else F.lit(None).cast("string"), "mate_label": mate["label"] if has_mate else F.lit(None).cast("int"),
+        "score": score(mate.isNotNull() if has_mate else F.lit(False), F.col("label"), evidence),
+    })
     if has_mate:
-        mate = F.col("mate")
-        df = df.withColumn("mate_fp", F.when(mate.isNotNull(), fingerprint(mate["code"])))
         keys = F.array_distinct(F.concat(keys, F.when(mate.isNotNull(), identity_keys(lambda n: mate[n], by_repo)).otherwise(F.array().cast("array<string>"))))
-    df = df.withColumn("keys", keys).withColumn("anchor", F.concat(F.lit("group:"), F.col("group_id")))
-    roots = components(df)
-    judged = df.select("fp", "label")
+    given = F.col("split") if respect_splits else F.lit(None).cast("string")
+    narrow, _ = cut(narrow.select("ordinal", "fp", "mate_fp", "label", "mate_label", "score", given.alias("given"), F.concat(F.lit("group:"), F.col("group_id")).alias("anchor"), keys.alias("keys")), "split")
+    roots = components(narrow).withColumnRenamed("key", "anchor")
+    judged = narrow.select("fp", "label")
     if has_mate:
-        judged = judged.union(df.where("mate is not null").select("mate_fp", F.col("mate")["label"]))
+        judged = judged.union(narrow.where("mate_fp is not null").select("mate_fp", "mate_label"))
     bad = contradictions(judged.where("label is not null"))
-    own = df.join(bad.withColumn("__own", F.lit(True)), "fp", "left")
-    set_aside = F.coalesce("__own", F.lit(False))
+    own = narrow.join(bad.withColumn("__own", F.lit(True)), "fp", "left")
+    aside = F.coalesce("__own", F.lit(False))
     if has_mate:
         own = own.join(bad.select(F.col("fp").alias("mate_fp"), F.lit(True).alias("__mate")), "mate_fp", "left")
-        set_aside = set_aside | F.coalesce("__mate", F.lit(False))
-    own = own.withColumn("__aside", set_aside)
-    evidence = F.col("evidence") if "evidence" in records.columns else F.lit(None).cast("array<int>")
-    kept = best_of_each(own.where("not __aside"), "fp", score(F.col("mate").isNotNull() if has_mate else F.lit(False), F.col("label"), evidence), "ordinal")
-    both = kept.unionByName(own.where("__aside"))
-    placed = both.join(roots.withColumnRenamed("key", "anchor"), "anchor")
+        aside = aside | F.coalesce("__mate", F.lit(False))
+    own = own.select("ordinal", "fp", "score", "anchor", aside.alias("aside"))
+    kept = best_of_each(own.where("not aside"), "fp", F.col("score"), "ordinal").unionByName(own.where("aside"))
+    placed = kept.join(roots, "anchor")
     part = partition_of(unit_hash(seed, F.col("root")))
     if respect_splits:
-        given = df.where("split is not null").join(roots.withColumnRenamed("key", "anchor"), "anchor").groupBy("root").agg(F.min("split").alias("given"), F.max("split").alias("__other"))
+        told = narrow.where("given is not null").join(roots, "anchor").groupBy("root").agg(F.min("given").alias("given"), F.max("given").alias("__other"))
         overlap = F.raise_error(F.concat(F.lit("given partitions overlap in one component: "), F.col("given"), F.lit(", "), F.col("__other"))).cast("string")
         unknown = F.raise_error(F.concat(F.lit("unknown partition: "), F.col("given"))).cast("string")
-        given = given.select("root", F.when(F.col("given") != F.col("__other"), overlap).when(~F.col("given").isin(PARTITIONS), unknown).otherwise(F.col("given")).alias("given"))
-        placed = placed.join(given, "root", "left")
+        told = told.select("root", F.when(F.col("given") != F.col("__other"), overlap).when(~F.col("given").isin(PARTITIONS), unknown).otherwise(F.col("given")).alias("given"))
+        placed = placed.join(told, "root", "left")
         part = F.coalesce("given", part)
-    out = placed.withColumn("split", F.when(F.col("__aside"), "quarantine").otherwise(part)).withColumn("split_component", F.sha2("root", 256))
-    extra = ["__repo", "__own", "__mate", "__aside", "keys", "anchor", "root", "given", "mate_fp"]
-    return out.drop(*[c for c in extra if c in out.columns])
+    made = placed.select("ordinal", "fp", F.when(F.col("aside"), "quarantine").otherwise(part).alias("split"), F.sha2("root", 256).alias("split_component"))
+    return records.drop("fp", "split", "split_component").join(made, "ordinal")
+
+
+def component_sizes(records: DataFrame, by: str = "split_component") -> DataFrame:
+    """components: how many have a record; largest: the most records that one has."""
+    return records.groupBy(by).count().agg(F.count(F.lit(1)).alias("components"), F.max("count").alias("largest"))
 
 
 def leaks(rows: DataFrame, most: int | None = 100) -> DataFrame:
     """key, first_split, first_id, split, id: records whose key was first seen in another partition.
 
-    ``rows``: key, split, id, ordinal.  The first id shown is the latest earlier record of the first partition.
+    ``rows``: key, split, id, ordinal.  The first id shown is the latest earlier record of the first partition.  Only keys that occur in several partitions are looked at; their rows are
+    range-partitioned by (key, ordinal), so that a very common key is spread over tasks: the latest id inside a range comes from a window, the one of earlier ranges from a row per range.
     """
-    whole = Window.partitionBy("key").orderBy("ordinal")
-    earlier = whole.rowsBetween(Window.unboundedPreceding, -1)
-    seen = rows.withColumn("first_split", F.first("split").over(whole)).withColumn("first_id", F.last(F.when(F.col("split") == F.col("first_split"), F.col("id")), ignorenulls=True).over(earlier))
-    found = seen.where("split != first_split").select("key", "first_split", "first_id", "split", "id", "ordinal")
+    spark = rows.sparkSession
+    first = rows.groupBy("key").agg(F.min_by("split", "ordinal").alias("first_split"), F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo != hi").select("key", "first_split")
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    seen, _ = cut(rows.select("key", "split", "id", "ordinal").join(first, "key").repartitionByRange(partitions, "key", "ordinal").withColumn("part", F.spark_partition_id()), "leaks")
+    own = Window.partitionBy("key", "part").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.last(F.when(F.col("split") == F.col("first_split"), F.col("id")), ignorenulls=True).over(own)
+    last = seen.where("split = first_split").groupBy("key", "part").agg(F.max_by("id", "ordinal").alias("last_id"))
+    ranges = seen.select("key", "part").distinct().join(last, ["key", "part"], "left")
+    before = F.last("last_id", ignorenulls=True).over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row per range
+    found = seen.withColumn("inside", inside).where("split != first_split").join(ranges.select("key", "part", before.alias("before")), ["key", "part"])
+    found = found.select("key", "first_split", F.coalesce("inside", "before").alias("first_id"), "split", "id", "ordinal")
     return found if most is None else found.orderBy("ordinal", "key").limit(most)
 
 
-def audit(records: DataFrame, by_repo: bool = True) -> None:
-    """An error if records of one identity stand in different partitions."""
-    rows = records.select(F.explode(identity_keys(F.col, by_repo)).alias("key"), "split", "id", "ordinal")
-    first = leaks(rows, 1).collect()
-    if first:
-        raise ValueError(f"leak: {first[0].asDict()}")
+def unknown_partitions(records: DataFrame) -> DataFrame:
+    """Records without one of the four partitions."""
+    return records.where(F.col("split").isNull() | ~F.col("split").isin(PARTITIONS))
+
+
+def concatenated(*tables: DataFrame) -> DataFrame:
+    """All rows of several tables, in their order: the ordinal becomes (table, ordinal); columns that one lacks are null there."""
+    out = None
+    for i, t in enumerate(tables):
+        own = t.withColumn("ordinal", F.struct(F.lit(i).alias("table"), F.col("ordinal").alias("row")))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
+def audit_report(*tables: DataFrame, by_repo: bool = True, aliases: DataFrame | None = None, most: int = 100) -> dict:
+    """passed, and examples (kind, partitions, ids) of records of one identity in different partitions, over all tables; unknown partitions are an error."""
+    records = concatenated(*tables)
+    wrong = unknown_partitions(records).select("id", "split").first()
+    if wrong:
+        raise ValueError(f"record {wrong['id']} has no known partition: {wrong['split']}")
+    df = records.withColumn("__repo", repo_identity(F.col("repo")))
+    if aliases is not None:
+        df = with_aliases(df, aliases, "__repo")
+    keys = identity_keys(F.col, by_repo, F.col("__repo"))
+    if "mate" in records.columns:
+        mate = F.col("mate")
+        keys = F.array_distinct(F.concat(keys, F.when(mate.isNotNull(), identity_keys(lambda n: mate[n], by_repo)).otherwise(F.array().cast("array<string>"))))
+    rows = df.select(F.explode(keys).alias("key"), "split", "id", "ordinal")
+    found = [{"kind": r["key"].split(":", 1)[0], "partitions": [r["first_split"], r["split"]], "ids": [r["first_id"], r["id"]]} for r in leaks(rows, most).collect()]
+    return {"passed": not found, "examples": found}
+
+
+def audit(*tables: DataFrame, by_repo: bool = True, aliases: DataFrame | None = None) -> dict:
+    """The report; an error if it did not pass."""
+    report = audit_report(*tables, by_repo=by_repo, aliases=aliases)
+    if not report["passed"]:
+        raise ValueError(f"leak: {report['examples'][0]}")
+    return report
+
+
+def split_files(tables: list[DataFrame], path: str, seed: int = 17, by_repo: bool = True, respect_splits: bool = False, aliases: DataFrame | None = None) -> dict:
+    """Checked records of all tables, dealt to partitions and written to a folder for each (an existing target is an error); counts by partition, and component sizes.
+
+    ``tables``: canonical columns and an ordinal.
+    """
+    records = concatenated(*tables)
+    checked = validated(records, keep=["ordinal"])
+    out = split_corpus(checked, seed, by_repo, respect_splits, aliases)
+    out.drop("ordinal").write.mode("errorifexists").partitionBy("split").parquet(path)
+    written = records.sparkSession.read.parquet(path)
+    counts = {r["split"]: r["count"] for r in written.groupBy("split").count().collect()}  # five rows
+    sizes = component_sizes(written).first()
+    return {"records": counts, "components": sizes["components"], "largest_component_records": sizes["largest"] or 0}

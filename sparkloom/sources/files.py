@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import sqlite3
 
@@ -56,6 +57,57 @@ def content_hash(df: DataFrame) -> dict[str, int | str]:
     return {"rows": n, "xor": x or 0, "sum": str(s or 0)}
 
 
+def text_hash(df: DataFrame, column: str) -> DataFrame:
+    """rows, xor and sum of the first 60 bits of each text's SHA-256: a hash that other engines can check."""
+    bits = F.conv(F.substring(F.sha2(column, 256), 1, 15), 16, 10).cast("long")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(bits).alias("xor"), F.sum(bits.cast("decimal(38,0)")).cast("string").alias("sum"))
+
+
+def write_document(spark: SparkSession, path: str, value: dict) -> None:
+    """One JSON document, whole or not at all: written beside its place and renamed.  Numbers that are not finite are an error."""
+    text = json.dumps(value, sort_keys=True, ensure_ascii=False, allow_nan=False)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, part = hadoop.Path(path), hadoop.Path(f"{path}.part")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = system.create(part, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if system.exists(target):
+        system.delete(target, True)
+    if not system.rename(part, target):
+        raise OSError(f"{path} could not be written")
+
+
+def read_document(spark: SparkSession, path: str) -> dict:
+    return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def append_event(spark: SparkSession, path: str, event: dict) -> None:
+    """A line of a log that only grows."""
+    spark.createDataFrame([(json.dumps(event, allow_nan=False),)], "value string").coalesce(1).write.mode("append").text(path)
+
+
+def read_events(spark: SparkSession, path: str) -> list[dict]:
+    return [json.loads(r[0]) for r in spark.read.text(path).collect()]
+
+
+def read_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """repo, canonical of a document that maps repository identities."""
+    return spark.createDataFrame(sorted(read_document(spark, path).items()), "repo string, canonical string")
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """path and sha256 of the files under a path."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def files_hash(spark: SparkSession, path: str) -> str:
+    """One hash of all files under a path, whatever their names: of their own hashes in order."""
+    return hashlib.sha256("".join(sorted(r["sha256"] for r in file_hashes(spark, path).select("sha256").collect())).encode()).hexdigest()
+
+
 def write_table(df: DataFrame, path: str, **about) -> dict:
     """A table with a manifest beside it."""
     df.write.mode("errorifexists").parquet(path)
@@ -63,13 +115,13 @@ def write_table(df: DataFrame, path: str, **about) -> dict:
     manifest = {**about, **content_hash(spark.read.parquet(path))}
     if not manifest["rows"]:
         raise ValueError("no rows")
-    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}.manifest")
+    write_document(spark, f"{path}.manifest", manifest)
     return manifest
 
 
 def read_table_checked(spark: SparkSession, path: str) -> DataFrame:
     """The table, after its rows were compared with its manifest."""
-    manifest = json.loads(spark.read.text(f"{path}.manifest").first()[0])
+    manifest = read_document(spark, f"{path}.manifest")
     df = spark.read.parquet(path)
     if content_hash(df) != {k: manifest[k] for k in ("rows", "xor", "sum")}:
         raise ValueError(f"{path} differs from its manifest")

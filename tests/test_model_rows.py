@@ -31,11 +31,11 @@ def test_unknown_is_not_negative(spark):
 
 def test_epochs(spark):
     df = spark.range(500).select(F.col("id"), (F.col("id") * 37 % 100).alias("n"))
-    got = batch.epoch_batches(df, "n", 8, 17, 0, shards=2, block=4)
+    got = batch.epoch_batches(df, "n", 8, 17, 0, shard_rows=250, block=4)
     a, b = got.orderBy("batch", "slot").collect(), got.orderBy("batch", "slot").collect()
     assert a == b and sorted(r.id for r in a) == list(range(500))
     assert batch.resumed(got, 10).orderBy("batch", "slot").collect() == [r for r in a if r.batch >= 10]
-    assert [r.id for r in batch.epoch_batches(df, "n", 8, 17, 1, shards=2, block=4).orderBy("batch", "slot").collect()] != [r.id for r in a]
+    assert [r.id for r in batch.epoch_batches(df, "n", 8, 17, 1, shard_rows=250, block=4).orderBy("batch", "slot").collect()] != [r.id for r in a]
 
 
 def test_masking(spark):

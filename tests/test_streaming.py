@@ -2,10 +2,9 @@
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import graph_source, report
+from sparkloom.operators import report
 from sparkloom.streaming import ingest
 
 
@@ -19,12 +18,6 @@ def test_ingest(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
-def test_graphs_without_a_compiler():
-    assert graph_source.syntax_graph("int x;", compiler="no-such-compiler") == (None, "unavailable")
-    with pytest.raises(ValueError):
-        graph_source.syntax_graph("int x;", options=("-fplugin=x",))
-
-
 def test_evidence_report(spark):
     df = spark.createDataFrame([("a", "x\ny\nz", [(0, 1, "use", 0.2), (4, 5, "guard", 0.9), (2, 3, "use", 0.9)])], "id string, code string, evidence array<struct<start:int,end:int,role:string,score:double>>")
     got = [(r.rank, r.role, r.line) for r in report.top_evidence(df, 2).orderBy(F.col("rank")).collect()]
