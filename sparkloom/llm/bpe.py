@@ -186,7 +186,7 @@ def split_texts(texts: list[str]) -> list[list[str]]:
 class Merges(dict):
     """slice -> ids as little-endian unsigned 32-bit integers; new slices are merged, and kept while there is room."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 200_000):
         super().__init__()
         self.ranks, self.most = ranks, most
 

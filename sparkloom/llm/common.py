@@ -1,53 +1,26 @@
-"""Session helpers shared by the operators: shared storage, Arrow batches and table reads."""
+"""Helpers shared by the operators: table reads and Arrow batches; shared storage is that of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from sparkloom.operators.storage import cut, new_path, remove, shared_dir  # noqa: F401
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``).
-
-    Only a session on one machine (``local[...]``) may leave it unset; it then gets a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder and reread it: ends lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete tables written by ``cut`` that no pending plan reads any more."""
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -80,7 +53,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def slices_by_bytes(offsets: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices_by_bytes(offsets: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes (or one longer row), covering all rows."""
     n, start = len(offsets) - 1, 0
     while start < n:

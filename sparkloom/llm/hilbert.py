@@ -138,9 +138,15 @@ def hilbert_shards(docs: DataFrame, dims: list[str], shards: int = SHARDS, law:
 
 
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id") -> None:
-    """The rows of ``docs`` as one folder per shard, in curve order inside each file; keys must be unique here."""
+    """The rows of ``docs`` as one folder per shard, in curve order inside each file; keys must be unique here.  Large shards are dealt over tasks in ranges of slots."""
     placed = docs.join(assigned.select(F.col("doc_id").alias(key), "curve", "shard", "slot"), key)
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def file_ranges(spark: SparkSession, path: str, dims: list[str]) -> DataFrame:
+    """file, rows, and the least and greatest value of each dimension: what a reader can prune by."""
+    sides = [f(d).alias(f"{n}_{d}") for d in dims for f, n in ((F.min, "min"), (F.max, "max"))]
+    return spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"), *sides)
 
 
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

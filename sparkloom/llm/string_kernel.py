@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm.common import append, read_table, small_batches
+from sparkloom.llm.common import append, batch_of, read_table, small_batches
 from sparkloom.llm.learning import fold, learnable, platt, sample_ids, sigmoid, squared_hinge
 
 ORDER, GAPS, DECAY = 4, 2, 0.6
@@ -152,7 +152,7 @@ class Machine:
         return sigmoid(self.a * f + self.b)
 
 
-def _kernel(words: list[str], landmarks: list[str], chunk: int = 1000) -> np.ndarray:
+def _kernel(words: list[str], landmarks: list[str], chunk: int = 150) -> np.ndarray:
     """Kernel values [word, landmark]: only occurrences whose entry some landmark has are followed."""
     rows, columns, values = [], [], []
     for j, mark in enumerate(landmarks):
@@ -186,28 +186,32 @@ def _kernel(words: list[str], landmarks: list[str], chunk: int = 1000) -> np.nda
     return out
 
 
-def _seeds(bags: list[list[str]], y: np.ndarray) -> dict[str, float]:
+def _seeds(vocabulary: list[str], bags: list[np.ndarray], y: np.ndarray) -> dict[int, float]:
     """Words of toxic bags with the significance of their best beginning."""
     def beginnings(word: str) -> Iterable[str]:
         return (word[:n] for n in range(3, min(len(word), 8) + 1))
 
     in_toxic, in_clean = Counter(), Counter()
     for bag, label in zip(bags, y):
-        (in_toxic if label else in_clean).update({g for w in bag for g in beginnings(w)})
+        if label:
+            in_toxic.update({g for i in bag.tolist() for g in beginnings(vocabulary[i])})
+    in_toxic = Counter({g: n for g, n in in_toxic.items() if n > 1})  # others are never significant
+    for bag, label in zip(bags, y):
+        if not label:
+            in_clean.update({g for i in bag.tolist() for g in beginnings(vocabulary[i]) if g in in_toxic})
     p, n = float((y == 1).sum()), float((y == 0).sum())
     share = p / (p + n)
 
-    @lru_cache(None)
     def z(g: str) -> float:
         a, b = in_toxic[g], in_clean[g]
         return (a - share * (a + b)) / np.sqrt(share * (1 - share) * (a + b) + 0.5) if a > 1 else 0.0
 
-    best: dict[str, float] = {}
+    best: dict[int, float] = {}
     for bag, label in zip(bags, y):
         if label:
-            for w in bag:
-                if w not in best:
-                    best[w] = max((z(g) for g in beginnings(w)), default=0.0)
+            for i in bag.tolist():
+                if i not in best:
+                    best[i] = max((z(g) for g in beginnings(vocabulary[i])), default=0.0)
     return best
 
 
@@ -221,31 +225,43 @@ def _with_insertion(word: str, rng: np.random.Generator) -> str:
     return (word[:at] + letter + word[at:])[:LONGEST]
 
 
+def bag_of(text: str | None) -> set[str]:
+    """The distinct segments of a text."""
+    return {s for t in tokens(text or "") for s in segments(t) if s}
+
+
 def train(texts: list[str], y: np.ndarray, landmarks: int = 400, rounds: int = 4, seed: int = 7) -> Machine | None:
     """Fit on labelled documents; None without both classes."""
-    y = np.asarray(y)
-    if not (y == 1).any() or not (y == 0).any():
+    bags = [sorted(bag_of(x)) for x in texts]
+    return train_bags(pa.array([w for bag in bags for w in bag], pa.string()).dictionary_encode(), np.array([len(b) for b in bags]), np.asarray(y), landmarks, rounds, seed)
+
+
+def train_bags(words: pa.DictionaryArray, sizes: np.ndarray, y: np.ndarray, landmarks: int = 400, rounds: int = 4, seed: int = 7) -> Machine | None:
+    """Fit on the distinct segments of labelled documents, one document's after another's."""
+    if not (y == 1).any() or not (y == 0).any() or not len(words):
         return None
     rng = np.random.default_rng(seed)
-    bags = [sorted({s for t in tokens(x or "") for s in segments(t) if s}) for x in texts]
-    vocabulary = sorted({w for bag in bags for w in bag})
-    if not vocabulary:
-        return None
-    ids = {w: i for i, w in enumerate(vocabulary)}
-    owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    flat = np.array([ids[w] for b in bags for w in b])
-    starts = np.searchsorted(owner, np.arange(len(bags)))
-    filled = np.array([len(b) > 0 for b in bags])
+    names = words.dictionary.to_pylist()
+    by_name = sorted(range(len(names)), key=names.__getitem__)
+    vocabulary = [names[i] for i in by_name]
+    place = np.empty(len(names), np.int64)
+    place[by_name] = np.arange(len(names))
+    flat = place[words.indices.to_numpy()]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    flat = flat[np.lexsort((flat, owner))]
+    starts = np.cumsum(sizes) - sizes
+    filled = sizes > 0
+    bags = np.split(flat, starts[1:])
     in_clean = np.bincount(flat[y[owner] == 0], minlength=len(vocabulary))
     ordinary = np.flatnonzero(in_clean)
     if not len(ordinary):
         return None
-    strength = _seeds(bags, y)
+    strength = _seeds(vocabulary, bags, y)
     toxic: Counter = Counter()  # segment -> toxic bags that it stands for
     for bag, label in zip(bags, y):
         if label:
-            ranked = sorted(((strength[w], w) for w in bag if not in_clean[ids[w]]), reverse=True)[:4]
-            toxic.update(ids[w] for z, w in ranked if z >= max(2.0, 0.7 * ranked[0][0]))
+            ranked = sorted(((strength[i], i) for i in bag.tolist() if not in_clean[i]), reverse=True)[:4]
+            toxic.update(i for z, i in ranked if z >= max(2.0, 0.7 * ranked[0][0]))
     common = ordinary[np.argsort(-in_clean[ordinary], kind="stable")][:1500]
     clean = set(common.tolist()) | set(rng.choice(ordinary, min(len(ordinary), 2000), replace=False).tolist())
     machine, worst = None, common
@@ -284,7 +300,7 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 400, rounds: int = 4
         worst = ordinary[np.argsort(-(np.maximum(0, 1 + f[ordinary]) * np.sqrt(in_clean[ordinary])), kind="stable")][:half]
         toxic = Counter({i: n for i, n in toxic.items() if f[i] > -0.5})
         for i in np.flatnonzero((y == 1) & filled):
-            own = flat[starts[i] : starts[i] + len(bags[i])]
+            own = bags[i]
             own = own[(in_clean[own] == 0) & (f[own] >= max(0.0, best[i] - 0.3))]
             toxic.update({int(j): 1 for j in own if int(j) not in toxic})
     return machine
@@ -293,11 +309,13 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = 400, rounds: int = 4
 _cache: dict[int, dict[str, float]] = {}
 
 
-def _scores(shared, most: int = 400_000):
-    """A function from a text column to scores; scores of tokens are kept by each worker while there is room."""
+def _scores(shared, most: int = 200_000):
+    """A function from a text column to scores; scores of tokens are kept by each worker while there is room, for one machine at a time."""
 
     def run(column: pa.Array) -> np.ndarray:
         machine: Machine | None = shared.value
+        if shared.id not in _cache:
+            _cache.clear()
         known = _cache.setdefault(shared.id, {})
         texts = column.to_pylist()
         if machine is None:
@@ -315,13 +333,22 @@ def _scores(shared, most: int = 400_000):
     return run
 
 
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch_of(["y", "bag"], [batch.column(1), pa.array([sorted(bag_of(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))])
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", toxic: int = 2000, clean: int = 4000) -> Machine | None:
     """Learn from at most ``toxic`` + ``clean`` labelled documents that are not held out."""
     ids = learnable(labels, label)
     chosen = sample_ids(ids.where("y = 1"), toxic).union(sample_ids(ids.where("y = 0"), clean))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")
-    got = rows.select("text", "y").toArrow()
-    return train(got.column(0).to_pylist(), got.column(1).to_numpy())
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")  # chosen: toxic + clean rows at most
+    got = rows.select("text", "y").mapInArrow(_bags, "y int, bag array<string>").toArrow()
+    bags, y = got.column(1).combine_chunks(), got.column(0).to_numpy()
+    if not len(bags):
+        return None
+    return train_bags(bags.flatten().dictionary_encode(), bags.value_lengths().to_numpy(), y)
 
 
 def with_score(docs: DataFrame, machine: Machine | None, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ of documents are joined with those of the benchmark and hits extended to whole w
 word by word.  Items of fewer words than a window are one window of their own length, fingerprinted with the
 same rule for that length.
 
-The benchmark's fingerprints and windows go to all executors, as flat arrays of about ten times its texts, while these texts are within ``broadcast_bytes``
+The benchmark's fingerprints and windows go to all executors, as flat arrays of about five times its texts, while these texts are within ``broadcast_bytes``
 (checked by a sum).  Beyond that ``contaminate`` joins fingerprints by a shuffle, then the windows around the hits: only windows are compared, never texts with items,
 and each distinct text is judged once.  Both forms give the same rows.
 
@@ -25,12 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparkloom.llm.common import append, batch_of, read_table, slices_by_bytes, small_batches, text_buffers
+from sparkloom.llm.common import append, batch_of, free_name, read_table, slices_by_bytes, small_batches, text_buffers
 from sparkloom.llm.words import ALNUM, Words, grams
 
 WINDOW = 13
-#: bytes of benchmark texts up to which their index goes to all executors
-BROADCAST = 16 << 20
+#: bytes of benchmark texts up to which their index goes to all executors: it is about five times as large, and 45 times as large while it is made
+BROADCAST = 8 << 20
 NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -212,13 +212,15 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     index = _index(items, window, broadcast_bytes)
     if index is None:
-        keyed = docs.withColumn("__key", _key())
-        own = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__key")
-        gone = _contaminate_shuffled(own, items, window).where("contaminated").select("__key").distinct()
-        return keyed.join(gone, "__key", "left_anti").drop("__key")
+        key = free_name(docs, "__key")
+        keyed = docs.withColumn(key, _key())
+        own = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(key).alias("__key"))
+        gone = _contaminate_shuffled(own, items, window).where("contaminated").select(F.col("__key").alias(key)).distinct()
+        return keyed.join(gone, key, "left_anti").drop(key)
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    flagged = append(docs, "text", lambda column: bad(*_measure(shared.value, column)[:2]), "__contaminated", "boolean")
-    return flagged.where("not __contaminated").drop("__contaminated")
+    name = free_name(docs, "__contaminated")
+    flagged = append(docs, "text", lambda column: bad(*_measure(shared.value, column)[:2]), name, "boolean")
+    return flagged.where(~F.col(name)).drop(name)
 
 
 def contaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST) -> DataFrame:

@@ -169,6 +169,18 @@ def test_shards(spark, tmp_path):
     assert hilbert.hilbert_shards(df.limit(0), ["source", "n"]).count() == 0
 
 
+def test_shard_files_prune_in_every_dimension(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, "t", f"s{rng.integers(0, 20):02d}", int(rng.integers(0, 1000))) for i in range(4000)], "doc_id long, text string, source string, n long")
+    hilbert.write_shards(df, hilbert.hilbert_shards(df, ["source", "n"], 24), f"file://{tmp_path}/shards")
+    files = hilbert.file_ranges(spark, f"file://{tmp_path}/shards", ["source", "n"]).collect()
+    assert sum(r.rows for r in files) == 4000 and len(files) >= 24
+    for low in range(0, 1000, 100):
+        assert sum(r.min_n < low + 50 and r.max_n >= low for r in files) <= 0.5 * len(files)
+    for i in range(20):
+        assert sum(r.min_source <= f"s{i:02d}" <= r.max_source for r in files) <= 0.5 * len(files)
+
+
 def test_search(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 12)).astype(np.float32)
