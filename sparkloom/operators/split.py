@@ -44,7 +44,7 @@ def with_aliases(df: DataFrame, aliases: DataFrame, column: str = "repo", most:
 
 def components(keyed: DataFrame, anchor: str = "anchor", keys: str = "keys") -> DataFrame:
     """(key, root) of every identity key: root is the least key of the component."""
-    edges = keyed.select(F.col(anchor).alias("a"), F.explode(keys).alias("b"))
+    edges, _ = cut(keyed.select(F.col(anchor).alias("a"), F.explode(keys).alias("b")).distinct(), "keys")  # keys are computed once
     alone = edges.select(F.col("a").alias("key")).union(edges.select(F.col("b"))).distinct()
     linked = connected_components(edges)
     return alone.join(linked.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
@@ -139,9 +139,10 @@ def leaks(rows: DataFrame, most: int | None = 100) -> DataFrame:
     range-partitioned by (key, ordinal), so that a very common key is spread over tasks: the latest id inside a range comes from a window, the one of earlier ranges from a row per range.
     """
     spark = rows.sparkSession
+    rows, _ = cut(rows.select("key", "split", "id", "ordinal"), "leaks")  # keys are computed once
     first = rows.groupBy("key").agg(F.min_by("split", "ordinal").alias("first_split"), F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo != hi").select("key", "first_split")
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    seen, _ = cut(rows.select("key", "split", "id", "ordinal").join(first, "key").repartitionByRange(partitions, "key", "ordinal").withColumn("part", F.spark_partition_id()), "leaks")
+    seen, _ = cut(rows.join(first, "key").repartitionByRange(partitions, "key", "ordinal").withColumn("part", F.spark_partition_id()), "leaks")
     own = Window.partitionBy("key", "part").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.last(F.when(F.col("split") == F.col("first_split"), F.col("id")), ignorenulls=True).over(own)
     last = seen.where("split = first_split").groupBy("key", "part").agg(F.max_by("id", "ordinal").alias("last_id"))
