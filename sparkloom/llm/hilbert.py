@@ -88,7 +88,8 @@ def with_curve(df: DataFrame, dims: list[str], bits: int, carry: list[str]) -> D
             points = np.zeros((batch.num_rows, len(cuts)), np.uint64)
             for i, own in enumerate(cuts):
                 values = batch.column(i).to_numpy(zero_copy_only=False).astype(float)
-                points[:, i] = np.where(np.isnan(values), 0, 1 + np.searchsorted(own, values, side="left"))
+                place = np.searchsorted(own, values, side="left") * ((1 << bits) - 2) // max(len(own), 1)  # few values are spread over the whole range
+                points[:, i] = np.where(np.isnan(values), 0, 1 + place)
             yield batch_of([*carry, "curve"], [*batch.columns[len(cuts) :], hilbert_index(points, bits).astype(np.int64)])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in carry)

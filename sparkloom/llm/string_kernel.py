@@ -14,9 +14,9 @@ entries: scoring a segment costs a table read per occurrence, whatever the numbe
 
 A document scores by its best segment over the whole text, through a Platt sigmoid.
 
-Bounds (parameters): at most ``toxic`` + ``clean`` labelled documents are learnt from; all documents are scored.
+Bounds (parameters): at most ``toxic`` + ``clean`` labelled documents are learnt from, and of their segments those that MOST_TOXIC, VARIED, COMMON, RANDOM and HARD allow; all documents are scored by all their segments.
 
-Defined cases: null or empty texts score as having no evidence; repeated rows score alike; labels that are null or contradict each
+Defined cases: null or empty texts score as having no evidence; null doc_ids are scored, not learnt from, and not held out; repeated rows score alike; labels that are null or contradict each
 other are not learnt from; without both classes among labels every score is 0; an empty table gives an empty table.
 """
 
@@ -215,8 +215,9 @@ def _seeds(vocabulary: list[str], bags: list[np.ndarray], y: np.ndarray) -> dict
     return best
 
 
-#: of the best-supported toxic segments, so many are also learnt with a character inserted
-VARIED = 60
+#: bounds of one fit: of the best-supported toxic segments so many are learnt, and so many of these also with a character inserted;
+#: of clean segments the most common ones, some at random, and in each round so many hard ones besides
+MOST_TOXIC, VARIED, COMMON, RANDOM, HARD = 2500, 60, 1500, 2000, 2000
 
 
 def _with_insertion(word: str, rng: np.random.Generator) -> str:
@@ -262,13 +263,13 @@ def train_bags(words: pa.DictionaryArray, sizes: np.ndarray, y: np.ndarray, land
         if label:
             ranked = sorted(((strength[i], i) for i in bag.tolist() if not in_clean[i]), reverse=True)[:4]
             toxic.update(i for z, i in ranked if z >= max(2.0, 0.7 * ranked[0][0]))
-    common = ordinary[np.argsort(-in_clean[ordinary], kind="stable")][:1500]
-    clean = set(common.tolist()) | set(rng.choice(ordinary, min(len(ordinary), 2000), replace=False).tolist())
+    common = ordinary[np.argsort(-in_clean[ordinary], kind="stable")][:COMMON]
+    clean = set(common.tolist()) | set(rng.choice(ordinary, min(len(ordinary), RANDOM), replace=False).tolist())
     machine, worst = None, common
     for _ in range(rounds):
         if not toxic:
             break
-        pos = np.array([i for i, _ in sorted(toxic.items(), key=lambda x: (-x[1], x[0]))[:2500]])
+        pos = np.array([i for i, _ in sorted(toxic.items(), key=lambda x: (-x[1], x[0]))[:MOST_TOXIC]])
         neg = np.array(sorted(clean))
         half = landmarks // 2
         mixed = [*pos[: half // 2], *rng.permutation(pos[half // 2 :])[: half // 2], *worst[: half // 2], *rng.permutation(neg)[: half // 2]]
@@ -296,7 +297,7 @@ def train_bags(words: pa.DictionaryArray, sizes: np.ndarray, y: np.ndarray, land
         machine = Machine(table, bias, a, b, float(best[y == 0].min()))
         # next round: hard segments of clean bags, and the best of toxic bags
         hard = ordinary[f[ordinary] > -0.8]
-        clean.update(hard[np.argsort(-f[hard], kind="stable")][:2000].tolist())
+        clean.update(hard[np.argsort(-f[hard], kind="stable")][:HARD].tolist())
         worst = ordinary[np.argsort(-(np.maximum(0, 1 + f[ordinary]) * np.sqrt(in_clean[ordinary])), kind="stable")][:half]
         toxic = Counter({i: n for i, n in toxic.items() if f[i] > -0.5})
         for i in np.flatnonzero((y == 1) & filled):

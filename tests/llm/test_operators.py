@@ -464,3 +464,39 @@ def test_revisits(spark):
     assert revisit.resolve(df.limit(0)).count() == 0
     urls = spark.createDataFrame([("HTTP://u:p@WWW2.X.example:80/A//?ref=1&B=2&a=#z",), ("x",)], "u string").select(revisit.canonical_url(F.col("u"))).collect()
     assert [r[0] for r in urls] == ["x.example/A?B=2&a=", "x"]
+
+
+# ---- rows and columns that might clash ----
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    captures = [(1, "http://a.example/", 10, "response", {"etag": "1"}, None), (2, "http://a.example/", 20, "revisit", {"etag": "1"}, None)]
+    df = spark.createDataFrame(captures * 2, "record_id long, url string, ts long, kind string, headers map<string,string>, digest string")
+    for c in ("block", "own", "before", "from", "canonical_url", "end", "state"):
+        df = df.withColumn(c, F.lit("x"))
+    assert [(r.record_id, r.state, r.resolved_id) for r in revisit.resolve(df).collect()] == [(2, "resolved", 1)] * 2
+
+    docs = spark.createDataFrame([(i % 40, f"text {i % 40}", "s", i % 5) for i in range(80)], "doc_id long, text string, source string, n long")
+    for c in ("curve", "shard", "slot", "place", "part", "size", "d0", "o0", "zero", "y", "bag", "score", "known", "law"):
+        docs = docs.withColumn(c, F.lit("x"))
+    got = hilbert.hilbert_shards(docs, ["source", "n"], 8).collect()
+    assert len(got) == 80 and len({(r.shard, r.slot) for r in got}) == 80 and max(r.slot for r in got) == 9
+
+    rng = np.random.default_rng(1)
+    rows = [(i, prose(rng, 20, "dunce" if i % 3 == 0 else "")) for i in range(150)]
+    d = spark.createDataFrame(rows * 2, "doc_id long, text string").withColumn("y", F.lit("x")).withColumn("bag", F.lit("x"))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows] * 2, "doc_id long, toxic int")
+    machine = string_kernel.fit(d, labels)
+    scored = string_kernel.with_score(d, machine, "__s").collect()
+    assert len(scored) == 300 and len({(r.doc_id, r["__s"]) for r in scored}) == 150 and scored[0].y == "x"
+    assert string_kernel.score(d.limit(0), machine).count() == 0 and string_kernel.fit(d.limit(0), labels) is None and string_kernel.fit(d, labels.limit(0)) is None
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i % 50_000}" for i in range(400_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " more"), (3, "x" * 2_000_000), (4, "short text here")], "doc_id long, text string")
+    got = {r.doc_id: r for r in prefix_tree_join.jaccard_components(docs).collect()}
+    assert got[1].component_id == got[2].component_id == 1 and got[3].n_shingles == got[4].n_shingles - 0 == 1 and got[3].component_id == 3
+    passage = " ".join(f"w{i}" for i in range(30_000, 30_020))
+    hit = {r.doc_id: (r.n_words, r.n_hit) for r in winnowing.contaminate(docs, spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()}
+    assert hit == {1: (400_000, 160), 2: (400_001, 160), 3: (1, 0), 4: (3, 0)}
