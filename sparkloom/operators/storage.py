@@ -19,8 +19,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A place of its own for an intermediate table; ``clean`` removes what is still there."""
+    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process; no result that was not read yet may be needed any more."""
+    remove(spark, *_made)
+    _made.clear()
 
 
 def cut(df: DataFrame, label: str) -> tuple[DataFrame, str]:
