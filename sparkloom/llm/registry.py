@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, chunk_store, hilbert, hilbert_search, positive_unlabelled, prefix_tree_join, revisit, string_kernel, style_tree, winnowing
+from sparkloom.llm import bpe, chat, chunk_store, codes, hilbert, hilbert_search, merkle, positive_unlabelled, prefix_tree_join, revisit, string_kernel, style_tree, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_style_tree": style_tree.op1_style_tree,
@@ -19,10 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_string_kernel": string_kernel.op8_string_kernel,
     "op9_hilbert_search": hilbert_search.op9_hilbert_search,
     "op10_prefix_tree_join": prefix_tree_join.op10_prefix_tree_join,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_vector_codes": codes.op12_vector_codes,
+    "op13_chat_format": chat.op13_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_revisit": revisit.ORACLE_SQL,
     "op7_winnowing": winnowing.ORACLE_SQL,
     "op10_prefix_tree_join": prefix_tree_join.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op12_vector_codes": codes.ORACLE_SQL,
+    "op13_chat_format": chat.ORACLE_SQL,
 }
