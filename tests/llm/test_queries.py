@@ -30,6 +30,9 @@ CONTRACT = {
     "op8_string_kernel": ("documents", "doc_id long, held_out boolean, score double, predicted int"),
     "op9_hilbert_search": (None, "query_id long, rank int, vec_id long, score double"),
     "op10_prefix_tree_join": ("documents", "doc_id long, n_shingles long, component_id long"),
+    "op11_merkle_manifest": ("documents", "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"),
+    "op12_vector_codes": ("embeddings", "vec_id long, code string, error long, label_error long, codebooks_sha256 string"),
+    "op13_chat_format": (None, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"),
 }
 
 
