@@ -5,16 +5,17 @@ A sentence is a run of segments: words, long words cut into overlapping parts, a
 occurrence with g characters skipped weighing DECAY**g, g <= GAPS; each segment's feature vector is divided by the
 root of its squared occurrence weights.  So an insult with gaps or inserted characters still meets its plain form.
 
-Training takes labelled documents' sentences as bags: the toxic ones hold at least one toxic segment, the others none.  Seeds are
+Training takes labelled documents' sentences as bags: the toxic ones hold a toxic segment, as a rule, the others seldom one (labels may be wrong).  Seeds are
 words whose beginnings are significantly more common in toxic documents; Nyström landmarks are taken from seeds and from
 ordinary words; the machine is fitted on landmark features, rescores the bags, and takes hard segments of clean
-bags and best segments of toxic bags into the next round.  As the kernel is a product of explicit (sparse)
+bags and best segments of toxic bags into the next round.  A segment that bags of both kinds hold is evidence for both: its trust (``trusted``) follows from how much larger a share of the toxic bags
+has it, and weighs its support on the toxic side, the rest on the other; so an insult survives some clean labels, and a common word is never one.  As the kernel is a product of explicit (sparse)
 features, the sum over landmarks collapses into one weight per subsequence, kept in a table of 2**TABLE_BITS hashed
 entries: scoring a segment costs a table read per occurrence, whatever the number of landmarks.
 
 A document scores by its best segment over the whole text, through a Platt sigmoid.
 
-Bounds (parameters): at most ``toxic`` + ``clean`` labelled documents are learnt from, and of their segments those that MOST_TOXIC, VARIED, COMMON, RANDOM and HARD allow; all documents are scored by all their segments.
+Bounds: a fit learns from a bounded sample of labelled documents and segments, given by ``Bounds``; all documents are scored by all their segments.
 
 Defined cases: null or empty texts score as having no evidence; null doc_ids are scored, not learnt from, and not held out; repeated rows score alike; labels that are null or contradict each
 other are not learnt from; without both classes among labels every score is 0; an empty table gives an empty table.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import product
 
@@ -215,9 +217,39 @@ def _seeds(vocabulary: list[str], bags: list[np.ndarray], y: np.ndarray) -> dict
     return best
 
 
-#: bounds of one fit: of the best-supported toxic segments so many are learnt, and so many of these also with a character inserted;
-#: of clean segments the most common ones, some at random, and in each round so many hard ones besides
-MOST_TOXIC, VARIED, COMMON, RANDOM, HARD = 2500, 60, 1500, 2000, 2000
+@dataclass(frozen=True)
+class Bounds:
+    """What one fit learns from, at most."""
+
+    #: labelled documents (those with the least hashes of their ids)
+    toxic: int = 2000
+    clean: int = 4000
+    #: landmarks of the Nyström approximation, half of them toxic segments
+    landmarks: int = 400
+    rounds: int = 4
+    #: the best-supported toxic segments, and how many of these also with a character inserted
+    most_toxic: int = 2500
+    varied: int = 60
+    #: clean segments: the most common ones, some at random, and in each round so many hard ones besides
+    common: int = 1500
+    random: int = 2000
+    hard: int = 2000
+
+
+#: a segment of both kinds of bags is learnt as a toxic one from this trust on
+TRUST = 0.5
+
+
+def trusted(in_toxic: np.ndarray, in_clean: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """0 to 1: how far the bags that hold a segment speak for it being toxic.
+
+    1 if no clean bag holds it.  Else the shares of toxic and of clean bags that do are compared, two standard errors to the segment's disadvantage: a wrong label or two don't matter to an insult that is
+    common among toxic bags, and chance doesn't make one of a rare word.
+    """
+    both = in_clean > 0
+    a = np.where(both, np.maximum(in_toxic - 2 * np.sqrt(in_toxic), 0), in_toxic) / max(toxic, 1)
+    b = np.where(both, in_clean + 2 * np.sqrt(in_clean) + 1, 0) / max(clean, 1)
+    return np.where(in_toxic > 0, np.clip((a - b) / np.maximum(a + b, 1e-12), 0, 1), 0.0)
 
 
 def _with_insertion(word: str, rng: np.random.Generator) -> str:
@@ -231,13 +263,13 @@ def bag_of(text: str | None) -> set[str]:
     return {s for t in tokens(text or "") for s in segments(t) if s}
 
 
-def train(texts: list[str], y: np.ndarray, landmarks: int = 400, rounds: int = 4, seed: int = 7) -> Machine | None:
+def train(texts: list[str], y: np.ndarray, bounds: Bounds = Bounds(), seed: int = 7) -> Machine | None:
     """Fit on labelled documents; None without both classes."""
     bags = [sorted(bag_of(x)) for x in texts]
-    return train_bags(pa.array([w for bag in bags for w in bag], pa.string()).dictionary_encode(), np.array([len(b) for b in bags]), np.asarray(y), landmarks, rounds, seed)
+    return train_bags(pa.array([w for bag in bags for w in bag], pa.string()).dictionary_encode(), np.array([len(b) for b in bags]), np.asarray(y), bounds, seed)
 
 
-def train_bags(words: pa.DictionaryArray, sizes: np.ndarray, y: np.ndarray, landmarks: int = 400, rounds: int = 4, seed: int = 7) -> Machine | None:
+def train_bags(words: pa.DictionaryArray, sizes: np.ndarray, y: np.ndarray, bounds: Bounds = Bounds(), seed: int = 7) -> Machine | None:
     """Fit on the distinct segments of labelled documents, one document's after another's."""
     if not (y == 1).any() or not (y == 0).any() or not len(words):
         return None
@@ -254,27 +286,30 @@ def train_bags(words: pa.DictionaryArray, sizes: np.ndarray, y: np.ndarray, land
     filled = sizes > 0
     bags = np.split(flat, starts[1:])
     in_clean = np.bincount(flat[y[owner] == 0], minlength=len(vocabulary))
-    ordinary = np.flatnonzero(in_clean)
+    in_toxic = np.bincount(flat[y[owner] == 1], minlength=len(vocabulary))
+    trust = trusted(in_toxic, in_clean, int((y == 1).sum()), int((y == 0).sum()))
+    ordinary = np.flatnonzero((in_clean > 0) & (trust < TRUST))
     if not len(ordinary):
         return None
     strength = _seeds(vocabulary, bags, y)
     toxic: Counter = Counter()  # segment -> toxic bags that it stands for
     for bag, label in zip(bags, y):
         if label:
-            ranked = sorted(((strength[i], i) for i in bag.tolist() if not in_clean[i]), reverse=True)[:4]
+            ranked = sorted(((strength[i], i) for i in bag.tolist() if trust[i] >= TRUST), reverse=True)
             toxic.update(i for z, i in ranked if z >= max(2.0, 0.7 * ranked[0][0]))
-    common = ordinary[np.argsort(-in_clean[ordinary], kind="stable")][:COMMON]
-    clean = set(common.tolist()) | set(rng.choice(ordinary, min(len(ordinary), RANDOM), replace=False).tolist())
+    common = ordinary[np.argsort(-in_clean[ordinary], kind="stable")][: bounds.common]
+    clean = set(common.tolist()) | set(rng.choice(ordinary, min(len(ordinary), bounds.random), replace=False).tolist())
     machine, worst = None, common
-    for _ in range(rounds):
+    for _ in range(bounds.rounds):
         if not toxic:
             break
-        pos = np.array([i for i, _ in sorted(toxic.items(), key=lambda x: (-x[1], x[0]))[:MOST_TOXIC]])
-        neg = np.array(sorted(clean))
-        half = landmarks // 2
+        pos = np.array([i for i, _ in sorted(toxic.items(), key=lambda x: (-x[1], x[0]))[: bounds.most_toxic]])
+        doubted = pos[(in_clean[pos] > 0)]  # some clean bags hold them: by the rest of their trust they count there too
+        neg = np.concatenate((np.array(sorted(clean.difference(doubted.tolist()))), doubted)).astype(np.int64)
+        half = bounds.landmarks // 2
         mixed = [*pos[: half // 2], *rng.permutation(pos[half // 2 :])[: half // 2], *worst[: half // 2], *rng.permutation(neg)[: half // 2]]
         marks = [vocabulary[i] for i in dict.fromkeys(int(i) for i in mixed)]
-        plain = [i for i in pos[:VARIED] if len(vocabulary[i]) >= 4]
+        plain = [i for i in pos[: bounds.varied] if len(vocabulary[i]) >= 4]
         varied = [_with_insertion(vocabulary[i], rng) for i in plain for _ in range(3)]
         words = [*(vocabulary[i] for i in pos), *varied, *(vocabulary[i] for i in neg)]
         labels = np.concatenate((np.ones(len(pos) + len(varied)), -np.ones(len(neg))))
@@ -283,7 +318,7 @@ def train_bags(words: pa.DictionaryArray, sizes: np.ndarray, y: np.ndarray, land
         good = values > 1e-5 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
         x = np.concatenate((_kernel(words, marks) @ root, np.ones((len(words), 1))), 1)
-        support = np.sqrt(np.concatenate(([toxic[i] for i in pos], [0.1 * toxic[i] for i in plain for _ in range(3)], 1 + in_clean[neg])))
+        support = np.sqrt(np.concatenate(([toxic[i] * trust[i] for i in pos], [0.1 * toxic[i] * trust[i] for i in plain for _ in range(3)], (1 + in_clean[neg]) * (1 - np.where(trust[neg] < TRUST, 0, trust[neg])))))
         weight = np.where(labels > 0, support / support[labels > 0].sum(), support / support[labels < 0].sum()) * len(words)
         w = squared_hinge(x, labels, weight)
         table, bias = np.zeros(1 << TABLE_BITS), float(w[-1])
@@ -297,12 +332,12 @@ def train_bags(words: pa.DictionaryArray, sizes: np.ndarray, y: np.ndarray, land
         machine = Machine(table, bias, a, b, float(best[y == 0].min()))
         # next round: hard segments of clean bags, and the best of toxic bags
         hard = ordinary[f[ordinary] > -0.8]
-        clean.update(hard[np.argsort(-f[hard], kind="stable")][:HARD].tolist())
+        clean.update(hard[np.argsort(-f[hard], kind="stable")][: bounds.hard].tolist())
         worst = ordinary[np.argsort(-(np.maximum(0, 1 + f[ordinary]) * np.sqrt(in_clean[ordinary])), kind="stable")][:half]
         toxic = Counter({i: n for i, n in toxic.items() if f[i] > -0.5})
         for i in np.flatnonzero((y == 1) & filled):
             own = bags[i]
-            own = own[(in_clean[own] == 0) & (f[own] >= max(0.0, best[i] - 0.3))]
+            own = own[(trust[own] >= TRUST) & (f[own] >= max(0.0, best[i] - 0.3))]
             toxic.update({int(j): 1 for j in own if int(j) not in toxic})
     return machine
 
@@ -339,17 +374,17 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(["y", "bag"], [batch.column(1), pa.array([sorted(bag_of(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", toxic: int = 2000, clean: int = 4000) -> Machine | None:
-    """Learn from at most ``toxic`` + ``clean`` labelled documents that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bounds: Bounds = Bounds()) -> Machine | None:
+    """Learn from labelled documents that are not held out, ``bounds.toxic`` + ``bounds.clean`` of them at most."""
     ids = learnable(labels, label)
-    chosen = sample_ids(ids.where("y = 1"), toxic).union(sample_ids(ids.where("y = 0"), clean))
+    chosen = sample_ids(ids.where("y = 1"), bounds.toxic).union(sample_ids(ids.where("y = 0"), bounds.clean))
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")  # chosen: toxic + clean rows at most
     got = rows.select("text", "y").mapInArrow(_bags, "y int, bag array<string>").toArrow()
     bags, y = got.column(1).combine_chunks(), got.column(0).to_numpy()
     if not len(bags):
         return None
-    return train_bags(bags.flatten().dictionary_encode(), bags.value_lengths().to_numpy(), y)
+    return train_bags(bags.flatten().dictionary_encode(), bags.value_lengths().to_numpy(), y, bounds)
 
 
 def with_score(docs: DataFrame, machine: Machine | None, name: str) -> DataFrame:

@@ -253,6 +253,29 @@ def test_gapped_insults(spark):
     assert {r.score for r in string_kernel.score(d.limit(3), None).collect()} == {0.0}
 
 
+def test_insults_survive_wrong_labels():
+    """Clean-labelled documents that hold an insult: one, some, a thirtieth of them."""
+    rng = np.random.default_rng(0)
+    for insults, wrong in ((["blockhead"], 1), (["blockhead"], 10), (["blockhead", "dunce", "nitwit"], 5), (["blockhead", "dunce", "nitwit"], 10)):
+        texts = [prose(rng, 40, rng.choice(insults)) for _ in range(80)] + [prose(rng, 40, rng.choice(insults) if i < wrong else "") for i in range(320)]
+        machine = string_kernel.train(texts, np.array([1] * 80 + [0] * 320))
+        score = lambda x: machine.probability(np.array([max(machine.of_tokens(sorted(string_kernel.tokens(x))))]))[0]  # noqa: E731, B023
+        assert sum(score(prose(rng, 40, rng.choice(insults))) >= 0.5 for _ in range(40)) >= 36
+        assert sum(score(prose(rng, 40)) >= 0.5 for _ in range(60)) <= 2
+
+
+def test_collapsed_sum_equals_the_sum_over_landmarks():
+    """One table of weights stands for sum_j b_j K(segment, landmark_j)."""
+    rng = np.random.default_rng(2)
+    marks, words = ["blockhead", "dunce", "été", "aaaa"], ["blokhead", "d u n c e".replace(" ", ""), "étés", "aaaaa", "zzz"]
+    weights, table = rng.normal(size=4), np.zeros(1 << string_kernel.TABLE_BITS)
+    for mark, b in zip(marks, weights):
+        entries, values = string_kernel.features(mark)
+        np.add.at(table, entries, b * values)
+    machine = string_kernel.Machine(table, 0.25, 1.0, 0.0, -1.0)
+    assert np.allclose(machine.of_tokens(words), string_kernel._kernel(words, marks) @ weights + 0.25, atol=2e-3)
+
+
 def test_positive_unlabelled(spark):
     rng = np.random.default_rng(8)
     docs = [(i, prose(rng, 60) if i % 3 else " | ".join(prose(rng, 1).upper() for _ in range(60))) for i in range(900)]
