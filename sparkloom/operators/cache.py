@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkloom.operators.encode import encode, supervised
 from sparkloom.operators.record import validated
+from sparkloom.operators.split import PARTITIONS
 from sparkloom.operators.storage import remove
 from sparkloom.operators.tokens import Bytes
 from sparkloom.sources.files import content_hash, read_document, read_table_checked, write_document
@@ -53,7 +54,10 @@ def prepare(records: DataFrame, path: str, stage: str, tokenizer=None, length: i
         raise ValueError("no record fits; nothing is cut short")
     n = checked.agg(F.count(F.lit(1)).alias("all"), F.count_if(supervised(checked.columns)).alias("supervised")).first()
     admitted_n = n["all"] if stage == "pretrain" else n["supervised"]
-    splits = sorted(r[0] for r in rows.select("split").where("split is not null and split != ''").distinct().limit(5).collect())
+    other = rows.where(F.col("split").isNotNull() & (F.col("split") != "") & ~F.col("split").isin(*PARTITIONS, "quarantine")).select("id", "split").first()
+    if other:
+        raise ValueError(f"record {other['id']} is of an unknown partition: {other['split']}")
+    splits = sorted(r[0] for r in rows.select("split").where("split is not null and split != ''").distinct().collect())  # known names only
     stats = {"input_records": n["all"], "rejected_no_supervision": n["all"] - admitted_n, "rejected_overlength_or_empty": admitted_n - counts.pop("records"), **counts}
     manifest = {
         "format": 1, "stage": stage, "purpose": purpose or (splits[0] if len(splits) == 1 else "unspecified"), "source_splits": splits, "max_length": length, "tokenizer_sha256": tokenizer.sha256,

@@ -6,20 +6,31 @@ share a group, an incident, a repository or a lexical fingerprint stay together.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions.text import fingerprint, partition_of, repo_identity, unit_hash
 from sparkloom.operators.components import connected_components
 from sparkloom.operators.record import validated
 from sparkloom.operators.storage import cut
+from sparkloom.sources.files import read_numbered, write_document
 
 PARTITIONS = ["train", "validation", "calibration", "test"]
 
 
 def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
-    """A rank of rows by file and place in it, the same on every run over the same files."""
-    return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    """A rank of rows by file and place in it, in the same order on every run over the same files; ``df`` reads files of any format.
+
+    Parquet tells a row's place in its file.  Elsewhere rows are read in order inside each split of a file, so the split's place and a number that grows inside it rank them (see ``files.read_numbered`` for line numbers).
+    """
+    meta = F.col("_metadata")
+    try:
+        return df.withColumn(name, F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row")))
+    except AnalysisException as e:
+        if e.getCondition() != "FIELD_NOT_FOUND":
+            raise
+    return df.withColumn(name, F.struct(meta["file_path"].alias("file"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("row")))
 
 
 def identity_keys(of=F.col, by_repo: bool = True, repo: Column | None = None, fp: Column | None = None) -> Column:
@@ -193,16 +204,29 @@ def audit(*tables: DataFrame, by_repo: bool = True, aliases: DataFrame | None =
     return report
 
 
-def split_files(tables: list[DataFrame], path: str, seed: int = 17, by_repo: bool = True, respect_splits: bool = False, aliases: DataFrame | None = None) -> dict:
-    """Checked records of all tables, dealt to partitions and written to a folder for each (an existing target is an error); counts by partition, and component sizes.
+#: what the partitions do not promise
+LIMITATIONS = ("near clones are not looked for", "repository aliases are the caller's", "a function inside a larger file has another fingerprint", "components are dealt by hash, not by date")
+
 
-    ``tables``: canonical columns and an ordinal.
+def split_files(inputs: list[DataFrame | str], path: str, seed: int = 17, by_repo: bool = True, respect_splits: bool = False, aliases: DataFrame | None = None, schema=None) -> dict:
+    """Checked records of all inputs, dealt to partitions and written to a folder for each (an existing target is an error), with a manifest, which is returned.
+
+    ``inputs``: tables of canonical columns and an ordinal, or paths of JSON lines (read by ``schema``, or one that is inferred).  The manifest has the inputs' order, seed, key, and counts: source_rows,
+    records of each partition, conflicting_labels_quarantined, lexical_duplicates_removed, and the components of what was dealt to partitions.
     """
-    records = concatenated(*tables)
-    checked = validated(records, keep=["ordinal"])
+    spark = next((t.sparkSession for t in inputs if isinstance(t, DataFrame)), None) or SparkSession.active()
+    told = [t if isinstance(t, str) else f"table {i}" for i, t in enumerate(inputs)]
+    records = concatenated(*[read_numbered(spark, t, schema) if isinstance(t, str) else t for t in inputs])
+    checked, _ = cut(validated(records, keep=["ordinal"]), "records")  # inputs are read and checked once
     out = split_corpus(checked, seed, by_repo, respect_splits, aliases)
     out.drop("ordinal").write.mode("errorifexists").partitionBy("split").parquet(path)
-    written = records.sparkSession.read.parquet(path)
+    written, rows = spark.read.parquet(path), checked.count()
     counts = {r["split"]: r["count"] for r in written.groupBy("split").count().collect()}  # five rows
-    sizes = component_sizes(written).first()
-    return {"records": counts, "components": sizes["components"], "largest_component_records": sizes["largest"] or 0}
+    sizes = component_sizes(written.where("split != 'quarantine'")).first()
+    manifest = {
+        "inputs": told, "seed": seed, "group_key": "repository, group, incidents and fingerprint" if by_repo else "group, incidents and fingerprint", "respect_source_splits": respect_splits, "source_rows": rows, "records": counts,
+        "conflicting_labels_quarantined": counts.get("quarantine", 0), "lexical_duplicates_removed": rows - sum(counts.values()), "components": sizes["components"], "largest_component_records": sizes["largest"] or 0,
+        "limitations": list(LIMITATIONS),
+    }
+    write_document(spark, f"{path}.manifest", manifest)
+    return manifest

@@ -13,7 +13,7 @@ from sparkloom.operators.encode import FIRST_MASKABLE
 from sparkloom.operators.metrics import binary_metrics, mean_loss, supervision
 from sparkloom.functions.text import bce, sigmoid
 from sparkloom.operators.storage import new_path, remove
-from sparkloom.sources.files import append_event, read_document, write_document
+from sparkloom.sources.files import append_event, exists, read_document, write_document
 
 
 def comparable(train: dict, validation: dict, stage: str) -> None:
@@ -85,22 +85,17 @@ def train(rows: DataFrame, validation: DataFrame, train_manifest: dict, validati
     return about
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def pointer(spark: SparkSession, run: str, name: str) -> str | None:
     """The checkpoint that ``latest`` or ``best`` of a run names."""
     path = f"{run}/{name}.json"
-    return f"{run}/{read_document(spark, path)['checkpoint']}" if _exists(spark, path) else None
+    return f"{run}/{read_document(spark, path)['checkpoint']}" if exists(spark, path) else None
 
 
 def resolve(spark: SparkSession, path: str, prefer: str = "best") -> str:
     """The checkpoint meant by a pointer file, a checkpoint's folder or a run: its preferred pointer, else the latest."""
-    if path.endswith(".json") and _exists(spark, path):
+    if path.endswith(".json") and exists(spark, path):
         return f"{path.rsplit('/', 1)[0]}/{read_document(spark, path)['checkpoint']}"
-    if _exists(spark, f"{path}/metadata.json"):
+    if exists(spark, f"{path}/metadata.json"):
         return path
     found = pointer(spark, path, prefer) or pointer(spark, path, "latest")
     if not found:
@@ -117,7 +112,7 @@ def save_checkpoint(spark: SparkSession, run: str, model, about: dict, keep: int
     """Write a checkpoint (its metadata last, so a broken one is never found), move the pointers and drop old ones; the same step twice is an error."""
     name = f"checkpoints/step_{about['step']:08d}"
     where = f"{run}/{name}"
-    if _exists(spark, f"{where}/metadata.json"):
+    if exists(spark, f"{where}/metadata.json"):
         raise FileExistsError(where)
     model.write().overwrite().save(f"{where}/model")
     write_document(spark, f"{where}/metadata.json", about)

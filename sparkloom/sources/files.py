@@ -1,12 +1,15 @@
-"""JSON lines, JSON arrays, database files and code files in; partitioned tables and documents out."""
+"""JSON lines (with their numbers), JSON arrays and code files in; records, partitioned tables and documents out."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import sqlite3
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql.window import Window
+
+from sparkloom.operators.storage import cut
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | None = None, array: bool = False) -> DataFrame:
@@ -22,27 +25,68 @@ def read_code_file(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.col("value").alias("code"), F.when(name.rlike(r"\.(cpp|cc|cxx)$"), "c++").otherwise("c").alias("language"), name.alias("source_path"))
 
 
-def read_sqlite(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:
-    """Rows of a SELECT on a database file that all executors can open, read-only, in one task."""
-    if not query.lstrip().lower().startswith("select"):
-        raise ValueError("only SELECT is allowed")
-    names = [f.name for f in T._parse_datatype_string(schema).fields]
-
-    def rows(batches):
-        import pandas as pd
-
-        for _ in batches:
-            db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
-            db.execute("PRAGMA query_only = 1")
-            cursor = db.execute(query)
-            while part := cursor.fetchmany(10_000):
-                yield pd.DataFrame(part, columns=names)
-
-    return spark.range(1).coalesce(1).mapInPandas(rows, schema)
-
-
-def write_records(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").json(path)
+#: a table with a row for each split of the input files is broadcast up to so many rows, else joined
+FEW_SPLITS = 100_000
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1) and value of every line of the text files under ``path``, blank ones included.
+
+    Lines are counted in each split of a file; sums over a file's earlier splits give the numbers, so no file is read by one task and no line is moved.  The input must not change between the two passes.
+    """
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    splits, _ = cut(text.groupBy("file", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")), "lines")
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
+    starts = splits.select("file", "split", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    starts = F.broadcast(starts) if splits.limit(FEW_SPLITS + 1).count() <= FEW_SPLITS else starts
+    return text.join(starts, ["file", "split"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
+
+
+def read_numbered(spark: SparkSession, paths: str | list[str], schema: T.StructType | None = None) -> DataFrame:
+    """Records of JSON lines with ``ordinal`` (input, file, line): the place of each among all inputs, which come in the order given.
+
+    Blank lines are skipped but counted.  A line that is no JSON object, or does not fit the schema, is an error that names its file and line.
+    """
+    paths = [paths] if isinstance(paths, str) else paths
+    if schema is None:
+        schema = spark.read.option("mode", "FAILFAST").json(paths).schema
+    bad = "__broken"
+    own = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
+    lines = None
+    for i, path in enumerate(paths):
+        one = numbered_lines(spark, path).select(F.struct(F.lit(i).alias("input"), "file", "line").alias("ordinal"), "value")
+        lines = one if lines is None else lines.union(one)
+    record = F.from_json("value", own, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+    df = lines.where(F.trim(F.translate("value", "\t\r\f\x0b", "    ")) != "").withColumn("r", record)
+    broken = F.col("r").isNull() | F.col("r")[bad].isNotNull() | ~F.ltrim("value").startswith("{")
+    where = F.concat(F.col("ordinal")["file"], F.lit(":"), F.col("ordinal")["line"].cast("string"), F.lit(": no JSON object of the expected form: "), F.substring("value", 1, 200))
+    checked = F.when(broken, F.raise_error(where).cast(own)).otherwise(F.col("r"))
+    return df.select(checked.alias("r"), "ordinal").select(*[F.col("r")[f.name].alias(f.name) for f in schema.fields], "ordinal")
+
+
+def _unwritable(value: Column, kind: T.DataType) -> Column | None:
+    """Whether a value holds a number that JSON has no form for; None where its type has none."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.isnan(value) | (F.abs(value) == float("inf"))
+    if isinstance(kind, T.StructType):
+        parts = [x for f in kind.fields if (x := _unwritable(value[f.name], f.dataType)) is not None]
+        return None if not parts else reduce(lambda a, b: a | b, [F.coalesce(p, F.lit(False)) for p in parts])
+    if isinstance(kind, T.ArrayType):
+        return None if _unwritable(value, kind.elementType) is None else F.exists(value, lambda x: F.coalesce(_unwritable(x, kind.elementType), F.lit(False)))
+    if isinstance(kind, T.MapType):
+        return _unwritable(F.map_values(value), T.ArrayType(kind.valueType))
+    return None
+
+
+def write_records(df: DataFrame, path: str) -> int:
+    """JSON lines; the number of records is returned.  NaN or an infinity anywhere in a record is an error, and so is an existing target."""
+    parts = [F.coalesce(x, F.lit(False)) for f in df.schema.fields if (x := _unwritable(F.col(f.name), f.dataType)) is not None]
+    if parts:
+        message = F.concat(F.lit("a number that is not finite: "), F.to_json(F.struct("*")))
+        df = df.where(F.when(reduce(lambda a, b: a | b, parts), F.raise_error(message).cast("boolean")).otherwise(True))
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").json(path)
+    return seen.get["n"]
 
 
 def write_partitions(df: DataFrame, path: str, by: str = "split") -> None:
@@ -63,6 +107,11 @@ def text_hash(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(bits).alias("xor"), F.sum(bits.cast("decimal(38,0)")).cast("string").alias("sum"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def write_document(spark: SparkSession, path: str, value: dict) -> None:
     """One JSON document, whole or not at all: written beside its place and renamed.  Numbers that are not finite are an error."""
     text = json.dumps(value, sort_keys=True, ensure_ascii=False, allow_nan=False)

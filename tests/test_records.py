@@ -89,17 +89,6 @@ def test_files(spark, tmp_path):
         files.read_table_checked(spark, path)
 
 
-def test_sqlite(spark, tmp_path):
-    import sqlite3
-
-    db = sqlite3.connect(tmp_path / "x.db")
-    db.execute("create table t (a int, b text)")
-    db.executemany("insert into t values (?, ?)", [(1, "x"), (2, None)])
-    db.commit()
-    rows = files.read_sqlite(spark, str(tmp_path / "x.db"), "select a, b from t order by a", "a int, b string").collect()
-    assert [tuple(r) for r in rows] == [(1, "x"), (2, None)]
-
-
 def test_every_document_is_validated(spark, tmp_path):
     def tables(name, texts):
         at = str(tmp_path / name)
