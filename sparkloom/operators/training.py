@@ -108,16 +108,23 @@ def load(spark: SparkSession, path: str, prefer: str = "best") -> tuple[Logistic
     return LogisticRegressionModel.load(f"{where}/model"), read_document(spark, f"{where}/metadata.json")
 
 
-def save_checkpoint(spark: SparkSession, run: str, model, about: dict, keep: int = 3) -> str:
-    """Write a checkpoint (its metadata last, so a broken one is never found), move the pointers and drop old ones; the same step twice is an error."""
+def save_checkpoint(spark: SparkSession, run: str, model, about: dict, keep: int = 3, better: bool | None = None) -> str:
+    """Write a checkpoint (its metadata last, so a broken one is never found), move the pointers and drop old ones; the same step twice is an error.
+
+    ``model``: one of Spark's, or a function that writes to a path.  ``better``: whether it becomes the best one; by default, if its score is higher than the best one's.
+    """
     name = f"checkpoints/step_{about['step']:08d}"
     where = f"{run}/{name}"
     if exists(spark, f"{where}/metadata.json"):
         raise FileExistsError(where)
-    model.write().overwrite().save(f"{where}/model")
+    if callable(model):
+        model(f"{where}/model")
+    else:
+        model.write().overwrite().save(f"{where}/model")
     write_document(spark, f"{where}/metadata.json", about)
     best = pointer(spark, run, "best")
-    better = best is None or about["score"] > read_document(spark, f"{best}/metadata.json")["score"]
+    if better is None:
+        better = best is None or about["score"] > read_document(spark, f"{best}/metadata.json")["score"]
     write_document(spark, f"{run}/latest.json", {"checkpoint": name})
     if better:
         write_document(spark, f"{run}/best.json", {"checkpoint": name})

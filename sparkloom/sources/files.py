@@ -133,9 +133,10 @@ def read_document(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
 
 
-def append_event(spark: SparkSession, path: str, event: dict) -> None:
-    """A line of a log that only grows."""
-    spark.createDataFrame([(json.dumps(event, allow_nan=False),)], "value string").coalesce(1).write.mode("append").text(path)
+def append_event(spark: SparkSession, path: str, event: dict | list[dict]) -> None:
+    """A line, or some, of a log that only grows."""
+    lines = [(json.dumps(e, allow_nan=False),) for e in (event if isinstance(event, list) else [event])]
+    spark.createDataFrame(lines, "value string").coalesce(1).write.mode("append").text(path)
 
 
 def read_events(spark: SparkSession, path: str) -> list[dict]:
