@@ -75,8 +75,10 @@ def evidence_roles(offsets: Column, evidence: Column) -> Column:
 
     def of_token(o: Column) -> Column:
         hit = F.filter(evidence, lambda e: overlaps(o["start"], o["end"], e["start"], e["end"]) & (o["end"] > o["start"]))
-        last = lambda role: F.aggregate(hit, F.lit(-1), lambda acc, e: F.coalesce(F.try_element_at(e["roles"], F.lit(role)), acc))
-        return F.array(*[last(r).cast("float") for r in ROLES])
+        unknown = F.array(*[F.lit(-1.0).cast("float")] * len(ROLES))
+        last = lambda roles, role: F.aggregate(roles, F.lit(-1), lambda acc, r: F.coalesce(F.try_element_at(r, F.lit(role)), acc)).cast("float")
+        # annotations over the token are looked up once for all roles
+        return bound(F.transform(hit, lambda e: e["roles"]), lambda roles: F.when(F.size(roles) == 0, unknown).otherwise(F.array(*[last(roles, r) for r in ROLES])))
 
     return F.transform(offsets, of_token)
 
@@ -110,13 +112,30 @@ def relation_index(name: Column) -> Column:
 def anchored_nodes(nodes: DataFrame, tokens: DataFrame, most: int = 256) -> DataFrame:
     """rec, i, lo, hi, k: nodes whose span the tokens cover, the ``most`` smallest of each record, numbered.
 
-    ``nodes``: rec, i, a, b; ``tokens``: rec, t, x, y.  All tokens of a record meet its nodes only.
+    ``nodes``: rec, i, a, b; ``tokens``: rec, t, x, y, whose starts and ends don't decrease with t.  A node's tokens are those from the first that ends after its start to the last that starts before its end.  Both
+    are found by a sweep over a record's boundaries: nodes and tokens give two rows each, sorted in either direction, whatever the nodes' widths.
     """
-    n, t = nodes.alias("n"), tokens.alias("t")
-    met = n.join(t, (F.col("n.rec") == F.col("t.rec")) & (F.col("y") > F.col("a")) & (F.col("x") < F.col("b")) & (F.col("y") > F.col("x")))
-    spans = met.groupBy("n.rec", "i", "a", "b").agg(F.min("t.t").alias("lo"), (F.max("t.t") + 1).alias("hi"), F.min_by("x", "t.t").alias("x0"), F.max_by("y", "t.t").alias("y1"))
+    null = lambda kind: F.lit(None).cast(kind)
+    kinds = {c: dict((n if c in "iab" else t).dtypes)[c] for n, t in [(nodes, tokens)] for c in ("i", "a", "b", "t", "x", "y")}
+    token = tokens.where("y > x").select(
+        "rec", F.explode(F.array(F.struct(F.col("x").alias("pos"), F.lit(False).alias("ends")), F.struct(F.col("y").alias("pos"), F.lit(True).alias("ends")))).alias("e"), F.lit(1).alias("kind"), "t", "x", "y",
+        *[null(kinds[c]).alias(c) for c in "iab"],
+    )
+    node = nodes.select(
+        "rec", F.explode(F.array(F.struct(F.col("a").alias("pos"), F.lit(False).alias("ends")), F.struct(F.col("b").alias("pos"), F.lit(True).alias("ends")))).alias("e"), F.lit(0).alias("kind"),
+        *[null(kinds[c]).alias(c) for c in "txy"], "i", "a", "b",
+    )
+    events = token.union(node).select("rec", F.col("e.pos").cast("long").alias("pos"), F.col("e.ends").alias("ends"), "kind", "t", "x", "y", "i", "a", "b")
+    is_token = F.col("kind") == 1
+    running = lambda *order: Window.partitionBy("rec").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # at one position nodes come before tokens, in either direction: a token that only touches a node isn't met
+    first = F.min(F.when(is_token & F.col("ends"), F.struct("t", "x"))).over(running(F.desc("pos"), "kind"))
+    last = F.max(F.when(is_token & ~F.col("ends"), F.struct("t", "y"))).over(running("pos", "kind"))
+    met = events.withColumn("first", first).withColumn("last", last).where("kind = 0")
+    spans = met.groupBy("rec", "i", "a", "b").agg(F.max(F.when(~F.col("ends"), F.col("first"))).alias("first"), F.max(F.when(F.col("ends"), F.col("last"))).alias("last"))
+    spans = spans.where("first.t <= last.t AND first.x <= a AND last.y >= b").select("rec", "i", F.col("first.t").alias("lo"), (F.col("last.t") + 1).alias("hi"))
     w = Window.partitionBy("rec").orderBy(F.col("hi") - F.col("lo"), "lo", "i")
-    return spans.where("x0 <= a and y1 >= b").withColumn("k", F.row_number().over(w) - 1).where(F.col("k") < most).select("rec", "i", "lo", "hi", "k")
+    return spans.withColumn("k", F.row_number().over(w) - 1).where(F.col("k") < most).select("rec", "i", "lo", "hi", "k")
 
 
 def remapped_edges(edges: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -148,10 +167,42 @@ def map_graph(nodes: DataFrame, tokens: DataFrame, edges: DataFrame, most_nodes:
 
 
 def span_means(vectors: DataFrame, spans: DataFrame) -> DataFrame:
-    """rec, span, dim, mean of vector elements over [lo, hi).  ``vectors``: rec, t, vec; ``spans``: rec, span, lo, hi."""
-    v, s = vectors.alias("v"), spans.alias("s")
-    met = v.join(s, (F.col("v.rec") == F.col("s.rec")) & (F.col("t") >= F.col("lo")) & (F.col("t") < F.col("hi")))
-    return met.select("s.rec", "span", F.posexplode("vec").alias("dim", "x")).groupBy("rec", "span", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    """rec, span, mean: the mean of the vectors at [lo, hi); spans over no vector are left out.  ``vectors``: rec, t, vec; ``spans``: rec, span, lo, hi.
+
+    Vectors and both ends of spans pass by in the order of their places while a sum of the record's vectors runs on; a span's mean comes from the sums at its two ends, however wide it is and however many others overlap it.
+    """
+    kinds = dict(spans.dtypes)
+    v = vectors.select("rec", F.col("t").cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(kinds["span"]).alias("span"), F.col("vec").cast("array<double>").alias("vec"))
+    ends = F.array(F.struct(F.col("lo").cast("long").alias("at"), F.lit(-1).alias("kind")), F.struct(F.col("hi").cast("long").alias("at"), F.lit(0).alias("kind")))
+    s = spans.where("lo < hi").select("rec", F.explode(ends).alias("e"), "span").select("rec", "e.at", "e.kind", "span", F.lit(None).cast("array<double>").alias("vec"))
+    events = v.union(s).repartition("rec").sortWithinPartitions("rec", "at", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rec, total, count = None, np.zeros(0), 0
+        for batch in batches:
+            recs, kind = batch.column(0).to_pylist(), batch.column(2).to_numpy()
+            lists = batch.column(4)
+            values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            at, sums, counts = [], [], []
+            for i in range(batch.num_rows):
+                if recs[i] != rec or (rec is None and not count):
+                    rec, total, count = recs[i], np.zeros(0), 0
+                if kind[i] == 1:
+                    own = values[offsets[i] : offsets[i + 1]]
+                    total = own.copy() if not count else total + own
+                    count += 1
+                else:
+                    at.append(i)
+                    sums.append(total.tolist())
+                    counts.append(count)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(3).take(rows), batch.column(2).take(rows), pa.array(sums, pa.list_(pa.float64())), pa.array(counts, pa.int64())], names=["rec", "span", "kind", "s", "n"])
+
+    sums = events.mapInArrow(run, f"rec {dict(vectors.dtypes)['rec']}, span {kinds['span']}, kind int, s array<double>, n long")
+    one = lambda k: F.max(F.when(F.col("kind") == k, F.struct("n", "s")))
+    met = sums.groupBy("rec", "span").agg(one(-1).alias("low"), one(0).alias("high")).withColumn("n", F.col("high.n") - F.col("low.n")).where("n > 0")
+    mean = F.transform("high.s", lambda x, i: (x - F.coalesce(F.get("low.s", i), F.lit(0.0))) / F.col("n"))
+    return met.select("rec", "span", mean.alias("mean"))
 
 
 GRAPH = (

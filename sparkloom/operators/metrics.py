@@ -5,13 +5,17 @@ Labels: 1, 0, or unknown (null or -1), which takes no part anywhere.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions.text import bce, sigmoid, softplus
-from sparkloom.operators.ranks import with_rank
-from sparkloom.operators.storage import cut
+from sparkloom.operators.storage import cut, remove
 
 
 def known(df: DataFrame, label: str = "label") -> DataFrame:
@@ -119,26 +123,92 @@ def binary_metrics(df: DataFrame, threshold: float = 0.5, label: str = "label",
     return out
 
 
+#: a repetition's draw for a group is a number of 16 bits: so many of them are below 1, 2, ... occurrences (Poisson of mean 1)
+POISSON = [round(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(8)]
+#: draws that one digest has room for
+DRAWS = 8
+
+
+def multiplicities(group: Column, repetitions: int, seed: int) -> Column:
+    """How often each repetition takes a group, by hash: 16 bits of the MD5 of (seed, block of repetitions, group) each."""
+    blocks = F.sequence(F.lit(0), F.lit(-(-repetitions // DRAWS) - 1))
+    digest = F.transform(blocks, lambda b: F.md5(F.concat_ws(":", F.lit(str(seed)), b.cast("string"), group.cast("string")).cast("binary")))
+    each = F.flatten(F.transform(digest, lambda d: F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda k: F.conv(F.substring(d, k * 4 + 1, F.lit(4)), 16, 10).cast("int"))))
+    count = lambda u: reduce(lambda x, y: x + y, [(u >= t).cast("tinyint") for t in POISSON])
+    return F.transform(F.slice(each, 1, repetitions), count)
+
+
+def _vectors(batch: pa.RecordBatch, repetitions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and positives of each cell in each repetition."""
+    times = batch.column("times").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, repetitions)
+    return times * batch.column("n").to_numpy()[:, None], times * batch.column("pos").to_numpy()[:, None]
+
+
+def _part_totals(batches: Iterator[pa.RecordBatch], repetitions: int) -> Iterator[pa.RecordBatch]:
+    """part, n and pos (by repetition): the sums of a task's cells for each range of scores."""
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        parts, (n, pos) = b.column("part").to_numpy(), _vectors(b, repetitions)
+        for part in np.unique(parts):
+            own = total.setdefault(int(part), np.zeros((2, repetitions)))
+            own += np.stack((n[parts == part].sum(0), pos[parts == part].sum(0)))
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total)), *(pa.array([list(t[i]) for t in total.values()], pa.list_(pa.float64())) for i in (0, 1))], names=["part", "n", "pos"])
+
+
+def _part_areas(batches: Iterator[pa.RecordBatch], repetitions: int, above: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """area (by repetition): the sums of positives times precision at their scores, of cells sorted by (part, p descending); equal scores are one threshold, wherever batches end."""
+    area, part, score = np.zeros(repetitions), None, None
+    seen, tie = np.zeros((2, repetitions)), np.zeros((2, repetitions))
+
+    def close() -> None:
+        nonlocal seen, tie
+        seen = seen + tie
+        area[:] += np.divide(tie[1] * seen[1], seen[0], out=np.zeros(repetitions), where=seen[0] > 0)
+        tie = np.zeros((2, repetitions))
+
+    for b in batches:
+        parts, ps, (n, pos) = b.column("part").to_numpy(), b.column("p").to_numpy(), _vectors(b, repetitions)
+        edges = np.flatnonzero(np.concatenate(([True], (parts[1:] != parts[:-1]) | (ps[1:] != ps[:-1])))) if len(parts) else []
+        for at, rows in zip(edges, np.split(np.arange(len(parts)), edges[1:])):
+            if (parts[at], ps[at]) != (part, score):
+                close()
+                if parts[at] != part:
+                    seen = above[int(parts[at])].copy()
+                part, score = parts[at], ps[at]
+            tie += np.stack((n[rows].sum(0), pos[rows].sum(0)))
+    close()
+    yield pa.RecordBatch.from_arrays([pa.array([area.tolist()], pa.list_(pa.float64()))], names=["area"])
+
+
 def bootstrap_ap(df: DataFrame, group: str, label: str = "label", p: str = "p", repetitions: int = 200, seed: int = 17) -> DataFrame:
     """low, high: 2.5 and 97.5 % of the average precision over resampled groups.
 
-    Each repetition draws as many groups as there are, with replacement: the draw of slot j is the group with number floor(u * groups), u by hash.
-    Null with fewer than two groups; repetitions with one class only are left out.
+    A repetition takes each group a Poisson(1) number of times, the limit of drawing as many groups as there are with replacement; a number that depends on seed, repetition and group alone needs no
+    draws to be moved.  Rows are summed by (group, score); such a cell has one row with its numbers for all repetitions.  Cells are dealt to ranges of scores; sums of ranges (a row per range and task, of the
+    repetitions' length) make what stands above each, and inside a range sums run on for all repetitions at once.  Null with fewer than two groups; repetitions with one class only are left out.
     """
-    data = known(df, label)
-    numbered = with_rank(data.select(group).where(F.col(group).isNotNull()).distinct(), [group], "number")
-    n = numbered.count()
-    if n < 2:
-        return df.sparkSession.createDataFrame([(None, None)], "low double, high double")
-    draws = df.sparkSession.range(repetitions * n).select(F.floor(F.col("id") / n).alias("rep"), F.col("id"))
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11).cast("double") / float(1 << 53)
-    times = draws.select("rep", F.least(F.floor(unit * n), F.lit(n - 1)).alias("number")).groupBy("rep", "number").agg(F.count(F.lit(1)).alias("times"))
-    cells = data.groupBy(group, F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos")).join(numbered, group)
-    rows = times.join(cells, "number").groupBy("rep", "p").agg(F.sum(F.col("n") * F.col("times")).cast("double").alias("n"), F.sum(F.col("pos") * F.col("times")).cast("double").alias("pos"))
-    w = Window.partitionBy("rep").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = rows.withColumn("cn", F.sum("n").over(w)).withColumn("cp", F.sum("pos").over(w))
-    aps = c.groupBy("rep").agg((F.sum(F.col("pos") * F.col("cp") / F.col("cn")) / F.sum("pos")).alias("ap"), F.sum("pos").alias("np"), F.sum("n").alias("all")).where("np > 0 and np < all")
-    return aps.agg(F.percentile("ap", F.lit(0.025)).alias("low"), F.percentile("ap", F.lit(0.975)).alias("high"))
+    spark, none = df.sparkSession, "low double, high double"
+    data = known(df, label).where(F.col(group).isNotNull() & F.col(p).isNotNull())
+    if data.select(group).distinct().limit(2).count() < 2:
+        return spark.createDataFrame([(None, None)], none)
+    cells = data.groupBy(F.col(group).alias("g"), F.col(p).cast("double").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos"))
+    times = cells.select("g").distinct().withColumn("times", multiplicities(F.col("g"), repetitions, seed))  # a digest costs more than the join
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged, _ = cut(cells.join(times, "g").repartitionByRange(parts, "p").withColumn("part", F.spark_partition_id().cast("long")), "cells")
+    total: dict[int, np.ndarray] = {}
+    for r in ranged.select("part", "n", "pos", "times").mapInArrow(lambda b: _part_totals(b, repetitions), "part long, n array<double>, pos array<double>").collect():  # a row per range and task
+        total[r["part"]] = total.get(r["part"], 0) + np.stack((np.array(r["n"]), np.array(r["pos"])))
+    above, so_far = {}, np.zeros((2, repetitions))
+    for part in sorted(total, reverse=True):
+        above[part], so_far = so_far, so_far + total[part]
+    own = ranged.select("part", "p", "n", "pos", "times").repartition(parts, "part").sortWithinPartitions("part", F.desc("p"))
+    areas = own.mapInArrow(lambda b: _part_areas(b, repetitions, above), "area array<double>").collect()  # a row per task
+    n, pos = so_far
+    both = (pos > 0) & (pos < n)
+    aps = (np.sum([r["area"] for r in areas], axis=0) / np.where(pos > 0, pos, 1))[both]
+    low, high = (None, None) if not len(aps) else (float(np.quantile(aps, 0.025)), float(np.quantile(aps, 0.975)))
+    return spark.createDataFrame([(low, high)], none)
 
 
 def masked_bce(items: DataFrame, positive_weight: float = 1.0) -> DataFrame:
@@ -200,28 +270,45 @@ def learning_rate_factor(step: Column, seen: Column, warmup: int = 200, most_ste
     return F.when(step <= warmup, step / float(warmup)).otherwise(floor + (1 - floor) * 0.5 * (1 + F.cos(F.lit(np.pi) * done)))
 
 
+def _chained(maxima: DataFrame, run: str, min_delta: float) -> DataFrame:
+    """(run, step) of the records: the first evaluation, and from each the first one that is better by more than ``min_delta``.
+
+    ``maxima``: run, step, score, ascending in both.  Where a record leads to is found in the order of scores, so each row has one pointer; pointers are doubled until every chain is walked.
+    """
+    spark = maxima.sparkSession
+    asked = maxima.select(run, (F.col("score") + min_delta).alias("score"), F.lit(0).alias("kind"), "step").union(maxima.select(run, "score", F.lit(1).alias("kind"), "step"))
+    higher = Window.partitionBy(run).orderBy(F.desc("score"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a question comes before its equals
+    pointer, path = cut(asked.withColumn("next", F.min(F.when(F.col("kind") == 1, F.col("step"))).over(higher)).where("kind = 0").select(run, "step", "next"), "pointers")
+    found, found_path = cut(maxima.groupBy(run).agg(F.min("step").alias("step")), "records")
+    n = found.count()
+    while True:
+        step, old = found.join(pointer, [run, "step"]).where("next is not null").select(run, F.col("next").alias("step")), found_path
+        found, found_path = cut(found.union(step).distinct(), "records")
+        more = found.count()
+        remove(spark, old)
+        if more == n:
+            remove(spark, path)
+            return found
+        n, old = more, path
+        jump = pointer.select(F.col(run), F.col("step").alias("next"), F.col("next").alias("after"))
+        pointer, path = cut(pointer.join(jump, [run, "next"], "left").select(run, "step", F.col("after").alias("next")), "pointers")
+        remove(spark, old)
+
+
 def progress(steps: DataFrame, run: str = "run", min_delta: float = 0.0) -> DataFrame:
-    """Per run, in order of step: whether a score is a new best (by more than ``min_delta``), and bad evaluations since.  ``steps``: run, step, score.
+    """Per run, in order of step: whether a score is a new best (by more than ``min_delta``), and bad evaluations since.  ``steps``: run, step (each once in a run), score.
 
-    Without a delta the best so far is a running maximum.  With one the rule depends on its own past, so each run's evaluations (a few thousand) are folded in order.
+    Without a delta a best is a new running maximum.  With one the rule depends on its own past, but bests are running maxima still, and those are few: they are chained (see ``_chained``).
     """
-    if min_delta == 0:
-        w = Window.partitionBy(run).orderBy("step")
-        top = F.max("score").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        rows = steps.select(run, F.col("step").cast("bigint").alias("step"), F.col("score").cast("double").alias("score"), F.coalesce(F.col("score") > top, F.lit(True)).alias("is_best"), F.row_number().over(w).alias("__n"))
-        best = F.max(F.when(F.col("is_best"), F.col("__n"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return rows.withColumn("bad", F.col("__n") - best).drop("__n")
-    rows = steps.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("step", "score"))).alias("s"))
-    none = F.array().cast("array<struct<step:bigint,score:double,is_best:boolean,bad:int>>")
-
-    def fold(acc: Column, x: Column) -> Column:
-        better = acc["best"].isNull() | (x["score"] > acc["best"] + min_delta)
-        bad = F.when(better, 0).otherwise(acc["bad"] + 1)
-        row = F.struct(x["step"].cast("bigint").alias("step"), x["score"].cast("double").alias("score"), better.alias("is_best"), bad.alias("bad"))
-        return F.struct(F.when(better, x["score"].cast("double")).otherwise(acc["best"]).alias("best"), bad.alias("bad"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("bad"), none.alias("out"))
-    return rows.select(run, F.inline(F.aggregate("s", start, fold, lambda acc: acc["out"])))
+    w = Window.partitionBy(run).orderBy("step")
+    top = F.max("score").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = steps.select(run, F.col("step").cast("bigint").alias("step"), F.col("score").cast("double").alias("score"), F.coalesce(F.col("score") > top, F.lit(True)).alias("is_best"), F.row_number().over(w).alias("__n"))
+    if min_delta > 0:
+        rows, _ = cut(rows, "progress")
+        records = _chained(rows.where("is_best").select(run, "step", "score"), run, min_delta).withColumn("__record", F.lit(True))
+        rows = rows.join(records, [run, "step"], "left").withColumn("is_best", F.coalesce("__record", F.lit(False))).drop("__record")
+    best = F.max(F.when(F.col("is_best"), F.col("__n"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("bad", F.col("__n") - best).drop("__n")
 
 
 def retained(checkpoints: DataFrame, run: str = "run", keep: int = 3) -> DataFrame:

@@ -555,7 +555,7 @@ d AS (SELECT rec, span, unnest(embedding) AS x, generate_subscripts(embedding, 1
 def span_mean_pool(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").selectExpr("vec_id div 8 AS rec", "vec_id % 8 AS t", "embedding AS vec")
     spans = v.select("rec").distinct().select("rec", F.explode(F.array(F.struct(F.lit(0).alias("span"), F.lit(0).alias("lo"), F.lit(4).alias("hi")), F.struct(F.lit(1).alias("span"), F.lit(2).alias("lo"), F.lit(7).alias("hi")))).alias("x")).select("rec", "x.*")
-    return encode.span_means(v, spans).select("rec", "span", "dim", *_round("mean"))
+    return encode.span_means(v, spans).select("rec", "span", F.posexplode("mean").alias("dim", "mean")).select("rec", "span", "dim", *_round("mean"))
 
 
 @query(f"""WITH {CANON_SQL}, b AS (SELECT octet_length(encode(code)) AS n FROM canon)
@@ -680,9 +680,14 @@ def recall_at_fpr(spark, sf_dir):
     return one(0.01).union(one(0.001))
 
 
-@query()
+@query(f"""WITH {PRED_SQL}, g AS (SELECT DISTINCT grp, r FROM pred, range(200) t(r) WHERE label >= 0),
+m AS (SELECT grp, r, {' + '.join(f"(u >= {t})::INT" for t in metrics.POISSON)} AS times FROM (SELECT grp, r, ('0x' || substr(md5('17:' || r // 8 || ':' || grp), 1 + 4 * (r % 8), 4))::INT AS u FROM g)),
+c AS (SELECT grp, p, count(*) AS n, sum(label) AS pos FROM pred WHERE label >= 0 GROUP BY ALL), s AS (SELECT r, p, sum(n * times) AS n, sum(pos * times) AS pos FROM c JOIN m USING (grp) GROUP BY ALL),
+w AS (SELECT r, n, pos, sum(n) OVER (PARTITION BY r ORDER BY p DESC) AS cn, sum(pos) OVER (PARTITION BY r ORDER BY p DESC) AS cp FROM s),
+a AS (SELECT r, sum(CASE WHEN cn > 0 THEN pos * cp / cn ELSE 0 END) / sum(pos) AS ap FROM w GROUP BY r HAVING sum(pos) > 0 AND sum(pos) < sum(n))
+SELECT round(quantile_cont(ap, 0.025), 9) AS low, round(quantile_cont(ap, 0.975), 9) AS high FROM a""")
 def bootstrap_ap(spark, sf_dir):
-    return metrics.bootstrap_ap(pred(spark, sf_dir), "grp")
+    return metrics.bootstrap_ap(pred(spark, sf_dir), "grp").select(*_round("low", "high"))
 
 
 _BCE = "(greatest({0}, 0) - {0} * {1} + ln(1 + exp(-abs({0}))))"
@@ -761,6 +766,16 @@ def early_stopping(spark, sf_dir):
     return metrics.progress(steps).select("run", "step", "score", "is_best", "bad")
 
 
+@query("""WITH RECURSIVE s AS (SELECT user_id AS run, event_id AS step, value AS score, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE value IS NOT NULL),
+f AS (SELECT run, step, score, rn, score AS best, TRUE AS is_best, 0 AS bad FROM s WHERE rn = 1
+UNION ALL SELECT s.run, s.step, s.score, s.rn, CASE WHEN s.score > best + 5 THEN s.score ELSE best END, s.score > best + 5, CASE WHEN s.score > best + 5 THEN 0 ELSE bad + 1 END FROM f JOIN s ON s.run = f.run AND s.rn = f.rn + 1)
+SELECT run, step, score, is_best, bad FROM f""")
+def early_stopping_delta(spark, sf_dir):
+    """New bests are better by more than 5."""
+    steps = table(spark, sf_dir, "events").where("value is not null").selectExpr("user_id AS run", "event_id AS step", "value AS score")
+    return metrics.progress(steps, min_delta=5.0).select("run", "step", "score", "is_best", "bad")
+
+
 @query("WITH s AS (SELECT user_id AS run, event_id AS step, value AS score FROM events WHERE value IS NOT NULL) SELECT run, step, score FROM s QUALIFY row_number() OVER (PARTITION BY run ORDER BY step DESC) <= 3 OR row_number() OVER (PARTITION BY run ORDER BY score DESC, step) = 1")
 def checkpoint_retention(spark, sf_dir):
     return metrics.retained(table(spark, sf_dir, "events").where("value is not null").selectExpr("user_id AS run", "event_id AS step", "value AS score"))
