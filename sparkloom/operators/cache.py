@@ -43,7 +43,9 @@ def prepare(records: DataFrame, path: str, stage: str, tokenizer=None, length: i
     if purpose and not purpose_violations(checked, purpose).isEmpty():
         raise ValueError(f"records of another partition cannot be prepared for {purpose}")
     rows = admitted(checked, stage)
-    encoded = encode(rows, length, stage == "pretrain", tokenizer, most_nodes, most_neighbours)
+    graphs = F.col("graph").isNotNull() | (F.col("mate")["graph"].isNotNull() if "mate" in checked.columns else F.lit(False))
+    n = checked.agg(F.count(F.lit(1)).alias("all"), F.count_if(supervised(checked.columns)).alias("supervised"), F.count_if(graphs).alias("graphs")).first()
+    encoded = encode(rows, length, stage == "pretrain", tokenizer, most_nodes, most_neighbours, n["graphs"] > 0)
     mate = F.coalesce(F.size("mate.input_ids"), F.lit(0)) if "mate" in encoded.columns else F.lit(0)
     encoded = encoded.withColumn("length", F.greatest(F.size("input_ids"), mate))
     encoded.write.mode("errorifexists").parquet(path)
@@ -52,7 +54,6 @@ def prepare(records: DataFrame, path: str, stage: str, tokenizer=None, length: i
     if not counts["output_records"]:
         remove(spark, path)
         raise ValueError("no record fits; nothing is cut short")
-    n = checked.agg(F.count(F.lit(1)).alias("all"), F.count_if(supervised(checked.columns)).alias("supervised")).first()
     admitted_n = n["all"] if stage == "pretrain" else n["supervised"]
     other = rows.where(F.col("split").isNotNull() & (F.col("split") != "") & ~F.col("split").isin(*PARTITIONS, "quarantine")).select("id", "split").first()
     if other:

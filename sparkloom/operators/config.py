@@ -1,96 +1,60 @@
-"""Settings of the reference-sized encoder, read from a document, and the sizes of its parameters."""
+"""Settings of a training run, read from a document, and the parameters of encoders of many sizes, counted by joins of their shapes."""
 
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, fields
+from dataclasses import fields
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from sparkloom.operators.steps import Settings
 
-@dataclass
-class ModelConfig:
-    """The full model's sizes."""
+#: fixed values: the full encoder's sizes
+FULL = {
+    "vocab_size": 32768, "dim": 640, "layers": 16, "ffn_dim": 1664, "global_every": 4, "graph_dim": 128, "graph_heads": 4, "relations": 16, "task_dim": 256, "edge_dim": 64, "families": 12, "cwes": 64, "evidence_roles": 8,
+}
 
-    vocab_size: int = 32768
-    dim: int = 640
-    layers: int = 16
-    heads: int = 10
-    ffn_dim: int = 1664
-    max_length: int = 8192
-    local_radius: int = 256
-    global_every: int = 4
-    query_chunk: int = 128
-    graph_dim: int = 128
-    graph_heads: int = 4
-    relations: int = 16
-    task_dim: int = 256
-    edge_dim: int = 64
-    families: int = 12
-    cwes: int = 64
-    evidence_roles: int = 8
-    rope_base: float = 10000.0
-    dropout: float = 0.0
-    checkpoint_blocks: bool = True
-    graph_enabled: bool = True
 
-    def __post_init__(self):
-        rules = {
-            "dim is a multiple of heads, with an even quotient": self.dim % self.heads == 0 and self.dim // self.heads % 2 == 0, "graph_dim is a multiple of graph_heads": self.graph_dim % self.graph_heads == 0,
-            "layers, global_every, query_chunk and max_length are positive": min(self.layers, self.global_every, self.query_chunk, self.max_length) > 0, "local_radius is not negative": self.local_radius >= 0,
-            "vocab_size is 272 at least": self.vocab_size >= 272, "dropout is in [0, 1)": 0 <= self.dropout < 1,
-        }
-        for rule, holds in rules.items():
-            if not holds:
-                raise ValueError(rule)
-
-
-#: fixed values: the small model, where it differs
-TINY = {"vocab_size": 512, "dim": 64, "layers": 4, "heads": 4, "ffn_dim": 160, "max_length": 512, "local_radius": 16, "global_every": 2, "query_chunk": 16, "graph_dim": 32, "graph_heads": 4, "task_dim": 32, "edge_dim": 16}
-
-
-def read_config(text: str) -> dict:
-    """A mapping with ``model`` and ``training`` of a JSON or (where the library is there) YAML text."""
+def read_settings(text: str) -> Settings:
+    """The ``training`` mapping of a JSON or (where the library is there) YAML document; names that are no settings are an error."""
     try:
         import yaml
 
         found = yaml.safe_load(text)
     except ImportError:
         found = json.loads(text)
-    if not isinstance(found, dict):
+    if not isinstance(found, dict) or not isinstance(found.get("training", {}), dict):
         raise ValueError("a configuration is a mapping")
-    return {"model": {}, "training": {}} | found
-
-
-def model_config(config: dict) -> ModelConfig:
-    """A preset (``100m`` or ``tiny``) with the given values over it; unknown names are an error."""
-    own = dict(config.get("model") or {})
-    base = TINY if own.pop("preset", "100m") == "tiny" else {}
-    if unknown := set(own) - {f.name for f in fields(ModelConfig)}:
+    own = found.get("training", {})
+    if unknown := set(own) - {f.name for f in fields(Settings)}:
         raise ValueError(f"unknown settings: {sorted(unknown)}")
-    return ModelConfig(**{**base, **own})
-
-
-def parameters(spark: SparkSession, c: ModelConfig) -> DataFrame:
-    """part, name, size, times, pretraining_only: shapes of all parameters."""
-    d, g, t = c.dim, c.graph_dim, c.task_dim
-    adapters = sum((i + 1) % c.global_every == 0 for i in range(c.layers))
-    rows = [
-        ("token", "embedding", c.vocab_size * d, 1, False), ("kind", "embedding", 32 * d, 1, False), ("role", "embedding", 8 * d, 1, False), ("language", "embedding", 8 * d, 1, False),
-        ("blocks", "attention", 4 * d * d, c.layers, False), ("blocks", "feed_forward", 3 * d * c.ffn_dim, c.layers, False), ("blocks", "norms", 2 * d, c.layers, False),
-        ("adapters", "norms", d + g, adapters, False), ("adapters", "down_up", 2 * d * g, adapters, False), ("adapters", "attention", 4 * g * g, adapters, False),
-        ("adapters", "relations", c.relations * (g + c.graph_heads), adapters, False), ("adapters", "gate", 1, adapters, False), ("final_norm", "norm", d, 1, False),
-        ("heads", "project", d * t + t, 1, False), ("heads", "outputs", (t + 1) * (2 + c.families + c.cwes + c.evidence_roles), 1, False), ("heads", "edges", 2 * d * c.edge_dim + c.relations, 1, False),
-        ("mlm", "transform", d * d + d, 1, True), ("mlm", "norm", d, 1, True), ("mlm", "bias", c.vocab_size, 1, True),
+    return Settings(**own)
+
+
+def shapes() -> list[tuple[str, str, Column, Column, bool]]:
+    """part, name, numbers, times, whether it only serves pretraining: of all weights, by the columns of ``FULL``."""
+    c = {k: F.col(k).cast("long") for k in FULL}
+    d, g, t, one = c["dim"], c["graph_dim"], c["task_dim"], F.lit(1).cast("long")
+    adapters = F.floor(c["layers"] / c["global_every"])
+    fixed = lambda n: F.lit(n).cast("long")
+    return [
+        ("token", "embedding", c["vocab_size"] * d, one, False), ("kind", "embedding", fixed(32) * d, one, False), ("role", "embedding", fixed(8) * d, one, False), ("language", "embedding", fixed(8) * d, one, False),
+        ("blocks", "attention", fixed(4) * d * d, c["layers"], False), ("blocks", "feed_forward", fixed(3) * d * c["ffn_dim"], c["layers"], False), ("blocks", "norms", fixed(2) * d, c["layers"], False),
+        ("adapters", "norms", d + g, adapters, False), ("adapters", "down_up", fixed(2) * d * g, adapters, False), ("adapters", "attention", fixed(4) * g * g, adapters, False),
+        ("adapters", "relations", c["relations"] * (g + c["graph_heads"]), adapters, False), ("adapters", "gate", one, adapters, False), ("final_norm", "norm", d, one, False),
+        ("heads", "project", d * t + t, one, False), ("heads", "outputs", (t + 1) * (c["families"] + c["cwes"] + c["evidence_roles"] + 2), one, False), ("heads", "edges", fixed(2) * d * c["edge_dim"] + c["relations"], one, False),
+        ("mlm", "transform", d * d + d, one, True), ("mlm", "norm", d, one, True), ("mlm", "bias", c["vocab_size"], one, True),
     ]
-    return spark.createDataFrame(rows, "part string, name string, size long, times long, pretraining_only boolean")
 
 
-def parameter_counts(sizes: DataFrame) -> DataFrame:
-    """training_model and inference_model: all parameters, and those that are needed after pretraining."""
-    n = F.col("size") * F.col("times")
-    return sizes.agg(F.sum(n).alias("training_model"), F.sum(F.when(~F.col("pretraining_only"), n)).alias("inference_model"))
+def parameters(models: DataFrame, key: str) -> DataFrame:
+    """key, part, name, numbers, times and pretraining_only of each model; sizes that ``models`` (key, and some of ``FULL``) lacks are the full encoder's."""
+    given = {k: F.col(k) if k in models.columns else F.lit(v) for k, v in FULL.items()}
+    rows = [F.struct(F.lit(p).alias("part"), F.lit(n).alias("name"), a.alias("numbers"), b.alias("times"), F.lit(only).alias("pretraining_only")) for p, n, a, b, only in shapes()]
+    return models.select(key, *[c.alias(k) for k, c in given.items()]).select(key, F.inline(F.array(*rows)))
 
 
-def as_dict(c: ModelConfig) -> dict:
-    return asdict(c)
+def parameter_counts(sizes: DataFrame, key: str) -> DataFrame:
+    """training_model and inference_model of each key: all parameters, and those that are needed after pretraining."""
+    n = F.col("numbers") * F.col("times")
+    return sizes.groupBy(key).agg(F.sum(n).alias("training_model"), F.sum(F.when(~F.col("pretraining_only"), n)).alias("inference_model"))

@@ -266,10 +266,12 @@ def window_graph(nodes: np.ndarray, edges: np.ndarray, offsets: np.ndarray, leng
     return {"spans": spans, "neighbors": neighbours, "token_nodes": token_nodes, "edges": out}, dropped
 
 
-def with_window_graphs(df: DataFrame, out: str, graph: str, offsets: str, length: str, most_nodes: int, most_neighbours: int, fan: int = 4) -> DataFrame:
-    """``df`` with ``out``, a struct of graph and diagnostics (both null without nodes), of the columns ``graph``, ``offsets`` and ``length``.  Edges have their relations as numbers."""
+def with_window_graphs(df: DataFrame, out: str, graph: str, offsets: str, length: str, most_nodes: int, most_neighbours: int, fan: int = 4, none: bool = False) -> DataFrame:
+    """``df`` with ``out``, a struct of graph and diagnostics (both null without nodes), of the columns ``graph``, ``offsets`` and ``length``.  Edges have their relations as numbers.  ``none``: no row has a graph."""
     at = [df.columns.index(c) for c in (graph, offsets, length)]
     kind = T._parse_datatype_string(f"struct<graph:{GRAPH},diagnostics:{DIAGNOSTICS}>")
+    if none:
+        return df.withColumn(out, F.struct(F.lit(None).cast(GRAPH).alias("graph"), F.lit(None).cast(DIAGNOSTICS).alias("diagnostics")))
     schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
 
     def pairs(rows, *names: str) -> np.ndarray:
@@ -332,11 +334,11 @@ def _windows_of(tokens: Column, length: int, pretrain: bool) -> Column:
     return bound(tokens, cut)
 
 
-def encode(records: DataFrame, length: int = 512, pretrain: bool = False, tokenizer=None, most_nodes: int = 256, most_neighbours: int = 16) -> DataFrame:
+def encode(records: DataFrame, length: int = 512, pretrain: bool = False, tokenizer=None, most_nodes: int = 256, most_neighbours: int = 16, graphs: bool = True) -> DataFrame:
     """Model rows of canonical records: windows when ``pretrain``, whole records that fit and touch their target otherwise.
 
     Besides the columns of a window: ``roles`` per token, ``graph`` (what the window's tokens carry of the record's graph) with ``diagnostics``, ``window_start``, and for verified pairs ``mate``
-    (the other record's row) with ``pair_relation``.  A pair whose mate does not fit is left out.  When ``pretrain`` nothing supervised is kept.
+    (the other record's row) with ``pair_relation``.  A pair whose mate does not fit is left out.  When ``pretrain`` nothing supervised is kept.  Without ``graphs`` (no record has one) nothing goes through Python.
     """
     if length < 8 or length % 8:
         raise ValueError("length must be a multiple of 8, 8 at least")
@@ -361,10 +363,10 @@ def encode(records: DataFrame, length: int = 512, pretrain: bool = False, tokeni
         df = df.where(touched(F.col("target_mask")))
     if paired:
         df = df.where(F.col("mate").isNull() | touched(F.col("mate")["target_mask"]))
-    df = with_window_graphs(df, "__mapped", "raw_graph", "offsets", "code_length", most_nodes, most_neighbours)
+    df = with_window_graphs(df, "__mapped", "raw_graph", "offsets", "code_length", most_nodes, most_neighbours, none=not graphs)
     df = df.withColumns({"graph": F.col("__mapped")["graph"], "diagnostics": F.col("__mapped")["diagnostics"]}).drop("__mapped", "raw_graph", "code_length")
     if paired:
-        df = with_window_graphs(df, "__mapped", "__mate_raw_graph", "__mate_offsets", "__mate_code_length", most_nodes, most_neighbours)
+        df = with_window_graphs(df, "__mapped", "__mate_raw_graph", "__mate_offsets", "__mate_code_length", most_nodes, most_neighbours, none=not graphs)
         other = F.col("mate").withField("graph", F.col("__mapped")["graph"]).withField("diagnostics", F.col("__mapped")["diagnostics"])
         df = df.withColumn("mate", F.when(F.col("mate").isNotNull(), other)).drop("__mapped", "__mate_raw_graph", "__mate_offsets", "__mate_code_length")
     return df

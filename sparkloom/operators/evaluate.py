@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkloom.functions.text import line_of, sigmoid
 from sparkloom.operators.encode import encode
-from sparkloom.operators.metrics import binary_metrics, bootstrap_ap, fit_calibration, fpr_threshold, known, top_k
+from sparkloom.operators.metrics import binary_metrics, bootstrap_ap, fit_calibration, fpr_threshold, known, mean_loss, top_k
 from sparkloom.operators.record import ROLES, WEAKNESSES, completed
 from sparkloom.sources.files import write_document
 
@@ -27,9 +27,16 @@ def compatible(model: dict, manifest: dict) -> None:
 def evaluate(predictions: DataFrame, model: dict, manifest: dict, calibration: dict | None = None, bootstrap: int = 0, path: str | None = None) -> dict:
     """A report of predictions (id, group_id, label, logit), which are written with their risk_score beside it.
 
-    A calibration of other weights, or one that was fitted on these data, is refused.
+    A calibration of other weights, or one that was fitted on these data, is refused.  A pretrained model ranks nothing: its predictions (loss, n: sums over a row's hidden tokens, and their number) only give validation_loss.
     """
     compatible(model, manifest)
+    if model["stage"] == "pretrain":
+        if calibration or bootstrap:
+            raise ValueError("a pretrained model has no classifier")
+        report = {"metrics": mean_loss(predictions).first().asDict(), "stage": "pretrain", "cache_manifest": manifest, "calibrated": False, "warning": "the loss of hidden tokens, no measure of a classifier"}
+        if path:
+            write_document(predictions.sparkSession, path, report)
+        return report
     scored, threshold = predictions, 0.5
     logit = F.col("logit").cast("double")
     if calibration:

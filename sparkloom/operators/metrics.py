@@ -227,6 +227,36 @@ def joint_loss(parts: DataFrame) -> DataFrame:
     return parts.agg(F.sum(F.col("loss") * F.try_element_at(weights, F.col("head"))).alias("total"))
 
 
+def head_losses(rows: DataFrame, positive_weight: float = 1.0, margin: float = 1.0) -> DataFrame:
+    """head, loss: the parts of the joint loss of encoded rows and their outputs, in one aggregation.
+
+    ``rows``: label, adequate, teacher_probability, cwe, family, roles, weight (and graph, whose edges' evidence may be known) of model rows; ``out``: logits risk, adequacy, cwe, family, roles (and edges).  A row's loss in a
+    head is the mean over its known targets, a head's the mean of its rows weighted by ``weight``, 0 without any.  Where a row has ``mate_out`` and a pair_relation, its pair counts: higher by ``margin``, or invariant.
+    """
+    one = lambda f, y: (F.array(f), F.array(y))
+    out = F.col("out")
+    heads = {
+        "risk": one(out["risk"], F.col("label")), "adequacy": one(out["adequacy"], F.col("adequate")), "teacher": one(out["risk"], F.col("teacher_probability")), "cwe": (out["cwe"], F.col("cwe")),
+        "family": (out["family"], F.col("family")), "roles": (F.flatten(out["roles"]), F.flatten("roles")),
+    }
+    if "graph" in rows.columns and "edges" in rows.schema["out"].dataType.fieldNames():
+        heads["edges"] = (out["edges"], F.transform(F.col("graph")["edges"], lambda e: e["evidence"]))
+    w = F.coalesce(F.col("weight"), F.lit(1.0)).cast("double")
+    sums = []
+    for head, (f, y) in heads.items():
+        known = F.filter(F.zip_with(f, y, lambda a, b: F.when(b >= 0, bce(a.cast("double"), b.cast("double"), positive_weight if head == "risk" else 1.0))), lambda x: x.isNotNull())
+        mean = F.aggregate(known, F.lit(0.0), lambda acc, x: acc + x) / F.size(known)
+        counts = F.size(known) > 0
+        sums += [F.sum(F.when(counts, mean * w)).alias(f"{head}_x"), F.sum(F.when(counts, w)).alias(f"{head}_w")]
+    if "mate_out" in rows.columns:
+        a, b = out["risk"].cast("double"), F.col("mate_out")["risk"].cast("double")
+        told = F.when(F.col("pair_relation") == "higher", softplus(margin - (a - b))).when(F.col("pair_relation") == "invariant", F.pow(sigmoid(a) - sigmoid(b), F.lit(2.0)))
+        heads["pair"] = None
+        sums += [F.sum(told).alias("pair_x"), F.count(told).cast("double").alias("pair_w")]
+    loss = lambda h: F.coalesce(F.col(f"{h}_x"), F.lit(0.0)) / F.greatest(F.coalesce(F.col(f"{h}_w"), F.lit(0.0)), F.lit(1e-8))
+    return rows.agg(*sums).select(F.inline(F.array(*[F.struct(F.lit(h).alias("head"), loss(h).alias("loss")) for h in heads])))
+
+
 def pair_loss(pairs: DataFrame, margin: float = 1.0) -> DataFrame:
     """loss over pairs (a, b, relation 0 higher or 1 invariant)."""
     ranked = softplus(margin - (F.col("a") - F.col("b")))

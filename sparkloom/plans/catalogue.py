@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sparkloom.functions import text as tx
 from sparkloom.operators import batch, cache, config, encode, graph_source, metrics, record, report, split, tokens
+from sparkloom.operators.ranks import with_rank
 from sparkloom.operators.storage import new_path
 from sparkloom.sources import adapters, files, imports
 
@@ -425,6 +426,29 @@ def import_convert(spark, sf_dir):
     return spark.createDataFrame([tuple(manifest["stats"][k] for k in ("source_rows", "emitted_rows", "labeled_rows"))], "source_rows long, emitted_rows long, labeled_rows long")
 
 
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents")
+def json_ordinals(spark, sf_dir):
+    """Documents as files of JSON lines in the order of ids, with blank lines between, read back: the rank of each record's file and line."""
+    docs = table(spark, sf_dir, "documents").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    path = new_path(spark, "lines")
+    docs.select(F.concat(F.to_json(F.struct("doc_id", "lang")), F.when(F.col("doc_id") % 3 == 0, "\n").otherwise(""))).write.text(path)
+    rows = files.read_numbered(spark, path, T._parse_datatype_string("doc_id long, lang string"))
+    return with_rank(rows.select("doc_id", F.col("ordinal")["file"].alias("file"), F.col("ordinal")["line"].alias("line")), ["file", "line"], "place").select("doc_id", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH x AS (SELECT p_partkey AS i, len(list_filter(string_split(lower({_LICENCES}), ','), lambda x: x NOT IN ('mit', 'apache-2.0'))) = 0 AS ok, lower({_LANGUAGE}) IN ('c', 'c++', 'cpp') AS c FROM part),
+n AS (SELECT *, count(*) FILTER (ok AND c) OVER (ORDER BY i) AS upto FROM x), s AS (SELECT * FROM n WHERE upto < 300 OR upto = 300 AND ok AND c)
+SELECT count(*) AS scanned, count(*) FILTER (NOT ok) AS license_filtered, count(*) FILTER (ok AND NOT c) AS language_filtered, count(*) FILTER (ok AND c) AS emitted FROM s""")
+def release_scan(spark, sf_dir):
+    """A release in files, in the order of parts, read in waves until 300 records came out (the limit is the feature): the counters of a scan that stops there."""
+    rows = snip(spark, sf_dir).withColumnRenamed("code", "content").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), F.split(F.expr(_LICENCES), ",").alias("licenses"), F.expr(_LANGUAGE).alias("lang")), "i")
+    source = new_path(spark, "release")
+    rows.withColumn("repo_name", F.concat(F.lit("Own/p"), F.col("i") % 50)).repartitionByRange(16, "i").sortWithinPartitions("i").write.parquet(source)
+    stats = imports.from_release(source, new_path(spark, "import"), "mirror", revision="r1", limit=300, allowed=["MIT", "Apache-2.0"], terms_acknowledged=True)["stats"]
+    names = ("scanned", "license_filtered", "language_filtered", "emitted")
+    return spark.createDataFrame([tuple(stats[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 # ---- encoding --------------------------------------------------------------
 
 
@@ -708,6 +732,27 @@ def multi_task_loss(spark, sf_dir):
     return metrics.joint_loss(parts).select(F.round("total", 8).alias("total"))
 
 
+_HEADS = """h AS (SELECT p_partkey AS k, 0.5 + p_size % 4 AS w, unnest(['risk', 'adequacy', 'teacher', 'cwe', 'cwe', 'cwe', 'family', 'family', 'roles', 'roles', 'roles', 'roles', 'edges', 'edges']) AS head, unnest(range(14)) AS i, p_size AS z FROM part),
+t AS (SELECT k, w, head, (z + CASE head WHEN 'teacher' THEN 0 ELSE 3 * i END) % 9 - 4 AS f, CASE head WHEN 'teacher' THEN CASE WHEN k % 4 = 0 THEN -1 ELSE z / 50.0 END ELSE (k + i) % 3 - 1 END AS y FROM h)"""
+
+
+@query(f"""WITH {_HEADS}, e AS (SELECT head, k, max(w) AS w, avg({_BCE.format('f', 'y')} * CASE WHEN head = 'risk' AND y = 1 THEN 2 ELSE 1 END) AS x FROM t WHERE y >= 0 GROUP BY head, k)
+SELECT head, round(sum(x * w) / sum(w), 8) AS loss FROM e GROUP BY head UNION ALL SELECT 'pair', round(avg(CASE WHEN p_partkey % 2 = 0 THEN greatest(0.5 - (p_size % 9 - 4 - (p_size % 7 - 3)), 0) + ln(1 + exp(-abs(0.5 - (p_size % 9 - 4 - (p_size % 7 - 3))))) ELSE (1 / (1 + exp(-(p_size % 9 - 4))) - 1 / (1 + exp(-(p_size % 7 - 3)))) ** 2 END), 8) FROM part WHERE p_partkey % 5 = 0""")
+def head_losses(spark, sf_dir):
+    """Losses of all heads of rows with their outputs; positives of the risk weigh double, every fifth row is one of a pair."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    f, y = lambda i: ((z + 3 * i) % 9 - 4).cast("double"), lambda i: ((k + i) % 3 - 1).cast("float")
+    many = lambda of, *at: F.array(*[of(i) for i in at])
+    rows = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), (0.5 + z % 4).alias("weight"), y(0).cast("int").alias("label"), y(1).cast("int").alias("adequate"), F.when(k % 4 == 0, -1.0).otherwise(z / 50.0).alias("teacher_probability"), many(y, 3, 4, 5).alias("cwe"),
+        many(y, 6, 7).alias("family"), F.array(many(y, 8, 9), many(y, 10, 11)).alias("roles"), F.struct(F.array(*[F.struct(y(i).cast("int").alias("evidence")) for i in (12, 13)]).alias("edges")).alias("graph"),
+        F.when(k % 5 == 0, F.when(k % 2 == 0, "higher").otherwise("invariant")).alias("pair_relation"),
+        F.struct(f(0).alias("risk"), f(1).alias("adequacy"), many(f, 3, 4, 5).alias("cwe"), many(f, 6, 7).alias("family"), F.array(many(f, 8, 9), many(f, 10, 11)).alias("roles"), many(f, 12, 13).alias("edges")).alias("out"),
+        F.struct((z % 7 - 3).cast("double").alias("risk")).alias("mate_out"),
+    )
+    return metrics.head_losses(rows, positive_weight=2.0, margin=0.5).select("head", *_round("loss"))
+
+
 @query("""WITH p AS (SELECT (l_quantity - 25) / 10 AS a, l_discount * 20 - 1 AS b, l_linenumber % 2 AS relation FROM lineitem)
 SELECT round(avg(CASE WHEN relation = 0 THEN greatest(1 - (a - b), 0) + ln(1 + exp(-abs(1 - (a - b)))) ELSE (1 / (1 + exp(-a)) - 1 / (1 + exp(-b))) ** 2 END), 8) AS loss FROM p""")
 def pair_loss(spark, sf_dir):
@@ -819,9 +864,13 @@ def optimizer_groups(spark, sf_dir):
     return df.select("id", "name", report.weight_decay_applies(F.col("name"), F.col("dims")).alias("decays"), report.rate_scale(F.col("name"), 2.5).alias("scale"))
 
 
-@query("SELECT 99996650::BIGINT AS training_model, 99553002::BIGINT AS inference_model")
+@query("""WITH m AS (SELECT p_partkey, 64 * (1 + p_size % 10) AS d, 1 + p_partkey % 24 AS l, 16384 * (1 + p_size % 3) AS v FROM part), n AS (SELECT *, l // 4 AS a FROM m)
+SELECT p_partkey, (v * d + 48 * d + l * (4 * d * d + 3 * d * 1664 + 2 * d) + a * (d + 128 + 256 * d + 4 * 128 * 128 + 16 * 132 + 1) + d + d * 256 + 256 + 257 * 86 + 2 * d * 64 + 16 + d * d + d + d + v)::BIGINT AS training_model,
+  (v * d + 48 * d + l * (4 * d * d + 3 * d * 1664 + 2 * d) + a * (d + 128 + 256 * d + 4 * 128 * 128 + 16 * 132 + 1) + d + d * 256 + 256 + 257 * 86 + 2 * d * 64 + 16)::BIGINT AS inference_model FROM n""")
 def param_budget(spark, sf_dir):
-    return config.parameter_counts(config.parameters(spark, config.ModelConfig()))
+    """Parameters of encoders whose sizes follow from parts."""
+    models = table(spark, sf_dir, "part").selectExpr("p_partkey", "64 * (1 + p_size % 10) AS dim", "1 + p_partkey % 24 AS layers", "16384 * (1 + p_size % 3) AS vocab_size")
+    return config.parameter_counts(config.parameters(models, "p_partkey"), "p_partkey")
 
 
 @query(f"""WITH o AS (SELECT o_orderkey, 'group:' || o_custkey AS root, CASE WHEN o_custkey % 5 = 0 THEN 'calibration' END AS given FROM orders)

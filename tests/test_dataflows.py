@@ -463,10 +463,17 @@ def test_schedules(spark):
 
 
 def test_config(spark):
-    assert config.model_config(config.read_config('{"model": {"preset": "tiny", "dim": 128}}')).dim == 128
-    assert config.parameter_counts(config.parameters(spark, config.ModelConfig())).first()[:] == (99_996_650, 99_553_002)
-    for text, words in (('{"model": {"dim": 7}}', "multiple"), ('{"model": {"x": 1}}', "unknown"), ("[1]", "mapping")):
+    full = spark.range(1).select(F.lit(0).alias("k"))
+    assert config.parameter_counts(config.parameters(full, "k"), "k").first()[1:] == (99_996_650, 99_553_002)
+    assert config.read_settings('{"training": {"max_steps": 7, "stage": "align"}}').max_steps == 7 and config.read_settings("{}").patience == 0
+    for text, words in (('{"training": {"batch_size": 0}}', "at least"), ('{"training": {"x": 1}}', "unknown"), ("[1]", "mapping")):
         with pytest.raises(ValueError, match=words):
-            config.model_config(config.read_config(text))
+            config.read_settings(text)
 
 
+def test_a_pretrained_model_has_a_loss_only(spark):
+    rows = spark.createDataFrame([(2.0, 4), (1.0, 2)], "loss double, n int")
+    model = MODEL | {"stage": "pretrain"}
+    assert evaluate.evaluate(rows, model, MANIFEST)["metrics"] == {"validation_loss": 0.5, "n": 6}
+    with pytest.raises(ValueError, match="no classifier"):
+        evaluate.evaluate(rows, model, MANIFEST, bootstrap=5)
