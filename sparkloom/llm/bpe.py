@@ -8,7 +8,7 @@ of texts at once (per block, over the blocks, then inside the blocks); a boundar
 before a character and its symbol.  No regular expression is used.
 
 Merging.  The slices between boundaries are looked up in a cache; a new one is merged by ranks, lowest first and leftmost
-on ties (by a heap where it is long).  Offsets of ids are kept, so that any run of ids can be decoded alone.
+on ties (by a heap where it is long).  Each id's number of bytes is kept with it from the merge on; their sums are the offsets of ids in the text, so any run of ids can be decoded alone and put in its place.
 
 Defined cases: a null text is an empty text: no ids, both digests those of no bytes; repeated rows give repeated results;
 an empty table gives an empty table; other columns are never read.
@@ -184,24 +184,26 @@ def split_texts(texts: list[str]) -> list[list[str]]:
 
 
 class Merges(dict):
-    """slice -> ids as little-endian unsigned 32-bit integers; new slices are merged, and kept while there is room."""
+    """slice -> ids as little-endian unsigned 32-bit integers, and the bytes that each stands for as 16-bit ones; new slices are merged, and kept while there is room."""
 
     def __init__(self, ranks: dict[bytes, int], most: int = 200_000):
         super().__init__()
         self.ranks, self.most = ranks, most
 
-    def __missing__(self, piece: str) -> bytes:
-        out = np.array(self.merge(piece.encode()), "<u4").tobytes()
+    def __missing__(self, piece: str) -> tuple[bytes, bytes]:
+        parts = self.merge(piece.encode())
+        out = np.array([self.ranks[p] for p in parts], "<u4").tobytes(), np.array([len(p) for p in parts], "<u2").tobytes()
         if len(self) >= self.most:
             self.clear()
         if len(piece) <= 64:
             self[piece] = out
         return out
 
-    def merge(self, piece: bytes) -> list[int]:
+    def merge(self, piece: bytes) -> list[bytes]:
+        """The parts of a slice that ids stand for."""
         ranks = self.ranks
         if piece in ranks:
-            return [ranks[piece]]
+            return [piece]
         if len(piece) > 100:
             return self._merge_long(piece)
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -218,9 +220,9 @@ class Merges(dict):
                 pairs[i] = get(parts[i] + parts[i + 1], 1 << 30)
             if i:
                 pairs[i - 1] = get(parts[i - 1] + parts[i], 1 << 30)
-        return [ranks[p] for p in parts]
+        return parts
 
-    def _merge_long(self, piece: bytes) -> list[int]:
+    def _merge_long(self, piece: bytes) -> list[bytes]:
         """The same by a heap of pairs over a linked list."""
         n, get = len(piece), self.ranks.get
         part = [piece[i : i + 1] for i in range(n)]
@@ -239,7 +241,7 @@ class Merges(dict):
             for x, y in ((left[i], i), (i, right[i])):
                 if x >= 0 and y < n and (r := get(part[x] + part[y])) is not None:
                     heapq.heappush(heap, (r, x, part[x], part[y]))
-        return [self.ranks[p] for p in part if p is not None]
+        return [p for p in part if p is not None]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -258,17 +260,38 @@ class Codec:
         for b, i in self.ranks.items():
             self.bytes[i] = b
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        get = self.merges.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split_texts(texts)]
+    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of each text as little-endian unsigned 32-bit integers, and their numbers of bytes as 16-bit ones."""
+        get, out = self.merges.__getitem__, []
+        for pieces in split_texts(texts):
+            ids, widths = zip(*map(get, pieces)) if pieces else ((), ())
+            out.append((b"".join(ids), b"".join(widths)))
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
-    def offsets(self, ids: bytes) -> np.ndarray:
-        """Where the bytes of each id begin in the decoded text, and its length."""
-        return np.cumsum([0] + [len(self.bytes[i]) for i in np.frombuffer(ids, "<u4").tolist()])
+    def decode_run(self, ids: bytes, widths: bytes, first: int, last: int) -> tuple[int, bytes]:
+        """Where the text of the ids from ``first`` up to ``last`` begins, and its bytes."""
+        return int(offsets(widths[: 2 * first])[-1]), self.decode(ids[4 * first : 4 * last])
+
+    def digest(self, ids: bytes, widths: bytes, run: int = 4096) -> str:
+        """SHA-256 of the decoded text, in runs of ids; an error unless each has its place by the widths."""
+        out, at, begins = hashlib.sha256(), 0, offsets(widths)
+        for i in range(0, len(ids) // 4, run):
+            text = self.decode(ids[4 * i : 4 * (i + run)])
+            if begins[i] != at:
+                raise ValueError(f"id {i} begins at byte {begins[i]}, not {at}")
+            out.update(text)
+            at += len(text)
+        if begins[-1] != at:
+            raise ValueError(f"the text ends at byte {begins[-1]}, not {at}")
+        return out.hexdigest()
+
+
+def offsets(widths: bytes) -> np.ndarray:
+    """Where the bytes of each id begin in the text, and the text's length."""
+    return np.concatenate(([0], np.cumsum(np.frombuffer(widths, "<u2"), dtype=np.int64)))
 
 
 _codecs: dict[str, Codec] = {}
@@ -295,19 +318,20 @@ def text_groups(texts: list[str], most: int = 500_000) -> Iterator[list[str]]:
 
 
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded_sha256 for each row of ``docs`` (doc_id, text)."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), widths (each id's number of bytes, 16-bit; ``offsets`` sums them) and decoded_sha256 for each row of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path)
         for batch in batches:
-            ids: list[bytes] = []
+            found: list[tuple[bytes, bytes]] = []
             for group in text_groups([t or "" for t in batch.column(1).to_pylist()]):
-                ids += own.encode_batch(group)
-            shas = [hashlib.sha256(own.decode(x)).hexdigest() for x in ids]
-            yield batch_of(["doc_id", "n_tokens", "ids", "decoded_sha256"], [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(shas, pa.string())])
+                found += own.encode_batch(group)
+            n, shas = [len(ids) // 4 for ids, _ in found], [own.digest(*x) for x in found]
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary()), pa.array(shas, pa.string())]
+            yield batch_of(["doc_id", "n_tokens", "ids", "widths", "decoded_sha256"], columns)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, widths binary, decoded_sha256 string")
 
 
 def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
@@ -319,10 +343,10 @@ def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
         for batch in batches:
             n, a, b = [], [], []
             for group in text_groups([t or "" for t in batch.column(1).to_pylist()]):
-                for ids in own.encode_batch(group):
+                for ids, widths in own.encode_batch(group):
                     n.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest())
-                    b.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                    b.append(own.digest(ids, widths))
             yield batch_of(["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,5 +1,7 @@
 """Slices and ids against the public library, on random and hand-made texts."""
 
+import hashlib
+
 import numpy as np
 import pytest
 import public_tokenizers
@@ -34,10 +36,33 @@ def test_ids_equal_the_library(library):
     alphabet = list("abcdeorthen'  \n1é,")
     texts = HAND + ["".join(rng.choice(alphabet, n)) for n in rng.integers(0, 900, 100)]
     own = bpe.Codec(RANKS)
-    for text, ids in zip(texts, own.encode_batch(texts)):
+    for text, (ids, widths) in zip(texts, own.encode_batch(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
         assert own.decode(ids) == text.encode()
-        assert own.offsets(ids)[-1] == len(text.encode())
+        assert bpe.offsets(widths)[-1] == len(text.encode()) and own.digest(ids, widths, 7) == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_any_run_decodes_alone():
+    rng = np.random.default_rng(5)
+    own = bpe.Codec(RANKS)
+    texts = [t for t in HAND if t] + ["".join(rng.choice(list("abcdeorthen'  \n1é,日😀"), n)) for n in rng.integers(1, 400, 60)]
+    for text, (ids, widths) in zip(texts, own.encode_batch(texts)):
+        n, whole = len(ids) // 4, text.encode()
+        for first, last in [(0, n), (n, n), *(sorted(rng.integers(0, n + 1, 2)) for _ in range(20))]:
+            at, part = own.decode_run(ids, widths, int(first), int(last))
+            assert whole[at : at + len(part)] == part and len(part) == bpe.offsets(widths)[last] - at
+    ids, widths = own.encode_batch(["hello world, hello"])[0]
+    with pytest.raises(ValueError, match="byte"):
+        own.digest(ids, widths[2:] + widths[:2], 1)
+
+
+def test_very_long_texts(spark):
+    """One word of a million letters, a million words, and a million spaces."""
+    texts = ["ab" * 500_000, "word " * 1_000_000, " " * 1_000_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.encode(df, RANKS).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() and bpe.offsets(got[i].widths)[-1] == len(t) and len(got[i].ids) == 4 * got[i].n_tokens
 
 
 def test_digests_of_odd_tables(spark):
