@@ -44,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the digest of the text decoded from them."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), widths (their numbers of bytes) and the digest of the text decoded from them."""
     return bpe.encode(docs, bpe.ranks_file())
 
 
