@@ -108,6 +108,8 @@ def _block_best(k: int):
         own, base = np.flatnonzero(asks), np.flatnonzero(~asks)
         base = base[np.argsort(nodes[base], kind="stable")]
         b, found = vectors[base], ([], [], [])
+        # what a product can be off by, of vectors as long as these
+        off = b.shape[1] * 2.0**-50 * np.sqrt((b * b).sum(1).max()) * np.sqrt((vectors[own] ** 2).sum(1))
         take = min(len(base), k + 11)  # some more than asked for, then the exact order
         for i in range(0, len(own), 256):
             q = own[i : i + 256]
@@ -116,7 +118,7 @@ def _block_best(k: int):
             # ties at the edge of the rough choice: keep all of them in view
             edge = np.take_along_axis(rough, near, 1).min(1)
             for r in range(len(q)):
-                mine = np.flatnonzero(rough[r] >= edge[r] - 1e-12)
+                mine = np.flatnonzero(rough[r] >= edge[r] - off[i + r])
                 exact = np.einsum("ij,ij->i", b[mine], np.broadcast_to(vectors[q[r]], (len(mine), b.shape[1])))
                 order = np.lexsort((nodes[base[mine]], -exact))[:k]
                 found[0].append(np.full(len(order), nodes[q[r]]))

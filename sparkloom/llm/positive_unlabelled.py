@@ -14,7 +14,7 @@ becomes negative, its gradient is reversed, as in the non-negative estimator.
 
 Bounds (parameters): models are fitted on at most ``positives`` + ``unlabelled`` documents; the prior is counted on all unlabelled ones, and all documents are scored.
 
-Defined cases: null or empty texts have the features of no characters and are scored like others; repeated rows score alike, and one row of each doc_id is learnt from;
+Defined cases: null or empty texts have the features of no characters and are scored like others; repeated rows score alike, and of rows of one doc_id one text (of the least hash) is learnt from;
 null doc_ids are scored, not learnt from, and not held out; labels that are null or contradict each other are not learnt from; without positives, or without any other
 document, there is no model and every score is 1; an empty table gives an empty table; other columns are never read, but pass through ``with_score``.
 """
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", positives: i
     good = sample_ids(own.select("doc_id").join(trusted, "doc_id", "left_semi").distinct(), positives)
     others = sample_ids(own.select("doc_id").join(trusted, "doc_id", "left_anti").distinct(), unlabelled)
     chosen = good.withColumn("positive", F.lit(1)).union(others.withColumn("positive", F.lit(0)))  # at most positives + unlabelled rows
-    rows = own.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "positive", half)
+    rows = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("positive").alias("positive"), F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "positive", half)
     got = rows.mapInArrow(_features_of, "positive int, half int, x binary").toArrow()
     x = np.array([np.frombuffer(b.as_py(), np.float32) for b in got.column(2)]).reshape(-1, N_FEATURES)
     y, halves = got.column(0).to_numpy(), got.column(1).to_numpy()

@@ -17,7 +17,7 @@ A document scores by its best segment over the whole text, through a Platt sigmo
 
 Bounds: a fit learns from a bounded sample of labelled documents and segments, given by ``Bounds``; all documents are scored by all their segments.
 
-Defined cases: null or empty texts score as having no evidence; null doc_ids are scored, not learnt from, and not held out; repeated rows score alike; labels that are null or contradict each
+Defined cases: null or empty texts score as having no evidence; null doc_ids are scored, not learnt from, and not held out; repeated rows score alike, and of rows of one doc_id one text (of the least hash) is learnt from; labels that are null or contradict each
 other are not learnt from; without both classes among labels every score is 0; an empty table gives an empty table.
 """
 
@@ -379,7 +379,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bounds: Bounds
     ids = learnable(labels, label)
     chosen = sample_ids(ids.where("y = 1"), bounds.toxic).union(sample_ids(ids.where("y = 0"), bounds.clean))
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")  # chosen: toxic + clean rows at most
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # chosen: toxic + clean rows at most
+    rows = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text")).orderBy("doc_id")
     got = rows.select("text", "y").mapInArrow(_bags, "y int, bag array<string>").toArrow()
     bags, y = got.column(1).combine_chunks(), got.column(0).to_numpy()
     if not len(bags):
