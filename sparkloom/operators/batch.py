@@ -14,13 +14,18 @@ from sparkloom.operators.encode import FIRST_MASKABLE, MASK, PAD
 from sparkloom.operators.ranks import with_rank
 
 
+def drawn(seed: int, *of: Column | str) -> Column:
+    """A number of 60 bits from the MD5 of the seed and some values, as other engines have it."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in of]).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def epoch_batches(df: DataFrame, length: str, size: int, seed: int, epoch: int, key: str = "id", block: int = 100, shard_rows: int = 200_000) -> DataFrame:
     """Each row once, with batch (a rank in the epoch's order) and slot.
 
     Rows are dealt by hash to as many shards as keep a shard at about ``shard_rows`` rows, shuffled inside them, sorted by length in blocks of
     ``block`` batches and cut into batches; batches are ordered by a hash of their name.  No step sorts the whole table in one task.
     """
-    h = lambda *c: F.xxhash64(F.lit(seed + epoch), *c)
+    h = lambda *c: drawn(seed + epoch, *c)
     shards = max(1, -(-df.count() // shard_rows))
     df = df.withColumn("__shard", F.pmod(h(F.col(key), F.lit("shard")), F.lit(shards)))
     df = df.withColumn("__rn", F.row_number().over(Window.partitionBy("__shard").orderBy(h(F.col(key)), key)) - 1)
@@ -34,7 +39,7 @@ def epoch_batches(df: DataFrame, length: str, size: int, seed: int, epoch: int,
 
 def sampled(df: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
     """``n`` rows without replacement: those of the least hashes."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return df.orderBy(drawn(seed, key), key).limit(n)
 
 
 def graphs_dropped(df: DataFrame, share: float, seed: int, batch: str = "batch", graph: str = "graph") -> DataFrame:

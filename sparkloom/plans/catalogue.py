@@ -627,13 +627,19 @@ def batch_padding(spark, sf_dir):
     return out.select("doc_id", F.size("ids").alias("width"), F.size(F.filter("attention", lambda x: x)).alias("attended"))
 
 
-@query()
+_DRAWN = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
+
+
+@query(f"""WITH s AS (SELECT doc_id, length(text)::INT AS n, {_DRAWN.format("'17:' || doc_id || ':shard'")} % greatest(1, ((SELECT count(*) FROM documents) + 199999) // 200000) AS shard, {_DRAWN.format("'17:' || doc_id")} AS h FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS rn FROM s), a AS (SELECT *, rn // 1600 AS block, row_number() OVER (PARTITION BY shard, rn // 1600 ORDER BY n, rn) - 1 AS place FROM r),
+b AS (SELECT *, shard || '-' || block || '-' || (place // 16) AS name FROM a)
+SELECT doc_id, n, dense_rank() OVER (ORDER BY {_DRAWN.format("'17:' || name")}, name) - 1 AS batch, (place % 16)::INT AS slot FROM b""")
 def epoch_batches(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
     return batch.epoch_batches(df, "n", 16, 17, 0, "doc_id").select("doc_id", "n", "batch", "slot")
 
 
-@query()
+@query(f"""SELECT doc_id FROM documents ORDER BY {_DRAWN.format("'17:' || doc_id")}, doc_id LIMIT 100""")
 def sample_rows(spark, sf_dir):
     """A sample without replacement (the limit is the feature)."""
     return batch.sampled(table(spark, sf_dir, "documents").select("doc_id"), 100, 17, "doc_id")
