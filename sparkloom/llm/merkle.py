@@ -116,12 +116,15 @@ def placed(leaves: DataFrame, carry: list[str]) -> tuple[DataFrame, int, int]:
     order = ["group", "key", "leaf", "salt"]
     ranged, _ = cut(own.repartitionByRange(partitions, *order).withColumn("part", F.spark_partition_id()), "leaf-ranges")
     counts, _ = cut(ranged.groupBy("group", "part").count(), "range-counts")
-    sizes = with_rank(counts.groupBy("group").agg(F.sum("count").alias("n")), ["group"], "g")
-    sizes, _ = cut(sizes.select("g", "n", F.col("group").alias("group_")), "groups")
-    rows, groups = counts.agg(F.sum("count")).first()[0] or 0, sizes.count()
+    sizes, _ = cut(counts.groupBy("group").agg(F.sum("count").alias("n")), "groups")
+    rows, groups = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    # so few names are ordered at once, more of them in ranges
+    sizes = sizes.withColumn("g", (F.row_number().over(Window.orderBy("group")) - 1).cast("long")) if groups <= FEW else with_rank(sizes, ["group"], "g")
+    sizes = sizes.select("g", "n", F.col("group").alias("group_"))
+    sizes = F.broadcast(sizes) if groups <= FEW else sizes
     before = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     starts = counts.select(F.col("group").alias("group_"), F.col("part").alias("part_"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    starts = starts.join(_few(sizes), starts["group_"].eqNullSafe(sizes["group_"])).select("g", "n", "before", "part_", starts["group_"])
+    starts = starts.join(sizes, starts["group_"].eqNullSafe(sizes["group_"])).select("g", "n", "before", "part_", starts["group_"])
     rank = F.row_number().over(Window.partitionBy("part", "group").orderBy("key", "leaf", "salt")) - 1
     ranked = ranged.withColumn("own", rank)
     out = ranked.join(_few(starts), (F.col("part") == F.col("part_")) & F.col("group").eqNullSafe(F.col("group_")))
@@ -130,7 +133,7 @@ def placed(leaves: DataFrame, carry: list[str]) -> tuple[DataFrame, int, int]:
 
 
 def build(leaves: DataFrame, rows: int, groups: int) -> tuple[DataFrame, DataFrame]:
-    """The links (g, n, level, at, digest: the children's digests in one text) and the roots (g, digest; g -1: of all) of rows (g, n, at, leaf)."""
+    """The links (g, n, level, at, digest: the children's digests in one text) and the roots (g, n, digest; g -1: of all) of rows (g, n, at, leaf)."""
     run = lambda batches: cascade(batches, groups)
     events = leaves.select("g", "n", F.lit(0).alias("level"), "at", F.col("leaf").alias("digest"))
     made = []
@@ -150,7 +153,7 @@ def build(leaves: DataFrame, rows: int, groups: int) -> tuple[DataFrame, DataFra
     all_ = made[0]
     for d in made[1:]:
         all_ = all_.union(d)
-    return all_.where(F.col("kind") == RUN).drop("kind"), all_.where(F.col("kind") == ROOT).select("g", "digest")
+    return all_.where(F.col("kind") == RUN).drop("kind"), all_.where(F.col("kind") == ROOT).select("g", "n", "digest")
 
 
 def _levels(n: Column) -> Column:
@@ -164,12 +167,17 @@ def _levels(n: Column) -> Column:
 STEPS = "array<struct<left:string,right:string>>"
 
 
-def paths(nodes: DataFrame, links: DataFrame, above: DataFrame) -> DataFrame:
-    """``nodes`` (g, n, at and others) with ``steps``, the siblings on both sides level by level, and the columns of ``above`` (g, up: the steps that follow the group's own, and others)."""
-    links, _ = cut(links, "links")
-    tall = links.agg(F.max("level")).first()[0]
-    tiers = 0 if tall is None else tall // TIER + 1
-    further = [c for c in above.columns if c not in ("g", "up")]
+def paths(nodes: DataFrame, links: DataFrame, above: DataFrame, most: int) -> DataFrame:
+    """``nodes`` (g, n, at and others) with ``steps``, the siblings on both sides level by level, and the further columns of ``above`` (g, size: leaves of the group, up: the steps that follow the group's own).
+
+    ``most``: no group has more leaves.
+    """
+    levels = 0
+    while ARITY**levels < most:
+        levels += 1
+    tiers = -(-levels // TIER)
+    further = [c for c in above.columns if c not in ("g", "up", "size")]
+    top = _few(above.drop("size").withColumnRenamed("g", "g_").withColumnRenamed("up", "top_up"))
     upper = None
     for t in reversed(range(max(tiers, 1))):
         base, last = t * TIER, BITS * TIER
@@ -177,11 +185,10 @@ def paths(nodes: DataFrame, links: DataFrame, above: DataFrame) -> DataFrame:
         local = F.col("level") - base
         blocks = links.where(local.between(0, TIER - 1)).groupBy("g", _right(F.col("at"), (F.lit(TIER - 1) - local) * BITS).alias("block"))
         blocks = blocks.agg(F.first("n").alias("m"), F.transform(F.sort_array(F.collect_list(F.struct(local.alias("l"), "at", "digest"))), lambda x: x["digest"]).alias("runs"))
-        top = above.withColumnRenamed("g", "g_").withColumnRenamed("up", "top_up")
         if t == 0:  # also groups of one leaf, which have no links
-            alone = above.select("g").join(blocks.select("g").distinct(), "g", "left_anti")
+            alone = above.where("size = 1")
             blocks = blocks.unionByName(alone.select("g", F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("m"), F.array().cast("array<string>").alias("runs")))
-        blocks = blocks.join(_few(top), F.col("g") == F.col("g_")).drop("g_")
+        blocks = blocks.join(top, F.col("g") == F.col("g_")).drop("g_")
         if upper is None:
             blocks = blocks.withColumn("up", F.col("top_up"))
         else:  # a block below the top of its tree goes on with what its own root needs
@@ -231,11 +238,11 @@ def manifest(df: DataFrame, fields: list[str], group: str, key: str, **carried:
         return empty.select("group", "leaf", "subroot", "steps", *carried), None
     roots, _ = cut(roots, "roots")
     root = roots.where(F.col("g") == TOP).first()["digest"]
-    tops = roots.where(F.col("g") != TOP).select(F.lit(TOP).cast("long").alias("g"), F.lit(groups).cast("long").alias("n"), F.col("g").alias("at"), F.col("digest").alias("subroot"))
-    nothing = spark.range(1).select(F.lit(TOP).cast("long").alias("g"), F.array().cast(STEPS).alias("up"))
-    above = paths(tops, links.where(F.col("g") == TOP), nothing).select(F.col("at").alias("g"), F.col("steps").alias("up"), "subroot")
+    tops = roots.where(F.col("g") != TOP).select(F.lit(TOP).cast("long").alias("g"), F.lit(groups).cast("long").alias("n"), F.col("g").alias("at"), F.col("n").alias("size"), F.col("digest").alias("subroot"))
+    nothing = spark.range(1).select(F.lit(TOP).cast("long").alias("g"), F.lit(groups).cast("long").alias("size"), F.array().cast(STEPS).alias("up"))
+    above = paths(tops, links.where(F.col("g") == TOP), nothing, groups).select(F.col("at").alias("g"), "size", F.col("steps").alias("up"), "subroot")
     above, _ = cut(above, "tops")
-    out = paths(leaves, links.where(F.col("g") != TOP), above)
+    out = paths(leaves, links.where(F.col("g") != TOP), above, rows)
     return out.select("group", "leaf", "subroot", "steps", *carried), root
 
 
