@@ -37,7 +37,7 @@ TOP = -1
 RUN, FRONTIER, ROOT = 0, 1, 2
 EVENT = "kind int, g long, n long, level int, at long, digest string"
 #: a block of frontier nodes has about so many
-BLOCK = 20_000
+BLOCK = 256
 #: blocks of the tree over groups are as many levels high
 GROUPS_WIDE = 4
 #: tables of groups or ranges are broadcast up to so many rows, else joined
