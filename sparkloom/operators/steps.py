@@ -7,6 +7,7 @@ Checkpoints hold weights, moments, and the place in the stream (epoch, batch), s
 from __future__ import annotations
 
 import math
+import time
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -14,8 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkloom.functions.text import bce, sigmoid
 from sparkloom.operators import batch, linear
+from sparkloom.operators.encode import encode
 from sparkloom.operators.metrics import binary_metrics, mean_loss, merged_supervision, supervision
-from sparkloom.operators.storage import cut, remove
+from sparkloom.operators.record import completed, validated
+from sparkloom.operators.report import runtime
+from sparkloom.operators.storage import cut, new_path, remove
 from sparkloom.operators.training import comparable, resolve, save_checkpoint, targets_of
 from sparkloom.sources.files import append_event, exists, read_document, write_document
 
@@ -202,3 +206,44 @@ def train_steps(
     write_document(spark, f"{run}/settings.json", asdict(s))
     return {"step": step, "seen_tokens": seen, "last_saved_step": saved, "validation": figures, "weights_sha256": model.digest()}
 
+
+
+def doctor(spark: SparkSession, steps: int = 2, length: int = 128, records: int = 64) -> dict:
+    """Exercise the real way of a record from its text to a trained and reloaded model, and time its steps.
+
+    A record with labels, evidence and a graph is encoded ``records`` times with names of its own; a model is trained on the rows, saved, loaded and compared.  Returned: runtime, features, seconds of a step, tokens a second, losses,
+    and the greatest difference of a logit after loading, of which anything but 0 is an error.
+    """
+    if steps < 1 or length < 64 or length % 8:
+        raise ValueError("steps is 1 at least, length a multiple of 8 from 64 on")
+    code = F.concat(F.lit("int f"), F.col("id"), F.lit("(int i){ int a[4]={1,2,3,4}; return a[i]; }"))
+    at = F.instr(code, "a[i]") - 1
+    node = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    edge = F.struct(F.lit(0).alias("src"), F.lit(1).alias("dst"), F.lit("ast_child").alias("type"), F.lit(1).alias("evidence"))
+    df = spark.range(records).select(F.concat(F.lit("d"), "id").alias("id"), F.lit("diagnostic").alias("group_id"), (F.col("id") % 2).cast("int").alias("label"), code.alias("code"), at.alias("at"))
+    df = df.withColumns({
+        "adequate": F.lit(1), "cwes": F.when(F.col("label") == 1, F.array(F.lit("CWE-125"))), "known_cwes": F.array(F.lit("CWE-416")),
+        "evidence": F.array(F.struct(F.col("at").alias("start"), (F.col("at") + 4).alias("end"), F.create_map(F.lit("risky_operation"), F.lit(1), F.lit("guard"), F.lit(0)).alias("roles"))),
+        "graph": F.struct(F.array(node(F.lit(0), F.length("code")), node(F.col("at"), F.col("at") + 4)).alias("nodes"), F.array(edge).alias("edges")),
+    }).drop("at")
+    rows, path = cut(encode(validated(completed(df)), length), "doctor")
+    settings = Settings(bits=12, batch_size=max(1, records // 2), warmup=1, max_steps=steps, weaknesses=True)
+    model, m = linear.Linear.zero(settings.bits, linear.heads_of(True)), None
+    stream, losses, tokens, began = Stream(rows, settings), [], 0, time.time()
+    for step in range(1, steps + 1):
+        got = stream.sums(model)
+        scale = linear.head_weights(model.heads) / np.maximum(got["weight"], 1e-8)
+        losses.append(float((got["loss"] * scale).sum()))
+        m = got["gradient"] * scale
+        model, tokens = linear.Linear(model.weights - rate(step, tokens, settings) * m, model.heads), tokens + got["tokens"]
+    took = time.time() - began
+    stream.close()
+    saved = new_path(spark, "doctor-model")
+    linear.save(spark, saved, model)
+    ids = np.array([r[0] for r in rows.select("input_ids").limit(2).collect()][:1])
+    apart = float(np.abs(model.logits(ids) - linear.load(spark, saved, model.size, model.heads)[0].logits(ids)).max())
+    figures = rows.agg(F.count_if(F.col("graph").isNotNull()).alias("graphs"), F.count(F.lit(1)).alias("n")).first()
+    remove(spark, path, saved)
+    if apart or figures["graphs"] != records or not all(map(math.isfinite, losses)):
+        raise RuntimeError(f"the check failed: logits differ by {apart}, {figures['graphs']} of {records} graphs, losses {losses}")
+    return {**runtime(spark), "features": model.size, "rows": figures["n"], "steps": steps, "losses": losses, "seconds_a_step": took / steps, "tokens_a_second": tokens / took, "logit_error_after_loading": apart}

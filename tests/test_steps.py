@@ -122,3 +122,10 @@ def test_reports_of_a_trained_model(spark, tmp_path, caches):
     got = {r.id: r for r in evaluate.predict(code, linear.for_reports(model, 128), about, tokens.Bytes()).collect()}
     assert got["bad"].risk_score > got["good"].risk_score and got["long"].status == "insufficient_context"
     assert [w.cwe for w in got["bad"].weakness_candidates] == ["CWE-125"] and got["bad"].evidence_candidates == []
+
+
+def test_doctor(spark):
+    got = steps.doctor(spark, steps=3, records=20)
+    assert got["rows"] == 20 and got["logit_error_after_loading"] == 0 and got["losses"][2] < got["losses"][0] and got["tokens_a_second"] > 0
+    with pytest.raises(ValueError):
+        steps.doctor(spark, length=60)
