@@ -24,17 +24,16 @@ other are not learnt from; without both classes among labels every score is 0; a
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparkloom.llm.common import append, batch_of, read_table, small_batches
+from sparkloom.llm.common import append, batch_of, cut, read_table, remove, small_batches
 from sparkloom.llm.learning import fold, learnable, platt, sample_ids, sigmoid, squared_hinge
 
 ORDER, GAPS, DECAY = 4, 2, 0.6
@@ -188,35 +187,6 @@ def _kernel(words: list[str], landmarks: list[str], chunk: int = 150) -> np.ndar
     return out
 
 
-def _seeds(vocabulary: list[str], bags: list[np.ndarray], y: np.ndarray) -> dict[int, float]:
-    """Words of toxic bags with the significance of their best beginning."""
-    def beginnings(word: str) -> Iterable[str]:
-        return (word[:n] for n in range(3, min(len(word), 8) + 1))
-
-    in_toxic, in_clean = Counter(), Counter()
-    for bag, label in zip(bags, y):
-        if label:
-            in_toxic.update({g for i in bag.tolist() for g in beginnings(vocabulary[i])})
-    in_toxic = Counter({g: n for g, n in in_toxic.items() if n > 1})  # others are never significant
-    for bag, label in zip(bags, y):
-        if not label:
-            in_clean.update({g for i in bag.tolist() for g in beginnings(vocabulary[i]) if g in in_toxic})
-    p, n = float((y == 1).sum()), float((y == 0).sum())
-    share = p / (p + n)
-
-    def z(g: str) -> float:
-        a, b = in_toxic[g], in_clean[g]
-        return (a - share * (a + b)) / np.sqrt(share * (1 - share) * (a + b) + 0.5) if a > 1 else 0.0
-
-    best: dict[int, float] = {}
-    for bag, label in zip(bags, y):
-        if label:
-            for i in bag.tolist():
-                if i not in best:
-                    best[i] = max((z(g) for g in beginnings(vocabulary[i])), default=0.0)
-    return best
-
-
 @dataclass(frozen=True)
 class Bounds:
     """What one fit learns from, at most."""
@@ -225,7 +195,7 @@ class Bounds:
     toxic: int = 2000
     clean: int = 4000
     #: landmarks of the Nyström approximation, half of them toxic segments
-    landmarks: int = 400
+    landmarks: int = 800
     rounds: int = 4
     #: the best-supported toxic segments, and how many of these also with a character inserted
     most_toxic: int = 2500
@@ -240,16 +210,16 @@ class Bounds:
 TRUST = 0.5
 
 
-def trusted(in_toxic: np.ndarray, in_clean: np.ndarray, toxic: int, clean: int) -> np.ndarray:
-    """0 to 1: how far the bags that hold a segment speak for it being toxic.
+def trusted(toxic: int, clean: int, a: Column | str = "a", b: Column | str = "b") -> Column:
+    """0 to 1: how far the bags that hold a segment (``a`` of the toxic ones, ``b`` of the clean ones) speak for it being toxic.
 
     1 if no clean bag holds it.  Else the shares of toxic and of clean bags that do are compared, two standard errors to the segment's disadvantage: a wrong label or two don't matter to an insult that is
     common among toxic bags, and chance doesn't make one of a rare word.
     """
-    both = in_clean > 0
-    a = np.where(both, np.maximum(in_toxic - 2 * np.sqrt(in_toxic), 0), in_toxic) / max(toxic, 1)
-    b = np.where(both, in_clean + 2 * np.sqrt(in_clean) + 1, 0) / max(clean, 1)
-    return np.where(in_toxic > 0, np.clip((a - b) / np.maximum(a + b, 1e-12), 0, 1), 0.0)
+    a, b = (F.col(x).cast("double") if isinstance(x, str) else x for x in (a, b))
+    p = F.greatest(a - 2 * F.sqrt(a), F.lit(0.0)) / max(toxic, 1)
+    q = (b + 2 * F.sqrt(b) + 1) / max(clean, 1)
+    return F.when(a == 0, 0.0).when(b == 0, 1.0).otherwise(F.greatest((p - q) / (p + q), F.lit(0.0)))
 
 
 def _with_insertion(word: str, rng: np.random.Generator) -> str:
@@ -263,85 +233,123 @@ def bag_of(text: str | None) -> set[str]:
     return {s for t in tokens(text or "") for s in segments(t) if s}
 
 
-def train(texts: list[str], y: np.ndarray, bounds: Bounds = Bounds(), seed: int = 7) -> Machine | None:
-    """Fit on labelled documents; None without both classes."""
-    bags = [sorted(bag_of(x)) for x in texts]
-    return train_bags(pa.array([w for bag in bags for w in bag], pa.string()).dictionary_encode(), np.array([len(b) for b in bags]), np.asarray(y), bounds, seed)
-
-
-def train_bags(words: pa.DictionaryArray, sizes: np.ndarray, y: np.ndarray, bounds: Bounds = Bounds(), seed: int = 7) -> Machine | None:
-    """Fit on the distinct segments of labelled documents, one document's after another's."""
-    if not (y == 1).any() or not (y == 0).any() or not len(words):
-        return None
-    rng = np.random.default_rng(seed)
-    names = words.dictionary.to_pylist()
-    by_name = sorted(range(len(names)), key=names.__getitem__)
-    vocabulary = [names[i] for i in by_name]
-    place = np.empty(len(names), np.int64)
-    place[by_name] = np.arange(len(names))
-    flat = place[words.indices.to_numpy()]
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    flat = flat[np.lexsort((flat, owner))]
-    starts = np.cumsum(sizes) - sizes
-    filled = sizes > 0
-    bags = np.split(flat, starts[1:])
-    in_clean = np.bincount(flat[y[owner] == 0], minlength=len(vocabulary))
-    in_toxic = np.bincount(flat[y[owner] == 1], minlength=len(vocabulary))
-    trust = trusted(in_toxic, in_clean, int((y == 1).sum()), int((y == 0).sum()))
-    ordinary = np.flatnonzero((in_clean > 0) & (trust < TRUST))
-    if not len(ordinary):
-        return None
-    strength = _seeds(vocabulary, bags, y)
-    toxic: Counter = Counter()  # segment -> toxic bags that it stands for
-    for bag, label in zip(bags, y):
-        if label:
-            ranked = sorted(((strength[i], i) for i in bag.tolist() if trust[i] >= TRUST), reverse=True)
-            toxic.update(i for z, i in ranked if z >= max(2.0, 0.7 * ranked[0][0]))
-    common = ordinary[np.argsort(-in_clean[ordinary], kind="stable")][: bounds.common]
-    clean = set(common.tolist()) | set(rng.choice(ordinary, min(len(ordinary), bounds.random), replace=False).tolist())
-    machine, worst = None, common
-    for _ in range(bounds.rounds):
-        if not toxic:
-            break
-        pos = np.array([i for i, _ in sorted(toxic.items(), key=lambda x: (-x[1], x[0]))[: bounds.most_toxic]])
-        doubted = pos[(in_clean[pos] > 0)]  # some clean bags hold them: by the rest of their trust they count there too
-        neg = np.concatenate((np.array(sorted(clean.difference(doubted.tolist()))), doubted)).astype(np.int64)
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, y, seg: the distinct segments of each text."""
+    for batch in batches:
+        for doc, text, y in zip(*(c.to_pylist() for c in batch.columns)):
+            own = sorted(bag_of(text))
+            if own:
+                yield batch_of(["doc", "y", "seg"], [pa.array([doc] * len(own), pa.int64()), pa.array([y] * len(own), pa.int32()), pa.array(own, pa.string())])
+
+
+def vocabulary(bags: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """seg, a and b (toxic and clean bags that hold it), trust, and strength: the significance of the segment's best beginning (3 to 8 characters), 0 if it is in no toxic bag.  ``bags``: doc, y, seg."""
+    counts, _ = cut(bags.groupBy("seg").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")), "segments")
+    lengths = F.when(F.length("seg") >= 3, F.sequence(F.lit(3), F.least(F.length("seg"), F.lit(8))))
+    with_beginnings = lambda df: df.withColumn("begin", F.explode(F.transform(lengths, lambda n: F.substring("seg", F.lit(1), n))))
+    of_toxic = with_beginnings(counts.where("a > 0").select("seg"))
+    begun = with_beginnings(bags).select("doc", "y", "begin").join(of_toxic.select("begin").distinct(), "begin", "left_semi").distinct()
+    begun = begun.groupBy("begin").agg(F.sum("y").cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
+    share = toxic / (toxic + clean)
+    z = F.when(F.col("p") > 1, (F.col("p") - share * F.col("n")) / F.sqrt(share * (1 - share) * F.col("n") + 0.5)).otherwise(0.0)
+    best = of_toxic.join(begun.select("begin", z.alias("z")), "begin").groupBy("seg").agg(F.max("z").alias("strength"))
+    return counts.join(best, "seg", "left").select("seg", "a", "b", trusted(toxic, clean).alias("trust"), F.coalesce("strength", F.lit(0.0)).alias("strength"))
+
+
+class Machines:
+    """Fits machines on chosen segments, one after another."""
+
+    def __init__(self, bounds: Bounds, seed: int):
+        self.bounds, self.rng = bounds, np.random.default_rng(seed)
+
+    def fit(self, toxic: dict[str, tuple[int, int, float]], clean: dict[str, int], worst: list[str]) -> tuple[np.ndarray, float]:
+        """Table and bias of a machine that tells toxic segments (their support, clean bags and trust) from clean ones (their bags)."""
+        bounds, rng = self.bounds, self.rng
+        pos = sorted(toxic, key=lambda w: (-toxic[w][0], w))[: bounds.most_toxic]
+        doubted = [w for w in pos if toxic[w][1]]  # some clean bags hold them: by the rest of their trust they count there too
+        neg = [*sorted(set(clean).difference(doubted)), *doubted]
         half = bounds.landmarks // 2
-        mixed = [*pos[: half // 2], *rng.permutation(pos[half // 2 :])[: half // 2], *worst[: half // 2], *rng.permutation(neg)[: half // 2]]
-        marks = [vocabulary[i] for i in dict.fromkeys(int(i) for i in mixed)]
-        plain = [i for i in pos[: bounds.varied] if len(vocabulary[i]) >= 4]
-        varied = [_with_insertion(vocabulary[i], rng) for i in plain for _ in range(3)]
-        words = [*(vocabulary[i] for i in pos), *varied, *(vocabulary[i] for i in neg)]
+        marks = list(dict.fromkeys([*pos[: half // 2], *rng.permutation(pos[half // 2 :])[: half // 2].tolist(), *worst[: half // 2], *rng.permutation(neg)[: half // 2].tolist()]))
+        plain = [w for w in pos[: bounds.varied] if len(w) >= 4]
+        varied = [_with_insertion(w, rng) for w in plain for _ in range(3)]
+        words = [*pos, *varied, *neg]
         labels = np.concatenate((np.ones(len(pos) + len(varied)), -np.ones(len(neg))))
         k = _kernel(marks, marks).astype(float)
         values, vectors = np.linalg.eigh((k + k.T) / 2)
         good = values > 1e-5 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
         x = np.concatenate((_kernel(words, marks) @ root, np.ones((len(words), 1))), 1)
-        support = np.sqrt(np.concatenate(([toxic[i] * trust[i] for i in pos], [0.1 * toxic[i] * trust[i] for i in plain for _ in range(3)], (1 + in_clean[neg]) * (1 - np.where(trust[neg] < TRUST, 0, trust[neg])))))
+        weighed = [toxic[w][0] * toxic[w][2] for w in pos] + [0.1 * toxic[w][0] * toxic[w][2] for w in plain for _ in range(3)]
+        weighed += [(1 + toxic[w][1]) * (1 - toxic[w][2]) if w in toxic else 1 + clean[w] for w in neg]
+        support = np.sqrt(weighed)
         weight = np.where(labels > 0, support / support[labels > 0].sum(), support / support[labels < 0].sum()) * len(words)
         w = squared_hinge(x, labels, weight)
         table, bias = np.zeros(1 << TABLE_BITS), float(w[-1])
         for mark, b in zip(marks, root @ w[:-1]):
             entries, v = features(mark)
             np.add.at(table, entries, b * v)
-        f = against(vocabulary, table) + bias
-        best = np.full(len(bags), f.min())
-        best[filled] = np.maximum.reduceat(f[flat], starts[filled])
-        a, b = platt(best, np.where(y == 1, 1, -1))
-        machine = Machine(table, bias, a, b, float(best[y == 0].min()))
+        return table.astype(np.float32), bias
+
+
+def train(bags: DataFrame, toxic: int, clean: int, bounds: Bounds = Bounds(), seed: int = 7) -> Machine | None:
+    """Fit on the segments of labelled documents, ``toxic`` and ``clean`` of them; None without both classes.  ``bags``: doc, y, seg.
+
+    Counts, significances and scores of segments, and the best of each document, are made where the segments are; the driver gets the chosen segments that ``bounds`` allow, and a number per document.
+    """
+    if not toxic or not clean:
+        return None
+    spark = bags.sparkSession
+    words, words_path = cut(vocabulary(bags, toxic, clean), "segment-counts")
+    ordinary = words.where((F.col("b") > 0) & (F.col("trust") < TRUST))
+    common = [(r["seg"], r["b"]) for r in ordinary.orderBy(F.desc("b"), "seg").limit(bounds.common).collect()]
+    if not common:
+        return None
+    clean_words = dict(common) | {r["seg"]: r["b"] for r in ordinary.orderBy(F.xxhash64("seg", F.lit(seed)), "seg").limit(bounds.random).collect()}
+    likely = bags.where("y = 1").join(words.where(F.col("trust") >= TRUST).select("seg", "b", "trust", "strength"), "seg")
+    top = likely.groupBy("doc").agg(F.max("strength").alias("top"))
+    stand = likely.join(top, "doc").where(F.col("strength") >= F.greatest(F.lit(2.0), 0.7 * F.col("top"))).groupBy("seg", "b", "trust").count()
+    toxic_words = {r["seg"]: (r["count"], r["b"], r["trust"]) for r in stand.orderBy(F.desc("count"), "seg").limit(bounds.most_toxic).collect()}
+    machines, worst, machine = Machines(bounds, seed), [w for w, _ in common], None
+    for _ in range(bounds.rounds):
+        if not toxic_words:
+            break
+        table, bias = machines.fit(toxic_words, clean_words, worst)
+        scored, path = cut(_scored_segments(words, table, bias), "segment-scores")
+        best, best_path = cut(bags.join(scored.select("seg", "f"), "seg").groupBy("doc", "y").agg(F.max("f").alias("best")), "bag-scores")
+        least = scored.agg(F.min("f")).first()[0]
+        rows = best.orderBy("doc").toPandas()  # a number per document of the sample
+        missing = [(1, toxic - int((rows["y"] == 1).sum())), (0, clean - int((rows["y"] == 0).sum()))]  # without segments
+        f = np.concatenate((rows["best"].to_numpy(), *[np.full(n, least) for _, n in missing]))
+        y = np.concatenate((rows["y"].to_numpy(), *[np.full(n, v) for v, n in missing]))
+        a, b = platt(f, np.where(y == 1, 1, -1))
+        machine = Machine(table, bias, a, b, float(f[y == 0].min()))
         # next round: hard segments of clean bags, and the best of toxic bags
-        hard = ordinary[f[ordinary] > -0.8]
-        clean.update(hard[np.argsort(-f[hard], kind="stable")][: bounds.hard].tolist())
-        worst = ordinary[np.argsort(-(np.maximum(0, 1 + f[ordinary]) * np.sqrt(in_clean[ordinary])), kind="stable")][:half]
-        toxic = Counter({i: n for i, n in toxic.items() if f[i] > -0.5})
-        for i in np.flatnonzero((y == 1) & filled):
-            own = bags[i]
-            own = own[(trust[own] >= TRUST) & (f[own] >= max(0.0, best[i] - 0.3))]
-            toxic.update({int(j): 1 for j in own if int(j) not in toxic})
+        usual = scored.where((F.col("b") > 0) & (F.col("trust") < TRUST))
+        clean_words |= {r["seg"]: r["b"] for r in usual.where("f > -0.8").orderBy(F.desc("f"), "seg").limit(bounds.hard).collect()}
+        loss = F.greatest(F.lit(0.0), 1 + F.col("f")) * F.sqrt("b")
+        worst = [r["seg"] for r in usual.orderBy(loss.desc(), "seg").limit(bounds.landmarks // 2).collect()]
+        names = list(toxic_words)
+        toxic_words = {w: toxic_words[w] for w, x in zip(names, against(names, table) + bias) if x > -0.5}
+        good = bags.where("y = 1").join(scored.where((F.col("trust") >= TRUST) & (F.col("f") >= 0)), "seg").join(best.select("doc", "best"), "doc").where("f >= best - 0.3")
+        for r in good.select("seg", "f", scored["b"], "trust").distinct().orderBy(F.desc("f"), "seg").limit(bounds.most_toxic).collect():
+            toxic_words.setdefault(r["seg"], (1, r["b"], r["trust"]))
+        remove(spark, path, best_path)
+    remove(spark, words_path)
     return machine
 
 
+def _scored_segments(words: DataFrame, table: np.ndarray, bias: float) -> DataFrame:
+    """``words`` (seg, b, trust) with f, a machine's value of each segment."""
+    shared = words.sparkSession.sparkContext.broadcast(table)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = against(batch.column(0).to_pylist(), shared.value) + bias
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f)], names=["seg", "b", "trust", "f"])
+
+    return words.select("seg", "b", "trust").mapInArrow(run, "seg string, b long, trust double, f double")
+
+
 _cache: dict[int, dict[str, float]] = {}
 
 
@@ -369,23 +377,18 @@ def _scores(shared, most: int = 200_000):
     return run
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield batch_of(["y", "bag"], [batch.column(1), pa.array([sorted(bag_of(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))])
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bounds: Bounds = Bounds()) -> Machine | None:
     """Learn from labelled documents that are not held out, ``bounds.toxic`` + ``bounds.clean`` of them at most."""
     ids = learnable(labels, label)
     chosen = sample_ids(ids.where("y = 1"), bounds.toxic).union(sample_ids(ids.where("y = 0"), bounds.clean))
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # chosen: toxic + clean rows at most
-    rows = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text")).orderBy("doc_id")
-    got = rows.select("text", "y").mapInArrow(_bags, "y int, bag array<string>").toArrow()
-    bags, y = got.column(1).combine_chunks(), got.column(0).to_numpy()
-    if not len(bags):
-        return None
-    return train_bags(bags.flatten().dictionary_encode(), bags.value_lengths().to_numpy(), y, bounds)
+    rows, path = cut(rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y"), "labelled")
+    n = rows.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
+    bags, bags_path = cut(rows.mapInArrow(_bags, "doc long, y int, seg string"), "bags")
+    machine = train(bags, n[0], n[1], bounds)
+    remove(docs.sparkSession, path, bags_path)
+    return machine
 
 
 def with_score(docs: DataFrame, machine: Machine | None, name: str) -> DataFrame:
