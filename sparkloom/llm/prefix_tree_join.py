@@ -36,8 +36,9 @@ from sparkloom.operators.components import connected_components
 
 SHINGLE = 4
 PERCENT = 85
-#: members compared with one centre in one block
+#: members compared with one centre in one block, and the elements of all their sets (8 bytes each), but for one larger set
 BLOCK = 256
+ELEMENTS = 1 << 21
 
 
 def size_classes(most: int = 1 << 40) -> np.ndarray:
@@ -259,9 +260,14 @@ def _compare(percent: int):
     return run
 
 
+def _blocks(block: int):
+    """Blocks of a group by its members and their elements (n)."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / ELEMENTS)).cast("int")
+
+
 def compare_pairs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """The pairs (a, b) that link.  Members of one centre are dealt in blocks by a hash, the centre's set goes to each block."""
-    sized = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("members")).select("a", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    """The pairs (a, b; n, the size of b's set) that link.  Members of one centre are dealt in blocks by a hash, the centre's set goes to each block."""
+    sized = pairs.groupBy("a").agg(_blocks(block).alias("blocks"))
     dealt = pairs.join(sized, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
     members = dealt.select("a", "block", "b").join(sets.withColumnRenamed("doc_id", "b"), "b")
     each = sized.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -302,11 +308,11 @@ def _compare_blocks(percent: int):
 
 
 def compare_families(members: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between different roots of each family.  ``members``: family, doc_id, root.
+    """Links (a, b) between different roots of each family.  ``members``: family, doc_id, n (size of its set), root.
 
     A family is dealt in blocks by a hash and each pair of blocks is one task's group, so that no pair of documents is a row.
     """
-    sized = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    sized = members.groupBy("family").agg(_blocks(block).alias("blocks"))
     own = members.join(sized, "family").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     dealt = own.select("family", "doc_id", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("family", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc_id", "root", "own")
@@ -358,17 +364,17 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     sets, _ = cut(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets_of(k), "doc_id long, hashes binary"), "tree-sets")
 
     # first every member against the centre it meets most often
-    met = shared.where("doc_id != centre").groupBy(F.col("centre").alias("a"), F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("times"))
-    tried, _ = cut(met.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b"), "tree-tried")
+    met = shared.where("doc_id != centre").groupBy(F.col("centre").alias("a"), F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n"))
+    tried, _ = cut(met.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a"), F.max("n").alias("n")).select("a", "b", "n"), "tree-tried")
     links, _ = cut(compare_pairs(tried, sets, percent), "tree-links")
     roots = connected_components(links)
 
     # then the buckets that still hold several components: roots that meet in a bucket make a family
-    apart = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("path", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    apart = apart.select("doc_id", "root", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi")).where("lo != hi")
-    apart, _ = cut(apart.select("doc_id", "root", "lo").distinct(), "tree-apart")
+    apart = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("path", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
+    apart = apart.select("doc_id", "n", "root", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi")).where("lo != hi")
+    apart, _ = cut(apart.select("doc_id", "n", "root", "lo").distinct(), "tree-apart")
     families = connected_components(apart.select(F.col("lo").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("family"))
-    more, _ = cut(compare_families(apart.select("doc_id", "root").distinct().join(families, "root").select("family", "doc_id", "root"), sets, percent), "tree-links")
+    more, _ = cut(compare_families(apart.groupBy("doc_id", "root").agg(F.max("n").alias("n")).join(families, "root").select("family", "doc_id", "n", "root"), sets, percent), "tree-links")
     roots = connected_components(links.union(more))
 
     placed = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
