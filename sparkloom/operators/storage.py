@@ -30,8 +30,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def clean(spark: SparkSession) -> None:
     """Delete all intermediate tables of this process; no result that was not read yet may be needed any more."""
-    remove(spark, *_made)
-    _made.clear()
+    remove(spark, *list(_made))
 
 
 def cut(df: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -46,5 +45,7 @@ def remove(spark: SparkSession, *paths: str) -> None:
     """Delete tables written by ``cut`` that no pending plan reads any more."""
     conf = spark._jsc.hadoopConfiguration()
     for path in paths:
+        if path in _made:
+            _made.remove(path)
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)

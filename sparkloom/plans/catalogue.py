@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sparkloom.functions import text as tx
-from sparkloom.operators import batch, cache, config, encode, graph_source, metrics, record, report, split, tokens
+from sparkloom.operators import batch, cache, config, encode, graph_source, metrics, record, report, split, steps, tokens
 from sparkloom.operators.ranks import with_rank
-from sparkloom.operators.storage import new_path
+from sparkloom.operators.storage import cut, new_path
 from sparkloom.sources import adapters, files, imports
 
 FLAGSHIP = "split_counts"
@@ -95,6 +95,8 @@ def _kind_sql(name: str) -> str:
     return (head.replace("{0}", name) + "WHEN starts_with" + rest.replace("{0}", name)).replace("{{", "{").replace("}}", "}")
 
 
+#: the hash by which batches and samples are drawn
+_DRAWN = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
 REPO_SQL = """lower(CASE WHEN regexp_matches(v3, '^[^/:]+/[^/:]+$') THEN 'github.com/' || v3 ELSE v3 END)"""
 
 
@@ -458,6 +460,29 @@ def token_windows(spark, sf_dir):
     return df.select("doc_id", "window_start", F.size("input_ids").alias("n"), (F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x) - encode.CLS - encode.SEP).alias("total"))
 
 
+@query(f"""WITH {CANON_SQL}, b AS (SELECT doc_id, {_BYTES} AS ids FROM canon), w AS (SELECT doc_id, ids, unnest(range(0, len(ids), 510)) AS s FROM b), r AS (SELECT doc_id || ':' || s AS id, len(ids[s + 1 : s + 510]) + 2 AS n FROM w),
+h AS (SELECT id, n, {_DRAWN.format("'17:' || id || ':shard'")} % greatest(1, ((SELECT count(*) FROM r) + 199999) // 200000) AS shard, {_DRAWN.format("'17:' || id")} AS h FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY h, id) - 1 AS rn FROM h), a AS (SELECT *, rn // 102400 AS block, row_number() OVER (PARTITION BY shard, rn // 102400 ORDER BY n, rn) - 1 AS place FROM o),
+b2 AS (SELECT n, shard || '-' || block || '-' || (place // 1024) AS name FROM a), t AS (SELECT name, sum(n) AS n FROM b2 GROUP BY name),
+q AS (SELECT row_number() OVER (ORDER BY {_DRAWN.format("'17:' || name")}, name) AS step, n FROM t), z AS (SELECT *, count(*) OVER () AS steps FROM q)
+SELECT step, sum(n) OVER (ORDER BY step)::BIGINT AS seen_tokens, round(0.05 * CASE WHEN step <= 2 THEN step / 2.0 ELSE 0.1 + 0.45 * (1 + cos(pi() * (step - 2) / greatest(1, steps - 2))) END, 9) AS learning_rate FROM z""")
+def training_steps(spark, sf_dir):
+    """An epoch over all windows of all documents, stopped after its first step and resumed: the log of both calls."""
+    df = canon(spark, sf_dir).select("doc_id", "label", tx.byte_ids(F.col("code")).alias("ids"))
+    rows = encode.windows(df, "ids", 512).select(
+        F.concat_ws(":", "doc_id", "window_start").alias("id"), F.col("doc_id").cast("string").alias("group_id"), "input_ids", F.coalesce("label", F.lit(-1)).alias("label"), F.array().cast("array<float>").alias("cwe"), F.lit(1.0).alias("weight"),
+        F.lit(-1).alias("adequate"), F.array().cast("array<float>").alias("family"), F.array().cast("array<array<float>>").alias("roles"),
+    )
+    rows, _ = cut(rows, "windows")
+    settings = steps.Settings(bits=12, batch_size=1024, warmup=2, max_steps=max(1, -(-rows.count() // 1024)), evaluate_every=1 << 30, validation_rows=500)
+    about = lambda purpose: {"purpose": purpose, "stage": "sft", "tokenizer_sha256": tokens.Bytes.sha256, "data": purpose, "max_length": 512, "vocab_size": tokens.Bytes.vocab_size}
+    run = new_path(spark, "run")
+    for resume, stop in ((False, 1), (True, None)):
+        steps.train_steps(rows, rows, about("train"), about("validation"), run, settings, resume=resume, stop_after=stop)
+    log = [(e["step"], e["seen_tokens"], e["learning_rate"]) for e in files.read_events(spark, f"{run}/events")]
+    return spark.createDataFrame(log, "step long, seen_tokens long, learning_rate double").select("step", "seen_tokens", *_round("learning_rate"))
+
+
 @query("SELECT doc_id FROM documents WHERE octet_length(encode(text)) BETWEEN 1 AND 1022")
 def overlength_reject(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.byte_ids(F.col("text")).alias("ids")).where(encode.fits("ids", 1024)).select("doc_id")
@@ -627,9 +652,6 @@ def batch_padding(spark, sf_dir):
     return out.select("doc_id", F.size("ids").alias("width"), F.size(F.filter("attention", lambda x: x)).alias("attended"))
 
 
-_DRAWN = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
-
-
 @query(f"""WITH s AS (SELECT doc_id, length(text)::INT AS n, {_DRAWN.format("'17:' || doc_id || ':shard'")} % greatest(1, ((SELECT count(*) FROM documents) + 199999) // 200000) AS shard, {_DRAWN.format("'17:' || doc_id")} AS h FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS rn FROM s), a AS (SELECT *, rn // 1600 AS block, row_number() OVER (PARTITION BY shard, rn // 1600 ORDER BY n, rn) - 1 AS place FROM r),
 b AS (SELECT *, shard || '-' || block || '-' || (place // 16) AS name FROM a)
