@@ -169,6 +169,37 @@ def test_shards(spark, tmp_path):
     assert hilbert.hilbert_shards(df.limit(0), ["source", "n"]).count() == 0
 
 
+def classic_curve(bits, x, y):
+    """The plane Hilbert curve by quadrants, from the largest down."""
+    d, side = 0, 1 << (bits - 1)
+    while side:
+        right, up = int(bool(x & side)), int(bool(y & side))
+        d += side * side * ((3 * right) ^ up)
+        if not up:
+            if right:
+                x, y = side - 1 - (x & (side - 1)), side - 1 - (y & (side - 1))
+            x, y = y, x
+        x, y, side = x & (side - 1), y & (side - 1), side >> 1
+    return d
+
+
+def test_curve_and_cells_equal_another_computation(spark):
+    """The curve is the classic one but for a turn of the plane, and a table's cells follow from the ranks of its values."""
+    rng, n = np.random.default_rng(9), 255
+    points = rng.integers(0, 256, (400, 2))
+    turns = [lambda x, y, s=s, i=i, j=j: ((n - x if i else x), (n - y if j else y))[:: -1 if s else 1] for s in (0, 1) for i in (0, 1) for j in (0, 1)]
+    same = [t for t in turns if all(classic_curve(8, *t(int(x), int(y))) == d for (x, y), d in zip(points, hilbert.hilbert_index(points.astype(np.uint64), 8)))]
+    assert len(same) == 1
+    rows = [(i, "t", [None, "b", "a", "zz", "m"][i % 5], [None, *range(-6, 6)][i % 13]) for i in range(650)]
+    got = {r.doc_id: r.curve for r in hilbert.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, source string, n long"), ["source", "n"]).collect()}
+
+    def cell(value, known):
+        return 0 if value is None else 1 + sorted(known).index(value) * 254 // len(known)
+
+    for i, _, source, k in rows:
+        assert got[i] == classic_curve(8, *same[0](cell(source, ["a", "b", "m", "zz"]), cell(k, list(range(-6, 6)))))
+
+
 def test_shard_files_prune_in_every_dimension(spark, tmp_path):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame([(i, "t", f"s{rng.integers(0, 20):02d}", int(rng.integers(0, 1000))) for i in range(4000)], "doc_id long, text string, source string, n long")
