@@ -91,6 +91,12 @@ def _whole(x: np.ndarray) -> np.ndarray:
     return np.rint(x * float(1 << FRACTION)).astype(np.int64)
 
 
+def _counted(at: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+    """Sums of whole numbers by place, exactly: upper and lower bits apart, so that none leaves the 53 bits of a float."""
+    upper, lower = (np.bincount(at, part.astype(float), size).astype(np.int64) for part in (x >> 20, x & ((1 << 20) - 1)))
+    return (upper << 20) + lower
+
+
 def sums(rows: DataFrame, model: Linear) -> dict[str, np.ndarray]:
     """gradient (of the sums of weighted losses), weight and loss by head, and tokens, of ``rows`` (input_ids, label, cwe, weight).
 
@@ -119,7 +125,9 @@ def sums(rows: DataFrame, model: Linear) -> dict[str, np.ndarray]:
                 part = g[i : i + CHUNK]
                 each = _whole(part / np.sqrt(np.maximum(exists.sum(1), 1))[:, None])
                 r, k = np.nonzero(exists)
-                np.add.at(total, place[r, k], each[r])
+                at = place[r, k]
+                for h in np.flatnonzero(each.any(0)):
+                    total[:, h] += _counted(at, each[r, h], shape[0])
                 total[-1] += _whole(part).sum(0)
         at, head = np.nonzero(total)
         h = np.arange(shape[1])

@@ -859,10 +859,14 @@ def apply_calibration(spark, sf_dir):
     return metrics.calibrated(pred(spark, sf_dir), 1.7, 0.3, 0.6).select("l_orderkey", "l_linenumber", *_round("probability"), "status")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PRED_SQL}, d AS (SELECT logit AS x, label::DOUBLE AS y FROM pred WHERE label >= 0), f AS (SELECT 0 AS k, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL
+SELECT k + 1, least(20.0, greatest(0.05, a - (g * w2 - h * w1) / (w0 * w2 - w1 * w1))), b - (h * w0 - g * w1) / (w0 * w2 - w1 * w1) FROM (
+  SELECT k, a, b, avg((q - y) * x) AS g, avg(q - y) AS h, avg(q * (1 - q) * x * x) + 1e-9 AS w0, avg(q * (1 - q) * x) AS w1, avg(q * (1 - q)) + 1e-9 AS w2
+  FROM (SELECT k, a, b, x, y, 1 / (1 + exp(-(a * x + b))) AS q FROM f, d WHERE k < 15) GROUP BY k, a, b))
+SELECT round(1 / a, 6) AS temperature, round(b, 6) AS bias FROM f WHERE k = 15""")
 def calibrate_temperature(spark, sf_dir):
     temperature, bias = metrics.fit_calibration(pred(spark, sf_dir))
-    return spark.createDataFrame([(temperature, bias)], "temperature double, bias double")
+    return spark.createDataFrame([(temperature, bias)], "temperature double, bias double").select(F.round("temperature", 6).alias("temperature"), F.round("bias", 6).alias("bias"))
 
 
 @query(f"WITH {PRED_SQL} SELECT l_orderkey, l_linenumber, p, row_number() OVER (PARTITION BY l_orderkey ORDER BY p DESC, l_linenumber)::INT AS rank FROM pred QUALIFY rank <= 2")
