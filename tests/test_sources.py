@@ -103,7 +103,7 @@ def db(tmp_path):
 def test_database_scans_in_ranges(spark, db):
     query = "SELECT t.k AS k, code, x, repo FROM t JOIN u ON t.k = u.k WHERE t.k % 2 = 0;"
     want = sorted(sqlite3.connect(db).execute(query).fetchall(), key=repr)
-    for key, parts, tasks in (("k", 6, 7), (None, None, 1), ("k", 100_000, None)):
+    for key, parts, tasks in (("k", 6, 7), (None, None, 1), ("k", 40, 41)):
         got = database.read_query(spark, db, query, "k long, code string, x double, repo string", key, parts)
         if tasks:
             assert got.rdd.getNumPartitions() == tasks
