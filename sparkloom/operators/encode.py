@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from sparkloom.functions.text import kind, kinds_by_char, tiles
 from sparkloom.operators.record import FAMILIES, RELATIONS, ROLES, WEAKNESSES
+from sparkloom.operators.storage import cut
 from sparkloom.operators.tokens import Bytes, byte_offsets  # noqa: F401
 
 PAD, MASK, CLS, SEP = 0, 1, 2, 3
@@ -160,7 +161,7 @@ def token_nodes(chosen: DataFrame, fan: int = 4) -> DataFrame:
 
 def map_graph(nodes: DataFrame, tokens: DataFrame, edges: DataFrame, most_nodes: int = 256, most_neighbours: int = 16, fan: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Chosen nodes, neighbours (with each node's own place first) and nodes over tokens."""
-    chosen = anchored_nodes(nodes, tokens, most_nodes)
+    chosen, _ = cut(anchored_nodes(nodes, tokens, most_nodes), "nodes")  # read by all three
     near = capped_neighbours(remapped_edges(edges, chosen), most_neighbours).select("rec", "d", "s", "rel", "rn")
     own = chosen.select("rec", F.col("k").alias("d"), F.col("k").alias("s"), F.lit(SELF).alias("rel"), F.lit(0).alias("rn"))
     return chosen, own.union(near), token_nodes(chosen, fan)
