@@ -319,8 +319,8 @@ def compare_families(members: DataFrame, sets: DataFrame, percent: int = PERCENT
     return dealt.join(sets, "doc_id").groupBy("family", "lo", "hi").applyInArrow(_compare_blocks(percent), "a long, b long")
 
 
-def shared_paths(docs: DataFrame, reps: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
-    """path, rep, n, popular: the paths that can witness a link, for one document of each equal set.
+def shared_paths(docs: DataFrame, reps: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> tuple[DataFrame, str]:
+    """path, rep, n, popular: the paths that can witness a link, for one document of each equal set; and the table of all paths that they are read from.
 
     Paths of one document only are left out.  Of the others a document needs only its rarest: linked sets differ in at most d runs, so
     in the global order by (documents of the path, path) one of the first d + 1 non-empty paths of each is common to both.
@@ -328,7 +328,7 @@ def shared_paths(docs: DataFrame, reps: DataFrame, percent: int = PERCENT, k: in
     rows = docs.mapInArrow(_paths_of(percent, k), "path long, node long").repartition("path").groupBy("path", "node").agg(F.count(F.lit(1)).alias("copies"))
     of_path = Window.partitionBy("path")
     rows = rows.select("path", "node", F.count(F.lit(1)).over(of_path).alias("documents"))
-    rows, _ = cut(rows.where("documents > 1").withColumn("tag", F.col("path").bitwiseAND(F.lit(3)).cast("int")), "tree-paths")
+    rows, all_paths = cut(rows.where("documents > 1").withColumn("tag", F.col("path").bitwiseAND(F.lit(3)).cast("int")), "tree-paths")
     in_class = Window.partitionBy("node", "tag")
     low = F.array(*[F.lit(int(c)) for c in CLASSES])
     own = F.size(F.filter(low, lambda c: c <= F.col("n"))) - 1  # the document's class; the path's is it or one of the few below
@@ -342,39 +342,43 @@ def shared_paths(docs: DataFrame, reps: DataFrame, percent: int = PERCENT, k: in
         .withColumn("rank", alone + F.row_number().over(in_class.orderBy("documents", "path")))
         .withColumn("popular", F.sum("documents").over(Window.partitionBy("node")))
     )
-    return ranked.where(F.col("rank") <= d + 1).select("path", "rep", "n", "popular")
+    return ranked.where(F.col("rank") <= d + 1).select("path", "rep", "n", "popular"), all_paths
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, for every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, held: list[str] | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, for every row of ``docs`` (doc_id, text).  Tables that the result is read from are added to ``held``; all others are removed."""
+    spark, held = docs.sparkSession, [] if held is None else held
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    meta, _ = cut(docs.mapInArrow(_describe(percent, k), "doc_id long, n long, d1 long, d2 long, totals array<long>"), "shingle-sets")
+    meta, meta_path = cut(docs.mapInArrow(_describe(percent, k), "doc_id long, n long, d1 long, d2 long, totals array<long>"), "shingle-sets")
     real = meta.where("n > 0 and doc_id is not null")
-    reps, _ = cut(real.groupBy("d1", "d2", "n", "totals").agg(F.min("doc_id").alias("rep")), "set-classes")
-    member, _ = cut(real.join(reps.drop("totals"), ["d1", "d2", "n"]).select("doc_id", "rep"), "set-members")
-    kept, kept_path = cut(shared_paths(docs, reps, percent, k), "tree-witnesses")
+    reps, reps_path = cut(real.groupBy("d1", "d2", "n", "totals").agg(F.min("doc_id").alias("rep")), "set-classes")
+    member, member_path = cut(real.join(reps.drop("totals"), ["d1", "d2", "n"]).select("doc_id", "rep"), "set-members")
+    held += [meta_path, member_path]
+    witnesses, all_paths = shared_paths(docs, reps, percent, k)
+    kept, kept_path = cut(witnesses, "tree-witnesses")
+    remove(spark, all_paths, reps_path)
 
     # the centre of a path's bucket is its most popular document
     bucket = Window.partitionBy("path")
     centred = kept.select("path", F.col("rep").alias("doc_id"), "n", F.max(F.struct("popular", -F.col("rep"))).over(bucket).alias("top"), F.count(F.lit(1)).over(bucket).alias("size"))
-    shared, _ = cut(centred.where("size > 1").select("path", "doc_id", "n", (-F.col("top")["col2"]).alias("centre")), "tree-buckets")
+    shared, shared_path = cut(centred.where("size > 1").select("path", "doc_id", "n", (-F.col("top")["col2"]).alias("centre")), "tree-buckets")
     remove(spark, kept_path)
-    sets, _ = cut(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets_of(k), "doc_id long, hashes binary"), "tree-sets")
+    sets, sets_path = cut(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets_of(k), "doc_id long, hashes binary"), "tree-sets")
 
     # first every member against the centre it meets most often
     met = shared.where("doc_id != centre").groupBy(F.col("centre").alias("a"), F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n"))
-    tried, _ = cut(met.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a"), F.max("n").alias("n")).select("a", "b", "n"), "tree-tried")
+    tried, tried_path = cut(met.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a"), F.max("n").alias("n")).select("a", "b", "n"), "tree-tried")
     links, _ = cut(compare_pairs(tried, sets, percent), "tree-links")
     roots = connected_components(links)
 
     # then the buckets that still hold several components: roots that meet in a bucket make a family
     apart = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("path", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
     apart = apart.select("doc_id", "n", "root", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi")).where("lo != hi")
-    apart, _ = cut(apart.select("doc_id", "n", "root", "lo").distinct(), "tree-apart")
+    apart, apart_path = cut(apart.select("doc_id", "n", "root", "lo").distinct(), "tree-apart")
     families = connected_components(apart.select(F.col("lo").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("family"))
     more, _ = cut(compare_families(apart.groupBy("doc_id", "root").agg(F.max("n").alias("n")).join(families, "root").select("family", "doc_id", "n", "root"), sets, percent), "tree-links")
+    remove(spark, shared_path, sets_path, tried_path, apart_path)  # sets are as large as the texts
     roots = connected_components(links.union(more))
 
     placed = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
@@ -391,7 +395,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
 
 def one_of_each_group(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` with the least doc_id of their component, once each; rows with null doc_id stay."""
-    found, _ = cut(jaccard_components(docs, percent, k), "group-members")
+    held: list[str] = []
+    found, _ = cut(jaccard_components(docs, percent, k, held), "group-members")
+    remove(docs.sparkSession, *held)
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
