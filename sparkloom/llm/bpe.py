@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -184,16 +185,20 @@ def split_texts(texts: list[str]) -> list[list[str]]:
 
 
 class Merges(dict):
-    """slice -> ids as little-endian unsigned 32-bit integers, and the bytes that each stands for as 16-bit ones; new slices are merged, and kept while there is room."""
+    """slice -> ids as little-endian unsigned 32-bit integers, and the bytes that each stands for as 16-bit ones; new slices are merged and kept; of a full cache those stay that are met again, as one half takes over from the other."""
 
     def __init__(self, ranks: dict[bytes, int], most: int = 200_000):
         super().__init__()
-        self.ranks, self.most = ranks, most
+        self.ranks, self.half = ranks, most // 2
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def __missing__(self, piece: str) -> tuple[bytes, bytes]:
-        parts = self.merge(piece.encode())
-        out = np.array([self.ranks[p] for p in parts], "<u4").tobytes(), np.array([len(p) for p in parts], "<u2").tobytes()
-        if len(self) >= self.most:
+        out = self.older.pop(piece, None)
+        if out is None:
+            parts = self.merge(piece.encode())
+            out = struct.pack(f"<{len(parts)}I", *[self.ranks[p] for p in parts]), struct.pack(f"<{len(parts)}H", *map(len, parts))
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
         if len(piece) <= 64:
             self[piece] = out
