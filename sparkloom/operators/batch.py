@@ -19,6 +19,15 @@ def drawn(seed: int, *of: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in of]).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def _shard(df: DataFrame, seed: int, key: str, shard_rows: int) -> Column:
+    return F.pmod(drawn(seed, F.col(key), F.lit("shard")), F.lit(max(1, -(-df.count() // shard_rows))))
+
+
+def epoch_length(df: DataFrame, size: int, seed: int, epoch: int, key: str = "id", shard_rows: int = 200_000) -> int:
+    """The number of batches of ``epoch_batches``: each shard's last one may be short."""
+    return df.groupBy(_shard(df, seed + epoch, key, shard_rows)).count().agg(F.sum(F.ceil(F.col("count") / size))).first()[0] or 0
+
+
 def epoch_batches(df: DataFrame, length: str, size: int, seed: int, epoch: int, key: str = "id", block: int = 100, shard_rows: int = 200_000) -> DataFrame:
     """Each row once, with batch (a rank in the epoch's order) and slot.
 
@@ -26,8 +35,7 @@ def epoch_batches(df: DataFrame, length: str, size: int, seed: int, epoch: int,
     ``block`` batches and cut into batches; batches are ordered by a hash of their name.  No step sorts the whole table in one task.
     """
     h = lambda *c: drawn(seed + epoch, *c)
-    shards = max(1, -(-df.count() // shard_rows))
-    df = df.withColumn("__shard", F.pmod(h(F.col(key), F.lit("shard")), F.lit(shards)))
+    df = df.withColumn("__shard", _shard(df, seed + epoch, key, shard_rows))
     df = df.withColumn("__rn", F.row_number().over(Window.partitionBy("__shard").orderBy(h(F.col(key)), key)) - 1)
     df = df.withColumn("__block", F.floor(F.col("__rn") / (block * size)))
     df = df.withColumn("__at", F.row_number().over(Window.partitionBy("__shard", "__block").orderBy(length, "__rn")) - 1)

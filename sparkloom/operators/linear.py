@@ -77,13 +77,22 @@ class Linear:
         exists = np.concatenate((word, word[:, :-1] & word[:, 1:]), 1)
         return np.where(exists, ((mixed >> np.uint64(33)) % np.uint64(self.size)).astype(np.int64), self.size), exists
 
+    def features(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row and place of each feature, row by row, and the root of their number by row."""
+        place, exists = self.places(ids)
+        n = exists.sum(1)
+        return np.repeat(np.arange(len(ids)), n), place[exists], np.sqrt(np.maximum(n, 1))
+
+    def summed(self, row: np.ndarray, place: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """Logits [row, head] of ``features``, added up one after another, so that they don't depend on how far rows are filled up."""
+        own = [np.bincount(row, self.weights[place, h], len(root)) for h in range(len(self.heads))]
+        return np.stack(own, 1) / root[:, None] + self.weights[-1]
+
     def logits(self, ids: np.ndarray) -> np.ndarray:
         """Logits [row, head]: mean weights of a row's features, times the root of their number."""
         out = np.zeros((len(ids), len(self.heads)))
         for i in range(0, len(ids), CHUNK):
-            place, exists = self.places(ids[i : i + CHUNK])
-            own = np.where(exists[:, :, None], self.weights[place], 0.0).sum(1)
-            out[i : i + CHUNK] = own / np.sqrt(np.maximum(exists.sum(1), 1))[:, None] + self.weights[-1]
+            out[i : i + CHUNK] = self.summed(*self.features(ids[i : i + CHUNK]))
         return out
 
 
@@ -97,6 +106,52 @@ def _counted(at: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
     return (upper << 20) + lower
 
 
+class Tally:
+    """Sums of some rows at one model, in whole numbers: gradients (of weighted losses) by place and head, weights and losses by head, tokens, and whether a row was not finite."""
+
+    def __init__(self, shape: tuple[int, int]):
+        self.gradient, self.by_head, self.tokens, self.broken = np.zeros(shape, np.int64), np.zeros((2, shape[1]), np.int64), 0, False
+
+    def add(self, model: Linear, rows: pa.RecordBatch) -> None:
+        """``rows``: as ``narrow`` has them."""
+        targets = np.array(rows.column(1).to_pylist(), float).reshape(rows.num_rows, self.gradient.shape[1])
+        weights = rows.column(2).to_numpy(zero_copy_only=False)[:, None] * (targets >= 0)
+        for i in range(0, rows.num_rows, CHUNK):
+            ids, y, w = matrix(rows.column(0).slice(i, CHUNK)), targets[i : i + CHUNK], weights[i : i + CHUNK]
+            row, at, root = model.features(ids)
+            f = model.summed(row, at, root)
+            loss = np.maximum(f, 0) - f * y + np.log1p(np.exp(-np.abs(f)))
+            if not ((w * (1 + np.abs(f) + loss)) < MOST).all():  # NaN fails too
+                self.broken = True
+                return
+            self.by_head += np.stack((_whole(w).sum(0), _whole(np.where(w > 0, w * loss, 0.0)).sum(0)))
+            self.tokens += int((ids != PAD).sum())
+            g = w * (1 / (1 + np.exp(-f)) - y)
+            each = _whole(g / root[:, None])
+            for h in np.flatnonzero(each.any(0)):
+                self.gradient[:, h] += _counted(at, each[row, h], len(self.gradient))
+            self.gradient[-1] += _whole(g).sum(0)
+
+    def numbers(self) -> np.ndarray:
+        """All sums in a row; such rows can be added up."""
+        return np.concatenate(([self.broken, self.tokens], self.by_head.ravel(), self.gradient.ravel())).astype(np.int64)
+
+    @classmethod
+    def of(cls, x: np.ndarray, shape: tuple[int, int]) -> Tally:
+        out = cls(shape)
+        out.broken, out.tokens, out.by_head, out.gradient = bool(x[0]), int(x[1]), x[2 : 2 + 2 * shape[1]].reshape(2, -1), x[2 + 2 * shape[1] :].reshape(shape)
+        return out
+
+    def sums(self) -> dict[str, np.ndarray]:
+        out = {"gradient": self.gradient / float(1 << FRACTION), "weight": self.by_head[0] / float(1 << FRACTION), "loss": self.by_head[1] / float(1 << FRACTION), "tokens": self.tokens}
+        return {k: x * float("nan") for k, x in out.items()} if self.broken else out
+
+
+def narrow(rows: DataFrame, heads: list[str], *more: str) -> DataFrame:
+    """What a gradient needs of rows: ids, targets by head, weight."""
+    return rows.select("input_ids", targets(heads).alias("y"), F.coalesce("weight", F.lit(1.0)).cast("double").alias("w"), *more)
+
+
 def sums(rows: DataFrame, model: Linear) -> dict[str, np.ndarray]:
     """gradient (of the sums of weighted losses), weight and loss by head, and tokens, of ``rows`` (input_ids, label, cwe, weight).
 
@@ -107,45 +162,27 @@ def sums(rows: DataFrame, model: Linear) -> dict[str, np.ndarray]:
     shared = rows.sparkSession.sparkContext.broadcast(model)  # a model of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        total, by_head, tokens = np.zeros(shape, np.int64), np.zeros((2, shape[1]), np.int64), 0
+        own, total = shared.value, Tally(shape)
         for batch in batches:
-            ids, y = matrix(batch.column(0)), np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, shape[1])
-            w = batch.column(2).to_numpy(zero_copy_only=False)[:, None] * (y >= 0)
-            f = own.logits(ids)
-            loss = np.maximum(f, 0) - f * y + np.log1p(np.exp(-np.abs(f)))
-            if not ((w * (1 + np.abs(f) + loss)) < MOST).all():  # NaN fails too
+            total.add(own, batch)
+            if total.broken:
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (BROKEN, 0, 1)], names=["place", "head", "s"])
                 return
-            by_head += np.stack((_whole(w).sum(0), _whole(np.where(w > 0, w * loss, 0.0)).sum(0)))
-            tokens += int((ids != PAD).sum())
-            g = w * (1 / (1 + np.exp(-f)) - y)
-            for i in range(0, len(ids), CHUNK):
-                place, exists = own.places(ids[i : i + CHUNK])
-                part = g[i : i + CHUNK]
-                each = _whole(part / np.sqrt(np.maximum(exists.sum(1), 1))[:, None])
-                r, k = np.nonzero(exists)
-                at = place[r, k]
-                for h in np.flatnonzero(each.any(0)):
-                    total[:, h] += _counted(at, each[r, h], shape[0])
-                total[-1] += _whole(part).sum(0)
-        at, head = np.nonzero(total)
+        at, head = np.nonzero(total.gradient)
         h = np.arange(shape[1])
-        columns = (np.concatenate((at, np.full(len(h), WEIGHT), np.full(len(h), LOSS), [TOKENS])), np.concatenate((head, h, h, [0])), np.concatenate((total[at, head], by_head[0], by_head[1], [tokens])))
+        columns = (np.concatenate((at, np.full(len(h), WEIGHT), np.full(len(h), LOSS), [TOKENS])), np.concatenate((head, h, h, [0])), np.concatenate((total.gradient[at, head], *total.by_head, [total.tokens])))
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["place", "head", "s"])
 
-    narrow = rows.select("input_ids", targets(model.heads).alias("y"), F.coalesce("weight", F.lit(1.0)).cast("double").alias("w"))
-    got = narrow.mapInArrow(run, "place long, head long, s long").groupBy("place", "head").agg(F.sum("s").alias("s")).toPandas()
+    got = narrow(rows, model.heads).mapInArrow(run, "place long, head long, s long").groupBy("place", "head").agg(F.sum("s").alias("s")).toPandas()
     place, head, s = (got[c].to_numpy() for c in ("place", "head", "s"))
-    out = {"gradient": np.zeros(shape), "weight": np.zeros(shape[1]), "loss": np.zeros(shape[1]), "tokens": int(s[place == TOKENS].sum())}
-    if (place == BROKEN).any():
-        return {k: x * float("nan") for k, x in out.items()}
-    for name, where in (("weight", WEIGHT), ("loss", LOSS)):
-        out[name][head[place == where]] = s[place == where] / float(1 << FRACTION)
+    out = Tally(shape)
+    out.broken, out.tokens = bool((place == BROKEN).any()), int(s[place == TOKENS].sum())
+    for i, where in enumerate((WEIGHT, LOSS)):
+        out.by_head[i][head[place == where]] = s[place == where]
     own = place >= 0
-    out["gradient"][place[own], head[own]] = s[own] / float(1 << FRACTION)
+    out.gradient[place[own], head[own]] = s[own]
     shared.unpersist()
-    return out
+    return out.sums()
 
 
 def scorer(spark: SparkSession, model: Linear, length: int, batch: int = 256):
