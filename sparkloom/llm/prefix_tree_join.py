@@ -11,8 +11,10 @@ and a set with more empty runs than that room emits these too, so no link is los
 Of its paths a document needs only the rarest few (as in a prefix filter over runs), and paths of one document none.
 
 Comparison.  Documents of equal sets are collapsed first.  In a bucket each member is compared with the bucket's most popular
-member, best-supported pair first, and components are formed.  Components that still meet in a bucket make a family, whose
-members are compared block by block, all blocks with all: results are exact, while near copies never expand into rows of pairs.
+member, best-supported pair first, and components are formed.  In buckets that still hold several components, sketches (the parity of
+a set's elements in each of some bits, of which sets that differ in d elements differ in d at most) tell which members of different components can link
+at all; components so tied make a family, whose members are compared block by block, all blocks with all: results are exact, while near copies
+never expand into rows of pairs, and texts that only share a passage do not gather in families that grow with the table.
 Comparison walks the prefix tree of a block's ordered sets depth first (sets in lexicographic order; the partial overlap of a shared
 path is kept), and leaves a subtree as soon as the elements that remain cannot reach the required overlap.
 
@@ -39,6 +41,8 @@ PERCENT = 85
 #: members compared with one centre in one block, and the elements of all their sets (8 bytes each), but for one larger set
 BLOCK = 256
 ELEMENTS = 1 << 21
+#: members of a bucket whose sketches are compared in one block
+SKETCHES = 2048
 
 
 def size_classes(most: int = 1 << 40) -> np.ndarray:
@@ -172,13 +176,31 @@ def _paths_of(percent: int, k: int):
     return run
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of a set's elements in each of as many bits as the set has elements, up to the next power of two (64 at least)."""
+    words = 1 << max(0, (len(s) - 1) // 64).bit_length()
+    odd = np.bincount((s & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches [row, word] of fewer bits."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
 def _sets_of(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for a, b in slices_by_bytes(offsets):
                 sets = document_sets(data, offsets[a : b + 1], k)
-                yield batch_of(["doc_id", "hashes"], [batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())])
+                yield batch_of(
+                    ["doc_id", "hashes", "sketch"],
+                    [batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())],
+                )
 
     return run
 
@@ -275,6 +297,102 @@ def compare_pairs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, blo
     return members.select("a", "block", "b", "hashes").union(centres).groupBy("a", "block").applyInArrow(_compare(percent), "a long, b long")
 
 
+def possible_links(sizes: np.ndarray, sketches: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int = PERCENT, cells: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (of ``left``, of ``right``) whose sizes and sketches do not rule out a link: no pair that links is missing."""
+    words = np.array([len(x) for x in sketches])
+    stacks = {w: (np.flatnonzero(words == w), np.stack([x for x in sketches if len(x) == w])) for w in np.unique(words).tolist()}
+    place = np.zeros(len(words), np.int64)
+    for rows, _ in stacks.values():
+        place[rows] = np.arange(len(rows))
+    for u in stacks:
+        for v in stacks:
+            x, y = left[words[left] == u], right[words[right] == v]
+            if not len(x) or not len(y):
+                continue
+            w = min(u, v)
+            a, b = folded(stacks[u][1][place[x]], w), folded(stacks[v][1][place[y]], w)
+            step = max(1, cells // (len(y) * w))
+            for i in range(0, len(x), step):
+                most = (sizes[x[i : i + step], None] + sizes[y]) * (100 - percent)
+                near = np.abs(sizes[x[i : i + step], None] - sizes[y]) * (100 + percent) <= most
+                if near.any():
+                    p, q = np.nonzero(near)
+                    if 2 * len(p) < near.size:
+                        differ = np.bitwise_count(a[i + p] ^ b[q]).sum(axis=1, dtype=np.int64)
+                    else:
+                        differ = np.bitwise_count(a[i : i + step, None] ^ b).sum(axis=2, dtype=np.int64)[p, q]
+                    yes = differ * (100 + percent) <= most[p, q]
+                    yield x[i + p[yes]], y[q[yes]]
+
+
+def _possible_ties(percent: int):
+    """Roots (a, b) of members that may link, one tie for each merge of roots; rows of a group (path, lo, hi) come one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def find(r: int) -> int:
+            while (up := parent.get(r, r)) != r:
+                parent[r] = r = parent.get(up, up)
+            return r
+
+        def ties(rows: pa.Table) -> tuple[list[int], list[int]]:
+            path, lo, hi, own, roots, sizes = (rows.column(c).to_numpy() for c in ("path", "lo", "hi", "own", "root", "n"))
+            raw = rows.column("sketch").to_pylist()
+            starts = np.flatnonzero(np.concatenate(([True], (path[1:] != path[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
+            a, b = [], []
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(path)]):
+                known = np.array([find(r) for r in roots[s:e].tolist()])
+                if (known == known[0]).all():
+                    continue
+                left, right = np.flatnonzero(own[s:e] == lo[s]), np.flatnonzero(own[s:e] == hi[s])
+                for p, q in possible_links(sizes[s:e], [np.frombuffer(x, np.uint64) for x in raw[s:e]], left, right, percent):
+                    apart = known[p] != known[q]
+                    for x, y in np.unique(np.stack((known[p[apart]], known[q[apart]])), axis=1).T.tolist():
+                        i, j = find(x), find(y)
+                        if i != j:
+                            parent[max(i, j)] = min(i, j)
+                            a.append(i)
+                            b.append(j)
+            return a, b
+
+        kept: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if kept is None else pa.concat_tables([kept, rows])
+            if not len(rows):
+                continue
+            same = np.ones(len(rows), bool)
+            for c in ("path", "lo", "hi"):
+                x = rows.column(c).to_numpy()
+                same &= x == x[-1]
+            whole = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0  # the last group may go on
+            if whole:
+                a, b = ties(rows.slice(0, whole))
+                yield batch_of(["a", "b"], [pa.array(a, pa.int64()), pa.array(b, pa.int64())])
+            kept = rows.slice(whole)
+        if kept is not None and len(kept):
+            a, b = ties(kept)
+            yield batch_of(["a", "b"], [pa.array(a, pa.int64()), pa.array(b, pa.int64())])
+
+    return run
+
+
+def possible_families(mixed: DataFrame, sketches: DataFrame, percent: int = PERCENT, block: int = SKETCHES) -> DataFrame:
+    """Ties (a, b) of roots with members that meet in a bucket and may link, as far as their sketches tell.  ``mixed``: path, doc_id, n, root of buckets with several roots; ``sketches``: doc_id, sketch.
+
+    Buckets of the same members are compared once.  A large bucket is dealt in blocks by a hash, each pair of blocks apart.
+    """
+    same = [F.bit_xor(F.xxhash64("doc_id")), F.bit_xor(F.xxhash64("doc_id", F.lit(1)))]
+    one = mixed.groupBy("path").agg(same[0].alias("x"), same[1].alias("y"), F.count(F.lit(1)).alias("members")).groupBy("x", "y", "members").agg(F.min("path").alias("path"))
+    sized = one.select("path", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    own = mixed.join(sized, "path").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    dealt = own.select("path", "doc_id", "n", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("path", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc_id", "n", "root", "own").join(sketches, "doc_id")
+    rows = dealt.select("path", "lo", "hi", "own", "root", "n", "sketch").repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi")
+    return rows.mapInArrow(_possible_ties(percent), "a long, b long").distinct()
+
+
 def _compare_blocks(percent: int):
     """Links between the components of two blocks of a family; a union-find leaves one link for each merge."""
 
@@ -364,7 +482,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     centred = kept.select("path", F.col("rep").alias("doc_id"), "n", F.max(F.struct("popular", -F.col("rep"))).over(bucket).alias("top"), F.count(F.lit(1)).over(bucket).alias("size"))
     shared, shared_path = cut(centred.where("size > 1").select("path", "doc_id", "n", (-F.col("top")["col2"]).alias("centre")), "tree-buckets")
     remove(spark, kept_path)
-    sets, sets_path = cut(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets_of(k), "doc_id long, hashes binary"), "tree-sets")
+    sets, sets_path = cut(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets_of(k), "doc_id long, hashes binary, sketch binary"), "tree-sets")
+    sketches, sets = sets.select("doc_id", "sketch"), sets.select("doc_id", "hashes")
 
     # first every member against the centre it meets most often
     met = shared.where("doc_id != centre").groupBy(F.col("centre").alias("a"), F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n"))
@@ -372,13 +491,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     links, _ = cut(compare_pairs(tried, sets, percent), "tree-links")
     roots = connected_components(links)
 
-    # then the buckets that still hold several components: roots that meet in a bucket make a family
+    # then the buckets that still hold several components: roots that meet in a bucket and may link make a family
     apart = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("path", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-    apart = apart.select("doc_id", "n", "root", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi")).where("lo != hi")
-    apart, apart_path = cut(apart.select("doc_id", "n", "root", "lo").distinct(), "tree-apart")
-    families = connected_components(apart.select(F.col("lo").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("family"))
+    apart = apart.select("path", "doc_id", "n", "root", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi")).where("lo != hi")
+    apart, apart_path = cut(apart.select("path", "doc_id", "n", "root"), "tree-apart")
+    ties, ties_path = cut(possible_families(apart, sketches, percent), "tree-ties")
+    families = connected_components(ties).select(F.col("node").alias("root"), F.col("root").alias("family"))
     more, _ = cut(compare_families(apart.groupBy("doc_id", "root").agg(F.max("n").alias("n")).join(families, "root").select("family", "doc_id", "n", "root"), sets, percent), "tree-links")
-    remove(spark, shared_path, sets_path, tried_path, apart_path)  # sets are as large as the texts
+    remove(spark, shared_path, sets_path, tried_path, apart_path, ties_path)  # sets are as large as the texts
     roots = connected_components(links.union(more))
 
     placed = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
