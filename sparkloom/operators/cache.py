@@ -33,18 +33,19 @@ def cache_counters(encoded: DataFrame) -> DataFrame:
     )
 
 
-def prepare(records: DataFrame, path: str, stage: str, tokenizer=None, length: int = 512, most_nodes: int = 256, most_neighbours: int = 16, purpose: str | None = None) -> dict:
+def prepare(records: DataFrame, path: str, stage: str, tokenizer=None, length: int = 512, most_nodes: int = 256, most_neighbours: int = 16, purpose: str | None = None, blank: bool = False) -> dict:
     """Check, filter and encode records, and write them with a manifest, which is returned.  An existing target, or nothing that fits, is an error.
 
     Counters: input_records, rejected_no_supervision, rejected_overlength_or_empty, output_records, tokens, labeled_records, graph_records, paired_records.
+    ``blank``: records without code are no error; empty ones are rejected, white space is encoded, and those whose code is null are counted as rejected_null.
     """
     spark, tokenizer = records.sparkSession, tokenizer or Bytes()
-    checked = validated(records)
+    checked = validated(records, blank="any" if blank else "")
     if purpose and not purpose_violations(checked, purpose).isEmpty():
         raise ValueError(f"records of another partition cannot be prepared for {purpose}")
     rows = admitted(checked, stage)
     graphs = F.col("graph").isNotNull() | (F.col("mate")["graph"].isNotNull() if "mate" in checked.columns else F.lit(False))
-    n = checked.agg(F.count(F.lit(1)).alias("all"), F.count_if(supervised(checked.columns)).alias("supervised"), F.count_if(graphs).alias("graphs")).first()
+    n = checked.agg(F.count(F.lit(1)).alias("all"), F.count_if(supervised(checked.columns)).alias("supervised"), F.count_if(graphs).alias("graphs"), F.count_if(F.col("code").isNull() if stage == "pretrain" else F.col("code").isNull() & supervised(checked.columns)).alias("nulls")).first()
     encoded = encode(rows, length, stage == "pretrain", tokenizer, most_nodes, most_neighbours, n["graphs"] > 0)
     mate = F.coalesce(F.size("mate.input_ids"), F.lit(0)) if "mate" in encoded.columns else F.lit(0)
     encoded = encoded.withColumn("length", F.greatest(F.size("input_ids"), mate))
@@ -54,12 +55,13 @@ def prepare(records: DataFrame, path: str, stage: str, tokenizer=None, length: i
     if not counts["output_records"]:
         remove(spark, path)
         raise ValueError("no record fits; nothing is cut short")
-    admitted_n = n["all"] if stage == "pretrain" else n["supervised"]
+    admitted_n = (n["all"] if stage == "pretrain" else n["supervised"]) - n["nulls"]
     other = rows.where(F.col("split").isNotNull() & (F.col("split") != "") & ~F.col("split").isin(*PARTITIONS, "quarantine")).select("id", "split").first()
     if other:
         raise ValueError(f"record {other['id']} is of an unknown partition: {other['split']}")
     splits = sorted(r[0] for r in rows.select("split").where("split is not null and split != ''").distinct().collect())  # known names only
-    stats = {"input_records": n["all"], "rejected_no_supervision": n["all"] - admitted_n, "rejected_overlength_or_empty": admitted_n - counts.pop("records"), **counts}
+    stats = {"input_records": n["all"], "rejected_no_supervision": n["all"] - admitted_n - n["nulls"], "rejected_overlength_or_empty": admitted_n - counts.pop("records"), **counts}
+    stats |= {"rejected_null": n["nulls"]} if blank else {}
     manifest = {
         "format": 1, "stage": stage, "purpose": purpose or (splits[0] if len(splits) == 1 else "unspecified"), "source_splits": splits, "max_length": length, "tokenizer_sha256": tokenizer.sha256,
         "input": content_hash(checked.select("id", F.sha2("code", 256).alias("code"), "label")), "data": content_hash(_hashable(written)), "vocab_size": tokenizer.vocab_size, "random_vocab_size": tokenizer.random_vocab_size,
